@@ -82,3 +82,41 @@ def with_sql(*ctes: str) -> str:
 
 
 PACK_CTES = (SQL_DOC_IDS, SQL_DOC_OFF, SQL_TOKS, SQL_BTOKS)
+
+
+def sql_num(x: float) -> str:
+    """A double literal that parses to exactly the Python float on both engines."""
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def sql_pack(keys: tuple[str, ...], tag: str, remainder_drop: bool = True) -> list[str]:
+    """CTEs ``{tag}_off``, ``{tag}_toks``, ``{tag}_btoks``, ``{tag}_blocks`` packing
+    ``doc_ids`` per ``keys`` (chunk CHUNK, block BLOCK, tail dropped)."""
+    k = ", ".join(keys)
+    off = f"""{tag}_off AS (
+  SELECT *, CAST(SUM(len(ids)) OVER (PARTITION BY {k} ORDER BY doc_id) AS BIGINT) - len(ids) AS start,
+            CAST(SUM(len(ids)) OVER (PARTITION BY {k}) AS BIGINT) AS key_tokens
+  FROM doc_ids)"""
+    toks = f"""{tag}_toks AS (
+  SELECT {k}, key_tokens, doc_id, start + kk AS pos, kk, id
+  FROM (SELECT {k}, key_tokens, doc_id, start, unnest(ids) AS id, unnest(range(len(ids))) AS kk FROM {tag}_off))"""
+    btoks = f"""{tag}_btoks AS (
+  SELECT {k}, pos // {CHUNK} AS chunk_id, (pos % {CHUNK}) // {BLOCK} AS block_in_chunk,
+         (pos % {CHUNK}) % {BLOCK} AS i, id
+  FROM {tag}_toks
+  WHERE pos // {CHUNK} < (key_tokens + {CHUNK - 1}) // {CHUNK} - 1 AND pos % {CHUNK} < {N_BLOCKS * BLOCK})"""
+    blocks_ = f"""{tag}_blocks AS (
+  SELECT {k}, chunk_id, block_in_chunk, chunk_id * {N_BLOCKS} + block_in_chunk AS block_no,
+         list(id ORDER BY i) AS tokens
+  FROM {tag}_btoks GROUP BY {k}, chunk_id, block_in_chunk)"""
+    return [off, toks, btoks, blocks_]
+
+
+def sql_pairs(keys: tuple[str, ...], tag: str, src: str | None = None, where: str = "TRUE") -> str:
+    """CTE ``{tag}_pairs``: one row per (input, target) position of the blocks."""
+    k = ", ".join(keys)
+    src = src or f"{tag}_blocks"
+    return f"""{tag}_pairs AS (
+  SELECT {k}, block_no, unnest(list_slice(tokens, 1, {BLOCK - 1})) AS u,
+         unnest(list_slice(tokens, 2, {BLOCK})) AS v, unnest(range({BLOCK - 1})) AS pos
+  FROM {src} WHERE {where})"""
