@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blendwise.plans import mixture_queries, packing_queries, token_queries  # noqa: F401
+from blendwise.plans import loss_queries, mixture_queries, packing_queries, token_queries  # noqa: F401
 from blendwise.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
