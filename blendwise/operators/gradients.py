@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blendwise.operators.loss import IGNORE_PLAIN, Proxy, with_prob
+from blendwise.session import with_scalars
 
 
 @dataclass
@@ -53,7 +54,7 @@ def average(grad: Grad, over: str, keys: Sequence[str] = ()) -> Grad:
     keys = list(keys)
     n_sets = grad.q.select(*keys, over).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
     s = grad.q.groupBy(*keys, "u", "v").agg(F.sum("q").alias("_s"))
-    s = s.join(n_sets, keys) if keys else s.crossJoin(F.broadcast(n_sets))
+    s = s.join(n_sets, keys) if keys else with_scalars(s, n_sets)
     q = s.select(*keys, "u", "v", (F.col("_s") / F.col("_k")).alias("q"))
     return Grad(q, _a_from_q(q, keys), keys)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from blendwise.plans import loss_queries, mixture_queries, packing_queries, token_queries  # noqa: F401
+from blendwise.plans import (  # noqa: F401
+    loss_queries, metrics_queries, mixture_queries, packing_queries, qa_queries, token_queries,
+)
 from blendwise.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

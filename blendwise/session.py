@@ -73,3 +73,9 @@ def small_broadcast(df: DataFrame, max_rows: int, known_rows: int | None = None)
     if n <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row (broadcast
+    equi join on a constant; the small side is one row by construction)."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
