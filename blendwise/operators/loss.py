@@ -71,16 +71,23 @@ def fit_proxy(counts: DataFrame, weights: DataFrame | None = None, alpha: float
         wn = F.col("n").cast("double")
     keys = list(extra_keys)
     pairs = c.groupBy(*keys, "u", "v").agg(F.sum(wn).alias("c"))
+    return proxy_from_pairs(pairs, alpha, vocab, keys)
+
+
+def proxy_from_pairs(pairs: DataFrame, alpha: float, vocab: int, keys: Sequence[str] = ()) -> Proxy:
+    """Proxy from weighted pair counts ``(keys..., u, v, c)``: per-context totals,
+    ``sum_v p^2`` and ``sum_v log p`` over the whole vocabulary (unseen targets included)."""
+    if alpha <= 0:
+        raise ValueError("alpha must be > 0 (a zero probability has infinite loss)")
     a, V = float(alpha), int(vocab)
+    keys = list(keys)
     ctx = pairs.groupBy(*keys, "u").agg(
         F.sum("c").alias("cu"), F.sum(F.col("c") * F.col("c")).alias("_c2"), F.count(F.lit(1)).alias("n_seen"),
         F.sum(F.log(F.lit(a) + F.col("c"))).alias("_slog"),
     )
     zu = F.col("cu") + F.lit(a * V)
     ctx = ctx.withColumn("zu", zu)
-    # sum_v p(v|u)^2 over the whole vocabulary, unseen targets included
     ctx = ctx.withColumn("s2", (F.lit(V * a * a) + F.lit(2 * a) * F.col("cu") + F.col("_c2")) / (F.col("zu") * F.col("zu")))
-    # sum_v log p(v|u) over the whole vocabulary
     ctx = ctx.withColumn(
         "slog", F.col("_slog") + (F.lit(V) - F.col("n_seen")) * F.log(F.lit(a)) - F.lit(V) * F.log("zu")
     ).drop("_c2", "_slog")

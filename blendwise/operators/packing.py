@@ -35,7 +35,7 @@ def doc_offsets(
     bucket_width: int = DEFAULT_BUCKET_WIDTH,
 ) -> DataFrame:
     """``start``/``end`` of each document in its key's stream, plus ``key_tokens``."""
-    d = tokens.withColumn("n_tokens", F.size(ids).cast("bigint"))
+    d = tokens if "n_tokens" in tokens.columns else tokens.withColumn("n_tokens", F.size(ids).cast("bigint"))
     d = prefix_sum(d, keys, order, "n_tokens", "end", bucket_width=bucket_width, total="key_tokens")
     return d.withColumn("start", F.col("end") - F.col("n_tokens"))
 

@@ -99,8 +99,14 @@ def encode_documents(
     text: str = "text",
     keep: Sequence[str] = ("doc_id", "source"),
 ) -> DataFrame:
-    """T2 -> T3 (hashed) -> T4 as one projection: (keep..., ids)."""
+    """T2 -> T3 (hashed) -> T4 as one projection: (keep..., n_tokens, ids)."""
     d = tokenize(docs.select(*keep, text), text=text)
+    # length from the words alone: a plan that needs only lengths (offsets)
+    # prunes the hashing of every token
+    n = F.size("words") + F.lit(int(bos is not None) + int(eos is not None))
+    if max_length > 0:
+        n = F.least(n, F.lit(max_length))
+    d = d.withColumn("n_tokens", n.cast("bigint"))
     d = encode(d, vocab_size=vocab_size)
     d = add_special(d, bos=bos, eos=eos, max_length=max_length)
     return d.drop("words", text)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from blendwise.plans import (  # noqa: F401
-    loss_queries, metrics_queries, mixture_queries, packing_queries, qa_queries, source_queries, token_queries,
+    loop_queries, loss_queries, metrics_queries, mixture_queries, packing_queries, qa_queries, source_queries,
+    token_queries,
 )
 from blendwise.plans.registry import ORACLE, QUERIES
 

@@ -56,9 +56,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    The frame is persisted first so that writing the checkpoint reads the
+    computed rows instead of running the plan a second time."""
+    from pyspark import StorageLevel
+
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def small_broadcast(df: DataFrame, max_rows: int, known_rows: int | None = None) -> DataFrame:
@@ -93,3 +101,14 @@ def local_path(uri: str) -> str:
     if "://" in uri:
         raise NotImplementedError(f"Python-side file IO needs a mounted folder, got {uri}")
     return uri
+
+
+def spread_input(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
+    """Hash-repartition a scan that has fewer splits than ``factor`` x the
+    cluster's parallelism (e.g. a file with one row group), so per-row work
+    such as tokenizing runs on every core.  Large inputs are left as they are."""
+    sc = df.sparkSession.sparkContext
+    target = factor * sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df

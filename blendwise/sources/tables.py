@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blendwise.session import spread_input
+
 # The four question/answer task names, in this order.
 QA_TASKS = ["hellaswag", "arc_challenge", "piqa", "sciq"]
 
@@ -36,6 +38,7 @@ def split_expr(doc_id: str = "doc_id") -> F.Column:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents(doc_id, source, split, lang, text); null text rows are dropped."""
     d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    d = spread_input(d, "doc_id")
     return d.select("doc_id", "source", split_expr().alias("split"), "lang", "text")
 
 
