@@ -80,7 +80,14 @@ def _s2(df: DataFrame, proxy: Proxy) -> DataFrame:
 
 
 def inner_products(A: Grad, B: Grad, proxy: Proxy) -> DataFrame:
-    """``<A_i, B_j>`` for every group i of A and j of B (keys must differ)."""
+    """``<A_i, B_j>`` for every group i of A and j of B (keys must differ).
+
+    A is the target side (one or a few groups, small), B the sources (large).
+    The two terms over B's support are one pass over ``qB``: A's ``a`` and
+    ``q`` are joined onto it (the small side; AQE broadcasts it) and the
+    proxy probability looked up once.  The other two terms only touch A's
+    support and the per-context tables.
+    """
     ka, kb = A.keys, B.keys
     if set(ka) & set(kb):
         raise ValueError("gradient key names must differ")
@@ -88,14 +95,27 @@ def inner_products(A: Grad, B: Grad, proxy: Proxy) -> DataFrame:
     aB = B.a.withColumnRenamed("a", "aB")
     qA = A.q.withColumnRenamed("q", "qA")
     qB = B.q.withColumnRenamed("q", "qB")
+    # over B's support: sum qB (qA - aA p)
+    big = qB.join(aA, "u", "left") if not ka else qB.join(aA, "u", "inner")
+    big = big.join(qA, [*ka, "u", "v"], "left")
+    big = with_prob(big, proxy).select(
+        *ka, *kb,
+        (F.col("qB") * (F.coalesce("qA", F.lit(0.0)) - F.coalesce("aA", F.lit(0.0)) * F.col("prob"))).alias("x"))
+    # over contexts: sum aA aB S2
     t1 = _s2(aA.join(aB, "u"), proxy).select(*ka, *kb, (F.col("aA") * F.col("aB") * F.col("s2")).alias("x"))
-    t2 = with_prob(qB.join(aA, "u"), proxy).select(*ka, *kb, (-F.col("aA") * F.col("prob") * F.col("qB")).alias("x"))
+    # over A's support: -sum aB p qA
     t3 = with_prob(qA.join(aB, "u"), proxy).select(*ka, *kb, (-F.col("aB") * F.col("prob") * F.col("qA")).alias("x"))
-    t4 = qA.join(qB, ["u", "v"]).select(*ka, *kb, (F.col("qA") * F.col("qB")).alias("x"))
-    allt = t1.unionByName(t2).unionByName(t3).unionByName(t4)
+    allt = big.unionByName(t1).unionByName(t3)
     return allt.groupBy(*ka, *kb).agg(F.sum("x").alias("ip"))
 
 
+def materialize(G: Grad) -> Grad:
+    """Write a gradient's tables to the shared checkpoint folder (read many times)."""
+    from blendwise.session import cut_lineage
+
+    return Grad(cut_lineage(G.q), cut_lineage(G.a), G.keys)
+
+
 def norms(G: Grad, proxy: Proxy) -> DataFrame:
     """``||G_i||`` per group: sum a^2 S2 - 2 sum a p q + sum q^2."""
     k = G.keys

@@ -51,6 +51,13 @@ class Proxy:
         """p(v|u) for a context never seen: 1 / V."""
         return 1.0 / self.vocab
 
+    def materialize(self) -> "Proxy":
+        """Write both tables to the shared checkpoint folder (they are read by
+        several joins of a step)."""
+        from blendwise.session import cut_lineage
+
+        return Proxy(cut_lineage(self.pairs), cut_lineage(self.ctx), self.alpha, self.vocab)
+
 
 def fit_proxy(counts: DataFrame, weights: DataFrame | None = None, alpha: float = 0.1, vocab: int = 1024,
               source: str = "source", ignore: int | None = IGNORE_PLAIN, extra_keys: Sequence[str] = ()) -> Proxy:

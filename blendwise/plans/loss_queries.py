@@ -20,6 +20,7 @@ from blendwise.operators import optim as op
 from blendwise.operators.packing import next_token, pack
 from blendwise.plans.common import BLOCK, CHUNK, SEED, SQL_DOC_IDS, VOCAB, doc_ids, sql_num, sql_pack, sql_pairs, with_sql
 from blendwise.plans.registry import query
+from blendwise.session import cut_lineage
 from blendwise.sources import tables
 
 ALPHA = 0.1
@@ -42,8 +43,12 @@ def lang_blocks(spark, sf):
     return next_token(pack(doc_ids(spark, sf), CHUNK, BLOCK, keys=LKEYS))
 
 
-def lang_counts(spark, sf, blocks=None):
-    return ls.pair_counts(blocks if blocks is not None else lang_blocks(spark, sf), LKEYS)
+def lang_counts(spark, sf, blocks=None, cut=True):
+    """Pair counts of every (split, language).  With ``cut`` they are written to
+    the shared checkpoint folder once, because the proxy, the gradients and
+    the losses all read them (the plan would otherwise re-pack per branch)."""
+    c = ls.pair_counts(blocks if blocks is not None else lang_blocks(spark, sf), LKEYS)
+    return cut_lineage(c) if cut else c
 
 
 def lang_weights(counts):
@@ -60,17 +65,22 @@ def train_grad(counts):
     return gr.source_gradient(counts.filter(F.col("split") == "train").drop("split"), ["lang"])
 
 
-def target_grad(spark, sf):
-    first = lang_blocks(spark, sf).filter((F.col("split") == "valid") & (F.col("block_no") < VAL_BATCH))
-    vc = ls.pair_counts(first, ["lang"])
+def target_grad(spark, sf, blocks=None):
+    b = blocks if blocks is not None else lang_blocks(spark, sf)
+    first = b.filter((F.col("split") == "valid") & (F.col("block_no") < VAL_BATCH))
+    vc = cut_lineage(ls.pair_counts(first, ["lang"]))
     g = gr.val_gradient(vc, "lang")
     return gr.Grad(g.q.withColumn("target", F.lit("valid")), g.a.withColumn("target", F.lit("valid")), ["target"])
 
 
 def inner(spark, sf):
-    c = lang_counts(spark, sf)
-    px = proxy(spark, sf, c)
-    return gr.inner_products(target_grad(spark, sf), train_grad(c), px), px, c
+    """Inner products of the validation target with each language's train
+    gradient.  Blocks, counts, proxy and target are each computed once."""
+    blocks = cut_lineage(lang_blocks(spark, sf))
+    c = lang_counts(spark, sf, blocks)
+    px = proxy(spark, sf, c).materialize()
+    tg = gr.materialize(target_grad(spark, sf, blocks))
+    return gr.inner_products(tg, train_grad(c), px), px, c
 
 
 def init_lang_state(spark, sf, mode="ones", run_id="val"):
@@ -150,7 +160,7 @@ def lang_sql(*tail: str) -> str:
 @query("l1_pair_counts", f"""{lang_sql()}
 SELECT split, lang, u, v, n FROM lc""")
 def l1_pair_counts(spark, sf):
-    return lang_counts(spark, sf).select("split", "lang", "u", "v", "n")
+    return lang_counts(spark, sf, cut=False).select("split", "lang", "u", "v", "n")
 
 
 @query("l2_fit_proxy", f"""{lang_sql()}

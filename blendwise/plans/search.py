@@ -93,6 +93,8 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     mix = mixture.select(F.col(src).alias("source"), "group_id", "weight")
     n_sources = mix.count()
     counts = iteration_counts(spark, positioned_blocks, mixture, cfg, n_sources)
+    # the target gradient is fixed for the run: computed once, read every step
+    target = gr.Grad(cut_lineage(target.q), cut_lineage(target.a), target.keys)
     state = cut_lineage(op.init_state(mix.select("source"), cfg.init, cfg.seed, cfg.run_id))
     history = [mx.softmax(state)]
     pairs = None
@@ -103,7 +105,7 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
         new = new.join(F.broadcast(probs), "source").groupBy("u", "v").agg(F.sum(F.col("w") * F.col("n")).alias("c"))
         pairs = new if pairs is None else pairs.unionByName(new).groupBy("u", "v").agg(F.sum("c").alias("c"))
         pairs = cut_lineage(pairs)
-        proxy = ls.proxy_from_pairs(pairs, cfg.alpha, cfg.vocab)
+        proxy = ls.Proxy(pairs, cut_lineage(ls.proxy_from_pairs(pairs, cfg.alpha, cfg.vocab).ctx), cfg.alpha, cfg.vocab)
 
         batch = counts.filter(F.col("iter") == s).drop("iter")
         sg = gr.source_gradient(batch, ["source"])
