@@ -134,7 +134,8 @@ def cross_entropy(losses: DataFrame, keys: Sequence[str] = (), n: str | None = "
         raise ValueError("reduction must be 'mean' or 'none'")
     cnt = F.col(n) if n else F.lit(1)
     den = F.sum(cnt) if chunked else F.sum(cnt * F.col("keep"))
-    return losses.groupBy(*keys).agg((F.sum(cnt * F.col("loss")) / den).alias("loss"))
+    # no kept position: null (0/0), not an error
+    return losses.groupBy(*keys).agg(F.try_divide(F.sum(cnt * F.col("loss")), den).alias("loss"))
 
 
 def weighted_ce(losses: DataFrame, weights: DataFrame | None, keys: Sequence[str] = (), n: str | None = "n",
@@ -146,7 +147,7 @@ def weighted_ce(losses: DataFrame, weights: DataFrame | None, keys: Sequence[str
     if reduction == "none":
         return d.withColumn("loss", F.col("loss") * w)
     return d.groupBy(*keys).agg(
-        (F.sum(cnt * w * F.col("loss") * F.col("keep")) / F.sum(cnt * w * F.col("keep"))).alias("loss")
+        F.try_divide(F.sum(cnt * w * F.col("loss") * F.col("keep")), F.sum(cnt * w * F.col("keep"))).alias("loss")
     )
 
 

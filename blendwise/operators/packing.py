@@ -63,8 +63,9 @@ def pack(
 ) -> DataFrame:
     """Blocks ``(keys..., chunk_id, block_in_chunk, block_no, tokens)``.
 
-    One row per (document, block) piece is made with two bounded explodes,
-    then pieces are grouped per block and put in order.
+    One row per (document, chunk) piece is cut with ``slice``; pieces are
+    grouped per chunk (a group holds at most ``chunk_size`` ids) and put in
+    order, then each chunk is cut into its whole blocks.
     """
     if block_size <= 0 or chunk_size < block_size:
         raise ValueError("need 0 < block_size <= chunk_size")
@@ -77,45 +78,34 @@ def pack(
 
     c = F.explode(F.sequence(F.floor(F.col("start") / C), F.least(F.floor((F.col("end") - 1) / C), F.col("_nchunks") - 1)))
     o = o.select(*keys, ids, "start", "end", c.alias("chunk_id"))
-    lo = F.greatest(F.col("start"), F.col("chunk_id") * C) - F.col("chunk_id") * C
-    hi = F.least(F.col("end"), (F.col("chunk_id") + 1) * C) - F.col("chunk_id") * C
-    o = o.withColumn("_lo", lo).withColumn("_hi", hi).filter(F.col("_lo") < nb * B)
-    j = F.explode(F.sequence(F.floor(F.col("_lo") / B), F.least(F.floor((F.col("_hi") - 1) / B), F.lit(nb - 1))))
-    o = o.select(*keys, ids, "start", "end", "chunk_id", j.alias("block_in_chunk"))
-    g0 = F.col("chunk_id") * C + F.col("block_in_chunk") * B
-    ps = F.greatest(F.col("start"), g0)
-    pe = F.least(F.col("end"), g0 + B)
+    reach = nb * B  # ids of a chunk past its last whole block are never read
+    c0 = F.col("chunk_id") * C
+    ps = F.greatest(F.col("start"), c0)
+    pe = F.least(F.col("end"), c0 + reach)
+    o = o.filter(ps < pe)
     piece = F.slice(F.col(ids), (ps - F.col("start") + 1).cast("int"), (pe - ps).cast("int"))
-    pieces = o.select(*keys, "chunk_id", "block_in_chunk", (ps - g0).alias("_off"), piece.alias("_piece"))
+    pieces = o.select(*keys, "chunk_id", (ps - c0).alias("_off"), piece.alias("_piece"))
 
-    blocks = pieces.groupBy(*keys, "chunk_id", "block_in_chunk").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_off", "_piece"))), lambda s: s["_piece"])).alias("tokens")
+    # one group per chunk (a few pieces each), then the chunk is cut into blocks
+    ch = pieces.groupBy(*keys, "chunk_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_off", "_piece"))), lambda s: s["_piece"])).alias("_ids")
     )
+    j = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb - 1).cast("bigint"))).alias("block_in_chunk")
+    blocks = ch.select(*keys, "chunk_id", "_ids", j)
+    tok = F.slice("_ids", (F.col("block_in_chunk") * B + 1).cast("int"), F.lit(B))
     if remainder == "pad":
-        blocks = _pad_blocks(blocks, tokens, keys, ids, C, B, sep)
+        # the open chunk is written whole: short or empty blocks filled with sep
+        pad = F.lit(sep).cast("int")
+        tok = F.concat(F.coalesce(tok, F.array().cast("array<int>")),
+                       F.array_repeat(pad, (F.lit(B) - F.coalesce(F.size(tok), F.lit(0))).cast("int")))
+    blocks = blocks.select(*keys, "chunk_id", "block_in_chunk", tok.alias("tokens"))
+    if remainder == "pad":
+        blocks = blocks.withColumn("tokens", F.slice("tokens", 1, B))
     return blocks.withColumn("block_no", F.col("chunk_id") * nb + F.col("block_in_chunk")).select(
         *keys, "chunk_id", "block_in_chunk", "block_no", "tokens"
     )
 
 
-def _pad_blocks(blocks, tokens, keys, ids, C, B, sep):
-    """Fill the open block of the last chunk with ``sep`` and add its empty blocks."""
-    nb = C // B
-    pad = F.lit(sep).cast("int")
-    filled = blocks.withColumn(
-        "tokens", F.concat("tokens", F.array_repeat(pad, (F.lit(B) - F.size("tokens")).cast("int")))
-    )
-    totals = tokens.groupBy(*keys).agg(F.sum(F.size(ids)).cast("bigint").alias("_t")).filter(F.col("_t") > 0)
-    last = F.ceil(F.col("_t") / C).cast("bigint") - 1
-    used = F.col("_t") - last * C
-    first_empty = F.ceil(used / F.lit(B)).cast("bigint")
-    empty = totals.select(*keys, last.alias("chunk_id"), first_empty.alias("_fe")).filter(F.col("_fe") < nb)
-    empty = empty.select(
-        *keys, "chunk_id", F.explode(F.sequence("_fe", F.lit(nb - 1).cast("bigint"))).alias("block_in_chunk")
-    ).withColumn("tokens", F.array_repeat(pad, B))
-    return filled.unionByName(empty)
-
-
 def chunks(
     tokens: DataFrame,
     chunk_size: int,

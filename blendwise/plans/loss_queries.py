@@ -20,7 +20,7 @@ from blendwise.operators import optim as op
 from blendwise.operators.packing import next_token, pack
 from blendwise.plans.common import BLOCK, CHUNK, SEED, SQL_DOC_IDS, VOCAB, doc_ids, sql_num, sql_pack, sql_pairs, with_sql
 from blendwise.plans.registry import query
-from blendwise.session import cut_lineage
+from blendwise.session import cut_lineage, reuse
 from blendwise.sources import tables
 
 ALPHA = 0.1
@@ -65,10 +65,11 @@ def train_grad(counts):
     return gr.source_gradient(counts.filter(F.col("split") == "train").drop("split"), ["lang"])
 
 
-def target_grad(spark, sf, blocks=None):
+def target_grad(spark, sf, blocks=None, cut=True):
     b = blocks if blocks is not None else lang_blocks(spark, sf)
     first = b.filter((F.col("split") == "valid") & (F.col("block_no") < VAL_BATCH))
-    vc = cut_lineage(ls.pair_counts(first, ["lang"]))
+    vc = ls.pair_counts(first, ["lang"])
+    vc = cut_lineage(vc) if cut else vc
     g = gr.val_gradient(vc, "lang")
     return gr.Grad(g.q.withColumn("target", F.lit("valid")), g.a.withColumn("target", F.lit("valid")), ["target"])
 
@@ -76,10 +77,12 @@ def target_grad(spark, sf, blocks=None):
 def inner(spark, sf):
     """Inner products of the validation target with each language's train
     gradient.  Blocks, counts, proxy and target are each computed once."""
-    blocks = cut_lineage(lang_blocks(spark, sf))
-    c = lang_counts(spark, sf, blocks)
-    px = proxy(spark, sf, c).materialize()
-    tg = gr.materialize(target_grad(spark, sf, blocks))
+    blocks = reuse(lang_blocks(spark, sf))
+    c = reuse(lang_counts(spark, sf, blocks, cut=False))
+    p0 = proxy(spark, sf, c)
+    px = ls.Proxy(reuse(p0.pairs), reuse(p0.ctx), p0.alpha, p0.vocab)
+    t0 = target_grad(spark, sf, blocks, cut=False)
+    tg = gr.Grad(reuse(t0.q), reuse(t0.a), t0.keys)
     return gr.inner_products(tg, train_grad(c), px), px, c
 
 

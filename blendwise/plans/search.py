@@ -34,7 +34,7 @@ from blendwise.operators import loss as ls
 from blendwise.operators import mixture as mx
 from blendwise.operators import optim as op
 from blendwise.operators.packing import next_token
-from blendwise.session import cut_lineage
+from blendwise.session import PeriodicCut, cut_lineage
 
 
 @dataclass
@@ -57,6 +57,7 @@ class SearchConfig:
     decay_iters: int = 10**9
     run_id: str = "search"
     source: str = "source"
+    checkpoint_every: int = 5             # reliable checkpoint of the iterated tables every n steps
 
 
 def model_lr(it: int, cfg: SearchConfig) -> float:
@@ -97,6 +98,8 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     target = gr.Grad(cut_lineage(target.q), cut_lineage(target.a), target.keys)
     state = cut_lineage(op.init_state(mix.select("source"), cfg.init, cfg.seed, cfg.run_id))
     history = [mx.softmax(state)]
+    cut_pairs, cut_ctx = PeriodicCut(cfg.checkpoint_every), PeriodicCut(cfg.checkpoint_every)
+    cut_state = PeriodicCut(1)  # the history keeps every state: each one is written
     pairs = None
     last, k = 0, 0
     for s in range(cfg.interval, cfg.n_iters, cfg.interval):
@@ -104,8 +107,8 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
         new = counts.filter((F.col("iter") >= last) & (F.col("iter") < s) & (F.col("v") != F.lit(ls.IGNORE_PLAIN)))
         new = new.join(F.broadcast(probs), "source").groupBy("u", "v").agg(F.sum(F.col("w") * F.col("n")).alias("c"))
         pairs = new if pairs is None else pairs.unionByName(new).groupBy("u", "v").agg(F.sum("c").alias("c"))
-        pairs = cut_lineage(pairs)
-        proxy = ls.Proxy(pairs, cut_lineage(ls.proxy_from_pairs(pairs, cfg.alpha, cfg.vocab).ctx), cfg.alpha, cfg.vocab)
+        pairs = cut_pairs(pairs)
+        proxy = ls.Proxy(pairs, cut_ctx(ls.proxy_from_pairs(pairs, cfg.alpha, cfg.vocab).ctx), cfg.alpha, cfg.vocab)
 
         batch = counts.filter(F.col("iter") == s).drop("iter")
         sg = gr.source_gradient(batch, ["source"])
@@ -118,7 +121,8 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
         k += 1
         rate = op.mixture_lr(F.lit(k), cfg.mix_lr, cfg.anneal_t_max) if cfg.anneal_t_max else cfg.mix_lr
         state = op.adam_step(st, dz.select("run_id", "source", "dz"), rate, next_step=F.lit(s), **cfg.optimizer)
-        state = cut_lineage(state)
+        state = cut_state(state)
+        cut_state.prev = None  # kept: it is part of the history
         history.append(mx.softmax(state))
         last = s
     out = history[0]

@@ -24,6 +24,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # iterative steps read persisted blocks: do not hold tasks back for locality
+        .config("spark.locality.wait", os.environ.get("BLENDWISE_LOCALITY_WAIT", "0s"))
         .config("spark.driver.memory", os.environ.get("BLENDWISE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
@@ -112,3 +114,35 @@ def spread_input(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target, key)
     return df
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a frame that several branches of one plan read (memory, spilling
+    to disk).  Lost blocks are recomputed from lineage; use :func:`cut_lineage`
+    where the lineage itself must end."""
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+class PeriodicCut:
+    """Iterated tables: persist and materialize each new version, write a
+    reliable checkpoint every ``every`` versions (so lineage and plan size stay
+    bounded), and release the version it replaces."""
+
+    def __init__(self, every: int = 5):
+        self.every = max(1, every)
+        self.n = 0
+        self.prev: DataFrame | None = None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        if self.n % self.every == 0:
+            out = cut_lineage(df)
+        else:
+            out = reuse(df)
+            out.count()
+        if self.prev is not None:
+            self.prev.unpersist()
+        self.prev = out
+        return out
