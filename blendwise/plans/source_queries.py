@@ -118,3 +118,45 @@ def s9_append_history(spark, sf):
     hs.append_history(st.select("run_id", (F.col("step") + 1).alias("step"), "source", (F.col("z") * 2).alias("z")), path)
     back = hs.read_history(spark, path)
     return back.select("run_id", "step", "source", F.round("z", 9).alias("z"))
+
+
+@query("s8_read_qa", """
+WITH qa AS (
+  SELECT CASE conv_id % 4 WHEN 0 THEN 'hellaswag' WHEN 1 THEN 'arc_challenge' WHEN 2 THEN 'piqa' ELSE 'sciq' END AS task,
+         text AS question, ntext AS answer
+  FROM (SELECT *, lead(role) OVER w AS nrole, lead(text) OVER w AS ntext FROM conversations
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND nrole = 'assistant')
+SELECT task, md5(question) AS question_md5, md5(answer) AS answer_md5 FROM qa""")
+def s8_read_qa(spark, sf):
+    from blendwise.operators.qa import pairs_from_conversations
+
+    pairs = pairs_from_conversations(tables.table(spark, sf, "conversations"))
+    root = scratch_path(spark, "qa")
+    for t in tables.QA_TASKS:
+        pairs.filter(F.col("task") == t).select("question", "answer").write.mode("overwrite").json(f"{root}/{t}_sft.jsonl")
+    q = cp.read_qa(spark, local_path(root))
+    return q.select("task", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+
+
+@query("p11_pack_stream", f"""{with_sql(SQL_DOC_IDS, *sql_pack(("source",), "p"))}
+SELECT source, chunk_id, block_in_chunk, CAST(len(tokens) AS BIGINT) AS n_tokens,
+       CAST(list_sum(list_transform(tokens, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS checksum
+FROM p_blocks""")
+def p11_pack_stream(spark, sf):
+    """Documents arrive as several files (doc-id ranges) and are packed by the
+    stateful stream; the result is the batch pack's."""
+    from blendwise.streaming.pack_stream import pack_stream
+
+    root = scratch_path(spark, "stream")
+    d = doc_ids(spark, sf).select("doc_id", "source", "ids").withColumn("part", F.floor(F.col("doc_id") / 250))
+    d.repartition("part").write.partitionBy("part").parquet(f"{root}/in")
+    schema = "doc_id long, source string, ids array<int>, part long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    out = pack_stream(stream.drop("part"), CHUNK, BLOCK)
+    q = (out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    back = spark.read.parquet(f"{root}/out")
+    return back.select("source", "chunk_id", "block_in_chunk", F.size("tokens").cast("bigint").alias("n_tokens"),
+                       checksum("tokens").alias("checksum"))

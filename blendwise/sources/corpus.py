@@ -77,7 +77,8 @@ def read_qa(spark: SparkSession, directory: str, tasks: list[str] | None = None)
     if not present:
         raise FileNotFoundError(f"no question/answer files under {directory}")
     df = spark.read.schema(QA_SCHEMA).json(present)
-    task = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_sft\.jsonl$", 1)
+    # a task file may also be a folder of part files written by Spark
+    task = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_sft\.jsonl(/|$)", 1)
     return df.select(
         task.alias("task"),
         F.monotonically_increasing_id().alias("pair_id"),
