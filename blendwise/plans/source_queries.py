@@ -27,7 +27,7 @@ from blendwise.sources import packed as pf
 from blendwise.sources import tables
 
 FRACTION = 0.5
-SHORT = "the_pile"
+SHORT = "corpus"
 
 
 def _file_docs(spark, sf):
