@@ -113,11 +113,12 @@ def mixture_lr(k: Column, lr0: float, t_max: int, eta_min: float = 0.0) -> Colum
 
 
 def clip(grad: DataFrame, keys: Sequence[str], value: str = "g", max_norm: float = 1.0) -> DataFrame:
-    """Total norm per key group and the clipped values ``g * min(1, c / (norm + 1e-6))``."""
-    w = Window.partitionBy(*keys)
-    g = grad.withColumn("grad_norm", F.sqrt(F.sum(F.col(value) * F.col(value)).over(w)))
-    coef = F.least(F.lit(1.0), F.lit(max_norm) / (F.col("grad_norm") + F.lit(CLIP_EPS)))
-    return g.withColumn("clipped", F.col(value) * coef)
+    """Total norm per key group and the clipped values ``g * min(1, c / (norm + 1e-6))``.
+
+    The norm is a grouped aggregate joined back (one row per group), not a
+    window over all entries of a group."""
+    n = clip_norms(grad, keys, value, max_norm)
+    return grad.join(n, list(keys)).withColumn("clipped", F.col(value) * F.col("clip_coef"))
 
 
 def clip_norms(grad: DataFrame, keys: Sequence[str], value: str = "g", max_norm: float = 1.0) -> DataFrame:

@@ -194,19 +194,26 @@ def cyclic(positioned: DataFrame, reads: DataFrame, keys: Sequence[str] = ("sour
     return r.join(positioned.drop("n_blocks"), [*keys, "position"], "inner")
 
 
-def match_sources(files: DataFrame, mixture: DataFrame, file: str = "file", prefix: str = "prefix", mixture_rows: int | None = None) -> DataFrame:
+def match_sources(files: DataFrame, mixture: DataFrame, file: str = "file", prefix: str = "prefix",
+                  mixture_rows: int | None = None) -> DataFrame:
     """Each file to the longest mixture prefix ``p`` it starts with as ``p_``.
 
-    The mixture is a K-row table (broadcast); the file side is never shuffled
-    for the match, the choice of the longest prefix is a per-file aggregate.
+    Every prefix of the file name that ends just before an underscore is a
+    candidate (a handful per file); candidates are equi-joined with the
+    mixture, and the longest match per file is a grouped ``max_by``.  No
+    theta join: the cost is linear in the files for any mixture size.
     """
+    cols = files.columns
+    parts = F.split(F.col(file), "_")
+    cand = files.select(*cols, F.posexplode(parts).alias("_i", "_part")).filter(F.col("_i") < F.size(parts) - 1)
+    cand = cand.select(*cols, F.array_join(F.slice(parts, 1, (F.col("_i") + 1).cast("int")), "_").alias("_p"))
     m = mixture.select(F.col(prefix).alias("_p"), *[c for c in mixture.columns if c != prefix])
-    if mixture_rows is not None and mixture_rows <= 10000:
+    if mixture_rows is not None and mixture_rows <= 100000:
         m = F.broadcast(m)
-    j = files.join(m, F.col(file).startswith(F.concat(F.col("_p"), F.lit("_"))), "inner")
+    j = cand.join(m, "_p", "inner")
     best = F.max_by(F.struct(*[F.col(c) for c in m.columns]), F.length("_p"))
-    out = j.groupBy(*files.columns).agg(best.alias("_m"))
-    return out.select(*files.columns, *[F.col("_m")[c].alias(prefix if c == "_p" else c) for c in m.columns])
+    out = j.groupBy(*cols).agg(best.alias("_m"))
+    return out.select(*cols, *[F.col("_m")[c].alias(prefix if c == "_p" else c) for c in m.columns])
 
 
 def file_table(chunk_rows: DataFrame, split: str = "train", process_id: int = 0, keys: Sequence[str] = ("source",)) -> DataFrame:

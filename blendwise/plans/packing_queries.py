@@ -9,6 +9,7 @@ from blendwise.plans.common import (
     BLOCK, CHUNK, N_BLOCKS, PACK_CTES, SEED, SQL_DOC_IDS, SQL_DOC_OFF, SQL_TOKS, blocks, checksum, doc_ids, with_sql,
 )
 from blendwise.plans.registry import query
+from blendwise.operators.mixture import read_range
 
 SHARDS = 3
 BUFFER_CHUNKS = 2
@@ -154,7 +155,7 @@ FROM reads r JOIN pos p ON p.source = r.source AND p.position = r.read_index % p
 def p10_cyclic(spark, sf):
     pos = positioned_blocks(spark, sf)
     sizes = pos.groupBy("source").agg(F.max("n_blocks").alias("n"))
-    reads = sizes.select("source", F.explode(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("n") + 1)).alias("read_index"))
+    reads = read_range(sizes.withColumn("n_reads", 2 * F.col("n") + 2), "n_reads", ["source"])
     out = pk.cyclic(pos, reads)
     return out.select("source", "read_index", "epoch", "chunk_id", "block_in_chunk")
 
