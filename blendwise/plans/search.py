@@ -34,7 +34,8 @@ from blendwise.operators import loss as ls
 from blendwise.operators import mixture as mx
 from blendwise.operators import optim as op
 from blendwise.operators.packing import next_token
-from blendwise.session import PeriodicCut, cut_lineage
+from blendwise.session import PeriodicCut, cut_lineage, scratch_path
+from blendwise.sources import history as hs
 
 
 @dataclass
@@ -58,6 +59,7 @@ class SearchConfig:
     run_id: str = "search"
     source: str = "source"
     checkpoint_every: int = 5             # reliable checkpoint of the iterated tables every n steps
+    adaptive_steps: bool = True           # False: plan the (bounded) step queries statically
 
 
 def model_lr(it: int, cfg: SearchConfig) -> float:
@@ -71,7 +73,7 @@ def model_lr(it: int, cfg: SearchConfig) -> float:
 
 
 def iteration_counts(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame, cfg: SearchConfig,
-                     n_sources: int) -> DataFrame:
+                     n_sources: int, cut: bool = True) -> DataFrame:
     """Pair counts ``(iter, source, u, v, n)`` of every micro-batch of the run."""
     src = cfg.source
     m = mixture.select(F.col(src).alias("source"), "group_id", "weight")
@@ -80,7 +82,7 @@ def iteration_counts(spark: SparkSession, positioned_blocks: DataFrame, mixture:
     mixed = mx.mix(pb, draws)
     mixed = mixed.withColumn("iter", F.floor(F.col("draw_idx") / cfg.micro_batch).cast("bigint"))
     counts = ls.pair_counts(next_token(mixed), ["iter", "source"], order=cfg.order)
-    return cut_lineage(counts)
+    return cut_lineage(counts) if cut else counts
 
 
 def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame, target: gr.Grad,
@@ -89,43 +91,69 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
 
     ``mixture`` is ``(source, group_id, weight)`` (K rows, the configured
     sampling weights); ``target`` is a gradient (L10 or L11) without keys.
+
+    Written tables in the shared checkpoint folder carry the loop: the pair
+    counts of all iterations, partitioned by search interval (each step reads
+    one partition), and the history, to which every new state is appended
+    and from which the next step reads it back (a fresh, K-row lineage).
     """
     src = cfg.source
     mix = mixture.select(F.col(src).alias("source"), "group_id", "weight")
     n_sources = mix.count()
-    counts = iteration_counts(spark, positioned_blocks, mixture, cfg, n_sources)
+    counts_path = scratch_path(spark, "iteration-counts")
+    hist_path = scratch_path(spark, "mixture-history")
+    counts = iteration_counts(spark, positioned_blocks, mixture, cfg, n_sources, cut=False)
+    counts = counts.withColumn("interval", F.floor(F.col("iter") / cfg.interval).cast("bigint"))
+    counts.write.partitionBy("interval").parquet(counts_path)
+    counts = spark.read.parquet(counts_path)
     # the target gradient is fixed for the run: computed once, read every step
     target = gr.Grad(cut_lineage(target.q), cut_lineage(target.a), target.keys)
-    state = cut_lineage(op.init_state(mix.select("source"), cfg.init, cfg.seed, cfg.run_id))
-    history = [mx.softmax(state)]
-    cut_pairs, cut_ctx = PeriodicCut(cfg.checkpoint_every), PeriodicCut(cfg.checkpoint_every)
-    cut_state = PeriodicCut(1)  # the history keeps every state: each one is written
+    state_cols = ["run_id", "step", "source", "z", "m", "v", "t"]
+
+    def record(state: DataFrame, step: int) -> DataFrame:
+        hs.append_history(mx.softmax(state).select(*state_cols, "p"), hist_path)
+        h = hs.read_history(spark, hist_path)
+        return h.filter((F.col("run_id") == cfg.run_id) & (F.col("step") == step)).select(*state_cols)
+
+    state = record(op.init_state(mix.select("source"), cfg.init, cfg.seed, cfg.run_id), 0)
+    cut_pairs = PeriodicCut(cfg.checkpoint_every)
+    # Every table of a step is bounded (one interval of counts, the proxy, K
+    # rows of state), so the step queries are planned statically: adaptive
+    # re-planning after each of their many tiny stages costs more than it saves.
+    conf = spark.conf
+    aqe = conf.get("spark.sql.adaptive.enabled", "true")
+    if not cfg.adaptive_steps:
+        conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        state, pairs, k = _steps(spark, cfg, counts, target, mix, state, record, cut_pairs)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", aqe)
+    out = hs.read_history(spark, hist_path).filter(F.col("run_id") == cfg.run_id)
+    out = out.select(*state_cols, "p")
+    return out.withColumnRenamed("source", src) if src != "source" else out
+
+
+def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs):
     pairs = None
-    last, k = 0, 0
+    k = 0
     for s in range(cfg.interval, cfg.n_iters, cfg.interval):
-        probs = mx.softmax(state).select("source", F.col("p").alias("w"))
-        new = counts.filter((F.col("iter") >= last) & (F.col("iter") < s) & (F.col("v") != F.lit(ls.IGNORE_PLAIN)))
-        new = new.join(F.broadcast(probs), "source").groupBy("u", "v").agg(F.sum(F.col("w") * F.col("n")).alias("c"))
+        interval = s // cfg.interval
+        probs = F.broadcast(mx.softmax(state).select("source", F.col("p").alias("w")))  # K rows
+        new = counts.filter((F.col("interval") == interval - 1) & (F.col("v") != F.lit(ls.IGNORE_PLAIN)))
+        new = new.join(probs, "source").groupBy("u", "v").agg(F.sum(F.col("w") * F.col("n")).alias("c"))
         pairs = new if pairs is None else pairs.unionByName(new).groupBy("u", "v").agg(F.sum("c").alias("c"))
         pairs = cut_pairs(pairs)
-        proxy = ls.Proxy(pairs, cut_ctx(ls.proxy_from_pairs(pairs, cfg.alpha, cfg.vocab).ctx), cfg.alpha, cfg.vocab)
+        proxy = ls.proxy_from_pairs(pairs, cfg.alpha, cfg.vocab)
 
-        batch = counts.filter(F.col("iter") == s).drop("iter")
+        batch = counts.filter((F.col("interval") == interval) & (F.col("iter") == s)).drop("iter", "interval")
         sg = gr.source_gradient(batch, ["source"])
-        ip = gr.inner_products(target, sg, proxy)
-        ip = gr.ip_for_sources(ip, mix, [])
-        prev_step = s - cfg.interval if k else 0
-        ip = ip.select(F.lit(cfg.run_id).alias("run_id"), F.lit(prev_step).cast("bigint").alias("step"), "source", "ip")
-        st = state.withColumn("step", F.lit(prev_step).cast("bigint"))
+        ip = gr.ip_for_sources(gr.inner_products(target, sg, proxy), mix, [])
+        ip = ip.select(F.lit(cfg.run_id).alias("run_id"), "source", "ip")
+        ip = ip.withColumn("step", F.lit(s - cfg.interval).cast("bigint"))
+        st = state
         dz = op.mixture_gradient(ip, st, model_lr(s, cfg), cfg.lam)
         k += 1
         rate = op.mixture_lr(F.lit(k), cfg.mix_lr, cfg.anneal_t_max) if cfg.anneal_t_max else cfg.mix_lr
-        state = op.adam_step(st, dz.select("run_id", "source", "dz"), rate, next_step=F.lit(s), **cfg.optimizer)
-        state = cut_state(state)
-        cut_state.prev = None  # kept: it is part of the history
-        history.append(mx.softmax(state))
-        last = s
-    out = history[0]
-    for h in history[1:]:
-        out = out.unionByName(h)
-    return out.withColumnRenamed("source", src) if src != "source" else out
+        new_state = op.adam_step(st, dz.select("run_id", "source", "dz"), rate, next_step=F.lit(s), **cfg.optimizer)
+        state = record(new_state, s)
+    return state, pairs, k
