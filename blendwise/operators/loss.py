@@ -31,11 +31,24 @@ def positions(blocks: DataFrame, keys: Sequence[str], order: str = "bigram", inp
     return p.select(*keys, "pos", u.cast("int").alias("u"), F.col("_uv.v").cast("int").alias("v"))
 
 
+PAIR_SHIFT = 1 << 31
+PAIR_HALF = 1 << 30  # ids in [-2^30, 2^30): any vocabulary and the ignore ids
+
+
 def pair_counts(blocks: DataFrame, keys: Sequence[str], order: str = "bigram", inputs: str = "input_ids",
                 targets: str = "targets") -> DataFrame:
-    """L1: ``n`` = positions with context u and target v, per keys (partial + final aggregate)."""
-    p = positions(blocks, keys, order, inputs, targets)
-    return p.groupBy(*keys, "u", "v").agg(F.count(F.lit(1)).alias("n"))
+    """L1: ``n`` = positions with context u and target v, per keys (partial + final aggregate).
+
+    Each position is one long ``(u + 2^30) * 2^31 + (v + 2^30)`` (``zip_with``, no
+    struct per position), so the exploded rows and the hash keys stay small."""
+    ctx = F.col(inputs) if order == "bigram" else F.transform(inputs, lambda x: F.lit(UNIGRAM_CONTEXT))
+    half = F.lit(PAIR_HALF).cast("bigint")
+    code = F.zip_with(ctx, F.col(targets),
+                      lambda u, v: (u.cast("bigint") + half) * F.lit(PAIR_SHIFT) + (v.cast("bigint") + half))
+    c = blocks.select(*keys, F.explode(code).alias("_k")).groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("n"))
+    u = (F.floor(F.col("_k") / F.lit(PAIR_SHIFT)) - half).cast("int")
+    v = (F.col("_k") % F.lit(PAIR_SHIFT) - half).cast("int")
+    return c.select(*keys, u.alias("u"), v.alias("v"), "n")
 
 
 @dataclass
