@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blendwise.operators import gradients as gr
+from blendwise.operators import optim as op
 from blendwise.operators import loss as ls
 from blendwise.operators import packing as pk
 from blendwise.plans.common import BLOCK, CHUNK, SEED, VOCAB, doc_ids
@@ -68,3 +69,24 @@ def r10_metrics_stream(spark, sf):
     m = metrics_stream(tables.table(spark, sf, "events"), "1 hour", "10 minutes")
     return m.select("run_id", "window_start", "batches", rnd("batches_per_sec").alias("batches_per_sec"),
                     "samples", "tokens", rnd("mean_loss").alias("mean_loss"), rnd("ppl").alias("ppl"))
+
+
+SEARCH_QA = SearchConfig(n_iters=40, interval=10, micro_batch=16, mix_lr=0.01, order="unigram", vocab=VOCAB,
+                         run_id="qa", source="lang", init="noise", optimizer=dict(op.QA_ADAM), anneal_t_max=40)
+
+
+def qa_target(spark, sf, order="unigram"):
+    """QA-target gradient (L11) over the pairs of the conversations, for the proxy head's context order."""
+    from blendwise.operators import qa as qa_ops
+    from blendwise.plans.qa_queries import items
+
+    it = items(spark, sf)
+    if order == "unigram":
+        it = it.withColumn("ids", F.transform("ids", lambda x: F.lit(ls.UNIGRAM_CONTEXT)))
+    return qa_ops.qa_gradient(it)
+
+
+@query("l19_search_qa")
+def l19_search_qa(spark, sf):
+    h = search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), qa_target(spark, sf), SEARCH_QA)
+    return h.select("run_id", "step", "lang", rnd("z").alias("z"), rnd("p").alias("p"))

@@ -34,7 +34,7 @@ from blendwise.operators import loss as ls
 from blendwise.operators import mixture as mx
 from blendwise.operators import optim as op
 from blendwise.operators.packing import next_token
-from blendwise.session import PeriodicCut, cut_lineage, scratch_path
+from blendwise.session import PeriodicCut, cut_lineage, reuse, scratch_path
 from blendwise.sources import history as hs
 
 
@@ -98,7 +98,7 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     and from which the next step reads it back (a fresh, K-row lineage).
     """
     src = cfg.source
-    mix = mixture.select(F.col(src).alias("source"), "group_id", "weight")
+    mix = reuse(mixture.select(F.col(src).alias("source"), "group_id", "weight"))  # K rows, read every step
     n_sources = mix.count()
     counts_path = scratch_path(spark, "iteration-counts")
     hist_path = scratch_path(spark, "mixture-history")
@@ -108,6 +108,11 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     counts = spark.read.parquet(counts_path)
     # the target gradient is fixed for the run: computed once, read every step
     target = gr.Grad(cut_lineage(target.q), cut_lineage(target.a), target.keys)
+    # the batch gradients do not depend on the state: all search steps in one job
+    steps = [s for s in range(cfg.interval, cfg.n_iters, cfg.interval)]
+    at_steps = counts.filter(F.col("iter").isin(steps)).drop("interval")
+    sg_all = gr.source_gradient(at_steps, ["iter", "source"])
+    sg_all = gr.Grad(cut_lineage(sg_all.q), cut_lineage(sg_all.a), ["source"])
     state_cols = ["run_id", "step", "source", "z", "m", "v", "t"]
 
     def record(state: DataFrame, step: int) -> DataFrame:
@@ -125,7 +130,7 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     if not cfg.adaptive_steps:
         conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        state, pairs, k = _steps(spark, cfg, counts, target, mix, state, record, cut_pairs)
+        state, pairs, k = _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all)
     finally:
         conf.set("spark.sql.adaptive.enabled", aqe)
     out = hs.read_history(spark, hist_path).filter(F.col("run_id") == cfg.run_id)
@@ -133,7 +138,7 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     return out.withColumnRenamed("source", src) if src != "source" else out
 
 
-def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs):
+def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all):
     pairs = None
     k = 0
     for s in range(cfg.interval, cfg.n_iters, cfg.interval):
@@ -145,8 +150,8 @@ def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs):
         pairs = cut_pairs(pairs)
         proxy = ls.proxy_from_pairs(pairs, cfg.alpha, cfg.vocab)
 
-        batch = counts.filter((F.col("interval") == interval) & (F.col("iter") == s)).drop("iter", "interval")
-        sg = gr.source_gradient(batch, ["source"])
+        sg = gr.Grad(sg_all.q.filter(F.col("iter") == s).drop("iter"), sg_all.a.filter(F.col("iter") == s).drop("iter"),
+                     ["source"])
         ip = gr.ip_for_sources(gr.inner_products(target, sg, proxy), mix, [])
         ip = ip.select(F.lit(cfg.run_id).alias("run_id"), "source", "ip")
         ip = ip.withColumn("step", F.lit(s - cfg.interval).cast("bigint"))

@@ -146,3 +146,31 @@ class PeriodicCut:
             self.prev.unpersist()
         self.prev = out
         return out
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``blendwise`` importable in Python workers (``addPyFile`` of a zip of
+    the package, as ``--py-files`` does at submit time).  Needed by operators
+    that run Python inside tasks (packed files, streaming pack).  The zip is a
+    driver-side artifact; Spark copies it to every executor."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    import blendwise
+
+    pkg_dir = os.path.dirname(os.path.abspath(blendwise.__file__))
+    out_dir = tempfile.mkdtemp(prefix="blendwise-pyfiles-")
+    zpath = os.path.join(out_dir, "blendwise.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)

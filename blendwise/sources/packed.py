@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blendwise.session import local_path
+from blendwise.session import local_path, ship_package
 
 # Fixed values of the packed chunk format.
 HDR_MAGIC = b"LITPKDS"
@@ -103,6 +103,7 @@ def write_packed_files(chunk_rows: DataFrame, directory: str, vocab_size: int, c
                 sizes.append(HDR_SIZE + arr.nbytes)
             yield pd.DataFrame({"file": names, "bytes": np.asarray(sizes, dtype=np.int64)})
 
+    ship_package(chunk_rows.sparkSession)
     return chunk_rows.select(source, "chunk_id", "tokens").mapInPandas(write, "file string, bytes long")
 
 
@@ -111,6 +112,7 @@ def read_packed_files(spark: SparkSession, pattern: str, block_size: int) -> Dat
 
     Header checked per file (magic, version, dtype); a chunk gives
     ``chunk_size // block_size`` blocks, the rest of the chunk is not read."""
+    ship_package(spark)
     raw = spark.read.format("binaryFile").load(pattern).select(
         F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "content")
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from blendwise.session import ship_package
+
 STATE_SCHEMA = T.StructType([
     T.StructField("counter", T.LongType()),
     T.StructField("buffer", T.ArrayType(T.IntegerType())),
@@ -64,5 +66,6 @@ def pack_stream(stream: DataFrame, chunk_size: int, block_size: int, keys: Seque
         if rows:
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
+    ship_package(stream.sparkSession)
     return stream.groupBy(*keys).applyInPandasWithState(
         step, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
