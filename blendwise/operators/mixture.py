@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blendwise.functions.hashing import md5_unit
 from blendwise.functions.prefix import prefix_rank
-from blendwise.operators.packing import cyclic
+from blendwise.operators.packing import cyclic, read_range  # noqa: F401  (read_range re-exported)
 
 # Mixtures up to this many rows go out as broadcast; a mixture is one row per source.
 MIXTURE_BROADCAST_ROWS = 100000
@@ -158,16 +158,3 @@ def apply_mixture(positioned_blocks: DataFrame, probs: DataFrame, budget_tokens:
     return cyclic(positioned_blocks, reads, [source])
 
 
-READ_PIECE = 1 << 17
-
-
-def read_range(need: DataFrame, n: str, keys: Sequence[str], out: str = "read_index", piece: int = READ_PIECE) -> DataFrame:
-    """Rows ``0 .. n-1`` per key, made in two explodes with a shuffle between,
-    so a key that needs a billion reads is not expanded by one task."""
-    keys = list(keys)
-    lvl1 = need.select(*keys, n, F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                      F.ceil(F.col(n) / piece).cast("bigint") - 1)).alias("_piece"))
-    lvl1 = lvl1.repartition(*[F.col(k) for k in keys], F.col("_piece"))
-    lo = F.col("_piece") * piece
-    hi = F.least(F.col(n), lo + piece) - 1
-    return lvl1.select(*keys, F.explode(F.sequence(lo, hi)).alias(out))

@@ -227,3 +227,28 @@ def file_table(chunk_rows: DataFrame, split: str = "train", process_id: int = 0,
     return chunk_rows.select(*keys, "chunk_id", name.alias("file"), F.lit(split).alias("split"),
                              F.lit(process_id).alias("process_id"), F.col("chunk_id").cast("int").alias("counter"))
 
+
+READ_PIECE = 1 << 17
+
+
+def read_range(need: DataFrame, n: str, keys: Sequence[str], out: str = "read_index", piece: int = READ_PIECE) -> DataFrame:
+    """Rows ``0 .. n-1`` per key, made in two explodes with a shuffle between,
+    so a key that needs a billion reads is not expanded by one task."""
+    keys = list(keys)
+    lvl1 = need.select(*keys, n, F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                      F.ceil(F.col(n) / piece).cast("bigint") - 1)).alias("_piece"))
+    lvl1 = lvl1.repartition(*[F.col(k) for k in keys], F.col("_piece"))
+    lo = F.col("_piece") * piece
+    hi = F.least(F.col(n), lo + piece) - 1
+    return lvl1.select(*keys, F.explode(F.sequence(lo, hi)).alias(out))
+
+
+def written_chunks(tokens: DataFrame, chunk_size: int, keys: Sequence[str] = ("source",), ids: str = "ids",
+                   remainder: str = "drop") -> DataFrame:
+    """``(keys..., chunk_id)`` of every chunk the packer writes, from the keys'
+    id totals alone (closed form), without packing: a per-key aggregate and a
+    two-level range expansion."""
+    n = F.col("n_tokens") if "n_tokens" in tokens.columns else F.size(ids)
+    tot = tokens.groupBy(*keys).agg(F.sum(n).cast("bigint").alias("_t"))
+    tot = tot.withColumn("_n", emitted_chunks(F.col("_t"), chunk_size, remainder)).filter(F.col("_n") > 0)
+    return read_range(tot, "_n", list(keys), out="chunk_id")

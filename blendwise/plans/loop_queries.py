@@ -27,7 +27,7 @@ def lang_positioned(spark, sf, split="train"):
     one-file buffers (as the training loader), with their read positions."""
     d = doc_ids(spark, sf).filter(F.col("split") == split)
     b = pk.pack(d, CHUNK, BLOCK, keys=("lang",))
-    files = pk.file_table(b.select("lang", "chunk_id").distinct(), split=split, keys=("lang",))
+    files = pk.file_table(pk.written_chunks(d, CHUNK, keys=("lang",)), split=split, keys=("lang",))
     files = pk.shuffle_files(files, SEED, keys=("lang",))
     b = b.join(files.select("lang", "chunk_id", "file_rank"), ["lang", "chunk_id"])
     s = pk.shuffle_blocks(b, 1, SEED, keys=("lang",))

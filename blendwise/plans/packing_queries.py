@@ -9,7 +9,7 @@ from blendwise.plans.common import (
     BLOCK, CHUNK, N_BLOCKS, PACK_CTES, SEED, SQL_DOC_IDS, SQL_DOC_OFF, SQL_TOKS, blocks, checksum, doc_ids, with_sql,
 )
 from blendwise.plans.registry import query
-from blendwise.operators.mixture import read_range
+from blendwise.operators.packing import read_range
 
 SHARDS = 3
 BUFFER_CHUNKS = 2
@@ -17,9 +17,9 @@ REMAINDER_BLOCK = 100  # a block size that does not divide the chunk
 
 
 def files(spark, sf):
-    """One file per written chunk, as the packed-format builder names them."""
-    ch = pk.chunks(doc_ids(spark, sf), CHUNK)
-    return pk.file_table(ch.select("source", "chunk_id"))
+    """One file per written chunk, as the packed-format builder names them
+    (the chunk list follows from the sources' id totals: no packing needed)."""
+    return pk.file_table(pk.written_chunks(doc_ids(spark, sf), CHUNK))
 
 
 def shuffled_files(spark, sf):
