@@ -79,7 +79,7 @@ def _s2(df: DataFrame, proxy: Proxy) -> DataFrame:
     return d.withColumn("s2", F.coalesce("s2", F.lit(1.0 / proxy.vocab)))
 
 
-def inner_products(A: Grad, B: Grad, proxy: Proxy) -> DataFrame:
+def inner_products(A: Grad, B: Grad, proxy: Proxy, small_a: bool = False) -> DataFrame:
     """``<A_i, B_j>`` for every group i of A and j of B (keys must differ).
 
     A is the target side (one or a few groups, small), B the sources (large).
@@ -94,6 +94,8 @@ def inner_products(A: Grad, B: Grad, proxy: Proxy) -> DataFrame:
     aA = A.a.withColumnRenamed("a", "aA")
     aB = B.a.withColumnRenamed("a", "aB")
     qA = A.q.withColumnRenamed("q", "qA")
+    if small_a:  # the caller vouches for A's size (e.g. one batch of a target)
+        aA, qA = F.broadcast(aA), F.broadcast(qA)
     qB = B.q.withColumnRenamed("q", "qB")
     # over B's support: sum qB (qA - aA p)
     big = qB.join(aA, "u", "left") if not ka else qB.join(aA, "u", "inner")

@@ -31,6 +31,7 @@ def positions(blocks: DataFrame, keys: Sequence[str], order: str = "bigram", inp
     return p.select(*keys, "pos", u.cast("int").alias("u"), F.col("_uv.v").cast("int").alias("v"))
 
 
+CTX_BROADCAST_ROWS = 1 << 20  # per-context tables (<= V rows) up to this vocabulary size are broadcast
 PAIR_SHIFT = 1 << 31
 PAIR_HALF = 1 << 30  # ids in [-2^30, 2^30): any vocabulary and the ignore ids
 
@@ -111,6 +112,8 @@ def proxy_from_pairs(pairs: DataFrame, alpha: float, vocab: int, keys: Sequence[
     ctx = ctx.withColumn(
         "slog", F.col("_slog") + (F.lit(V) - F.col("n_seen")) * F.log(F.lit(a)) - F.lit(V) * F.log("zu")
     ).drop("_c2", "_slog")
+    if not keys and V <= CTX_BROADCAST_ROWS:
+        ctx = F.broadcast(ctx)  # one row per context id: at most V rows
     return Proxy(pairs, ctx, a, V)
 
 

@@ -93,7 +93,7 @@ def init_lang_state(spark, sf, mode="ones", run_id="val"):
 
 def dz_table(spark, sf):
     ip, _, _ = inner(spark, sf)
-    ip = ip.select(F.col("lang").alias("source"), "ip")
+    ip = reuse(ip.select(F.col("lang").alias("source"), "ip"))  # K rows, read by both runs
     outs = []
     for run, lam in (("val", 0.0), ("val_entropy", LAMBDA)):
         st = init_lang_state(spark, sf, "ones", run)

@@ -60,6 +60,7 @@ class SearchConfig:
     source: str = "source"
     checkpoint_every: int = 5             # reliable checkpoint of the iterated tables every n steps
     adaptive_steps: bool = True           # False: plan the (bounded) step queries statically
+    small_target: bool = True             # broadcast the target gradient (one batch: bounded)
 
 
 def model_lr(it: int, cfg: SearchConfig) -> float:
@@ -152,7 +153,7 @@ def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all):
 
         sg = gr.Grad(sg_all.q.filter(F.col("iter") == s).drop("iter"), sg_all.a.filter(F.col("iter") == s).drop("iter"),
                      ["source"])
-        ip = gr.ip_for_sources(gr.inner_products(target, sg, proxy), mix, [])
+        ip = gr.ip_for_sources(gr.inner_products(target, sg, proxy, small_a=cfg.small_target), mix, [])
         ip = ip.select(F.lit(cfg.run_id).alias("run_id"), "source", "ip")
         ip = ip.withColumn("step", F.lit(s - cfg.interval).cast("bigint"))
         st = state
