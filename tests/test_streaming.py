@@ -71,3 +71,29 @@ def test_metrics_stream_windows_and_late_rows(spark):
     assert abs(first["mean_loss"] - (0.0 + 0.6931471805599453) / 2) < 1e-12
     batch = metrics_stream(spark.createDataFrame(pd.concat([b1, b2]), schema), "1 hour").orderBy("window_start").toPandas()
     assert batch.iloc[0]["batches"] == 3  # the batch twin has no lateness
+
+
+def test_stream_pack_restarts_from_its_checkpoint(spark):
+    rows, tok = [], 1
+    for i, n in enumerate([12, 5, 33, 8, 21, 17, 9, 40]):
+        rows.append((i, "a", list(range(tok, tok + n))))
+        tok += n
+    C, B = 16, 4
+    root = tempfile.mkdtemp(prefix="bw-restart-")
+    src, out_dir, ckpt = os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "ckpt")
+    schema = SCHEMA + ", batch int"
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = (pack_stream(stream.drop("batch"), C, B).writeStream.format("parquet").option("path", out_dir)
+             .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination(120)
+
+    spark.createDataFrame(rows[:4], SCHEMA).coalesce(1).write.parquet(os.path.join(src, "batch=0"))
+    run()  # first query: packs the first documents, keeps the open chunk in its state
+    spark.createDataFrame(rows[4:], SCHEMA).coalesce(1).write.parquet(os.path.join(src, "batch=1"))
+    run()  # restarted from the checkpoint: state and offsets are recovered
+    got = spark.read.parquet(out_dir).orderBy("chunk_id", "block_in_chunk").toPandas()
+    exp = pk.pack(spark.createDataFrame(rows, SCHEMA), C, B).orderBy("chunk_id", "block_in_chunk").toPandas()
+    assert len(got) == len(exp) > 0
+    assert all(list(x) == list(y) for x, y in zip(got["tokens"], exp["tokens"]))
