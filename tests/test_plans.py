@@ -60,3 +60,10 @@ def test_streaming_metrics_twin_prunes_columns(spark):
     plan = _formatted(e.queries()["r10_metrics_stream"](spark, SF01))
     schemas = re.findall(r"ReadSchema: (struct<[^\n]*>)", plan)
     assert schemas and all("props" not in s and "user_id" not in s for s in schemas)
+
+
+def test_per_task_sampling_limits_before_the_shuffle(spark):
+    import __spark_entry__ as e
+
+    plan = _plan(e.queries()["q1_sample_per_task"](spark, SF01))
+    assert "WindowGroupLimit" in plan and "Partial" in plan
