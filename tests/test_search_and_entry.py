@@ -46,3 +46,19 @@ def test_queries_run_on_the_smallest_tables(spark, name):
     import __spark_entry__ as e
 
     assert e.queries()[name](spark, SF001).count() >= 0
+
+
+def test_qa_target_search_history_properties(spark):
+    from blendwise.plans.loop_queries import lang_mixture, lang_positioned, qa_target
+    from blendwise.plans.search import SearchConfig, search
+    from blendwise.operators import optim as op
+
+    cfg = SearchConfig(n_iters=16, interval=5, micro_batch=16, mix_lr=0.05, order="unigram", vocab=1024, run_id="qa",
+                       source="lang", init="noise", optimizer=dict(op.QA_ADAM), anneal_t_max=16)
+    h = search(spark, lang_positioned(spark, SF01), lang_mixture(spark, SF01), qa_target(spark, SF01), cfg).toPandas()
+    assert sorted(h["step"].unique()) == [0, 5, 10, 15]
+    assert (h.groupby("step")["p"].sum().sub(1).abs() < 1e-9).all()
+    z0 = h[h["step"] == 0]["z"]
+    assert (z0.abs() < 1e-5).all()  # seeded 1e-7 noise
+    assert (h[h["step"] == 15]["z"].abs() > 1e-4).any()  # the logits moved
+    assert (h[h["step"] == 15]["t"] == 3).all()
