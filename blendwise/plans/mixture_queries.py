@@ -62,7 +62,9 @@ def n_docs(spark, sf) -> int:
 
 
 def draws(spark, sf, per_doc=DRAWS_PER_DOC):
-    return mx.draw_sources(spark, per_doc * n_docs(spark, sf), mixture(spark, sf), SEED, mixture_rows=None)
+    m = mixture(spark, sf)
+    k = m.count()  # one row per source: the size bound that allows the broadcast
+    return mx.draw_sources(spark, per_doc * n_docs(spark, sf), m, SEED, mixture_rows=k)
 
 
 def mixed(spark, sf):
