@@ -109,3 +109,11 @@ def test_cyclic_replay(spark):
     reads = spark.createDataFrame([("s", k) for k in range(5)], "source string, read_index long")
     got = [(r.read_index, r.epoch, r.name) for r in pk.cyclic(pos, reads).orderBy("read_index").collect()]
     assert got == [(0, 0, "b0"), (1, 0, "b1"), (2, 1, "b0"), (3, 1, "b1"), (4, 2, "b0")]
+
+
+def test_pack_independent_of_partitioning(spark):
+    lengths = [9, 31, 4, 60, 2, 18, 27, 5, 44, 13]
+    docs = _docs(spark, lengths)
+    a = pk.pack(docs.repartition(1), 24, 8).orderBy("block_no").collect()
+    b = pk.pack(docs.repartition(7, "doc_id"), 24, 8, bucket_width=3).orderBy("block_no").collect()
+    assert [(r.block_no, r.tokens) for r in a] == [(r.block_no, r.tokens) for r in b]
