@@ -134,6 +134,10 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
         state, pairs, k = _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all)
     finally:
         conf.set("spark.sql.adaptive.enabled", aqe)
+    # the result reads the written history only: release what the loop kept
+    if cut_pairs.prev is not None:
+        cut_pairs.prev.unpersist()
+    mix.unpersist()
     out = hs.read_history(spark, hist_path).filter(F.col("run_id") == cfg.run_id)
     out = out.select(*state_cols, "p")
     return out.withColumnRenamed("source", src) if src != "source" else out
