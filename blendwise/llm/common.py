@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def row_slices(batches: Iterable[pa.RecordBatch | pa.Table], column: str, limit:
             n = batch.num_rows
             if not n:
                 continue
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
             cum = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
             lo = 0
             while lo < n:

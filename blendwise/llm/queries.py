@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from blendwise.llm import sharding
+from blendwise.llm import chat, sharding
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
+    "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLE: dict[str, str] = {}
