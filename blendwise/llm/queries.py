@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from blendwise.llm import chat, sharding
+from blendwise.llm import chat, licenses, sharding
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLE: dict[str, str] = {}
