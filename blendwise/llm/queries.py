@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from blendwise.llm import chat, licenses, sharding
+from blendwise.llm import chat, licenses, sharding, warc
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
+    "op5_warc": warc.op5_warc,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
