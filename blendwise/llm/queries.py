@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from blendwise.llm import bestfit, chat, licenses, sharding, warc
+from blendwise.llm import bestfit, chat, licenses, sharding, simhash, warc
 
 QUERIES = {
     "op3_best_fit_packing": bestfit.op3_best_fit_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_warc": warc.op5_warc,
+    "op7_simhash": simhash.op7_simhash,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
