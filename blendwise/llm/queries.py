@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from blendwise.llm import bestfit, chat, licenses, sharding, simhash, warc
+from blendwise.llm import bestfit, chat, licenses, sharding, simhash, substrings, warc
 
 QUERIES = {
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_best_fit_packing": bestfit.op3_best_fit_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_warc": warc.op5_warc,
