@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from blendwise.llm import bestfit, chat, licenses, sharding, simhash, substrings, warc
+from blendwise.llm import bestfit, chat, licenses, neardup, sharding, simhash, substrings, warc
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_best_fit_packing": bestfit.op3_best_fit_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_warc": warc.op5_warc,
+    "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_formatting": chat.op10_chat_formatting,
