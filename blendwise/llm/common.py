@@ -111,15 +111,21 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def word_hashes(texts: list[bytes | None], which: int = 0, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+# Separators of plain words after A-Z are lower-cased: [\x00-\x2F\x3A-\x60\x7B-\x7F].
+_NOT_PLAIN = np.zeros(256, bool)
+_NOT_PLAIN[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
+
+
+def word_hashes(texts: list[bytes | None], which: int = 0, lower: bool = False, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, and the
-    first word of each text (``len(texts) + 1`` offsets).  ``lower`` folds A-Z only."""
+    first word of each text (``len(texts) + 1`` offsets).  ``lower`` folds A-Z only;
+    ``plain`` takes words of ASCII letters, digits and non-ASCII characters instead (with ``lower``)."""
     data = b"\n".join([t or b"" for t in texts]) + b"\n"
     lengths = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
     if lower:
         data = data.lower()  # bytes.lower() folds ASCII letters only
     buf = np.frombuffer(data, np.uint8)
-    space = _SPACE[buf]
+    space = (_NOT_PLAIN if plain else _SPACE)[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     first = np.concatenate(([0], np.cumsum(lengths + 1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blendwise.llm import bestfit, chat, licenses, neardup, sharding, simhash, substrings, warc
+from blendwise.llm import bestfit, chat, decontam, licenses, neardup, sharding, simhash, substrings, warc
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
     "op7_simhash": simhash.op7_simhash,
+    "op8_decontamination": decontam.op8_decontamination,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
