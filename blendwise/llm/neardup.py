@@ -304,11 +304,22 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     found = near_duplicates(docs, key, text, shingle, percent)
     k, d = fresh(docs, "_id"), fresh(docs, "_digest")
     empty = F.col("n_shingles") == 0
-    keep = found.filter(empty | F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", empty.alias("e")).agg(
-        F.min(F.struct("id", "digest")).alias("x")).select(F.col("x.id").alias(k), F.col("x.digest").alias(d)).distinct()
+    mine = found.filter(empty | F.col("id").eqNullSafe(F.col("component_id"))).groupBy(
+        "component_id", F.when(empty, F.col("digest")).alias("e"), "id", "digest").agg(F.count("*").alias("copies"))
+    keep = materialize(mine.groupBy("component_id", "e").agg(F.min(F.struct("id", "digest", "copies")).alias("x")).select(
+        F.col("x.id").alias(k), F.col("x.digest").alias(d), F.col("x.copies").alias("copies")), "near-keep")
+    # rows repeated with id and text: few if any, so their list is small and its join needs no shuffle of the texts
+    repeated = materialize(keep.filter("copies > 1").select(k, d), "near-repeated")
     own = docs.withColumn(d, text_digest(F.col(text)))
-    kept = own.join(keep, own[key].eqNullSafe(keep[k]) & (own[d] == keep[d]), "left_semi")
-    return kept.dropDuplicates([key, d]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        return own.join(wanted, own[key].eqNullSafe(wanted[k]) & (own[d] == wanted[d]), "left_semi")
+
+    once = rows_of(keep.filter("copies = 1").select(k, d)).select(*columns)
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(rows_of(repeated).dropDuplicates([key, d]).select(*columns))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

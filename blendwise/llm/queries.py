@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from blendwise.llm import bestfit, chat, decontam, licenses, neardup, sharding, simhash, substrings, warc
+from blendwise.llm import bestfit, chat, decontam, langid, licenses, neardup, sharding, simhash, substrings, warc
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_best_fit_packing": bestfit.op3_best_fit_packing,
     "op4_sharding": sharding.op4_sharding,
