@@ -84,8 +84,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", order:
     """All columns of ``docs`` plus ``shard`` and ``slot``; equal texts stay together, shard bytes are near equal.
 
     Size of a row: its UTF-8 bytes plus 1 (a line end)."""
-    d = assign_shards_lpt(docs, F.col(text), text_bytes(F.col(text)) + 1, shards)
-    return number_slots(d, "shard", list(order))
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # any column name may be in use
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    d = assign_shards_lpt(d, F.col(own[text]), text_bytes(F.col(own[text])) + 1, shards)
+    d = number_slots(d, "shard", [own[c] for c in order])
+    return d.select(*[F.col(n).alias(c) for c, n in own.items()], "shard", "slot")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
