@@ -22,7 +22,6 @@ once each; an empty table gives an empty result; extra columns pass through ``to
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,49 +37,52 @@ from blendwise.llm.common import map_arrow, materialize, row_slices, table
 CAPACITY = 1024
 END_ID = 2
 RANK_BUCKETS = 256
-CACHE_WORDS = 400_000  # words whose ids a task remembers at a time; a memory bound only
 
-# A blank after white space, or a special token's string: cutting at blanks would change the ids.
-_UNSAFE = re.compile(r"\s |<\|endoftext\|>")
+# Words, numbers, punctuation and white space runs of byte-level BPE (fixed value of the vocabulary).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class PieceEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    Byte-level BPE never merges across the blank before a word, so a text
-    may be cut before every single blank; the ids of a cut are remembered.  Texts
-    where a blank follows white space, or that hold a special token, go to the tokenizer whole."""
+    ``tokenizer`` is a ``tokenizers`` file, ``ranks`` the same vocabulary as ranks.  Both give the same ids; the second
+    form needs a third of the CPU time on words that were never seen before.  Texts with a special
+    token's string, which only the first form knows, go there, and so does the first text of every
+    task, to be compared."""
 
-    _made: dict[str, PieceEncoder] = {}
+    _made: dict[tuple[str, str], PieceEncoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer: str, ranks: str):
+        import base64
+
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(ranks, "rb") as f:
+            table_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=table_of, special_tokens={})
+        self.compared = False
 
     @classmethod
-    def of(cls, path: str) -> PieceEncoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, tokenizer: str, ranks: str) -> PieceEncoder:
+        if (tokenizer, ranks) not in cls._made:
+            cls._made[tokenizer, ranks] = cls(tokenizer, ranks)
+        return cls._made[tokenizer, ranks]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        known = self.known
-        cuts = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-        new = [w for w in dict.fromkeys(cuts) if w not in known]
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(cuts))
-            known.update(zip(new, self._encode(new)))
-        return b"".join(map(known.__getitem__, cuts))
+        if any(x in text for x in self.special):
+            return self.plain(text)
+        ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if not self.compared:
+            if ids != self.plain(text):
+                raise ValueError("the two forms of the vocabulary do not agree")
+            self.compared = True
+        return ids
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -89,9 +91,10 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((s, capacity) for s in range(head, n, capacity))]
 
 
-def tokenize_pieces(df: DataFrame, text: str, tokenizer: str, keep: list[str], capacity: int = CAPACITY,
+def tokenize_pieces(df: DataFrame, text: str, vocabulary: tuple[str, str], keep: list[str], capacity: int = CAPACITY,
                     end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces ``(keep..., piece, start, length, ids_crc32[, ids])`` of every row; ids as little-endian 32-bit bytes."""
+    """Pieces ``(keep..., piece, start, length, ids_crc32[, ids])`` of every row; ids as little-endian 32-bit bytes.
+    ``vocabulary`` names the two files of a :class:`PieceEncoder`."""
     fields = [df.schema[k] for k in keep] + [
         T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
@@ -100,7 +103,7 @@ def tokenize_pieces(df: DataFrame, text: str, tokenizer: str, keep: list[str], c
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(tokenizer)
+        encoder = PieceEncoder.of(*vocabulary)
         for b in row_slices(batches, "_text"):
             at, out = [], []
             for i, t in enumerate(b.column("_text").to_pylist()):
@@ -227,16 +230,20 @@ def pack_best_fit(pieces: DataFrame, order: list[str], length: str = "length", c
     return map_arrow(d, place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text", capacity: int = CAPACITY,
+def pack_documents(docs: DataFrame, vocabulary: tuple[str, str], keep: list[str], text: str = "text", capacity: int = CAPACITY,
                    end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Tokenise and pack whole documents; tokenised pieces are written once to the shared folder."""
-    pieces = materialize(tokenize_pieces(docs, text, tokenizer, keep, capacity, end_id, with_ids), "pieces")
+    pieces = materialize(tokenize_pieces(docs, text, vocabulary, keep, capacity, end_id, with_ids), "pieces")
     return pack_best_fit(pieces, [*keep, "piece", "ids_crc32"], capacity=capacity)
 
 
-def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def byte_bpe_50k() -> tuple[str, str]:
     from public_tokenizers import path
 
+    return path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = pack_documents(docs, path("byte_bpe_50k.json"), ["doc_id"])
+    d = pack_documents(docs, byte_bpe_50k(), ["doc_id"])
     return d.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
