@@ -59,11 +59,16 @@ def average(grad: Grad, over: str, keys: Sequence[str] = ()) -> Grad:
     return Grad(q, _a_from_q(q, keys), keys)
 
 
+def first_blocks(blocks: DataFrame, batches: int | None = None, batch_size: int = 2) -> DataFrame:
+    """Blocks of the first ``batches`` batches of each set; all of them by default."""
+    return blocks if batches is None else blocks.filter(F.col("block_no") < batches * batch_size)
+
+
 def val_gradient(counts: DataFrame, set_key: str, keys: Sequence[str] = (), ignore: int | None = IGNORE_PLAIN) -> Grad:
-    """Per-set gradient of the first batch, averaged over the sets.
+    """Per-set gradient of the counted positions, averaged over the sets.
 
-    ``counts`` holds the pair counts of the first batch of each set only
-    (the caller filters batch 0)."""
+    ``counts`` holds the pair counts of all blocks of each set, or of its first
+    batches (:func:`first_blocks`)."""
     per_set = source_gradient(counts, [*keys, set_key], ignore)
     return average(per_set, set_key, keys)
 
@@ -94,7 +99,7 @@ def inner_products(A: Grad, B: Grad, proxy: Proxy, small_a: bool = False) -> Dat
     aA = A.a.withColumnRenamed("a", "aA")
     aB = B.a.withColumnRenamed("a", "aB")
     qA = A.q.withColumnRenamed("q", "qA")
-    if small_a:  # the caller vouches for A's size (e.g. one batch of a target)
+    if small_a:  # the caller has counted A's rows
         aA, qA = F.broadcast(aA), F.broadcast(qA)
     qB = B.q.withColumnRenamed("q", "qB")
     # over B's support: sum qB (qA - aA p)

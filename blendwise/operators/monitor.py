@@ -172,7 +172,7 @@ def elapsed(log: DataFrame, unit: str = "hours", eval_col: str | None = None) ->
     """Train, validation and total time in ``unit``; validation time is the
     running sum of ``eval_col`` (seconds), 0 without it."""
     if unit not in TIME_UNITS:
-        raise ValueError(f'Invalid time_unit: {unit}. Must be one of "seconds", "minutes", "hours", or "days".')
+        raise ValueError(f"unknown unit {unit!r}; known are {', '.join(TIME_UNITS)}")
     div = float(TIME_UNITS[unit])
     d = log
     if eval_col:

@@ -112,19 +112,13 @@ def mixture_lr(k: Column, lr0: float, t_max: int, eta_min: float = 0.0) -> Colum
     return F.lit(eta_min) + F.lit(lr0 - eta_min) * (F.lit(1.0) + F.cos(F.lit(math.pi) * k.cast("double") / F.lit(t_max))) / F.lit(2.0)
 
 
-def clip(grad: DataFrame, keys: Sequence[str], value: str = "g", max_norm: float = 1.0) -> DataFrame:
-    """Total norm per key group and the clipped values ``g * min(1, c / (norm + 1e-6))``.
+def clip(entries: DataFrame, norms: DataFrame, keys: Sequence[str], value: str = "g", max_norm: float = 1.0) -> DataFrame:
+    """``entries`` plus the clip factor ``min(1, c / (norm + 1e-6))`` of their group and the clipped values.
 
-    The norm is a grouped aggregate joined back (one row per group), not a
-    window over all entries of a group."""
-    n = clip_norms(grad, keys, value, max_norm)
-    return grad.join(n, list(keys)).withColumn("clipped", F.col(value) * F.col("clip_coef"))
-
-
-def clip_norms(grad: DataFrame, keys: Sequence[str], value: str = "g", max_norm: float = 1.0) -> DataFrame:
-    """Norm and clip factor per key group as an aggregate (no window over big groups)."""
-    n = grad.groupBy(*keys).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("grad_norm"))
-    return n.withColumn("clip_coef", F.least(F.lit(1.0), F.lit(max_norm) / (F.col("grad_norm") + F.lit(CLIP_EPS))))
+    ``norms(keys..., norm)`` is the norm of the whole gradient (``gradients.norms``): a head gradient is
+    dense over the vocabulary, so the stored entries alone would give too small a norm."""
+    n = norms.withColumn("clip_coef", F.least(F.lit(1.0), F.lit(max_norm) / (F.col("norm") + F.lit(CLIP_EPS))))
+    return entries.join(n, list(keys)).withColumn("clipped", F.col(value) * F.col("clip_coef"))
 
 
 def rank_sources(state: DataFrame, run_keys: Sequence[str] = ("run_id", "step"), z: str = "z", source: str = "source") -> DataFrame:

@@ -5,6 +5,8 @@ documents' ids concatenated in document order.  The stream is cut into
 chunks of ``chunk_size`` ids; a chunk holds ``chunk_size // block_size``
 whole blocks.  Tail rules of the packed format:
 
+* ``remainder='keep'`` (default): the last chunk is written at its true length, so
+  its last block may be short and nothing is lost;
 * ``remainder='drop'``: a chunk is only written when a later id overflows it,
   so for T > 0 ids exactly ``ceil(T / chunk) - 1`` chunks exist: the last
   partial chunk and an exactly full last chunk are both lost;
@@ -40,14 +42,14 @@ def doc_offsets(
     return d.withColumn("start", F.col("end") - F.col("n_tokens"))
 
 
-def emitted_chunks(total: F.Column, chunk_size: int, remainder: str = "drop") -> F.Column:
+def emitted_chunks(total: F.Column, chunk_size: int, remainder: str = "keep") -> F.Column:
     """Chunks written for a stream of ``total`` ids (closed form of the builder)."""
     full = F.ceil(total / F.lit(chunk_size)).cast("bigint")
     if remainder == "drop":
         return F.greatest(full - 1, F.lit(0).cast("bigint"))
-    if remainder == "pad":
+    if remainder in ("keep", "pad"):
         return full
-    raise ValueError(f"remainder must be 'drop' or 'pad', got {remainder!r}")
+    raise ValueError(f"remainder must be 'keep', 'drop' or 'pad', got {remainder!r}")
 
 
 def pack(
@@ -57,7 +59,7 @@ def pack(
     keys: Sequence[str] = ("source",),
     order: str = "doc_id",
     ids: str = "ids",
-    remainder: str = "drop",
+    remainder: str = "keep",
     sep: int = 0,
     bucket_width: int = DEFAULT_BUCKET_WIDTH,
 ) -> DataFrame:
@@ -99,6 +101,8 @@ def pack(
         tok = F.concat(F.coalesce(tok, F.array().cast("array<int>")),
                        F.array_repeat(pad, (F.lit(B) - F.coalesce(F.size(tok), F.lit(0))).cast("int")))
     blocks = blocks.select(*keys, "chunk_id", "block_in_chunk", tok.alias("tokens"))
+    if remainder == "keep":  # a short last chunk has fewer blocks
+        blocks = blocks.filter(F.size("tokens") > 0)
     if remainder == "pad":
         blocks = blocks.withColumn("tokens", F.slice("tokens", 1, B))
     return blocks.withColumn("block_no", F.col("chunk_id") * nb + F.col("block_in_chunk")).select(
@@ -113,9 +117,10 @@ def chunks(
     order: str = "doc_id",
     ids: str = "ids",
     bucket_width: int = DEFAULT_BUCKET_WIDTH,
+    remainder: str = "keep",
 ) -> DataFrame:
-    """Whole written chunks ``(keys..., chunk_id, tokens)`` (block size = chunk size)."""
-    b = pack(tokens, chunk_size, chunk_size, keys, order, ids, "drop", bucket_width=bucket_width)
+    """Written chunks ``(keys..., chunk_id, tokens)`` (block size = chunk size)."""
+    b = pack(tokens, chunk_size, chunk_size, keys, order, ids, remainder, bucket_width=bucket_width)
     return b.select(*keys, "chunk_id", "tokens")
 
 
@@ -244,7 +249,7 @@ def read_range(need: DataFrame, n: str, keys: Sequence[str], out: str = "read_in
 
 
 def written_chunks(tokens: DataFrame, chunk_size: int, keys: Sequence[str] = ("source",), ids: str = "ids",
-                   remainder: str = "drop") -> DataFrame:
+                   remainder: str = "keep") -> DataFrame:
     """``(keys..., chunk_id)`` of every chunk the packer writes, from the keys'
     id totals alone (closed form), without packing: a per-key aggregate and a
     two-level range expansion."""

@@ -22,7 +22,6 @@ from blendwise.session import with_scalars
 from blendwise.sources.tables import qa_task
 
 QA_BATCH = 16
-TURN_STRIDE = 1000  # pair_id = conv_id * 1000 + turn of the question
 
 
 def pairs_from_conversations(conv: DataFrame) -> DataFrame:
@@ -35,7 +34,7 @@ def pairs_from_conversations(conv: DataFrame) -> DataFrame:
     c = c.filter((F.col("role") == "user") & (F.col("_nrole") == "assistant"))
     return c.select(
         qa_task(F.col("conv_id")).alias("task"),
-        (F.col("conv_id") * TURN_STRIDE + F.col("turn")).alias("pair_id"),
+        F.concat_ws(":", "conv_id", "turn").alias("pair_id"),  # conversation and the question's turn
         F.col("text").alias("question"), F.col("_ntext").alias("answer"),
     )
 
@@ -94,12 +93,13 @@ def qa_batches(items: DataFrame, batch: int = QA_BATCH) -> DataFrame:
     )
 
 
-def qa_gradient(items: DataFrame, batch: int = QA_BATCH, exact: bool = False, check: bool = True) -> Grad:
+def qa_gradient(items: DataFrame, batch: int = QA_BATCH, exact: bool = False, check: bool = False) -> Grad:
     """Gradient of the question/answer loss for the proxy head.
 
     Reference arithmetic: per batch the token-mean loss over kept positions
     divided by the batch length, summed over batches, divided by
-    ``n_items div batch``.  ``exact=True`` gives the plain token mean.
+    ``n_items div batch``.  ``exact=True`` gives the plain token mean.  ``check`` counts the items first
+    and raises when they do not fill a batch; without it the division by no batch fails when the plan runs.
     Counts are per item (pairs never cross items) and grouped by batch.
     """
     if check:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blendwise.functions.hashing import hashed_token_id
+from blendwise.functions.prefix import prefix_rank
 
 # The whitespace class that separates tokens, the reserved id.
 WHITESPACE = "[ \\t\\n\\r\\f]+"
@@ -40,13 +41,14 @@ def encode(
     key: str = "doc_id",
     unk_id: int = SPECIAL_ID,
     fn: Callable | None = None,
+    vocab_rows: int | None = None,
 ) -> DataFrame:
     """Token strings to ids.
 
     * default: hashed id ``1 + md5(token)[:8] mod (vocab_size - 1)``, a pure
       projection (``transform``), no join;
     * ``vocab`` (token, id): exploded, joined and re-collected in order per
-      ``key``; unknown tokens get ``unk_id``;
+      ``key``; unknown tokens get ``unk_id``; ``vocab_rows`` is a known bound of the vocabulary's size;
     * ``fn``: a vectorised ``pandas_udf`` from ``array<string>`` to ``array<int>``
       (a pluggable sub-word codec).
     """
@@ -54,11 +56,8 @@ def encode(
         return df.withColumn(out, fn(F.col(words)))
     if vocab is None:
         return df.withColumn(out, F.transform(F.col(words), lambda w: hashed_token_id(w, vocab_size)))
-    v = vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_id"))
+    v = bounded_vocab(vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_id")), vocab_rows)
     ex = df.select(key, F.posexplode(words).alias("_pos", "_tok"))
-    # bounded vocabularies go out as broadcast; larger ones shuffle by token
-    if max_vocab_rows(vocab) is not None:
-        v = F.broadcast(v)
     j = ex.join(v, "_tok", "left").withColumn("_id", F.coalesce("_id", F.lit(unk_id)))
     ids = j.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_id"))), lambda s: s["_id"]).alias(out)
@@ -67,10 +66,9 @@ def encode(
     return df.join(ids, key, "left").withColumn(out, F.coalesce(F.col(out), empty))
 
 
-def max_vocab_rows(vocab: DataFrame) -> int | None:
-    """Size bound recorded on a vocabulary built by :func:`build_vocab`."""
-    bound = getattr(vocab, "_blendwise_max_rows", None)
-    return bound if bound is not None and bound <= VOCAB_BROADCAST_ROWS else None
+def bounded_vocab(v: DataFrame, rows: int | None) -> DataFrame:
+    """Broadcast a vocabulary of known, bounded size; any other is joined by a shuffle on the token or id."""
+    return F.broadcast(v) if rows is not None and rows <= VOCAB_BROADCAST_ROWS else v
 
 
 def add_special(
@@ -112,47 +110,52 @@ def encode_documents(
     return d.drop("words", text)
 
 
-def build_vocab(df: DataFrame, words: str = "words", max_size: int = 50000) -> DataFrame:
-    """(token, id, n) for the ``max_size - 1`` most frequent tokens.
+def build_vocab(df: DataFrame, words: str = "words", max_size: int | None = None) -> DataFrame:
+    """(token, id, n) for all tokens, or the ``max_size - 1`` most frequent ones.
 
-    Rank by count descending, then token; ids start at 1.  The top-k is a
-    distributed ``TakeOrderedAndProject``; the numbering runs on the bounded
-    result only.
+    Rank by count descending, then token; ids start at 1.  With ``max_size`` the top-k is a
+    distributed ``TakeOrderedAndProject`` and the numbering runs on the bounded
+    result only.  Without it tokens are ranked inside their count by a two-level rank over
+    ranges of the token's first bytes, and the base of a count comes from the table of distinct counts.
     """
     counts = df.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    if max_size is None:
+        # tokens of one count are ranked by token inside (count, first two bytes) groups
+        d = counts.withColumn("_neg", -F.col("n")).withColumn("_first", F.substring(F.hex("token"), 1, 4))
+        d = prefix_rank(d, ["_neg"], ["_first", "token"], "_in", bucket=F.conv(F.rpad("_first", 4, "0"), 16, 10))
+        of_count = counts.groupBy((-F.col("n")).alias("_neg")).agg(F.count(F.lit(1)).alias("_k"))
+        before = Window.orderBy("_neg").rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct count
+        of_count = of_count.withColumn("_base", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+        d = d.join(of_count, "_neg")
+        return d.select("token", (F.col("_base") + F.col("_in")).cast("int").alias("id"), "n")
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(max_size - 1)
     vocab = top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token"))).cast("int"))
-    vocab = vocab.select("token", "id", "n")
-    vocab._blendwise_max_rows = max_size - 1
-    return vocab
-
-
-def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", key: str = "doc_id", out: str = "text") -> DataFrame:
-    """T5: ids back to a space-joined string; unknown ids are skipped."""
-    v = vocab.select(F.col("id").cast("int").alias("_id"), F.col("token").alias("_tok"))
-    if max_vocab_rows(vocab) is not None:
-        v = F.broadcast(v)
-    ex = df.select(key, F.posexplode(ids).alias("_pos", "_id")).join(v, "_id", "inner")
-    return ex.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_tok"))), lambda s: s["_tok"]), " ").alias(out)
-    )
+    return vocab.select("token", "id", "n")
+
+
+def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", key: str = "doc_id", out: str = "text",
+           vocab_rows: int | None = None) -> DataFrame:
+    """T5: ids back to a space-joined string; unknown ids are skipped.  Every row of ``df``
+    comes back: without any known id its text is empty."""
+    v = bounded_vocab(vocab.select(F.col("id").cast("int").alias("_id"), F.col("token").alias("_tok")), vocab_rows)
+    ex = df.select(key, F.posexplode_outer(ids).alias("_pos", "_id")).join(v, "_id", "left")
+    known = F.collect_list(F.when(F.col("_tok").isNotNull(), F.struct("_pos", "_tok")))
+    return ex.groupBy(key).agg(F.array_join(F.transform(F.array_sort(known), lambda s: s["_tok"]), " ").alias(out))
 
 
-def missing_tokens(df: DataFrame, vocab: DataFrame, words: str = "words") -> DataFrame:
+def missing_tokens(df: DataFrame, vocab: DataFrame, words: str = "words", vocab_rows: int | None = None) -> DataFrame:
     """Tokens of ``df`` that the vocabulary lacks (left anti join)."""
     toks = df.select(F.explode(words).alias("token")).distinct()
-    v = vocab.select("token")
-    if max_vocab_rows(vocab) is not None:
-        v = F.broadcast(v)
+    v = bounded_vocab(vocab.select("token"), vocab_rows)
     return toks.join(v, "token", "left_anti")
 
 
-def require_ids(df: DataFrame, vocab: DataFrame, words: str = "words") -> DataFrame:
+def require_ids(df: DataFrame, vocab: DataFrame, words: str = "words", vocab_rows: int | None = None) -> DataFrame:
     """Strict lookup; raises when a token is absent, else returns the ids."""
-    missing = missing_tokens(df, vocab, words).limit(5).collect()
+    missing = missing_tokens(df, vocab, words, vocab_rows).limit(5).collect()
     if missing:
         raise ValueError(f"tokens not found in the vocabulary: {[r.token for r in missing]}")
-    return encode(df, words=words, vocab=vocab)
+    return encode(df, words=words, vocab=vocab, vocab_rows=vocab_rows)
 
 
 def corpus_stats(df: DataFrame, keys: Sequence[str] = ("source",), ids: str = "ids", vocab_size: int = 1024) -> DataFrame:
@@ -168,8 +171,11 @@ def corpus_stats(df: DataFrame, keys: Sequence[str] = ("source",), ids: str = "i
     ).withColumn("id_width", F.lit(width).cast("int"))
 
 
-def token_percentiles(df: DataFrame, keys: Sequence[str] = ("source",), ids: str = "ids") -> DataFrame:
-    """Approximate document-length quartiles per key (mergeable sketch, no sort)."""
-    return df.groupBy(*keys).agg(
-        F.percentile_approx(F.size(ids), [0.25, 0.5, 0.75], 1000).alias("length_quartiles")
-    )
+def token_percentiles(df: DataFrame, keys: Sequence[str] = ("source",), ids: str = "ids", exact: bool = False) -> DataFrame:
+    """Document-length quartiles per key: a mergeable sketch, or (``exact``) from the
+    counts of the distinct lengths, interpolated."""
+    n, at = F.size(ids), [0.25, 0.5, 0.75]
+    if exact:
+        lengths = df.groupBy(*keys, n.alias("_len")).agg(F.count(F.lit(1)).alias("_n"))
+        return lengths.groupBy(*keys).agg(F.percentile("_len", F.array(*[F.lit(x) for x in at]), F.col("_n")).alias("length_quartiles"))
+    return df.groupBy(*keys).agg(F.percentile_approx(n, at, 1000).alias("length_quartiles"))

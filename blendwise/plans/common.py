@@ -34,7 +34,7 @@ def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, vocab_size=VOCAB, keep=("doc_id", "source", "split", "lang"))
 
 
-def blocks(spark: SparkSession, sf_dir: str, keys=("source",), remainder: str = "drop") -> DataFrame:
+def blocks(spark: SparkSession, sf_dir: str, keys=("source",), remainder: str = "keep") -> DataFrame:
     return pack(doc_ids(spark, sf_dir), CHUNK, BLOCK, keys=keys, remainder=remainder)
 
 
@@ -69,7 +69,7 @@ SQL_BTOKS = f"""btoks AS (
   SELECT source, pos // {CHUNK} AS chunk_id, (pos % {CHUNK}) // {BLOCK} AS block_in_chunk,
          (pos % {CHUNK}) % {BLOCK} AS i, id
   FROM toks
-  WHERE pos // {CHUNK} < (key_tokens + {CHUNK - 1}) // {CHUNK} - 1 AND pos % {CHUNK} < {N_BLOCKS * BLOCK})"""
+  WHERE pos % {CHUNK} < {N_BLOCKS * BLOCK})"""
 
 SQL_BLOCKS = f"""blocks AS (
   SELECT source, chunk_id, block_in_chunk, chunk_id * {N_BLOCKS} + block_in_chunk AS block_no,
@@ -89,9 +89,10 @@ def sql_num(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
-def sql_pack(keys: tuple[str, ...], tag: str, remainder_drop: bool = True) -> list[str]:
+def sql_pack(keys: tuple[str, ...], tag: str, remainder: str = "keep") -> list[str]:
     """CTEs ``{tag}_off``, ``{tag}_toks``, ``{tag}_btoks``, ``{tag}_blocks`` packing
-    ``doc_ids`` per ``keys`` (chunk CHUNK, block BLOCK, tail dropped)."""
+    ``doc_ids`` per ``keys`` (chunk CHUNK, block BLOCK, tail kept or dropped)."""
+    tail = f"pos // {CHUNK} < (key_tokens + {CHUNK - 1}) // {CHUNK} - 1" if remainder == "drop" else "TRUE"
     k = ", ".join(keys)
     off = f"""{tag}_off AS (
   SELECT *, CAST(SUM(len(ids)) OVER (PARTITION BY {k} ORDER BY doc_id) AS BIGINT) - len(ids) AS start,
@@ -104,7 +105,7 @@ def sql_pack(keys: tuple[str, ...], tag: str, remainder_drop: bool = True) -> li
   SELECT {k}, pos // {CHUNK} AS chunk_id, (pos % {CHUNK}) // {BLOCK} AS block_in_chunk,
          (pos % {CHUNK}) % {BLOCK} AS i, id
   FROM {tag}_toks
-  WHERE pos // {CHUNK} < (key_tokens + {CHUNK - 1}) // {CHUNK} - 1 AND pos % {CHUNK} < {N_BLOCKS * BLOCK})"""
+  WHERE {tail} AND pos % {CHUNK} < {N_BLOCKS * BLOCK})"""
     blocks_ = f"""{tag}_blocks AS (
   SELECT {k}, chunk_id, block_in_chunk, chunk_id * {N_BLOCKS} + block_in_chunk AS block_no,
          list(id ORDER BY i) AS tokens
@@ -117,6 +118,6 @@ def sql_pairs(keys: tuple[str, ...], tag: str, src: str | None = None, where: st
     k = ", ".join(keys)
     src = src or f"{tag}_blocks"
     return f"""{tag}_pairs AS (
-  SELECT {k}, block_no, unnest(list_slice(tokens, 1, {BLOCK - 1})) AS u,
-         unnest(list_slice(tokens, 2, {BLOCK})) AS v, unnest(range({BLOCK - 1})) AS pos
-  FROM {src} WHERE {where})"""
+  SELECT {k}, block_no, unnest(list_slice(tokens, 1, len(tokens) - 1)) AS u,
+         unnest(list_slice(tokens, 2, len(tokens))) AS v, unnest(range(len(tokens) - 1)) AS pos
+  FROM {src} WHERE {where} AND len(tokens) > 1)"""

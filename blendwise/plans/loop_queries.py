@@ -3,6 +3,8 @@ metrics' batch twin and the streaming pack's batch run (L19, L21, R10, P11)."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,18 @@ SEARCH = SearchConfig(n_iters=40, interval=10, micro_batch=16, mix_lr=0.01, orde
                       run_id="val", source="lang")
 
 
+STEPS = 4
+
+
+def whole_corpus(spark, sf, cfg, steps=STEPS):
+    """The configuration with as many iterations as the train split has micro-batches, in ``steps`` intervals."""
+    d = doc_ids(spark, sf).filter(F.col("split") == "train")
+    blocks = d.groupBy("lang").agg(F.ceil(F.sum("n_tokens") / BLOCK).alias("n")).agg(F.sum("n")).first()[0] or 0  # one number
+    n_iters = max(steps + 1, -(-int(blocks) // cfg.micro_batch))
+    return replace(cfg, n_iters=n_iters, interval=max(1, n_iters // steps),
+                   anneal_t_max=n_iters if cfg.anneal_t_max else None)
+
+
 def lang_positioned(spark, sf, split="train"):
     """Blocks of one split packed per language, files shuffled, blocks shuffled in
     one-file buffers (as the training loader), with their read positions."""
@@ -41,7 +55,7 @@ def lang_mixture(spark, sf):
 
 
 def val_target(spark, sf, lang=None, order="unigram"):
-    b = lang_blocks(spark, sf).filter((F.col("split") == "valid") & (F.col("block_no") < 2))
+    b = lang_blocks(spark, sf).filter(F.col("split") == "valid")  # all validation blocks
     if lang is not None:
         b = b.filter(F.col("lang") == lang)
     return gr.val_gradient(ls.pair_counts(b, ["lang"], order=order), "lang")
@@ -49,7 +63,8 @@ def val_target(spark, sf, lang=None, order="unigram"):
 
 @query("l19_search")
 def l19_search(spark, sf):
-    h = search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), val_target(spark, sf), SEARCH)
+    cfg = whole_corpus(spark, sf, SEARCH)
+    h = search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), val_target(spark, sf), cfg)
     return h.select("run_id", "step", "lang", rnd("z").alias("z"), rnd("p").alias("p"))
 
 
@@ -88,5 +103,6 @@ def qa_target(spark, sf, order="unigram"):
 
 @query("l19_search_qa")
 def l19_search_qa(spark, sf):
-    h = search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), qa_target(spark, sf), SEARCH_QA)
+    cfg = whole_corpus(spark, sf, SEARCH_QA)
+    h = search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), qa_target(spark, sf), cfg)
     return h.select("run_id", "step", "lang", rnd("z").alias("z"), rnd("p").alias("p"))

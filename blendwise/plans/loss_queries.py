@@ -3,8 +3,9 @@
 
 Gradient and search queries use ``lang`` as the source column (FIXTURES.md):
 documents are packed per (split, lang); the proxy is fitted on the train
-pairs with weight 1/K per language; the target is the first validation batch
-(2 blocks, the micro-batch of 16 divided by 8) of each language, averaged.
+pairs with weight 1/K per language; the target is the gradient of all validation
+blocks of each language, averaged (its first batch of 2 blocks, the micro-batch of 16
+divided by 8, is an option with a row of its own).
 """
 
 from __future__ import annotations
@@ -65,9 +66,9 @@ def train_grad(counts):
     return gr.source_gradient(counts.filter(F.col("split") == "train").drop("split"), ["lang"])
 
 
-def target_grad(spark, sf, blocks=None, cut=True):
+def target_grad(spark, sf, blocks=None, cut=True, batches=None):
     b = blocks if blocks is not None else lang_blocks(spark, sf)
-    first = b.filter((F.col("split") == "valid") & (F.col("block_no") < VAL_BATCH))
+    first = gr.first_blocks(b.filter(F.col("split") == "valid"), batches, VAL_BATCH)
     vc = ls.pair_counts(first, ["lang"])
     vc = cut_lineage(vc) if cut else vc
     g = gr.val_gradient(vc, "lang")
@@ -121,7 +122,7 @@ S2 = f"coalesce(pc.s2, {sql_num(1.0 / _V)})"
 SQL_GRADS = [
     "gq AS (SELECT lang, u, v, n / sum(n) OVER (PARTITION BY lang) AS q FROM lc WHERE split = 'train' AND v <> -1)",
     "ga AS (SELECT lang, u, sum(q) AS a FROM gq GROUP BY ALL)",
-    f"vc AS (SELECT lang, u, v, count(*) AS n FROM l_pairs WHERE split = 'valid' AND block_no < {VAL_BATCH} GROUP BY ALL)",
+    "vc AS (SELECT lang, u, v, count(*) AS n FROM l_pairs WHERE split = 'valid' GROUP BY ALL)",
     "vq1 AS (SELECT lang, u, v, n / sum(n) OVER (PARTITION BY lang) AS q FROM vc WHERE v <> -1)",
     "tq AS (SELECT u, v, sum(q) / (SELECT count(DISTINCT lang) FROM vq1) AS q FROM vq1 GROUP BY u, v)",
     "ta AS (SELECT u, sum(q) AS a FROM tq GROUP BY u)",
@@ -239,14 +240,14 @@ def l7_weighted_ce(spark, sf):
 
 
 @query("l8_reduction_none", f"""{lang_sql()}
-SELECT p.lang, p.block_no, CAST(p.pos AS INTEGER) AS pos, p.u, CASE WHEN p.v = 0 THEN -1 ELSE p.v END AS v,
+SELECT p.split, p.lang, p.block_no, CAST(p.pos AS INTEGER) AS pos, p.u, CASE WHEN p.v = 0 THEN -1 ELSE p.v END AS v,
        round(CASE WHEN p.v = 0 THEN 0.0 ELSE -ln({PROB}) END, 9) AS loss
-FROM l_pairs p LEFT JOIN pp USING (u, v) LEFT JOIN pc USING (u) WHERE p.split = 'valid'""")
+FROM l_pairs p LEFT JOIN pp USING (u, v) LEFT JOIN pc USING (u)""")
 def l8_reduction_none(spark, sf):
-    b = ls.mask_targets(lang_blocks(spark, sf).filter(F.col("split") == "valid"), ls.IGNORE_PLAIN, lambda x: x == 0)
-    pos = ls.positions(b, ["lang", "block_no"])
+    b = ls.mask_targets(lang_blocks(spark, sf), ls.IGNORE_PLAIN, lambda x: x == 0)
+    pos = ls.positions(b, ["split", "lang", "block_no"])
     t = ls.cross_entropy(ls.token_loss(pos, proxy(spark, sf)), reduction="none")
-    return t.select("lang", "block_no", "pos", "u", "v", rnd("loss").alias("loss"))
+    return t.select("split", "lang", "block_no", "pos", "u", "v", rnd("loss").alias("loss"))
 
 
 @query("l9_source_gradient", f"""{lang_sql(*SQL_GRADS)}
@@ -266,6 +267,14 @@ def l10_val_gradient(spark, sf):
     return v.select("u", "v", rnd("g", 6, 1e6).alias("g_e6"))
 
 
+@query("l10_val_gradient_first_batch", f"""{lang_sql(*[x.replace("split = 'valid' GROUP", f"split = 'valid' AND block_no < {VAL_BATCH} GROUP") for x in SQL_GRADS])}
+SELECT tq.u, tq.v, round((ta.a * {PROB} - tq.q) * 1e6, 6) AS g_e6
+FROM tq JOIN ta USING (u) LEFT JOIN pp USING (u, v) LEFT JOIN pc USING (u)""")
+def l10_val_gradient_first_batch(spark, sf):
+    v = gr.values(target_grad(spark, sf, batches=1), proxy(spark, sf))
+    return v.select("u", "v", rnd("g", 6, 1e6).alias("g_e6"))
+
+
 @query("l12_inner_products", f"""{lang_sql(*SQL_GRADS, *SQL_IP)}
 SELECT lang, round(ip * 1e6, 6) AS ip_e6 FROM ip""")
 def l12_inner_products(spark, sf):
@@ -310,12 +319,15 @@ nb AS (SELECT lang, sqrt(greatest(sum(x), 0)) AS ns FROM (
    SELECT ga.lang, ga.a * ga.a * {S2} AS x FROM ga LEFT JOIN pc USING (u)
    UNION ALL SELECT gq.lang, -2.0 * ga.a * {PROB} * gq.q FROM gq JOIN ga USING (lang, u) LEFT JOIN pp USING (u, v) LEFT JOIN pc USING (u)
    UNION ALL SELECT lang, gq.q * gq.q FROM gq) GROUP BY lang)
-SELECT lang, round(ns, 9) AS grad_norm, round(least(1.0, {sql_num(CLIP_NORM)} / (ns + {sql_num(op.CLIP_EPS)})), 9) AS clip_coef FROM nb""")
+SELECT gq.lang, gq.u, gq.v, round(ns, 9) AS grad_norm, round(least(1.0, {sql_num(CLIP_NORM)} / (ns + {sql_num(op.CLIP_EPS)})), 9) AS clip_coef,
+  round((ga.a * {PROB} - gq.q) * least(1.0, {sql_num(CLIP_NORM)} / (ns + {sql_num(op.CLIP_EPS)})) * 1e6, 6) AS clipped_e6
+FROM gq JOIN nb USING (lang) JOIN ga USING (lang, u) LEFT JOIN pp USING (u, v) LEFT JOIN pc USING (u)""")
 def l18_clip(spark, sf):
     c = lang_counts(spark, sf)
-    n = gr.norms(train_grad(c), proxy(spark, sf, c))
-    n = n.withColumn("clip_coef", F.least(F.lit(1.0), F.lit(CLIP_NORM) / (F.col("norm") + F.lit(op.CLIP_EPS))))
-    return n.select("lang", rnd("norm").alias("grad_norm"), rnd("clip_coef").alias("clip_coef"))
+    g, px = train_grad(c), proxy(spark, sf, c)
+    d = op.clip(gr.values(g, px), gr.norms(g, px), g.keys, max_norm=CLIP_NORM)
+    return d.select("lang", "u", "v", rnd("norm").alias("grad_norm"), rnd("clip_coef").alias("clip_coef"),
+                    rnd("clipped", 6, 1e6).alias("clipped_e6"))
 
 
 @query("l20_rank_sources", f"""{lang_sql(*SQL_GRADS, *SQL_IP, *SQL_DZ, sql_adam(0.9, 0.95, 1e-8, MIX_LR))}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from blendwise.operators import packing as pk
 from blendwise.plans.common import (
-    BLOCK, CHUNK, N_BLOCKS, PACK_CTES, SEED, SQL_DOC_IDS, SQL_DOC_OFF, SQL_TOKS, blocks, checksum, doc_ids, with_sql,
+    BLOCK, CHUNK, N_BLOCKS, PACK_CTES, SEED, SQL_DOC_IDS, SQL_DOC_OFF, SQL_TOKS, blocks, checksum, doc_ids, sql_pack, with_sql,
 )
 from blendwise.plans.registry import query
 from blendwise.operators.packing import read_range
@@ -32,7 +32,7 @@ def positioned_blocks(spark, sf):
     return pk.block_positions(s)
 
 
-SQL_NF = f"""nf AS (SELECT DISTINCT source, greatest((key_tokens + {CHUNK - 1}) // {CHUNK} - 1, 0) AS n_files FROM doc_off)"""
+SQL_NF = f"""nf AS (SELECT DISTINCT source, (key_tokens + {CHUNK - 1}) // {CHUNK} AS n_files FROM doc_off)"""
 
 SQL_NFILES = SQL_NF + f""",
 files AS (SELECT source, chunk_id,
@@ -70,7 +70,7 @@ def p2_pack(spark, sf):
                     F.size("tokens").cast("bigint").alias("n_tokens"), checksum("tokens").alias("checksum"))
 
 
-@query("p3_pack_pad", f"""{with_sql(SQL_DOC_IDS, SQL_DOC_OFF, SQL_TOKS)},
+SQL_PADDED = f"""{with_sql(SQL_DOC_IDS, SQL_DOC_OFF, SQL_TOKS)},
 real AS (SELECT source, pos // {CHUNK} AS chunk_id, (pos % {CHUNK}) // {BLOCK} AS block_in_chunk,
                 sum(CAST(id AS BIGINT) * ((pos % {CHUNK}) % {BLOCK} + 1)) AS cs
          FROM toks WHERE pos % {CHUNK} < {N_BLOCKS * BLOCK} GROUP BY ALL),
@@ -80,19 +80,31 @@ emp AS (SELECT source, last AS chunk_id,
                0 AS cs FROM tot),
 allb AS (SELECT * FROM real UNION ALL SELECT * FROM emp)
 SELECT source, chunk_id, block_in_chunk, chunk_id * {N_BLOCKS} + block_in_chunk AS block_no,
-       CAST({BLOCK} AS BIGINT) AS n_tokens, CAST(cs AS BIGINT) AS checksum FROM allb""")
+       CAST({BLOCK} AS BIGINT) AS n_tokens, CAST(cs AS BIGINT) AS checksum FROM allb"""
+
+
+@query("p3_pack_pad", SQL_PADDED)
 def p3_pack_pad(spark, sf):
     b = blocks(spark, sf, remainder="pad")
     return b.select("source", "chunk_id", "block_in_chunk", "block_no",
                     F.size("tokens").cast("bigint").alias("n_tokens"), checksum("tokens").alias("checksum"))
 
 
+@query("p3_pack_drop", f"""{with_sql(SQL_DOC_IDS, *sql_pack(("source",), "d", "drop"))}
+SELECT source, chunk_id, block_in_chunk, block_no, CAST(len(tokens) AS BIGINT) AS n_tokens,
+       CAST(list_sum(list_transform(tokens, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS checksum FROM d_blocks""")
+def p3_pack_drop(spark, sf):
+    """The packed format's own tail rule: the last chunk of a key is lost."""
+    b = blocks(spark, sf, remainder="drop")
+    return b.select("source", "chunk_id", "block_in_chunk", "block_no",
+                    F.size("tokens").cast("bigint").alias("n_tokens"), checksum("tokens").alias("checksum"))
+
+
 @query("p4_block_remainder", f"""{with_sql(SQL_DOC_IDS, SQL_DOC_OFF, SQL_TOKS)}
 SELECT source, pos // {CHUNK} AS chunk_id, CAST(count(*) AS BIGINT) AS n_unreachable,
        CAST(sum(CAST(id AS BIGINT) * (pos % {CHUNK} - {(CHUNK // REMAINDER_BLOCK) * REMAINDER_BLOCK} + 1)) AS BIGINT) AS checksum
 FROM toks
-WHERE pos // {CHUNK} < (key_tokens + {CHUNK - 1}) // {CHUNK} - 1
-  AND pos % {CHUNK} >= {(CHUNK // REMAINDER_BLOCK) * REMAINDER_BLOCK}
+WHERE pos % {CHUNK} >= {(CHUNK // REMAINDER_BLOCK) * REMAINDER_BLOCK}
 GROUP BY source, pos // {CHUNK}""")
 def p4_block_remainder(spark, sf):
     ch = pk.chunks(doc_ids(spark, sf), CHUNK)
@@ -103,11 +115,11 @@ def p4_block_remainder(spark, sf):
 
 @query("p5_next_token", f"""{with_sql(*PACK_CTES)}
 SELECT source, chunk_id * {N_BLOCKS} + block_in_chunk AS block_no,
-       CAST(count(*) FILTER (WHERE i < {BLOCK - 1}) AS BIGINT) AS n_pairs,
-       CAST(sum(id) FILTER (WHERE i < {BLOCK - 1}) AS BIGINT) AS input_sum,
-       CAST(sum(id) FILTER (WHERE i >= 1) AS BIGINT) AS target_sum,
-       CAST(sum(CAST(id AS BIGINT) * i) FILTER (WHERE i >= 1) AS BIGINT) AS target_checksum
-FROM btoks GROUP BY ALL""")
+       CAST(count(*) - 1 AS BIGINT) AS n_pairs,
+       CAST(sum(id) - arg_max(id, i) AS BIGINT) AS input_sum,
+       CAST(sum(id) - arg_min(id, i) AS BIGINT) AS target_sum,
+       CAST(sum(CAST(id AS BIGINT) * i) AS BIGINT) AS target_checksum
+FROM btoks GROUP BY source, chunk_id, block_in_chunk""")
 def p5_next_token(spark, sf):
     b = pk.next_token(blocks(spark, sf))
     total = lambda c: F.aggregate(F.col(c), F.lit(0).cast("bigint"), lambda a, x: a + x)

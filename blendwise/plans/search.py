@@ -60,7 +60,7 @@ class SearchConfig:
     source: str = "source"
     checkpoint_every: int = 5             # reliable checkpoint of the iterated tables every n steps
     adaptive_steps: bool = True           # False: plan the (bounded) step queries statically
-    small_target: bool = True             # broadcast the target gradient (one batch: bounded)
+    broadcast_rows: int = 1 << 18         # a target gradient of so many rows or fewer is broadcast, a larger one shuffled
 
 
 def model_lr(it: int, cfg: SearchConfig) -> float:
@@ -105,13 +105,15 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     hist_path = scratch_path(spark, "mixture-history")
     counts = iteration_counts(spark, positioned_blocks, mixture, cfg, n_sources, cut=False)
     counts = counts.withColumn("interval", F.floor(F.col("iter") / cfg.interval).cast("bigint"))
-    counts.write.partitionBy("interval").parquet(counts_path)
+    # few files per interval, and a hot source spread over them
+    salt = F.pmod(F.xxhash64("u", "v"), F.lit(8))
+    counts.repartition(F.col("interval"), salt).write.partitionBy("interval").parquet(counts_path)
     counts = spark.read.parquet(counts_path)
     # the target gradient is fixed for the run: computed once, read every step
     target = gr.Grad(cut_lineage(target.q), cut_lineage(target.a), target.keys)
+    small = target.q.count() <= cfg.broadcast_rows
     # the batch gradients do not depend on the state: all search steps in one job
-    steps = [s for s in range(cfg.interval, cfg.n_iters, cfg.interval)]
-    at_steps = counts.filter(F.col("iter").isin(steps)).drop("interval")
+    at_steps = counts.filter((F.col("iter") % cfg.interval == 0) & (F.col("interval") > 0)).drop("interval")
     sg_all = gr.source_gradient(at_steps, ["iter", "source"])
     sg_all = gr.Grad(cut_lineage(sg_all.q), cut_lineage(sg_all.a), ["source"])
     state_cols = ["run_id", "step", "source", "z", "m", "v", "t"]
@@ -131,7 +133,7 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     if not cfg.adaptive_steps:
         conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        state, pairs, k = _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all)
+        state, pairs, k = _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all, small)
     finally:
         conf.set("spark.sql.adaptive.enabled", aqe)
     # the result reads the written history only: release what the loop kept
@@ -143,7 +145,7 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     return out.withColumnRenamed("source", src) if src != "source" else out
 
 
-def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all):
+def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all, small):
     pairs = None
     k = 0
     for s in range(cfg.interval, cfg.n_iters, cfg.interval):
@@ -157,7 +159,7 @@ def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all):
 
         sg = gr.Grad(sg_all.q.filter(F.col("iter") == s).drop("iter"), sg_all.a.filter(F.col("iter") == s).drop("iter"),
                      ["source"])
-        ip = gr.ip_for_sources(gr.inner_products(target, sg, proxy, small_a=cfg.small_target), mix, [])
+        ip = gr.ip_for_sources(gr.inner_products(target, sg, proxy, small_a=small), mix, [])
         ip = ip.select(F.lit(cfg.run_id).alias("run_id"), "source", "ip")
         ip = ip.withColumn("step", F.lit(s - cfg.interval).cast("bigint"))
         st = state

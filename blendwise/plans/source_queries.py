@@ -18,8 +18,9 @@ from blendwise.plans.common import (
     BLOCK, CHUNK, N_BLOCKS, SQL_DOC_IDS, SQL_SPLIT, VOCAB, checksum, doc_ids, sql_pack, with_sql,
 )
 from blendwise.plans.mixture_queries import SQL_MIX, SQL_STATE, mixture, state
+from blendwise.plans.packing_queries import SQL_PADDED
 from blendwise.plans.registry import query
-from blendwise.session import local_path, scratch_path
+from blendwise.session import local_path, scratch_path, with_scalars
 from blendwise.sources import config as cf
 from blendwise.sources import corpus as cp
 from blendwise.sources import history as hs
@@ -92,12 +93,9 @@ def s6_write_blocks(spark, sf):
                        checksum("tokens").alias("checksum"))
 
 
-@query("s7_read_packed_files", f"""{with_sql(SQL_DOC_IDS, *sql_pack(("source",), "p"))}
-SELECT source, chunk_id, block_in_chunk, CAST(len(tokens) AS BIGINT) AS n_tokens,
-       CAST(list_sum(list_transform(tokens, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS checksum
-FROM p_blocks""")
+@query("s7_read_packed_files", f"SELECT source, chunk_id, block_in_chunk, n_tokens, checksum FROM ({SQL_PADDED})")
 def s7_read_packed_files(spark, sf):
-    ch = pk.chunks(doc_ids(spark, sf), CHUNK)
+    ch = pk.chunks(doc_ids(spark, sf), CHUNK, remainder="pad")  # a packed file always holds a whole chunk
     root = scratch_path(spark, "packed")
     written = pf.write_packed_files(ch, root, VOCAB, CHUNK)
     written.count()  # the write job
@@ -139,24 +137,31 @@ def s8_read_qa(spark, sf):
     return q.select("task", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
-@query("p11_pack_stream", f"""{with_sql(SQL_DOC_IDS, *sql_pack(("source",), "p"))}
-SELECT source, chunk_id, block_in_chunk, CAST(len(tokens) AS BIGINT) AS n_tokens,
+# documents arrive as 16 files, whatever the table's size
+SQL_PARTS = f"""parted AS (SELECT d.*, doc_id * 16 // ((SELECT max(doc_id) FROM documents) + 1) AS part FROM doc_ids d)"""
+
+
+@query("p11_pack_stream", f"""{with_sql(SQL_DOC_IDS, SQL_PARTS, *(x.replace("FROM doc_ids", "FROM parted") for x in sql_pack(("source", "part"), "p", "drop")))}
+SELECT source, CAST(part AS BIGINT) AS part, chunk_id, block_in_chunk, CAST(len(tokens) AS BIGINT) AS n_tokens,
        CAST(list_sum(list_transform(tokens, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS checksum
 FROM p_blocks""")
 def p11_pack_stream(spark, sf):
-    """Documents arrive as several files (doc-id ranges) and are packed by the
-    stateful stream; the result is the batch pack's."""
+    """Documents arrive as several files (doc-id ranges), in any order, and are packed by the
+    stateful stream with one builder per source and input file, as the packed format has;
+    the result is the batch pack's over the same keys."""
     from blendwise.streaming.pack_stream import pack_stream
 
     root = scratch_path(spark, "stream")
-    d = doc_ids(spark, sf).select("doc_id", "source", "ids").withColumn("part", F.floor(F.col("doc_id") / 250))
+    d = doc_ids(spark, sf).select("doc_id", "source", "ids")
+    last = tables.table(spark, sf, "documents").agg(F.max("doc_id").alias("_last"))
+    d = with_scalars(d, last).withColumn("part", F.floor(F.col("doc_id") * 16 / (F.col("_last") + 1)).cast("bigint")).drop("_last")
     d.repartition("part").write.partitionBy("part").parquet(f"{root}/in")
     schema = "doc_id long, source string, ids array<int>, part long"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
-    out = pack_stream(stream.drop("part"), CHUNK, BLOCK)
+    out = pack_stream(stream, CHUNK, BLOCK, keys=("source", "part"))
     q = (out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     back = spark.read.parquet(f"{root}/out")
-    return back.select("source", "chunk_id", "block_in_chunk", F.size("tokens").cast("bigint").alias("n_tokens"),
-                       checksum("tokens").alias("checksum"))
+    return back.select("source", F.col("part").cast("bigint").alias("part"), "chunk_id", "block_in_chunk",
+                       F.size("tokens").cast("bigint").alias("n_tokens"), checksum("tokens").alias("checksum"))

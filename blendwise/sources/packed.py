@@ -53,7 +53,7 @@ def header(dtype, chunk_size: int) -> bytes:
 
 def parse_header(buf: bytes) -> tuple[np.dtype, int]:
     if buf[: len(HDR_MAGIC)] != HDR_MAGIC:
-        raise ValueError("File doesn't match expected format.")
+        raise ValueError("not a packed chunk file: wrong magic bytes")
     (version,) = struct.unpack("<Q", buf[7:15])
     if version != VERSION:
         raise ValueError(f"unsupported packed-file version {version}")
