@@ -18,7 +18,7 @@ from blendwise.llm.common import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,18 +28,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _is_stars(edges: DataFrame) -> bool:
+    """Does every node either point at one smaller node or is pointed at?"""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("points")).unionAll(edges.select(F.col("v").alias("x"), F.lit(0).alias("points")))
+    per_node = ends.groupBy("x").agg(F.sum("points").alias("n"), F.count("*").alias("all"))
+    return per_node.filter("n > 1 or (n = 1 and `all` > 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges(u bigint, v bigint)`` -> ``(id, label)`` for every node that is not the smallest of its component."""
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _is_stars(now):
         now = materialize(_small_star(_large_star(now)), "edges")
-        last, mark = mark, _mark(now)
-        if mark == last:
-            break
     return now.select(F.col("u").alias("id"), F.col("v").alias("label"))

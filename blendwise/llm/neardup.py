@@ -46,7 +46,8 @@ SYMBOLS = CHUNKS * CHUNK
 EXTRA = 24  # further symbols that are only compared, not indexed: 64 in all
 LIKENESS = 80  # percent
 BLOCK = 2048  # members of a key group that one task compares with as many others
-STAR_ROUNDS_WHILE = 20  # another star round while the groups hold more open pairs than this times their members
+STAR_ROUNDS_WHILE = 1000  # another star round while the groups hold more open pairs than this times their members
+STAR_ROUND_GAIN = 0.9  # and while the last one brought the open pairs below this share
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _rng.integers(0, 1 << 63, SYMBOLS + EXTRA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -186,49 +187,65 @@ def _confirmer(k: int, percent: int):
     return confirm
 
 
+PAIRS_AT_A_TIME = 500_000
+_RUN = ("key", "block", "other")
+
+
 def _block_pairs(limit: int, percent: int):
     """Pairs of one (key, block, block) run that are in different components and can be linked."""
-    def compare(rows: list[pa.RecordBatch], crossing: bool):
-        t = pa.Table.from_batches(rows)
-        sig, n = _matrix(t.column("sig")), t.column("n").to_numpy()
-        cls, label, mask = t.column("cls").to_numpy(), t.column("label").to_numpy(), int(t.column("mask")[0].as_py())
-        side = t.column("side").to_numpy()
-        if crossing:
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        else:
-            left = right = np.arange(len(cls))
-        for i in left.tolist():
-            j = right if crossing else right[i + 1:]
-            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            j = j[(sig[j] != sig[i]).sum(axis=1) <= limit] if len(j) else j
-            j = j[_first_mask(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j]) == mask] if len(j) else j
-            if len(j):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.maximum(cls[j], cls[i])), pa.array(np.minimum(cls[j], cls[i]))], ["u", "v"])
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = {c: t.column(c).to_numpy() for c in (*_RUN, "side", "mask", "cls", "label", "n")}
+        sig = _matrix(t.column("sig"))
+        rows = np.arange(len(sig))
+        start = np.flatnonzero(np.concatenate(([True], np.any([col[c][1:] != col[c][:-1] for c in _RUN], axis=0))))
+        end = np.repeat(np.append(start[1:], len(sig)), np.diff(np.append(start, len(sig))))
+        # inside a block every row meets the rows after it; between two blocks those of the first side meet the second
+        second = np.repeat(np.add.reduceat((col["side"] == 0).astype(np.int64), start) + start, np.diff(np.append(start, len(sig))))
+        crossing = col["block"] != col["other"]
+        lo = np.where(crossing, np.where(col["side"] == 0, second, end), rows + 1)
+        count = end - lo
+        cum = np.concatenate(([0], np.cumsum(count)))
+        at = 0
+        while at < len(rows):
+            stop = max(at + 1, int(np.searchsorted(cum, cum[at] + PAIRS_AT_A_TIME, side="right")) - 1)
+            i = np.repeat(rows[at:stop], count[at:stop])
+            j = np.arange(len(i)) - np.repeat(cum[at:stop] - cum[at], count[at:stop]) + np.repeat(lo[at:stop], count[at:stop])
+            a, b = col["n"][i], col["n"][j]
+            ok = (col["label"][i] != col["label"][j]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            i, j = i[ok], j[ok]
+            ok = (sig[i] != sig[j]).sum(axis=1) <= limit
+            i, j = i[ok], j[ok]
+            ok = _first_mask(sig[i], sig[j]) == col["mask"][i]
+            i, j = col["cls"][i[ok]], col["cls"][j[ok]]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["u", "v"])
+            at = stop
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            at = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "block", "other")], axis=1)
+            at = np.stack([b.column(c).to_numpy().astype(np.int64) for c in _RUN], axis=1)
+            # the last run of a batch may go on in the next one
             cut = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
-            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(at)]):
-                here = tuple(at[lo].tolist())
-                if last is not None and here != last:
-                    yield from compare(held, last[1] != last[2])
-                    held = []
-                held.append(b.slice(lo, hi - lo))
-                last = here
+            last = int(cut[-1]) if len(cut) else 0
+            if held and any(held[-1].column(c)[-1].as_py() != b.column(c)[0].as_py() for c in _RUN):
+                yield from compare(pa.Table.from_batches(held))
+                held = []
+            if last:
+                yield from compare(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
         if held:
-            yield from compare(held, last[1] != last[2])
+            yield from compare(pa.Table.from_batches(held))
     return pairs
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 2,
                     percent: int = LIKENESS) -> DataFrame:
-    """``(id, digest, n_shingles, component_id)`` per row; ``component_id`` is the smallest id reachable over links."""
+    """``(id, digest, n_shingles, component_id, component)`` per row; ``component_id`` is the smallest id reachable over
+    links, ``component`` names the component even if ids are not unique (null without a set)."""
     spark = docs.sparkSession
     source = docs.select(F.col(key).alias("id"), text_digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_type = docs.schema[key].dataType.simpleString()
@@ -260,42 +277,49 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         return confirmed(map_arrow(p, _plausible(limit, percent), "u bigint, v bigint"))
 
     links = materialize(star(members.select(F.col("cls").alias("u"), F.col("centre").alias("v"))), "near-links")
-    turn = 0
+    labels = components(links)
+    turn, before = 0, float("inf")
     while True:
-        labels = components(links)
         labelled = members.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         counts = labelled.groupBy("key", "mask", "label").agg(F.count("*").alias("n"))
         open_groups = counts.groupBy("key", "mask").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("closed")).filter(
             "closed < size * size")
         open_members = materialize(labelled.join(open_groups, ["key", "mask"]), "near-open")
-        state = open_groups.agg(F.sum("size"), F.sum((F.col("size") * F.col("size") - F.col("closed")).cast("double") / 2)).first()
-        if not state[0]:
+        rows_open, pairs_open = open_members.agg(  # two numbers: how much is left to compare
+            F.count("*"), F.sum((F.col("size") - F.col("closed") / F.col("size")) / 2)).first()
+        if not rows_open:
             break
-        if state[1] <= STAR_ROUNDS_WHILE * state[0] or turn >= 8:
+        if pairs_open <= STAR_ROUNDS_WHILE * rows_open or pairs_open > STAR_ROUND_GAIN * before:
             blocks = F.ceil(F.col("size") / BLOCK).cast("int")
             b = open_members.join(sizes, "cls").withColumn("blocks", blocks).withColumn(
                 "mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
             b = b.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             b = b.select("key", F.least("mine", "to").alias("block"), F.greatest("mine", "to").alias("other"),
                          (F.col("mine") > F.col("to")).cast("int").alias("side"), "mask", "cls", "label", "n", "sig")
-            b = b.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "cls")
-            found = map_arrow(b, _block_pairs(limit, percent), "u bigint, v bigint").distinct()
-            links = materialize(links.unionAll(confirmed(found)), "near-links")
-            labels = components(links)
+            b = b.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "side", "cls")
+            found = map_arrow(b, _block_pairs(limit, percent), "u bigint, v bigint")
+            # components of components: the new links join few of them
+            of = labels.select(F.col("id").alias("u"), F.col("label").alias("lu")), labels.select(F.col("id").alias("v"), F.col("label").alias("lv"))
+            new = confirmed(found).join(of[0], "u", "left").join(of[1], "v", "left").select(
+                F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+            joined = components(new).select(F.col("id").alias("label"), F.col("label").alias("into"))
+            labels = labels.join(joined, "label", "left").select("id", F.coalesce("into", "label").alias("label")).unionAll(
+                joined.select(F.col("label").alias("id"), F.col("into").alias("label")))
             break
-        turn += 1
+        turn, before = turn + 1, pairs_open
         centre = F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("v")
         centres = open_members.groupBy("key", "mask").agg(centre, F.min_by("label", F.xxhash64("cls", F.lit(turn))).alias("of"))
         again = open_members.join(centres, ["key", "mask"]).filter("label <> of").select(F.col("cls").alias("u"), "v")
         links = materialize(links.unionAll(star(again)), "near-links")
+        labels = components(links)
 
     named = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = named.join(least, "label").select("set", "component_id")
+    of_set = named.join(least, "label").select("set", "label", "component_id")
     out = rows.join(of_set, "set", "left")
     # rows without a set are their own component
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", "digest", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("id", "digest", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("label").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
@@ -303,10 +327,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """One row of each component (that of the smallest id; of equal ids, the first by text digest) with all its columns."""
     found = near_duplicates(docs, key, text, shingle, percent)
     k, d = fresh(docs, "_id"), fresh(docs, "_digest")
-    empty = F.col("n_shingles") == 0
-    mine = found.filter(empty | F.col("id").eqNullSafe(F.col("component_id"))).groupBy(
-        "component_id", F.when(empty, F.col("digest")).alias("e"), "id", "digest").agg(F.count("*").alias("copies"))
-    keep = materialize(mine.groupBy("component_id", "e").agg(F.min(F.struct("id", "digest", "copies")).alias("x")).select(
+    # rows without a set are only compared with rows of the same id and text
+    group = [F.col("component"), F.when(F.col("component").isNull(), F.struct("id", "digest")).alias("own")]
+    mine = found.groupBy(*group, "id", "digest").agg(F.count("*").alias("copies"))
+    keep = materialize(mine.groupBy("component", "own").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "digest", "copies")).alias("x")).select(
         F.col("x.id").alias(k), F.col("x.digest").alias(d), F.col("x.copies").alias("copies")), "near-keep")
     # rows repeated with id and text: few if any, so their list is small and its join needs no shuffle of the texts
     repeated = materialize(keep.filter("copies > 1").select(k, d), "near-repeated")
