@@ -105,24 +105,24 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame],
     tables = {order: counts}
     for n in range(order - 1, 0, -1):  # in how many contexts does a gram continue?
         tables[n] = tables[n + 1].groupBy("lang", F.substring("g", 2, n).alias("g")).agg(F.count("*").alias("c"))
-    alphabet = tables[1].select("g").distinct().agg((F.count("*") + 1).alias("letters"))
+    letters = tables[1].select("g").distinct().count() + 1  # one number; one more for those never seen
     grams, contexts = [], []
     for n in range(1, order + 1):
         t = tables[n]
         ones, twos = F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))
-        d = t.groupBy("lang").agg(F.least(F.greatest(F.coalesce(ones / (ones + 2 * twos), F.lit(0.5)), F.lit(0.1)), F.lit(0.95)).alias("d"))
+        d = t.groupBy("lang").agg(F.least(F.greatest(F.coalesce(F.try_divide(ones, ones + 2 * twos), F.lit(0.5)), F.lit(0.1)), F.lit(0.95)).alias("d"))
         h = F.substring("g", 1, n - 1) if n > 1 else F.lit("")
         c = t.groupBy("lang", h.alias("h")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
         c = c.join(d, "lang").withColumn("back", F.col("d") * F.col("kinds") / F.col("total"))
         t = t.withColumn("h", h).join(c, ["lang", "h"])
         own = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")
         if n == 1:
-            t = t.crossJoin(F.broadcast(alphabet)).withColumn("p", own + F.col("back") / F.col("letters"))  # one row
-            c = c.crossJoin(F.broadcast(alphabet)).withColumn("back", F.col("back") / F.col("letters"))
+            t = t.withColumn("p", own + F.col("back") / letters)
+            c = c.withColumn("back", F.col("back") / letters)
         else:
             lower = grams[-1].select("lang", F.col("g").alias("s"), F.col("p").alias("lower"))
             t = t.withColumn("s", F.substring("g", 2, n - 1)).join(lower, ["lang", "s"]).withColumn("p", own + F.col("back") * F.col("lower"))
-        grams.append(t.select("lang", "g", "c", "p"))
+        grams.append(materialize(t.select("lang", "g", "c", "p"), f"grams{n}"))
         contexts.append(c.select("lang", "h", "back"))
     return grams, contexts
 
