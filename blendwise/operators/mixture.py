@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blendwise.functions.hashing import md5_unit
@@ -63,16 +63,18 @@ def draw_sources(
     spark: SparkSession, n_draws: int, mixture: DataFrame, seed: int, weight: str = "weight",
     mixture_rows: int | None = None, num_partitions: int | None = None,
 ) -> DataFrame:
-    """M3: ``n_draws`` weighted choices with replacement: (draw_idx, group_id, source, u).
+    """M3: ``n_draws`` weighted choices with replacement: (draw_idx, group_id, source, u);
+    with several runs in the mixture, ``n_draws`` for each run, with its ``run_id``.
 
     ``u = md5(seed:draw_idx)`` in [0, 1) falls into one source interval; the
     interval test is an equi join on a bucket of the unit interval followed by
     a filter, so the cost is O(draws) for any number of sources.
     """
+    rk = _run_keys(mixture, None)
     iv = intervals(mixture, weight).filter(F.col("hi") > F.col("lo"))
     G = DRAW_BUCKETS
     iv = iv.select(
-        "group_id", "source", "lo", "hi",
+        *rk, "group_id", "source", "lo", "hi",
         F.explode(F.sequence(F.floor(F.col("lo") * G), F.ceil(F.col("hi") * G) - 1)).alias("_b"),
     )
     if mixture_rows is not None and mixture_rows <= MIXTURE_BROADCAST_ROWS:
@@ -80,7 +82,7 @@ def draw_sources(
     draws = spark.range(0, n_draws, numPartitions=num_partitions).withColumnRenamed("id", "draw_idx")
     draws = draws.withColumn("u", md5_unit(F.lit(seed), F.col("draw_idx"))).withColumn("_b", F.floor(F.col("u") * G))
     j = draws.join(iv, "_b", "inner").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    return j.select("draw_idx", "group_id", "source", "u")
+    return j.select(*rk, "draw_idx", "group_id", "source", "u")
 
 
 def mix(positioned_blocks: DataFrame, draws: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
@@ -89,7 +91,7 @@ def mix(positioned_blocks: DataFrame, draws: DataFrame, keys: Sequence[str] = ("
     k is the rank of the draw among the draws of its source: a two-level
     prefix count over draw-index buckets, never a window over a whole source.
     """
-    d = prefix_rank(draws, keys, "draw_idx", "_k")
+    d = prefix_rank(draws, [*_run_keys(draws, None), *keys], "draw_idx", "_k")
     d = d.withColumn("read_index", F.col("_k") - 1).drop("_k")
     return cyclic(positioned_blocks, d, keys)
 
@@ -122,12 +124,13 @@ def proportional(mixture: DataFrame, stats: DataFrame, size: str = "n_tokens", r
 
 def mixture_report(mixed: DataFrame, mixture: DataFrame, source: str = "source") -> DataFrame:
     """M9: expected share, drawn share, reads and epochs started per source."""
-    exp = normalize(mixture).select(source, F.col("p").alias("expected_share"))
-    got = mixed.groupBy(source).agg(
+    rk = _run_keys(mixture, None)
+    exp = normalize(mixture).select(*rk, source, F.col("p").alias("expected_share"))
+    got = mixed.groupBy(*rk, source).agg(
         F.count(F.lit(1)).alias("reads"), (F.max("epoch") + 1).alias("epochs"),
     )
-    rep = exp.join(got, source, "left")
-    w = Window.partitionBy()  # over the K-row report only
+    rep = exp.join(got, [*rk, source], "left")
+    w = Window.partitionBy(*rk)  # over the K-row report of a run only
     rep = rep.withColumn("reads", F.coalesce("reads", F.lit(0)).cast("bigint")).withColumn(
         "epochs", F.coalesce("epochs", F.lit(0)).cast("bigint")
     )
@@ -150,10 +153,15 @@ def sample_weights(mixed: DataFrame, probs: DataFrame, source: str = "source", p
 
 
 def apply_mixture(positioned_blocks: DataFrame, probs: DataFrame, budget_tokens: F.Column | int, block_tokens: int,
-                  source: str = "source", p: str = "p") -> DataFrame:
+                  source: str = "source", p: str = "p", repeat: bool = True) -> DataFrame:
     """A corpus under learned weights: ``ceil(p * budget / block)`` blocks per
-    source, read in stream order, repeating (new epoch) past the end."""
-    need = probs.select(source, F.ceil(F.col(p) * F.lit(budget_tokens) / F.lit(block_tokens)).cast("bigint").alias("_need"))
+    source, read in stream order.  Past the end of a source they repeat (new epoch), or
+    (``repeat=False``) the source gives each of its blocks once at most."""
+    budget = budget_tokens if isinstance(budget_tokens, Column) else F.lit(budget_tokens)
+    need = probs.withColumn("_need", F.ceil(F.col(p) * budget / F.lit(block_tokens)).cast("bigint")).select(source, "_need")
+    if not repeat:
+        out = positioned_blocks.join(need, source).filter(F.col("position") < F.col("_need"))
+        return out.withColumn("read_index", F.col("position")).withColumn("epoch", F.lit(0).cast("bigint")).drop("_need", "n_blocks")
     reads = read_range(need.filter(F.col("_need") > 0), "_need", [source])
     return cyclic(positioned_blocks, reads, [source])
 

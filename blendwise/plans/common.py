@@ -77,6 +77,10 @@ SQL_BLOCKS = f"""blocks AS (
   FROM btoks GROUP BY source, chunk_id, block_in_chunk)"""
 
 
+SQL_SUMS = """sums AS (SELECT source, chunk_id, block_in_chunk, CAST(sum(CAST(id AS BIGINT) * (i + 1)) AS BIGINT) AS checksum
+  FROM btoks GROUP BY source, chunk_id, block_in_chunk)"""
+
+
 def with_sql(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes)
 

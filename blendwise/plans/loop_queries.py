@@ -12,8 +12,8 @@ from blendwise.operators import gradients as gr
 from blendwise.operators import optim as op
 from blendwise.operators import loss as ls
 from blendwise.operators import packing as pk
-from blendwise.plans.common import BLOCK, CHUNK, SEED, VOCAB, doc_ids
-from blendwise.plans.loss_queries import lang_blocks, lang_counts, rnd
+from blendwise.plans.common import BLOCK, CHUNK, SEED, VOCAB, doc_ids, sql_num, with_sql
+from blendwise.plans.loss_queries import SQL_LANG, SQL_PROXY, lang_blocks, lang_counts, rnd
 from blendwise.plans.registry import query
 from blendwise.plans.search import SearchConfig, search
 from blendwise.plans.softmax_head import fit_softmax_head
@@ -68,10 +68,28 @@ def l19_search(spark, sf):
     return h.select("run_id", "step", "lang", rnd("z").alias("z"), rnd("p").alias("p"))
 
 
-@query("l21_softmax_head")
+FEATURES, HEAD_STEPS, HEAD_LR = 64, 3, 50.0
+
+
+def sql_head() -> str:
+    """The head's gradient steps, unrolled."""
+    out = [f"""hc AS (SELECT f, v, sum(n) AS c FROM (SELECT CAST(('0x' || substr(md5(CAST(u AS VARCHAR)), 1, 8))::BIGINT % {FEATURES} AS INTEGER) AS f, v, n
+           FROM lc WHERE split = 'train' AND v >= 0 AND v < {VOCAB}) GROUP BY f, v)""",
+           "ht AS (SELECT f, sum(c) AS t FROM hc GROUP BY f)", "hn AS (SELECT sum(c) AS n FROM hc)",
+           f"w0 AS (SELECT CAST(a.range AS INTEGER) AS f, CAST(b.range AS INTEGER) AS v, CAST(0 AS DOUBLE) AS w FROM range({FEATURES}) a, range({VOCAB}) b)"]
+    for k in range(HEAD_STEPS + 1):
+        out.append(f"""j{k} AS (SELECT x.f, x.v, x.w, x.w - m - ln(s) AS logp, coalesce(hc.c, 0) AS c, coalesce(ht.t, 0) AS t
+          FROM (SELECT *, sum(exp(w - m)) OVER (PARTITION BY f) AS s FROM (SELECT *, max(w) OVER (PARTITION BY f) AS m FROM w{k})) x
+          LEFT JOIN hc ON hc.f = x.f AND hc.v = x.v LEFT JOIN ht ON ht.f = x.f)""")
+        out.append(f"w{k + 1} AS (SELECT f, v, w - {sql_num(HEAD_LR)} * (t * exp(logp) - c) / n AS w FROM j{k}, hn)")
+    losses = " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS step, round(-sum(c * logp) / any_value(n), 9) AS loss FROM j{k}, hn" for k in range(HEAD_STEPS + 1))
+    return with_sql(*SQL_LANG, SQL_PROXY[0], *out) + "\n" + losses
+
+
+@query("l21_softmax_head", sql_head())
 def l21_softmax_head(spark, sf):
     c = lang_counts(spark, sf).filter(F.col("split") == "train")
-    _, losses = fit_softmax_head(spark, c, VOCAB, n_features=64, steps=3)
+    _, losses = fit_softmax_head(spark, c, VOCAB, n_features=FEATURES, steps=HEAD_STEPS, lr=HEAD_LR)
     return losses.select("step", rnd("loss").alias("loss"))
 
 

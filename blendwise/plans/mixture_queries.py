@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from blendwise.operators import mixture as mx
 from blendwise.operators.tokens import corpus_stats
-from blendwise.plans.common import BLOCK, PACK_CTES, SEED, VOCAB, blocks, doc_ids, r, with_sql
+from blendwise.plans.common import BLOCK, PACK_CTES, SEED, SQL_SUMS, VOCAB, blocks, checksum, doc_ids, r, with_sql
 from blendwise.plans.packing_queries import SQL_NFILES, SQL_POSITIONED, files, positioned_blocks
 from blendwise.plans.registry import query
+from blendwise.session import with_scalars
 from blendwise.sources import tables
 
 MIN_FILES = 19
@@ -95,11 +96,21 @@ def m3_draw_sources(spark, sf):
     return draws(spark, sf).select("draw_idx", "group_id", "source")
 
 
-@query("m4_mix", f"""{with_sql(*PACK_CTES, SQL_NFILES, SQL_POSITIONED, SQL_MIX, SQL_IV, sql_draws(MIX_DRAWS_PER_DOC), SQL_MIXED)}
-SELECT draw_idx, source, CAST(read_index AS BIGINT) AS read_index, CAST(epoch AS BIGINT) AS epoch, chunk_id, block_in_chunk
-FROM mixed""")
+@query("m4_mix", f"""{with_sql(*PACK_CTES, SQL_SUMS, SQL_NFILES, SQL_POSITIONED, SQL_MIX, SQL_IV, sql_draws(MIX_DRAWS_PER_DOC), SQL_MIXED)}
+SELECT draw_idx, source, CAST(read_index AS BIGINT) AS read_index, CAST(epoch AS BIGINT) AS epoch, chunk_id, block_in_chunk, checksum
+FROM mixed JOIN sums USING (source, chunk_id, block_in_chunk)""")
 def m4_mix(spark, sf):
-    return mixed(spark, sf).select("draw_idx", "source", "read_index", "epoch", "chunk_id", "block_in_chunk")
+    return mixed(spark, sf).select("draw_idx", "source", "read_index", "epoch", "chunk_id", "block_in_chunk",
+                                   checksum("tokens").alias("checksum"))
+
+
+@query("m3_draw_sources_runs", f"""WITH {SQL_MIX}, {SQL_IV}, {sql_draws(DRAWS_PER_DOC)}
+SELECT 'a' AS run_id, draw_idx, group_id, source FROM draws UNION ALL SELECT 'b', draw_idx, group_id, source FROM draws""")
+def m3_draw_sources_runs(spark, sf):
+    m = mixture(spark, sf)
+    both = m.withColumn("run_id", F.lit("a")).unionByName(m.withColumn("run_id", F.lit("b")))
+    d = mx.draw_sources(spark, DRAWS_PER_DOC * n_docs(spark, sf), both, SEED, mixture_rows=2 * m.count())
+    return d.select("run_id", "draw_idx", "group_id", "source")
 
 
 @query("m5_batches", f"""WITH {SQL_MIX}, {SQL_IV}, {sql_draws(DRAWS_PER_DOC)}
@@ -172,16 +183,30 @@ def m11_sample_weights(spark, sf):
     return sw.select("draw_idx", "source", r("sample_weight").alias("sample_weight"))
 
 
-@query("m12_apply_mixture", f"""{with_sql(*PACK_CTES, SQL_NFILES, SQL_POSITIONED, SQL_STATE)},
+@query("m12_apply_mixture", f"""{with_sql(*PACK_CTES, SQL_SUMS, SQL_NFILES, SQL_POSITIONED, SQL_STATE)},
 budget AS (SELECT CAST(sum(len(ids)) AS BIGINT) AS b FROM doc_ids WHERE split = 'train'),
 need AS (SELECT source, CAST(ceil(p * (SELECT b FROM budget) / {BLOCK}) AS BIGINT) AS nd FROM probs WHERE run_id = 'train'),
 reads AS (SELECT source, unnest(range(nd)) AS read_index FROM need WHERE nd > 0)
 SELECT r.source, CAST(r.read_index AS BIGINT) AS read_index, CAST(r.read_index // p.n_blocks AS BIGINT) AS epoch,
-       p.chunk_id, p.block_in_chunk
-FROM reads r JOIN pos p ON p.source = r.source AND p.position = r.read_index % p.n_blocks""")
+       p.chunk_id, p.block_in_chunk, checksum
+FROM reads r JOIN pos p ON p.source = r.source AND p.position = r.read_index % p.n_blocks
+JOIN sums s ON s.source = p.source AND s.chunk_id = p.chunk_id AND s.block_in_chunk = p.block_in_chunk""")
 def m12_apply_mixture(spark, sf):
+    return _applied(spark, sf, repeat=True)
+
+
+@query("m12_apply_mixture_once", f"""{with_sql(*PACK_CTES, SQL_SUMS, SQL_NFILES, SQL_POSITIONED, SQL_STATE)},
+budget AS (SELECT CAST(sum(len(ids)) AS BIGINT) AS b FROM doc_ids WHERE split = 'train'),
+need AS (SELECT source, CAST(ceil(p * (SELECT b FROM budget) / {BLOCK}) AS BIGINT) AS nd FROM probs WHERE run_id = 'train')
+SELECT p.source, CAST(p.position AS BIGINT) AS read_index, CAST(0 AS BIGINT) AS epoch, p.chunk_id, p.block_in_chunk, checksum
+FROM need n JOIN pos p ON p.source = n.source AND p.position < n.nd JOIN sums s ON s.source = p.source AND s.chunk_id = p.chunk_id AND s.block_in_chunk = p.block_in_chunk""")
+def m12_apply_mixture_once(spark, sf):
+    return _applied(spark, sf, repeat=False)
+
+
+def _applied(spark, sf, repeat):
     d = doc_ids(spark, sf).filter(F.col("split") == "train")
-    budget = d.agg(F.sum(F.size("ids")).cast("bigint")).first()[0]
+    budget = d.agg(F.sum("n_tokens").cast("bigint").alias("_budget"))
     pr = probs(spark, sf).filter(F.col("run_id") == "train").select("source", "p")
-    out = mx.apply_mixture(positioned_blocks(spark, sf), pr, budget, BLOCK)
-    return out.select("source", "read_index", "epoch", "chunk_id", "block_in_chunk")
+    out = mx.apply_mixture(positioned_blocks(spark, sf), with_scalars(pr, budget), F.col("_budget"), BLOCK, repeat=repeat)
+    return out.select("source", "read_index", "epoch", "chunk_id", "block_in_chunk", checksum("tokens").alias("checksum"))

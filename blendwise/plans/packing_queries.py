@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from blendwise.operators import packing as pk
 from blendwise.plans.common import (
-    BLOCK, CHUNK, N_BLOCKS, PACK_CTES, SEED, SQL_DOC_IDS, SQL_DOC_OFF, SQL_TOKS, blocks, checksum, doc_ids, sql_pack, with_sql,
+    BLOCK, CHUNK, N_BLOCKS, PACK_CTES, SEED, SQL_DOC_IDS, SQL_DOC_OFF, SQL_SUMS, SQL_TOKS, blocks, checksum, doc_ids, sql_pack, with_sql,
 )
 from blendwise.plans.registry import query
 from blendwise.operators.packing import read_range
@@ -151,25 +151,27 @@ def p8_shuffle_files(spark, sf):
     return shuffled_files(spark, sf).select("source", "file", F.col("file_rank").cast("bigint"))
 
 
-@query("p9_shuffle_blocks", f"""{with_sql(*PACK_CTES, SQL_NFILES, SQL_POSITIONED)}
+@query("p9_shuffle_blocks", f"""{with_sql(*PACK_CTES, SQL_SUMS, SQL_NFILES, SQL_POSITIONED)}
 SELECT source, chunk_id, block_in_chunk, CAST(buffer AS BIGINT) AS buffer, CAST(pos_in_buffer AS BIGINT) AS pos_in_buffer,
-       CAST(position AS BIGINT) AS position
-FROM pos""")
+       CAST(position AS BIGINT) AS position, checksum
+FROM pos JOIN sums USING (source, chunk_id, block_in_chunk)""")
 def p9_shuffle_blocks(spark, sf):
-    return positioned_blocks(spark, sf).select("source", "chunk_id", "block_in_chunk", "buffer", "pos_in_buffer", "position")
+    return positioned_blocks(spark, sf).select("source", "chunk_id", "block_in_chunk", "buffer", "pos_in_buffer", "position",
+                                             checksum("tokens").alias("checksum"))
 
 
-@query("p10_cyclic", f"""{with_sql(*PACK_CTES, SQL_NFILES, SQL_POSITIONED)},
+@query("p10_cyclic", f"""{with_sql(*PACK_CTES, SQL_SUMS, SQL_NFILES, SQL_POSITIONED)},
 reads AS (SELECT source, unnest(range(2 * n_blocks + 2)) AS read_index FROM (SELECT DISTINCT source, n_blocks FROM pos))
 SELECT r.source, CAST(r.read_index AS BIGINT) AS read_index, CAST(r.read_index // p.n_blocks AS BIGINT) AS epoch,
-       p.chunk_id, p.block_in_chunk
-FROM reads r JOIN pos p ON p.source = r.source AND p.position = r.read_index % p.n_blocks""")
+       p.chunk_id, p.block_in_chunk, checksum
+FROM reads r JOIN pos p ON p.source = r.source AND p.position = r.read_index % p.n_blocks
+JOIN sums s ON s.source = p.source AND s.chunk_id = p.chunk_id AND s.block_in_chunk = p.block_in_chunk""")
 def p10_cyclic(spark, sf):
     pos = positioned_blocks(spark, sf)
     sizes = pos.groupBy("source").agg(F.max("n_blocks").alias("n"))
     reads = read_range(sizes.withColumn("n_reads", 2 * F.col("n") + 2), "n_reads", ["source"])
     out = pk.cyclic(pos, reads)
-    return out.select("source", "read_index", "epoch", "chunk_id", "block_in_chunk")
+    return out.select("source", "read_index", "epoch", "chunk_id", "block_in_chunk", checksum("tokens").alias("checksum"))
 
 
 @query("p12_match_sources", f"""{with_sql(SQL_DOC_IDS, SQL_DOC_OFF, SQL_NFILES)},

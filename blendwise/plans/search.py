@@ -87,7 +87,7 @@ def iteration_counts(spark: SparkSession, positioned_blocks: DataFrame, mixture:
 
 
 def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame, target: gr.Grad,
-           cfg: SearchConfig) -> DataFrame:
+           cfg: SearchConfig, resume_from: DataFrame | None = None) -> DataFrame:
     """History ``(run_id, step, source, z, m, v, t, p)`` of the mixture logits.
 
     ``mixture`` is ``(source, group_id, weight)`` (K rows, the configured
@@ -97,6 +97,11 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     counts of all iterations, partitioned by search interval (each step reads
     one partition), and the history, to which every new state is appended
     and from which the next step reads it back (a fresh, K-row lineage).
+
+    ``resume_from`` is an earlier history of the same run (same configuration but for
+    ``n_iters``): the loop goes on after its latest step (S11), sources it does not know
+    start from their initial state (S12), and the proxy is rebuilt from the written
+    counts under the recorded probabilities.
     """
     src = cfg.source
     mix = reuse(mixture.select(F.col(src).alias("source"), "group_id", "weight"))  # K rows, read every step
@@ -123,7 +128,23 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
         h = hs.read_history(spark, hist_path)
         return h.filter((F.col("run_id") == cfg.run_id) & (F.col("step") == step)).select(*state_cols)
 
-    state = record(op.init_state(mix.select("source"), cfg.init, cfg.seed, cfg.run_id), 0)
+    fresh = op.init_state(mix.select("source"), cfg.init, cfg.seed, cfg.run_id)
+    done, pairs = 0, None
+    if resume_from is None:
+        state = record(fresh, 0)
+    else:
+        old = resume_from.withColumnRenamed(src, "source").filter(F.col("run_id") == cfg.run_id)
+        done = old.agg(F.max("step")).first()[0]
+        hs.append_history(old.filter(F.col("step") < done).select(*state_cols, "p"), hist_path)
+        saved = hs.latest_state(old)
+        state = record(hs.merge_state(fresh, saved).select(*state_cols[:1], F.lit(done).cast("bigint").alias("step"), *state_cols[2:]), done)
+        # an interval's counts were weighted by the probabilities of the step it starts with
+        weights = old.filter((F.col("step") < done) & (F.col("step") % cfg.interval == 0)).select(
+            "source", F.col("p").alias("w"), (F.col("step") / cfg.interval).cast("bigint").alias("interval"))
+        if done:
+            past = counts.filter((F.col("interval") < done // cfg.interval) & (F.col("v") != F.lit(ls.IGNORE_PLAIN)))
+            pairs = past.join(F.broadcast(weights), ["interval", "source"]).groupBy("u", "v").agg(  # K rows a step
+                F.sum(F.col("w") * F.col("n")).alias("c"))
     cut_pairs = PeriodicCut(cfg.checkpoint_every)
     # Every table of a step is bounded (one interval of counts, the proxy, K
     # rows of state), so the step queries are planned statically: adaptive
@@ -133,7 +154,7 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     if not cfg.adaptive_steps:
         conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        state, pairs, k = _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all, small)
+        state, pairs, k = _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all, small, done, pairs)
     finally:
         conf.set("spark.sql.adaptive.enabled", aqe)
     # the result reads the written history only: release what the loop kept
@@ -145,10 +166,9 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     return out.withColumnRenamed("source", src) if src != "source" else out
 
 
-def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all, small):
-    pairs = None
-    k = 0
-    for s in range(cfg.interval, cfg.n_iters, cfg.interval):
+def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all, small, done, pairs):
+    k = done // cfg.interval
+    for s in range(done + cfg.interval, cfg.n_iters, cfg.interval):
         interval = s // cfg.interval
         probs = F.broadcast(mx.softmax(state).select("source", F.col("p").alias("w")))  # K rows
         new = counts.filter((F.col("interval") == interval - 1) & (F.col("v") != F.lit(ls.IGNORE_PLAIN)))

@@ -18,9 +18,9 @@ from blendwise.session import cut_lineage, with_scalars
 
 
 def feature_counts(pairs: DataFrame, n_features: int, weight: str | None = None) -> DataFrame:
-    """Weighted counts ``(f, v, c)`` with ``f = xxhash64(u) mod F`` (partial + final aggregate)."""
+    """Weighted counts ``(f, v, c)`` with ``f = md5(u) mod F`` (partial + final aggregate)."""
     w = F.col("n") * (F.col(weight) if weight else F.lit(1.0))
-    f = F.pmod(F.xxhash64("u"), F.lit(n_features)).cast("int")
+    f = (F.conv(F.substring(F.md5(F.col("u").cast("string")), 1, 8), 16, 10).cast("bigint") % n_features).cast("int")
     return pairs.groupBy(f.alias("f"), "v").agg(F.sum(w).alias("c"))
 
 

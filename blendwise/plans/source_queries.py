@@ -36,6 +36,15 @@ def _file_docs(spark, sf):
     return d.withColumn("file", F.concat(F.lit("train/"), F.col("source"), F.lit(".jsonl")))
 
 
+@query("s1_read_jsonl", f"SELECT 'corpus_' || source AS source, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def s1_read_jsonl(spark, sf):
+    """The corpus as JSON lines, one file name per source, read back with labels from the file names."""
+    root = scratch_path(spark, "jsonl")
+    tables.documents(spark, sf).select("text", F.concat("source", F.lit(".jsonl")).alias("file")).write.partitionBy("file").json(f"{root}/train")
+    df = cp.with_source(cp.read_corpus(spark, f"{root}/train/*/*.json", split="train"), SHORT)
+    return df.select("source", F.md5("text").alias("text_md5"))
+
+
 @query("s1_read_corpus", """SELECT 'documents.parquet' AS file_name, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL""")
 def s1_read_corpus(spark, sf):
     df = cp.read_corpus(spark, f"{sf.rstrip('/')}/documents.parquet", split="train", fmt="parquet")

@@ -46,6 +46,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="blendwise-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

@@ -23,7 +23,9 @@ def read_corpus(spark: SparkSession, path: str | list[str], split: str | None =
     """
     reader = spark.read.schema(TEXT_SCHEMA)
     df = reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
-    df = df.select("text", F.col("_metadata.file_path").alias("file")).filter(F.col("text").isNotNull())
+    # a file that Spark wrote is a folder of parts: its name is the folder's
+    path_of = F.regexp_replace("_metadata.file_path", r"/(?:file=)?([^/]*\.jsonl?)/part-[^/]*$", "/$1")
+    df = df.select("text", path_of.alias("file")).filter(F.col("text").isNotNull())
     if split is not None:
         df = df.withColumn("split", F.lit(split))
     return df
