@@ -8,6 +8,10 @@ chunk's allowed errors are enumerated by masking every choice of ``ERRORS`` symb
 With 10 chunks of 4 symbols and one error, all pairs up to distance 19 of 40 meet.  At the lowest linked
 similarity (0.8) the expected distance is 8; the chance that a linked pair shares no key is 4e-8.
 
+Before two sets are compared, an odd sketch rules most unlinked pairs out for sure: 2048 parities of the
+set's elements.  Every element of only one of two sets flips one bit, so the sketches differ in no more
+bits than the sets differ in elements, and a linked pair's sets differ in at most a ninth of their summed sizes.
+
 Links are confirmed on the full sets.  No group is expanded into all of its pairs up front:
 
 1. Texts with equal sets are one class.
@@ -44,6 +48,7 @@ from blendwise.llm.components import components
 CHUNKS, CHUNK, ERRORS = 10, 4, 1
 SYMBOLS = CHUNKS * CHUNK
 EXTRA = 24  # further symbols that are only compared, not indexed: 64 in all
+ODD_BITS = 2048
 LIKENESS = 80  # percent
 BLOCK = 2048  # members of a key group that one task compares with as many others
 STAR_ROUNDS_WHILE = 1000  # another star round while the groups hold more open pairs than this times their members
@@ -85,6 +90,18 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mix64(low) & np.uint64(0xFFFF)).astype("<u2")
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements that fall on each bit."""
+    at = (mix64(s ^ _XOR[0]) & np.uint64(ODD_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=ODD_BITS) & 1).astype(bool))
+
+
+def possible(odd_a: np.ndarray, odd_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs can reach the similarity: their sets differ in at least as many elements as their sketches in bits."""
+    differ = np.bitwise_count(odd_a ^ odd_b).sum(axis=1, dtype=np.int64)
+    return differ * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """(n, masks) keys of an (n, symbols) signature matrix."""
     out = np.empty((len(sig), len(MASKS)), np.uint64)
@@ -119,7 +136,7 @@ def _describer(k: int):
                 unique[p] = t
             sets = shingle_sets(unique, k)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            sigs = [signature(s).tobytes() if len(s) else None for s in sets]
+            sigs = [signature(s).tobytes() + odd_sketch(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 b.column("id"), b.column("digest"), pa.array([keys[p] for p in place], pa.binary()),
                 pa.array([len(sets[p]) for p in place], pa.int64()), pa.array([sigs[p] for p in place], pa.binary())],
@@ -152,18 +169,28 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SYMBOLS + EXTRA)
+    """MinHash symbols of a column of signatures."""
+    return _bytes(column)[:, :2 * (SYMBOLS + EXTRA)].copy().view("<u2")
+
+
+def _odd(column) -> np.ndarray:
+    """Odd sketches of a column of signatures, 64 bits at a time."""
+    return _bytes(column)[:, 2 * (SYMBOLS + EXTRA):].copy().view("<u8")
+
+
+def _bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * (SYMBOLS + EXTRA) + ODD_BITS // 8)
 
 
 def _plausible(limit: int, percent: int):
-    """Keep the pairs that can be linked by signature distance and set sizes."""
+    """Keep the pairs that can be linked by signature distance, odd sketch and set sizes."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for big, lo in ((big, lo) for big in batches for lo in range(0, big.num_rows, 20_000)):
+            b = big.slice(lo, 20_000)
             far = (_matrix(b.column("sig_u")) != _matrix(b.column("sig_v"))).sum(axis=1)
             x, y = b.column("n_u").to_numpy(), b.column("n_v").to_numpy()
             ok = (far <= limit) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            ok &= possible(_odd(b.column("sig_u")), _odd(b.column("sig_v")), x, y, percent)
             yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(ok)), b.column("v").filter(pa.array(ok))], ["u", "v"])
     return keep
 
@@ -187,7 +214,8 @@ def _confirmer(k: int, percent: int):
     return confirm
 
 
-PAIRS_AT_A_TIME = 500_000
+PAIRS_AT_A_TIME = 1_000_000
+SKETCHES_AT_A_TIME = 100_000
 _RUN = ("key", "block", "other")
 
 
@@ -195,7 +223,7 @@ def _block_pairs(limit: int, percent: int):
     """Pairs of one (key, block, block) run that are in different components and can be linked."""
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         col = {c: t.column(c).to_numpy() for c in (*_RUN, "side", "mask", "cls", "label", "n")}
-        sig = _matrix(t.column("sig"))
+        sig, odd = _matrix(t.column("sig")), _odd(t.column("sig"))
         rows = np.arange(len(sig))
         start = np.flatnonzero(np.concatenate(([True], np.any([col[c][1:] != col[c][:-1] for c in _RUN], axis=0))))
         end = np.repeat(np.append(start[1:], len(sig)), np.diff(np.append(start, len(sig))))
@@ -212,12 +240,17 @@ def _block_pairs(limit: int, percent: int):
             j = np.arange(len(i)) - np.repeat(cum[at:stop] - cum[at], count[at:stop]) + np.repeat(lo[at:stop], count[at:stop])
             a, b = col["n"][i], col["n"][j]
             ok = (col["label"][i] != col["label"][j]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-            i, j = i[ok], j[ok]
-            ok = (sig[i] != sig[j]).sum(axis=1) <= limit
-            i, j = i[ok], j[ok]
-            ok = _first_mask(sig[i], sig[j]) == col["mask"][i]
-            i, j = col["cls"][i[ok]], col["cls"][j[ok]]
-            if len(i):
+            all_i, all_j = i[ok], j[ok]
+            for k in range(0, len(all_i), SKETCHES_AT_A_TIME):
+                i, j = all_i[k:k + SKETCHES_AT_A_TIME], all_j[k:k + SKETCHES_AT_A_TIME]
+                ok = possible(odd[i], odd[j], col["n"][i], col["n"][j], percent)
+                i, j = i[ok], j[ok]
+                ok = (sig[i] != sig[j]).sum(axis=1) <= limit
+                i, j = i[ok], j[ok]
+                ok = _first_mask(sig[i], sig[j]) == col["mask"][i]
+                i, j = col["cls"][i[ok]], col["cls"][j[ok]]
+                if not len(i):
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["u", "v"])
             at = stop
 
