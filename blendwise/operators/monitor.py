@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,9 @@ DEVICE_PEAKS = [
     ("quadro rtx 5000", "16-mixed", 89.2e12),
 ]
 
+# Peak FLOP/s of the tensor-processor generations, the same for every precision.
+TENSOR_PEAKS = [("v2", 45e12), ("v3", 123e12), ("v4", 275e12)]
+
 # The named proxy shapes (layers, width, context, vocabulary, MLP width).
 MODEL_SHAPES = [
     ("tinyllama_1M", 2, 256, 2048, 50432, 512),
@@ -74,7 +77,9 @@ def shapes_table(spark) -> DataFrame:
 
 
 def devices_table(spark) -> DataFrame:
-    return spark.createDataFrame(DEVICE_PEAKS, DEVICE_SCHEMA)
+    """Peaks of all device families by precision; a tensor processor has one row per known precision."""
+    precisions = list(dict.fromkeys(p for _, p, _ in DEVICE_PEAKS))
+    return spark.createDataFrame(DEVICE_PEAKS + [(d, p, f) for d, f in TENSOR_PEAKS for p in precisions], DEVICE_SCHEMA)
 
 
 def run_log(events: DataFrame, micro_batch: int = 16, seq_len: int = 2048, bucket_width_us: int = 3600 * 10**6) -> DataFrame:
@@ -100,10 +105,26 @@ def epoch_micros(df: DataFrame, col: str) -> Column:
     return F.unix_micros(F.col(col))
 
 
+FRAME_WIDTH = 1 << 12
+
+
+def _framed(log: DataFrame, rows: int, key: str = "run_id"):
+    """``log`` cut into ranges of iterations, each with the last ``rows`` rows of the range before it, and the
+    window over a range: frames of up to ``rows`` preceding rows in one pass, never a whole run in one task.
+    Rows with ``_own`` false are the copies."""
+    width = max(FRAME_WIDTH, rows)
+    b = F.floor(F.col("iter") / width)
+    near_end = F.col("iter") % width >= width - rows
+    d = log.withColumn("_range", F.explode(F.when(near_end, F.array(b, b + 1)).otherwise(F.array(b))))
+    return d.withColumn("_own", F.col("_range") == b), Window.partitionBy(key, "_range").orderBy("iter")
+
+
 def _lagged(log: DataFrame, w: int, cols: Sequence[str], key: str = "run_id") -> DataFrame:
-    """Each row joined with the row ``w`` iterations earlier (inner: only full windows)."""
-    prev = log.select(key, (F.col("iter") + w).alias("iter"), *[F.col(c).alias(f"{c}_lag") for c in cols])
-    return log.join(prev, [key, "iter"], "inner")
+    """Each row with the values of ``w`` iterations earlier (only full windows)."""
+    d, win = _framed(log, w, key)
+    for c in cols:
+        d = d.withColumn(f"{c}_lag", F.lag(c, w).over(win))
+    return d.withColumn("_before", F.lag("iter", w).over(win)).filter("_own and _before is not null").drop("_own", "_before", "_range")
 
 
 def throughput(log: DataFrame, window: int, world_size: int = 1) -> DataFrame:
@@ -125,12 +146,9 @@ def throughput(log: DataFrame, window: int, world_size: int = 1) -> DataFrame:
 def rolling_loss(log: DataFrame, n: int, window: int | None = None) -> DataFrame:
     """Mean of the last ``n`` losses and its perplexity; with ``window`` only
     where the throughput window is full (as the monitor reports it)."""
-    p = prefix_sum(log, ["run_id"], "iter", "loss", "_P", bucket_width=1 << 12)
-    prev = p.select("run_id", (F.col("iter") + n).alias("iter"), F.col("_P").alias("_Pn"))
-    d = p.join(prev, ["run_id", "iter"], "left")
-    cnt = F.least(F.col("iter") + 1, F.lit(n))
-    avg = (F.col("_P") - F.coalesce("_Pn", F.lit(0.0))) / cnt
-    d = d.select("run_id", "iter", avg.alias("train_loss"))
+    d, win = _framed(log, n)
+    d = d.withColumn("train_loss", F.avg("loss").over(win.rowsBetween(1 - n, 0)))
+    d = d.filter("_own").select("run_id", "iter", "train_loss")
     if window is not None:
         d = d.filter(F.col("iter") >= window)
     return d.withColumn("train_ppl", F.exp("train_loss"))
@@ -154,6 +172,16 @@ def flops_rate(log: DataFrame, window: int, flops_per_batch_: Column, world_size
     return d.select("run_id", "iter", fps.alias("flops_per_sec"), (fps / F.lit(world_size)).alias("device_flops_per_sec"))
 
 
+def mfu_runs(log: DataFrame, shapes: DataFrame, devices: DataFrame, runs: DataFrame, window: int, micro_batch: int,
+             world_size: int = 1) -> DataFrame:
+    """R5 for runs of different models and devices: ``runs(run_id, model, device, precision)`` is joined with the
+    shape and peak lists (configuration tables), the result with the log.  A run whose device has no
+    peak for its precision is left out."""
+    sh = flops_per_batch(shapes, micro_batch).select(F.col("name").alias("model"), "flops_per_batch")
+    per_run = runs.join(F.broadcast(sh), "model").join(F.broadcast(devices), ["device", "precision"])
+    return _utilisation(_lagged(log, window, ["elapsed"]).join(per_run, "run_id"), window, world_size)
+
+
 def mfu(log: DataFrame, shapes: DataFrame, devices: DataFrame, model: str, device: str, precision: str,
         window: int, micro_batch: int, world_size: int = 1) -> DataFrame:
     """utilisation = device FLOP/s / device peak, with the model shape and
@@ -161,7 +189,10 @@ def mfu(log: DataFrame, shapes: DataFrame, devices: DataFrame, model: str, devic
     sh = flops_per_batch(shapes.filter(F.col("name") == model), micro_batch).select(F.lit(1).alias("_k"), "flops_per_batch")
     pk = devices.filter((F.col("device") == device) & (F.col("precision") == precision)).select(F.lit(1).alias("_k"), "peak_flops")
     d = _lagged(log, window, ["elapsed"]).withColumn("_k", F.lit(1))
-    d = d.join(F.broadcast(sh), "_k").join(F.broadcast(pk), "_k")
+    return _utilisation(d.join(F.broadcast(sh), "_k").join(F.broadcast(pk), "_k"), window, world_size)
+
+
+def _utilisation(d: DataFrame, window: int, world_size: int) -> DataFrame:
     fps = F.lit(window) * F.col("flops_per_batch") * F.lit(world_size) / (F.col("elapsed") - F.col("elapsed_lag"))
     dev = fps / F.lit(world_size)
     return d.select("run_id", "iter", fps.alias("flops_per_sec"), dev.alias("device_flops_per_sec"),

@@ -17,6 +17,7 @@ from blendwise.plans.loss_queries import SQL_LANG, SQL_PROXY, lang_blocks, lang_
 from blendwise.plans.registry import query
 from blendwise.plans.search import SearchConfig, search
 from blendwise.plans.softmax_head import fit_softmax_head
+from blendwise.session import scratch_path
 from blendwise.sources import tables
 from blendwise.streaming.metrics_stream import metrics_stream
 
@@ -93,6 +94,27 @@ def l21_softmax_head(spark, sf):
     return losses.select("step", rnd("loss").alias("loss"))
 
 
+R10_DELAY_MINUTES = 10
+
+
+@query("r10_metrics_stream_closed", f"""
+SELECT * FROM (SELECT event_type AS run_id, time_bucket(INTERVAL 1 hour, ts) AS window_start, count(*) AS batches,
+       round(avg(ln(1 + value)), 9) AS mean_loss, round(exp(avg(ln(1 + value))), 9) AS ppl FROM events GROUP BY ALL)
+WHERE window_start + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL {R10_DELAY_MINUTES} minute""")
+def r10_metrics_stream_closed(spark, sf):
+    """The events as a stream, run to completion: the windows that the watermark has closed."""
+    root = scratch_path(spark, "events")
+    events = tables.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+    q = (metrics_stream(stream, "1 hour", f"{R10_DELAY_MINUTES} minutes").writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/ckpt").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    m = spark.read.parquet(f"{root}/out")
+    return m.select("run_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "batches",
+                    rnd("mean_loss").alias("mean_loss"), rnd("ppl").alias("ppl"))
+
+
 @query("r10_metrics_stream", """
 SELECT event_type AS run_id, time_bucket(INTERVAL 1 hour, ts) AS window_start, count(*) AS batches,
        round(count(*) / 3600.0, 9) AS batches_per_sec, count(*) * 16 AS samples, count(*) * 16 * 2048 AS tokens,

@@ -49,14 +49,9 @@ def log(spark, sf):
     return mon.run_log(tables.table(spark, sf, "events"), MICRO, SEQ)
 
 
-def _params() -> int:
-    n, L, E, B, V, I = mon.MODEL_SHAPES[0]
-    return mon.llama_params(L, E, V, I)
-
-
-def _fpb() -> float:
-    n, L, E, B, V, I = mon.MODEL_SHAPES[0]
-    p = _params()
+def _fpb(model: str = mon.MODEL_SHAPES[0][0]) -> float:
+    n, L, E, B, V, I = next(x for x in mon.MODEL_SHAPES if x[0] == model)
+    p = mon.llama_params(L, E, V, I)
     return (3.0 * (2.0 * p * B + 4.0 * L * E * B * B) + 2.0 * (2.0 * 0 * B + 4.0 * L * E * B * B)) * MICRO
 
 
@@ -114,6 +109,29 @@ def r5_mfu(spark, sf):
     return m.select("run_id", "iter", rnd(F.col("mfu") * 1e6, 6).alias("mfu_e6"))
 
 
+# Runs of several models and devices: chosen by the length of the run's name.
+RUN_MODELS = ["tinyllama_1M", "tinyllama_60M"]
+RUN_DEVICES = [("a100", "bf16-mixed", 312e12), ("t4", "16-true", 65e12), ("v4", "bf16-true", 275e12)]
+
+
+def _case(values: list[str], n: int) -> str:
+    return f"CASE length(run_id) % {n} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+@query("r5_mfu_runs", f"""WITH {SQL_LOG}
+SELECT run_id, iter, round({WINDOW} * {_case([sql_num(_fpb(m)) for m in RUN_MODELS], 2)} * {WORLD} / (elapsed - elapsed_lag) / {WORLD}
+       / {_case([sql_num(f) for _, _, f in RUN_DEVICES], 3)} * 1e6, 6) AS mfu_e6
+FROM lagw""")
+def r5_mfu_runs(spark, sf):
+    lg = log(spark, sf)
+    pick = lambda values: F.array(*[F.lit(v) for v in values])[(F.length("run_id") % len(values)).cast("int")]
+    runs = lg.select("run_id").distinct().select(
+        "run_id", pick(RUN_MODELS).alias("model"), pick([d for d, _, _ in RUN_DEVICES]).alias("device"),
+        pick([p for _, p, _ in RUN_DEVICES]).alias("precision"))
+    m = mon.mfu_runs(lg, mon.shapes_table(spark), mon.devices_table(spark), runs, WINDOW, MICRO, WORLD)
+    return m.select("run_id", "iter", rnd(F.col("mfu") * 1e6, 6).alias("mfu_e6"))
+
+
 @query("r6_elapsed", f"""WITH {SQL_LOG}
 SELECT run_id, iter, round(elapsed / 3600.0, 9) AS time_train, round(ev / 3600.0, 9) AS time_val,
        round((elapsed + ev) / 3600.0, 9) AS time_total, samples
