@@ -3,6 +3,7 @@ metrics' batch twin and the streaming pack's batch run (L19, L21, R10, P11)."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import Window
@@ -62,7 +63,75 @@ def val_target(spark, sf, lang=None, order="unigram"):
     return gr.val_gradient(ls.pair_counts(b, ["lang"], order=order), "lang")
 
 
-@query("l19_search")
+SQL_SEARCH_BLOCKS = f"""tb AS (SELECT lang, chunk_id, block_in_chunk, tokens FROM l_blocks WHERE split = 'train'),
+tf AS (SELECT lang, chunk_id, row_number() OVER (PARTITION BY lang ORDER BY ('0x' || substr(md5('{SEED}:' || file), 1, 15))::BIGINT, file) AS file_rank
+       FROM (SELECT DISTINCT lang, chunk_id, 'train_' || lang || '_0_' || lpad(CAST(chunk_id AS VARCHAR), 10, '0') || '.bin' AS file FROM tb)),
+tp AS (SELECT lang, tokens, count(*) OVER (PARTITION BY lang) AS n_blocks,
+         row_number() OVER (PARTITION BY lang ORDER BY file_rank,
+           ('0x' || substr(md5('{SEED}:' || lang || ':' || file_rank || ':' || block_in_chunk), 1, 15))::BIGINT, block_in_chunk) - 1 AS position
+       FROM tb JOIN tf USING (lang, chunk_id)),
+tm AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS group_id, CAST(1 AS DOUBLE) / count(*) OVER () AS w FROM (SELECT DISTINCT lang FROM documents)),
+ti AS (SELECT lang, round(c - w, 12) AS lo, CASE WHEN group_id = max(group_id) OVER () THEN CAST(1 AS DOUBLE) ELSE round(c, 12) END AS hi
+       FROM (SELECT *, sum(w) OVER (ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM tm)),
+tn AS (SELECT n, greatest(1, n // {STEPS}) AS width FROM (SELECT greatest({STEPS + 1}, CAST(ceil(sum(b) / {SEARCH.micro_batch}) AS BIGINT)) AS n
+       FROM (SELECT ceil(sum(len(ids)) / {BLOCK}) AS b FROM doc_ids WHERE split = 'train' GROUP BY lang))),
+td AS (SELECT range AS draw_idx, CAST(('0x' || substr(md5('{SEED}:' || range), 1, 8))::BIGINT AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS u
+       FROM range(0, {SEARCH.micro_batch} * (SELECT n FROM tn))),
+tr AS (SELECT draw_idx, lang, row_number() OVER (PARTITION BY lang ORDER BY draw_idx) - 1 AS k FROM td JOIN ti ON u >= lo AND u < hi),
+tx AS (SELECT r.draw_idx // {SEARCH.micro_batch} AS it, r.lang, unnest(list_slice(p.tokens, 2, len(p.tokens))) AS v
+       FROM tr r JOIN tp p ON p.lang = r.lang AND p.position = r.k % p.n_blocks),
+tc AS (SELECT it, it // width AS part, lang, v, count(*) AS n FROM tx, tn GROUP BY ALL),
+tq AS (SELECT it, lang, v, n / sum(n) OVER (PARTITION BY it, lang) AS q FROM tc, (SELECT width FROM tn) WHERE it % width = 0)"""
+
+SQL_VAL_TARGET = """g0 AS (SELECT lang, v, count(*) AS n FROM l_pairs WHERE split = 'valid' GROUP BY ALL),
+gt AS (SELECT v, sum(q) / (SELECT count(DISTINCT lang) FROM g0) AS q FROM (SELECT lang, v, n / sum(n) OVER (PARTITION BY lang) AS q FROM g0) GROUP BY v)"""
+
+
+def sql_qa_target() -> str:
+    from blendwise.plans.qa_queries import SQL_ITEMS, SQL_QA, sql_sample
+
+    return f"""{SQL_QA}, {sql_sample()}, {SQL_ITEMS},
+g0 AS (SELECT (qa_order - 1) // 16 AS batch, unnest(targets) AS v FROM items),
+g1 AS (SELECT batch, v, count(*) AS n FROM g0 WHERE v <> -100 GROUP BY ALL),
+g2 AS (SELECT (qa_order - 1) // 16 AS batch, count(*) AS len FROM items GROUP BY 1),
+gt AS (SELECT v, sum(n / (nb * len)) / ((SELECT count(*) FROM items) // 16) AS q
+       FROM (SELECT *, sum(n) OVER (PARTITION BY batch) AS nb FROM g1) JOIN g2 USING (batch) GROUP BY v)"""
+
+
+def sql_search(cfg, target: str) -> str:
+    """The search with the unigram head, its steps unrolled."""
+    a, adam = sql_num(cfg.alpha), cfg.optimizer
+    b1, b2, eps = (sql_num(adam[k]) for k in ("beta1", "beta2", "eps"))
+    one = sql_num(1.0)
+    normal = f"""sqrt(-2.0 * ln((CAST(('0x' || substr(h, 1, 8))::BIGINT AS DOUBLE) + 0.5) / CAST(4294967296 AS DOUBLE)))
+        * cos({sql_num(2.0 * 3.141592653589793)} * CAST(('0x' || substr(h, 9, 8))::BIGINT AS DOUBLE) / CAST(4294967296 AS DOUBLE))"""
+    z0 = one if cfg.init == "ones" else f"1e-7 * {normal}"
+    soft = lambda k: f"p{k} AS (SELECT *, exp(z - mz) / sum(exp(z - mz)) OVER () AS p FROM (SELECT *, max(z) OVER () AS mz FROM s{k}))"
+    out = [f"s0 AS (SELECT lang, {z0} AS z, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS vv FROM (SELECT lang, md5('{cfg.seed}:' || lang) AS h FROM tm))", soft(0)]
+    for k in range(STEPS):
+        rate = sql_num(cfg.mix_lr)
+        if cfg.anneal_t_max:
+            rate = f"({rate} * (1.0 + cos({sql_num(math.pi)} * {k + 1} / (SELECT n FROM tn))) / 2.0)"
+        before = "" if k == 0 else f" UNION ALL SELECT v, c FROM c{k - 1}"
+        out.append(f"""c{k} AS (SELECT v, sum(c) AS c FROM (SELECT v, p * n AS c FROM tc JOIN p{k} USING (lang) WHERE part = {k}{before}) GROUP BY v),
+x{k} AS (SELECT sum(c) + {a} * {cfg.vocab} AS zu, ({sql_num(cfg.vocab * cfg.alpha ** 2)} + {sql_num(2 * cfg.alpha)} * sum(c) + sum(c * c)) AS s FROM c{k}),
+b{k} AS (SELECT lang, v, q FROM tq, tn WHERE it = {k + 1} * width),
+i{k} AS (SELECT lang, (SELECT sum(q) FROM gt) * (SELECT s / (zu * zu) FROM x{k})
+           - (SELECT sum(q) FROM gt) * sum(b.q * ({a} + coalesce(c.c, 0)) / zu)
+           - (SELECT sum(g.q * ({a} + coalesce(c2.c, 0)) / zu) FROM gt g LEFT JOIN c{k} c2 USING (v), x{k})
+           + sum(b.q * coalesce(g2.q, 0)) AS ip
+         FROM b{k} b LEFT JOIN c{k} c USING (v) LEFT JOIN gt g2 USING (v), x{k} GROUP BY lang),
+d{k} AS (SELECT p{k}.*, -{sql_num(cfg.learning_rate)} * coalesce(ip, 0) AS g FROM p{k} LEFT JOIN i{k} USING (lang)),
+e{k} AS (SELECT *, p * (g - sum(g * p) OVER ()) AS dz FROM d{k}),
+s{k + 1} AS (SELECT lang, m2 AS m, v2 AS vv, z - {rate} * (m2 / (1.0 - pow({b1}, {k + 1}))) / (sqrt(v2 / (1.0 - pow({b2}, {k + 1}))) + {eps}) AS z
+  FROM (SELECT *, {b1} * m + {sql_num(1 - adam["beta1"])} * dz AS m2, {b2} * vv + {sql_num(1 - adam["beta2"])} * dz * dz AS v2 FROM e{k}))""")
+        out.append(soft(k + 1))
+    rows = " UNION ALL ".join(f"SELECT '{cfg.run_id}' AS run_id, CAST({k} * width AS BIGINT) AS step, lang, round(z, 9) AS z, round(p, 9) AS p "
+                              f"FROM p{k}, tn WHERE {k} * width < n" for k in range(STEPS + 1))
+    return with_sql(*SQL_LANG, SQL_SEARCH_BLOCKS, target, *out) + "\n" + rows
+
+
+@query("l19_search", sql_search(SEARCH, SQL_VAL_TARGET))
 def l19_search(spark, sf):
     cfg = whole_corpus(spark, sf, SEARCH)
     h = search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), val_target(spark, sf), cfg)
@@ -141,7 +210,7 @@ def qa_target(spark, sf, order="unigram"):
     return qa_ops.qa_gradient(it)
 
 
-@query("l19_search_qa")
+@query("l19_search_qa", sql_search(SEARCH_QA, sql_qa_target()))
 def l19_search_qa(spark, sf):
     cfg = whole_corpus(spark, sf, SEARCH_QA)
     h = search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), qa_target(spark, sf), cfg)
