@@ -129,11 +129,17 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame],
 
 # ---- the model ----
 
-def _hash_codes(codes: np.ndarray) -> np.ndarray:
-    """Hash of each row of an (n, k) matrix of code points."""
-    out = np.full(len(codes), codes.shape[1], np.uint64)
-    for i in range(codes.shape[1]):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + codes[:, i].astype(np.uint64) + np.uint64(1))
+# One odd multiplier per distance from the predicted letter (0: the letter itself).
+_FACTORS = mix64(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _hash_codes(codes: np.ndarray, nearest: int = 0) -> np.ndarray:
+    """Hash of each row of an (n, k) matrix of code points, the last one at distance ``nearest`` from the
+    predicted letter: a sum over the letters, so that a gram's hash is its context's plus its letter's."""
+    k = codes.shape[1]
+    out = np.zeros(len(codes), np.uint64)
+    for i in range(k):
+        out += codes[:, i].astype(np.uint64) * _FACTORS[nearest + k - 1 - i]
     return out
 
 
@@ -153,14 +159,14 @@ class Model:
             keys, values = self._table(rows, n, column, np.nan)
             self.keys.append(keys)
             self.logp.append(values)
-            keys, values = self._table(ctx, n - 1, column, 0.0) if n > 1 else (None, self._unseen(ctx, column))
+            keys, values = self._table(ctx, n - 1, column, 0.0, 1) if n > 1 else (None, self._unseen(ctx, column))
             self.ctx.append(keys)
             self.back.append(values)
 
     @staticmethod
-    def _table(rows, k, column, missing):
+    def _table(rows, k, column, missing, nearest=0):
         langs, strings, values = rows
-        h = _hash_codes(_codes(strings, k)) if strings else np.zeros(0, np.uint64)
+        h = _hash_codes(_codes(strings, k), nearest) if strings else np.zeros(0, np.uint64)
         keys, place = np.unique(h, return_inverse=True)
         out = np.full((len(keys) + 1, len(column)), missing, np.float32)  # the last row is for keys that are not there
         if strings:
@@ -193,13 +199,18 @@ class Model:
         first = ends - n
         # positions of the predicted letters
         place = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        lp = self.logp[0][self._find(self.keys[0], _hash_codes(codes[place][:, None]))]
+        letter = codes[place].astype(np.uint64) * _FACTORS[0]
+        lp = self.logp[0][self._find(self.keys[0], letter)]
         lp = np.where(np.isnan(lp), self.back[0][None, :], lp)
+        context = np.zeros(len(place), np.uint64)
         for k in range(2, ORDER + 1):
-            gram = codes[place[:, None] + np.arange(1 - k, 1)]
-            p = self.logp[k - 1][self._find(self.keys[k - 1], _hash_codes(gram))]
-            back = self.back[k - 1][self._find(self.ctx[k - 1], _hash_codes(gram[:, :-1]))]
-            lp = np.where(np.isnan(p), back + lp, p)
+            context = context + codes[place - (k - 1)].astype(np.uint64) * _FACTORS[k - 1]
+            p = self.logp[k - 1][self._find(self.keys[k - 1], context + letter)]
+            missing = np.isnan(p)
+            some = np.flatnonzero(missing.any(axis=1))  # only these need the context's weight
+            back = self.back[k - 1][self._find(self.ctx[k - 1], context[some])]
+            lower, lp = lp[some], p
+            lp[some] = np.where(missing[some], back + lower, p[some])
         return np.add.reduceat(lp.astype(np.float64), np.concatenate(([0], np.cumsum(n)[:-1])), axis=0)
 
 
