@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blendwise.llm.common import (fresh, map_arrow, mix64, row_slices, ship_package, splits_for, table, text_digest,
+from blendwise.llm.common import (fresh, map_arrow, mix64, ship_package, splits_for, table, text_digest,
                                   window_hashes, word_hashes)
 
 WIDTH = 35
