@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from blendwise.operators import packing as pk
 from blendwise.plans.common import (
-    BLOCK, CHUNK, N_BLOCKS, SQL_DOC_IDS, SQL_SPLIT, VOCAB, checksum, doc_ids, sql_pack, with_sql,
+    BLOCK, CHUNK, SQL_DOC_IDS, SQL_SPLIT, VOCAB, checksum, doc_ids, sql_pack, with_sql,
 )
 from blendwise.plans.mixture_queries import SQL_MIX, SQL_STATE, mixture, state
 from blendwise.plans.packing_queries import SQL_PADDED
