@@ -15,11 +15,12 @@ bits than the sets differ in elements, and a linked pair's sets differ in at mos
 Links are confirmed on the full sets.  No group is expanded into all of its pairs up front:
 
 1. Texts with equal sets are one class.
-2. Every key group compares its members with one centre (a star); links make components.
-3. Only pairs of one key group that are still in different components are compared with each
-   other, block by block, by signature distance and set size first; the survivors are confirmed.  Two
-   members of one component need no further link, so nothing is lost.  While the groups still hold
-   many such pairs, further star rounds with other centres come first.
+2. Every key group compares its members with one centre (a star); links make components.  While the groups
+   hold very many pairs in different components, further star rounds with other centres follow.
+3. Pairs of one key group that are in different components are compared with each other, block by block, by
+   signature distance, sketch and set size.  First each component's nearest pair of a group is confirmed
+   and joins components; then all pairs that are still in different components are.  Two members of one
+   component need no further link, so nothing is lost.
 
 Hot groups: keys are counted by partial aggregates, joins on keys or centres are ones that adaptive execution
 splits, and blocks bound what one task compares.  Only counts reach the driver.
@@ -219,8 +220,20 @@ SKETCHES_AT_A_TIME = 100_000
 _RUN = ("key", "block", "other")
 
 
-def _block_pairs(limit: int, percent: int):
-    """Pairs of one (key, block, block) run that are in different components and can be linked."""
+def _nearest(run: np.ndarray, i: np.ndarray, j: np.ndarray, label: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Of the pairs (i, j), those that are the nearest one of their run for the label of either side."""
+    at = np.tile(np.arange(len(i)), 2)
+    side = np.concatenate([label[i], label[j]])
+    order = np.lexsort((differ[at], side, run[i][at]))
+    first = np.ones(len(order), bool)
+    a, b = run[i][at][order], side[order]
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.unique(at[order][first])
+
+
+def _block_pairs(limit: int, percent: int, nearest: bool):
+    """Pairs of one (key, block, block) run that are in different components and can be linked: each
+    component's ``nearest`` one, or all of them, in the first group in which they meet."""
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         col = {c: t.column(c).to_numpy() for c in (*_RUN, "side", "mask", "cls", "label", "n")}
         sig, odd = _matrix(t.column("sig")), _odd(t.column("sig"))
@@ -240,17 +253,21 @@ def _block_pairs(limit: int, percent: int):
             j = np.arange(len(i)) - np.repeat(cum[at:stop] - cum[at], count[at:stop]) + np.repeat(lo[at:stop], count[at:stop])
             a, b = col["n"][i], col["n"][j]
             ok = (col["label"][i] != col["label"][j]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-            all_i, all_j = i[ok], j[ok]
+            all_i, all_j, some = i[ok], j[ok], []
             for k in range(0, len(all_i), SKETCHES_AT_A_TIME):
                 i, j = all_i[k:k + SKETCHES_AT_A_TIME], all_j[k:k + SKETCHES_AT_A_TIME]
                 ok = possible(odd[i], odd[j], col["n"][i], col["n"][j], percent)
                 i, j = i[ok], j[ok]
                 ok = (sig[i] != sig[j]).sum(axis=1) <= limit
+                if not nearest:
+                    ok[ok] = _first_mask(sig[i[ok]], sig[j[ok]]) == col["mask"][i[ok]]
+                some.append((i[ok], j[ok]))
+            i, j = (np.concatenate(x) for x in zip(*some)) if some else (i[:0], j[:0])
+            if nearest and len(i):
+                ok = _nearest(end, i, j, col["label"], (sig[i] != sig[j]).sum(axis=1))
                 i, j = i[ok], j[ok]
-                ok = _first_mask(sig[i], sig[j]) == col["mask"][i]
-                i, j = col["cls"][i[ok]], col["cls"][j[ok]]
-                if not len(i):
-                    continue
+            if len(i):
+                i, j = col["cls"][i], col["cls"][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["u", "v"])
             at = stop
 
@@ -310,41 +327,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         return confirmed(map_arrow(p, _plausible(limit, percent), "u bigint, v bigint"))
 
     links = materialize(star(members.select(F.col("cls").alias("u"), F.col("centre").alias("v"))), "near-links")
-    labels = components(links)
-    turn, before = 0, float("inf")
-    while True:
+    # the smallest centre that a member is linked with, or that centre's own: connected for sure
+    to = links.groupBy("u").agg(F.min("v").alias("v"))
+    labels = to.join(to.select(F.col("u").alias("v"), F.col("v").alias("next")), "v", "left").select(
+        F.col("u").alias("id"), F.coalesce("next", "v").alias("label"))
+
+    def still_open() -> DataFrame:
         labelled = members.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         counts = labelled.groupBy("key", "mask", "label").agg(F.count("*").alias("n"))
-        open_groups = counts.groupBy("key", "mask").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("closed")).filter(
+        groups = counts.groupBy("key", "mask").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("closed")).filter(
             "closed < size * size")
-        open_members = materialize(labelled.join(open_groups, ["key", "mask"]), "near-open")
-        rows_open, pairs_open = open_members.agg(  # two numbers: how much is left to compare
+        return materialize(labelled.join(groups, ["key", "mask"]), "near-open")
+
+    def compared(of: DataFrame, nearest: bool) -> DataFrame:
+        b = of.join(sizes, "cls").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn(
+            "mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        b = b.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        b = b.select("key", F.least("mine", "to").alias("block"), F.greatest("mine", "to").alias("other"),
+                     (F.col("mine") > F.col("to")).cast("int").alias("side"), "mask", "cls", "label", "n", "sig")
+        b = b.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "side", "cls")
+        found = map_arrow(b, _block_pairs(limit, percent, nearest), "u bigint, v bigint")
+        return confirmed(found.distinct() if nearest else found)
+
+    opened = still_open()
+    turn, before = 0, float("inf")
+    while True:
+        rows_open, pairs_open = opened.agg(  # two numbers: how much is left to compare
             F.count("*"), F.sum((F.col("size") - F.col("closed") / F.col("size")) / 2)).first()
-        if not rows_open:
-            break
-        if pairs_open <= STAR_ROUNDS_WHILE * rows_open or pairs_open > STAR_ROUND_GAIN * before:
-            blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-            b = open_members.join(sizes, "cls").withColumn("blocks", blocks).withColumn(
-                "mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-            b = b.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            b = b.select("key", F.least("mine", "to").alias("block"), F.greatest("mine", "to").alias("other"),
-                         (F.col("mine") > F.col("to")).cast("int").alias("side"), "mask", "cls", "label", "n", "sig")
-            b = b.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "side", "cls")
-            found = map_arrow(b, _block_pairs(limit, percent), "u bigint, v bigint")
-            # components of components: the new links join few of them
-            of = labels.select(F.col("id").alias("u"), F.col("label").alias("lu")), labels.select(F.col("id").alias("v"), F.col("label").alias("lv"))
-            new = confirmed(found).join(of[0], "u", "left").join(of[1], "v", "left").select(
-                F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
-            joined = components(new).select(F.col("id").alias("label"), F.col("label").alias("into"))
-            labels = labels.join(joined, "label", "left").select("id", F.coalesce("into", "label").alias("label")).unionAll(
-                joined.select(F.col("label").alias("id"), F.col("into").alias("label")))
+        if not rows_open or pairs_open <= STAR_ROUNDS_WHILE * rows_open or pairs_open > STAR_ROUND_GAIN * before:
             break
         turn, before = turn + 1, pairs_open
-        centre = F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("v")
-        centres = open_members.groupBy("key", "mask").agg(centre, F.min_by("label", F.xxhash64("cls", F.lit(turn))).alias("of"))
-        again = open_members.join(centres, ["key", "mask"]).filter("label <> of").select(F.col("cls").alias("u"), "v")
+        order = F.xxhash64("cls", F.lit(turn))
+        centres = opened.groupBy("key", "mask").agg(F.min_by("cls", order).alias("v"), F.min_by("label", order).alias("of"))
+        again = opened.join(centres, ["key", "mask"]).filter("label <> of").select(F.col("cls").alias("u"), "v")
         links = materialize(links.unionAll(star(again)), "near-links")
         labels = components(links)
+        opened = still_open()
+    if rows_open:
+        links = links.unionAll(compared(opened, nearest=True))
+    labels = components(links)
+    if rows_open:
+        # components of components: the last links join few of them
+        of_u, of_v = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
+        new = compared(still_open(), nearest=False).join(of_u, "u", "left").join(of_v, "v", "left").select(
+            F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+        joined = components(new).select(F.col("id").alias("label"), F.col("label").alias("into"))
+        labels = labels.join(joined, "label", "left").select("id", F.coalesce("into", "label").alias("label")).unionAll(
+            joined.select(F.col("label").alias("id"), F.col("into").alias("label")))
 
     named = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
