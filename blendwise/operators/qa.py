@@ -93,13 +93,13 @@ def qa_batches(items: DataFrame, batch: int = QA_BATCH) -> DataFrame:
     )
 
 
-def qa_gradient(items: DataFrame, batch: int = QA_BATCH, exact: bool = False, check: bool = False) -> Grad:
+def qa_gradient(items: DataFrame, batch: int = QA_BATCH, exact: bool = False, check: bool = True) -> Grad:
     """Gradient of the question/answer loss for the proxy head.
 
     Reference arithmetic: per batch the token-mean loss over kept positions
     divided by the batch length, summed over batches, divided by
     ``n_items div batch``.  ``exact=True`` gives the plain token mean.  ``check`` counts the items first
-    and raises when they do not fill a batch; without it the division by no batch fails when the plan runs.
+    and raises when they do not fill a batch; without it (the rows) the division by no batch fails when the plan runs.
     Counts are per item (pairs never cross items) and grouped by batch.
     """
     if check:

@@ -207,7 +207,7 @@ def qa_target(spark, sf, order="unigram"):
     it = items(spark, sf)
     if order == "unigram":
         it = it.withColumn("ids", F.transform("ids", lambda x: F.lit(ls.UNIGRAM_CONTEXT)))
-    return qa_ops.qa_gradient(it)
+    return qa_ops.qa_gradient(it, check=False)
 
 
 @query("l19_search_qa", sql_search(SEARCH_QA, sql_qa_target()))

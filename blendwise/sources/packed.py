@@ -32,7 +32,7 @@ U16_VOCAB_LIMIT = 65500
 BLOCK_ROWS_SCHEMA = T.StructType([
     T.StructField("file", T.StringType()),
     T.StructField("block_in_chunk", T.LongType()),
-    T.StructField("tokens", T.ArrayType(T.IntegerType())),
+    T.StructField("tokens", T.ArrayType(T.LongType())),
 ])
 
 
@@ -118,16 +118,18 @@ def read_packed_files(spark: SparkSession, pattern: str, block_size: int) -> Dat
 
     def decode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            files, idx, toks = [], [], []
             for name, content in zip(pdf["file"], pdf["content"]):
+                files, idx, toks = [], [], []
                 buf = bytes(content)
                 dtype, chunk_size = parse_header(buf[:HDR_SIZE])
+                if dtype.kind == "f":
+                    raise ValueError(f"{name} holds {dtype} values, not ids")
                 arr = np.frombuffer(buf, dtype=dtype, offset=HDR_SIZE, count=chunk_size).astype(np.int64)
                 n_blocks = chunk_size // block_size
                 for j in range(n_blocks):
                     files.append(name)
                     idx.append(j)
-                    toks.append(arr[j * block_size:(j + 1) * block_size].astype(np.int32))
-            yield pd.DataFrame({"file": files, "block_in_chunk": np.asarray(idx, dtype=np.int64), "tokens": toks})
+                    toks.append(arr[j * block_size:(j + 1) * block_size])
+                yield pd.DataFrame({"file": files, "block_in_chunk": np.asarray(idx, dtype=np.int64), "tokens": toks})
 
     return raw.mapInPandas(decode, BLOCK_ROWS_SCHEMA)
