@@ -46,7 +46,7 @@ def test_emitted_chunks_closed_form(spark, total):
     C, B = 32, 8
     lengths = [total] if total else []
     df = _docs(spark, lengths) if lengths else spark.createDataFrame([], "doc_id long, source string, ids array<int>")
-    blocks = pk.pack(df, C, B).collect()
+    blocks = pk.pack(df, C, B, remainder="drop").collect()
     expected_chunks = max(-(-total // C) - 1, 0) if total else 0
     assert len({r.chunk_id for r in blocks}) == expected_chunks
     assert len(blocks) == expected_chunks * (C // B)
@@ -55,7 +55,7 @@ def test_emitted_chunks_closed_form(spark, total):
 def test_pack_concatenation_is_a_prefix_of_the_stream(spark):
     lengths = [5, 40, 3, 100, 1, 17]  # one document longer than three chunks
     C, B = 24, 8
-    blocks = pk.pack(_docs(spark, lengths), C, B).orderBy("block_no").collect()
+    blocks = pk.pack(_docs(spark, lengths), C, B, remainder="drop").orderBy("block_no").collect()
     flat = [t for r in blocks for t in r.tokens]
     stream = _stream(lengths)
     assert flat == stream[: len(flat)]
@@ -65,14 +65,24 @@ def test_pack_concatenation_is_a_prefix_of_the_stream(spark):
 def test_chunk_not_a_multiple_of_block_skips_the_rest(spark):
     lengths = [70]
     C, B = 30, 8  # 3 blocks per chunk, 6 ids per chunk unreachable
-    blocks = pk.pack(_docs(spark, lengths), C, B).orderBy("block_no").collect()
+    blocks = pk.pack(_docs(spark, lengths), C, B, remainder="drop").orderBy("block_no").collect()
     stream = _stream(lengths)
     assert [r.block_no for r in blocks] == [0, 1, 2, 3, 4, 5]
     assert blocks[3].tokens == stream[30:38]
-    rem = pk.block_remainder(pk.chunks(_docs(spark, lengths), C), C, B).orderBy("chunk_id").collect()
+    rem = pk.block_remainder(pk.chunks(_docs(spark, lengths), C, remainder="drop"), C, B).orderBy("chunk_id").collect()
     assert [r.unreachable for r in rem] == [stream[24:30], stream[54:60]]
 
 
+@pytest.mark.parametrize("lengths", [[], [1], [31], [32], [33], [64], [5, 40, 3, 100, 1, 17]])
+def test_keep_loses_nothing(spark, lengths):
+    C, B = 32, 8
+    df = _docs(spark, lengths) if lengths else spark.createDataFrame([], "doc_id long, source string, ids array<int>")
+    blocks = pk.pack(df, C, B).orderBy("block_no").collect()
+    assert [t for r in blocks for t in r.tokens] == _stream(lengths)
+    assert all(len(r.tokens) == B for r in blocks[:-1]) and all(0 < len(r.tokens) <= B for r in blocks[-1:])
+    assert {r.chunk_id for r in blocks} == {r.chunk_id for r in pk.written_chunks(df, C).collect()}
+
+
 def test_pad_keeps_the_open_chunk(spark):
     lengths = [20]
     C, B = 16, 4

@@ -174,7 +174,7 @@ def test_packed_files_u16_i32_and_bad_magic(spark, tmp_path):
     os.makedirs(bad)
     with open(os.path.join(bad, "x.bin"), "wb") as fh:
         fh.write(b"NOTPKDS" + b"\0" * 40)
-    with pytest.raises(Exception, match="expected format"):
+    with pytest.raises(Exception, match="wrong magic bytes"):
         pf.read_packed_files(spark, os.path.join(bad, "*.bin"), 4).collect()
 
 

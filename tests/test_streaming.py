@@ -39,7 +39,7 @@ def test_stream_pack_equals_batch_pack(spark):
          .option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination(120)
     got = spark.sql("SELECT source, chunk_id, block_in_chunk, tokens FROM packed_stream").toPandas()
-    batch = pk.pack(spark.createDataFrame(rows, SCHEMA), C, B).select("source", "chunk_id", "block_in_chunk", "tokens").toPandas()
+    batch = pk.pack(spark.createDataFrame(rows, SCHEMA), C, B, remainder="drop").select("source", "chunk_id", "block_in_chunk", "tokens").toPandas()
     key = ["source", "chunk_id", "block_in_chunk"]
     g = got.sort_values(key).reset_index(drop=True)
     b = batch.sort_values(key).reset_index(drop=True)
@@ -94,6 +94,6 @@ def test_stream_pack_restarts_from_its_checkpoint(spark):
     spark.createDataFrame(rows[4:], SCHEMA).coalesce(1).write.parquet(os.path.join(src, "batch=1"))
     run()  # restarted from the checkpoint: state and offsets are recovered
     got = spark.read.parquet(out_dir).orderBy("chunk_id", "block_in_chunk").toPandas()
-    exp = pk.pack(spark.createDataFrame(rows, SCHEMA), C, B).orderBy("chunk_id", "block_in_chunk").toPandas()
+    exp = pk.pack(spark.createDataFrame(rows, SCHEMA), C, B, remainder="drop").orderBy("chunk_id", "block_in_chunk").toPandas()
     assert len(got) == len(exp) > 0
     assert all(list(x) == list(y) for x, y in zip(got["tokens"], exp["tokens"]))
