@@ -14,8 +14,8 @@ leaves no half file in the list.
 
 Records with equal payloads: the one with the largest id is the response, the others are
 ``revisit`` records that refer to it and carry the headers but no payload.  Copies
-are found by one partial aggregate on the payload digest; its groups of two and more are
-salted before they are joined back, so a payload that a third of all pages share is spread.
+are found by one partial aggregate on the payload digest.  Its groups of two and more are counted: few are broadcast, so that
+payloads need no shuffle, many are salted before they are joined back, so that a payload that a third of all pages share is spread.
 
 Defined results: a null payload is empty; a null id is written as an empty id and read back as null (it
 is the smallest); repeated rows are records of their own (equal ids: the
@@ -42,6 +42,7 @@ from blendwise.llm.common import map_arrow, materialize, table
 from blendwise.session import scratch_path
 
 SALT = 32
+BROADCAST_ROWS = 100_000  # groups of copies that are sent to every task (4 MB); more are joined by a salted shuffle
 CHUNK = 1 << 20
 LEVEL = 3
 # Fixed values of the format.
@@ -254,8 +255,11 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
                      F.coalesce(payload_col, F.lit("")).alias("payload"))
     p = p.withColumn("key", F.unhex(F.sha1("payload"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
     copies = p.filter(F.octet_length("payload") >= least_bytes).groupBy("key").agg(F.max("id").alias("refers_to"), F.count("*").alias("n"))
-    copies = copies.filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).drop("n")
-    d = p.join(copies, ["key", "salt"], "left")
+    copies = materialize(copies.filter("n > 1").drop("n"), "warc-copies")
+    if copies.count() <= BROADCAST_ROWS:
+        d = p.join(F.broadcast(copies), "key", "left")
+    else:
+        d = p.join(copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["key", "salt"], "left")
     revisit = F.col("refers_to").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("refers_to")))
     return d.select("id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
 

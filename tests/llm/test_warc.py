@@ -39,7 +39,9 @@ def test_query_on_a_table(spark):
         assert (r.record_type, r.refers_to) == (("response", None) if largest == r.page_id else ("revisit", largest))
 
 
-def test_copies_nulls_and_extra_columns(spark):
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_copies_nulls_and_extra_columns(spark, monkeypatch, limit):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
     rows = [(None, None, None), (3, "a b\r\nx", ""), (3, "u", ""), (5, None, "é"), (7, "z", "é"), (5, None, "é"), (9, "u", "x\r\n\r\ny" * 1000),
             (-4, "u", "x\r\n\r\ny" * 1000), (11, "u", "WARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame([(*r, 1, 2, "k") for r in rows], "page_id bigint, url string, html string, payload int, id int, key string")
