@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def validate(batch_losses: DataFrame, eval_iters: int, keys: Sequence[str] = (), batch: str = "batch",
+def validate(batch_losses: DataFrame, eval_iters: int | None, keys: Sequence[str] = (), batch: str = "batch",
              true_mean: bool = False) -> DataFrame:
     """Loss of the first ``eval_iters`` batches summed and divided by
-    ``eval_iters`` (also when fewer batches exist), or their true mean."""
-    first = batch_losses.filter(F.col(batch) < eval_iters)
+    ``eval_iters`` (also when fewer batches exist), or their true mean; all batches with ``eval_iters=None``."""
+    if eval_iters is None:
+        first, true_mean = batch_losses, True
+    else:
+        first = batch_losses.filter(F.col(batch) < eval_iters)
     den = F.count(F.lit(1)) if true_mean else F.lit(float(eval_iters))
     return first.groupBy(*keys).agg((F.sum("loss") / den).alias("val_loss")).withColumn("val_ppl", F.exp("val_loss"))
 

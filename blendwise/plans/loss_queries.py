@@ -233,10 +233,13 @@ SELECT split, round(sum(n * w * loss * keep) / sum(n * w * keep), 9) AS loss FRO
 def l7_weighted_ce(spark, sf):
     c = _masked_counts(spark, sf, ls.IGNORE_WEIGHTED)
     t = ls.token_loss(c, proxy(spark, sf), ignore=ls.IGNORE_WEIGHTED)
+    return ls.weighted_ce(t, _doc_weights(spark, sf), ["split"], source="lang").select("split", rnd("loss").alias("loss"))
+
+
+def _doc_weights(spark, sf):
     docs = tables.table(spark, sf, "documents")
     dw = docs.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    dw = dw.withColumn("w", F.col("_n") / F.sum("_n").over(Window.partitionBy())).drop("_n")  # K rows
-    return ls.weighted_ce(t, dw, ["split"], source="lang").select("split", rnd("loss").alias("loss"))
+    return dw.withColumn("w", F.col("_n") / F.sum("_n").over(Window.partitionBy())).drop("_n")  # K rows
 
 
 @query("l8_reduction_none", f"""{lang_sql()}
@@ -314,6 +317,49 @@ def l15_adam_step(spark, sf):
     return out.select("run_id", "source", rnd("z").alias("z"), rnd("m", 6, 1e9).alias("m_e9"), rnd("v", 6, 1e18).alias("v_e18"))
 
 
+# Presets of the mixture optimiser, with and without weight decay.
+PRESETS = {"val": op.VALIDATION_ADAMW, "qa": op.QA_ADAM, "val_decay": dict(op.VALIDATION_ADAMW, weight_decay=0.1),
+           "qa_decay": dict(op.QA_ADAM, weight_decay=0.1)}
+ADAM_STEPS = 3
+
+
+def sql_adam_steps() -> str:
+    """Several steps along one gradient for every preset."""
+    out, parts = [], []
+    for name, o in PRESETS.items():
+        b1, b2, eps, wd = (sql_num(o[k]) for k in ("beta1", "beta2", "eps", "weight_decay"))
+        out.append(f"{name}0 AS (SELECT run_id, source, dz, z, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS v FROM dz)")
+        for k in range(1, ADAM_STEPS + 1):
+            g, z = ("dz", f"z * (1.0 - {sql_num(MIX_LR)} * {wd})") if o["decoupled"] else (f"(dz + {wd} * z)", "z")
+            out.append(f"""{name}{k} AS (SELECT run_id, source, dz, m, v, zd - {sql_num(MIX_LR)} * (m / (1.0 - pow({b1}, {k}))) / (sqrt(v / (1.0 - pow({b2}, {k}))) + {eps}) AS z
+  FROM (SELECT run_id, source, dz, {z} AS zd, {b1} * m + {sql_num(1 - o["beta1"])} * {g} AS m, {b2} * v + {sql_num(1 - o["beta2"])} * {g} * {g} AS v FROM {name}{k - 1}))""")
+        parts.append(f"SELECT '{name}' AS preset, run_id, source, round(z, 9) AS z, round(m * 1e9, 3) AS m_e9 FROM {name}{ADAM_STEPS}")
+    return lang_sql(*SQL_GRADS, *SQL_IP, *SQL_DZ, *out) + "\n" + " UNION ALL ".join(parts)
+
+
+@query("l15_adam_steps", sql_adam_steps())
+def l15_adam_steps(spark, sf):
+    d = cut_lineage(dz_table(spark, sf).select("run_id", "step", "source", "z", "m", "v", "t", "dz"))  # K rows a run
+    out = None
+    for name, preset in PRESETS.items():
+        st = d.select("run_id", "step", "source", "z", "m", "v", "t")
+        for _ in range(ADAM_STEPS):
+            st = op.adam_step(st, d.select("run_id", "source", "dz"), MIX_LR, **preset)
+        st = st.select(F.lit(name).alias("preset"), "run_id", "source", rnd("z").alias("z"), rnd("m", 3, 1e9).alias("m_e9"))
+        out = st if out is None else out.unionByName(st)
+    return out
+
+
+@query("l7_weighted_ce_none", f"""{lang_sql(*masked_sql(-100))},
+dw AS (SELECT lang, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS w FROM documents GROUP BY lang)
+SELECT split, lang, u, v, n, round(w * loss * keep, 9) AS loss FROM ml JOIN dw USING (lang)""")
+def l7_weighted_ce_none(spark, sf):
+    c = _masked_counts(spark, sf, ls.IGNORE_WEIGHTED)
+    t = ls.token_loss(c, proxy(spark, sf), ignore=ls.IGNORE_WEIGHTED)
+    return ls.weighted_ce(t, _doc_weights(spark, sf), ["split"], source="lang", reduction="none").select(
+        "split", "lang", "u", "v", "n", rnd("loss").alias("loss"))
+
+
 @query("l18_clip", f"""{lang_sql(*SQL_GRADS)},
 nb AS (SELECT lang, sqrt(greatest(sum(x), 0)) AS ns FROM (
    SELECT ga.lang, ga.a * ga.a * {S2} AS x FROM ga LEFT JOIN pc USING (u)

@@ -193,12 +193,24 @@ vb AS (SELECT lang, block_no // {VAL_BATCH} AS batch, avg(-ln({PROB})) AS loss
 SELECT lang, round(sum(loss) / {EVAL_ITERS}, 9) AS val_loss, round(exp(sum(loss) / {EVAL_ITERS}), 9) AS val_ppl
 FROM vb WHERE batch < {EVAL_ITERS} GROUP BY lang""")
 def e1_validate(spark, sf):
+    v = ev.validate(_batch_losses(spark, sf), EVAL_ITERS, ["lang"])
+    return v.select("lang", rnd("val_loss").alias("val_loss"), rnd("val_ppl").alias("val_ppl"))
+
+
+@query("e1_validate_all", f"""{lang_sql()},
+vb AS (SELECT lang, block_no // {VAL_BATCH} AS batch, avg(-ln({PROB})) AS loss
+       FROM l_pairs LEFT JOIN pp USING (u, v) LEFT JOIN pc USING (u) WHERE split = 'valid' GROUP BY ALL)
+SELECT lang, round(avg(loss), 9) AS val_loss, round(exp(avg(loss)), 9) AS val_ppl FROM vb GROUP BY lang""")
+def e1_validate_all(spark, sf):
+    v = ev.validate(_batch_losses(spark, sf), None, ["lang"])
+    return v.select("lang", rnd("val_loss").alias("val_loss"), rnd("val_ppl").alias("val_ppl"))
+
+
+def _batch_losses(spark, sf):
     b = lang_blocks(spark, sf).filter(F.col("split") == "valid").withColumn("batch", F.floor(F.col("block_no") / VAL_BATCH))
     c = ls.pair_counts(b, ["lang", "batch"])
     t = ls.token_loss(c, proxy(spark, sf))
-    bl = ls.cross_entropy(t, ["lang", "batch"])
-    v = ev.validate(bl, EVAL_ITERS, ["lang"])
-    return v.select("lang", rnd("val_loss").alias("val_loss"), rnd("val_ppl").alias("val_ppl"))
+    return ls.cross_entropy(t, ["lang", "batch"])
 
 
 @query("e2_perplexity", f"""{lang_sql()}
