@@ -42,8 +42,10 @@ MODEL_GRAMS = 1_000_000
 CALIBRATION_ROWS = 2_000
 LIMIT = 6.0
 EVIDENCE = 64  # characters whose evidence the reported score counts at most
-FLUSH_WORDS, FLUSH_GRAMS = 200_000, 500_000
-CACHE_WORDS = 200_000
+# Memory bounds of a task: words and grams counted before they are passed on, words remembered, text bytes at a time.
+FLUSH_WORDS, FLUSH_GRAMS = 50_000, 150_000
+CACHE_WORDS = 100_000
+SLICE_BYTES = 1 << 20
 START, END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -83,7 +85,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                   "c": pa.array(counter.values(), pa.int64())})
         grams.clear()
 
-    for b in row_slices(batches, "text"):
+    for b in row_slices(batches, "text", SLICE_BYTES):
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
             seen.setdefault(lang, Counter()).update(words(text))
         if sum(map(len, seen.values())) > FLUSH_WORDS:
@@ -296,7 +298,7 @@ def _calibrate(labelled: DataFrame, model: Model, key: str, rows: int) -> dict[s
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in row_slices(batches, "text"):
+        for b in row_slices(batches, "text", SLICE_BYTES):
             x, n = scorer.cross_entropy(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(list(x), pa.list_(pa.float64())), pa.array(n)], ["lang", "x", "n"])
 
@@ -329,7 +331,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", out: tuple[
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scorer = Scorer(model) if model else None
-        for b in row_slices(batches, text):
+        for b in row_slices(batches, text, SLICE_BYTES):
             texts = b.column(text).to_pylist()
             pred, score, ce, no = [], [], [], []
             if scorer:
