@@ -19,7 +19,7 @@ successor; the texts are shuffled once.
 Defined results: null and empty texts (and those without words) have the fingerprint of no
 terms, all zero bits; rows with a null id come first; rows with the same id are ordered by the
 digest of their text; a single row is its own successor; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored.  A null id is no query of the neighbour search.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blendwise.llm.common import map_arrow, row_slices, ship_package, table, text_digest, word_hashes, window_hashes
+from blendwise.llm.common import map_arrow, materialize, row_slices, ship_package, table, text_digest, word_hashes, window_hashes
 
 BITS = 64
 RADIUS = 3
@@ -195,5 +195,19 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return map_arrow(with_successors(docs, key, text, ranges), _edit, EDITED)
 
 
+def with_near_counts(made: DataFrame, key: str = "doc_id", fingerprint: str = "fingerprint", every: int = 20,
+                     radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``made`` plus ``n_near``: for the rows whose id is divisible by ``every`` (the stated queries), how many other
+    fingerprints of all rows lie within ``radius`` bits; null for the others."""
+    stored = F.conv(F.col(fingerprint), 16, -10).cast("bigint")  # as a signed number
+    asked = F.coalesce(F.col(key) % every == 0, F.lit(False))
+    queries, rest = made.filter(asked).withColumn("_fp", stored), made.filter(~asked)
+    near = find_near(queries.select(F.col("_fp").alias("fingerprint")), made.select(stored.alias("fingerprint")), radius, blocks)
+    counts = near.groupBy(F.col("fingerprint").alias("_fp")).agg(F.count("*").alias("n_near"))
+    found = queries.join(counts, "_fp", "left").drop("_fp").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("bigint")))
+    return found.unionByName(rest.withColumn("n_near", F.lit(None).cast("bigint")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = materialize(compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text")), "fingerprints")
+    return with_near_counts(made)

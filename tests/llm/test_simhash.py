@@ -55,6 +55,11 @@ def test_query_on_a_table(spark):
     check(simhash.compare_edited(df).collect(), docs)
     rows = simhash.op7_simhash(spark, SF).collect()
     assert len(rows) == 200
+    fps = {int(r.fingerprint, 16) for r in rows}
+    for r in rows:  # the neighbour search against all fingerprints
+        mine = int(r.fingerprint, 16)
+        want = sum(f != mine and (f ^ mine).bit_count() <= simhash.RADIUS for f in fps) if r.doc_id % 20 == 0 else None
+        assert r.n_near == want
     assert sum(r.near_edited for r in rows) / 200 > 0.7 > 0.6 > sum(r.near_next for r in rows) / 200
 
 
