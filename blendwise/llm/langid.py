@@ -14,8 +14,8 @@ to the tasks; counts, totals and discounts are of all grams).
 A text's score for a language is the mean negative log probability per character (end marks
 included).  Words are scored once per task and remembered.  The prediction is the language with the
 lowest cross-entropy.  It is rejected when that cross-entropy lies above both calibrated limits of the
-language: mean + ``LIMIT`` standard deviations of its own texts of that length, and the middle between its own texts
-and those of other languages.  The limits are fitted on about ``CALIBRATION_ROWS`` training rows per language, chosen by hash.
+language: mean + ``LIMIT`` standard deviations of its own texts of that length, and ``FOREIGN`` times as far from its own
+texts as texts of other languages are on average (so that mixed texts and those with codes inside stay).  The limits are fitted on about ``CALIBRATION_ROWS`` training rows per language, chosen by hash.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; ties of the
 cross-entropy go to the first language by name; with nothing to learn from every text is
@@ -41,6 +41,7 @@ ORDER = 4
 MODEL_GRAMS = 1_000_000
 CALIBRATION_ROWS = 2_000
 LIMIT = 6.0
+FOREIGN = 1.5
 EVIDENCE = 64  # characters whose evidence the reported score counts at most
 # Memory bounds of a task: words and grams counted before they are passed on, words remembered, text bytes at a time.
 FLUSH_WORDS, FLUSH_GRAMS = 50_000, 150_000
@@ -288,7 +289,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", calibration_rows: int = CALIBR
 
 def _calibrate(labelled: DataFrame, model: Model, key: str, rows: int) -> dict[str, tuple[float, float, float, float]]:
     """Per language: mean cross-entropy of its own texts, variance per character and between long texts, and
-    the middle between its own texts and texts of other languages (or of unseen letters, if there are none)."""
+    the limit set by texts of other languages (or by unseen letters, if there are none)."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = {r["lang"]: min(1.0, rows / r["count"]) for r in usable.groupBy("lang").count().collect()}
     take = F.lit(False)
@@ -317,7 +318,7 @@ def _calibrate(labelled: DataFrame, model: Model, key: str, rows: int) -> dict[s
         a = np.stack([1 / n, np.ones_like(n)], axis=1)
         w = n / (1 + n / 200)
         per_char, between = np.linalg.lstsq(a * np.sqrt(w)[:, None], off * np.sqrt(w), rcond=None)[0] if len(x) > 2 else (1.0, 0.0)
-        out[lang] = (mean, max(float(per_char), float(np.median(off * n)), 1e-3), max(float(between), 1e-3), (mean + foreign) / 2)
+        out[lang] = (mean, max(float(per_char), float(np.median(off * n)), 1e-3), max(float(between), 1e-3), mean + FOREIGN * (foreign - mean))
     return out
 
 
@@ -347,11 +348,11 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", out: tuple[
                     no.append(True)
                     continue
                 lang = model.langs[best[i]]
-                mean, per_char, between, middle = model.limits.get(lang, (np.inf, 1.0, 1.0, np.inf))
+                mean, per_char, between, far = model.limits.get(lang, (np.inf, 1.0, 1.0, np.inf))
                 pred.append(lang)
                 score.append(float(sure[i]))
                 ce.append(float(low[i]))
-                no.append(bool(low[i] > max(middle, mean + LIMIT * np.sqrt(per_char / n[i] + between))))
+                no.append(bool(low[i] > max(far, mean + LIMIT * np.sqrt(per_char / n[i] + between))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()),
                                               pa.array(ce, pa.float64()), pa.array(no, pa.bool_())], [f.name for f in schema])
 
