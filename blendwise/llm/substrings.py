@@ -27,6 +27,7 @@ are kept by ``dedup_substrings``.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -115,12 +116,27 @@ def _blobs(part: int, ranges: np.ndarray, columns: dict[str, np.ndarray], flags:
     ends = np.append(cut[1:], len(ranges))
     made = {"range": pa.array(ranges[cut], pa.int32()), "part": pa.array(np.full(len(cut), part), pa.int32())}
     for k, v in columns.items():
-        made[k] = pa.array([v[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())
+        pack = pack_keys if k == "keys" else np.ndarray.tobytes
+        made[k] = pa.array([pack(v[a:b]) for a, b in zip(cut, ends)], pa.binary())
     for k, v in flags.items():
         made[k] = pa.array([np.packbits(v[a:b]).tobytes() for a, b in zip(cut, ends)], pa.binary())
     return pa.table([made[n] for n in names], names=names)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit keys as gaps: the two high bytes of the gaps are mostly small and compress, the low ones do not."""
+    gaps = np.diff(keys.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4)
+    return len(keys).to_bytes(4, "little") + gaps[:, :2].tobytes() + zlib.compress(gaps[:, 2:].T.tobytes(), 1)
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    gaps = np.empty((n, 4), np.uint8)
+    gaps[:, :2] = np.frombuffer(blob, np.uint8, 2 * n, 4).reshape(n, 2)
+    gaps[:, 2:] = np.frombuffer(zlib.decompress(blob[4 + 2 * n:]), np.uint8).reshape(2, n).T
+    return np.cumsum(gaps.view("<u4").ravel(), dtype=np.uint32)
+
+
 def _unflag(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
 
@@ -167,7 +183,7 @@ def _prober(block: int, ranges: int):
 def _match_probes(key, rows):
     """Keys of one range that are a block somewhere and occur at least twice, back to the parts that sent them."""
     parts = rows.column("part").to_pylist()
-    sent = [np.frombuffer(x, "<u4") for x in rows.column("keys").to_pylist()]
+    sent = [unpack_keys(x) for x in rows.column("keys").to_pylist()]
     n = [len(x) for x in sent]
     is_block = np.concatenate([_unflag(x, k) for x, k in zip(rows.column("is_block").to_pylist(), n)])
     twice = np.concatenate([_unflag(x, k) for x, k in zip(rows.column("twice").to_pylist(), n)])

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import SF, edge_documents, words
 
@@ -47,6 +48,15 @@ def test_random_corpora(spark, width):
         assert r.kept == (kept if gone else None)
 
 
+def test_packed_keys():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000, 50_000):
+        keys = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32))
+        assert (substrings.unpack_keys(substrings.pack_keys(keys)) == keys).all()
+    edge = np.array([0, 1, 255, 256, 65535, 65536, (1 << 32) - 1], np.uint32)
+    assert (substrings.unpack_keys(substrings.pack_keys(edge)) == edge).all()
+
+
 def test_query_on_a_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     want = dict(zip(docs, brute(docs.values(), 35)))
