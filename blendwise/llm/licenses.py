@@ -102,7 +102,7 @@ NOTICES = [
     ("unlicense", "public domain", "this is free and unencumbered software released into the public domain"),
     ("public-domain", "public domain", "(?:released|dedicated|placed) (?:in|to|into) the public domain"),
     ("cc0-1.0", "waived", "waived all copyright and related or neighboring rights"),
-    ("wtfpl", "what the", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("wtfpl", "verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
     ("ofl-1.1", "font software", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
     ("warranty-disclaimer", "warranty", "(?:this|the) software is provided (?:by .{1,60}? )?as is without warranty of any kind"),
     ("proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
@@ -116,8 +116,9 @@ GENERIC = [
     ("spdx-reference", "spdx", "spdx licen[cs]e identifier \\S+"),
 ]
 
+# Every text that a rule matches contains at least one of these (checked over all variants of all patterns in tests).
 GATES = ["licen", "copyright", "warranty", "public domain", "spdx", "hereby granted", "gplv", "gnu gpl", "agpl", "lgpl", "bsd",
-         "cc0", "creative commons", "redistribut", "confidential"]
+         "cc0", "creative commons", "redistribut", "confidential", "without restriction", "endorse", "advertising", "nasa"]
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.5}
 
 

@@ -88,3 +88,51 @@ def test_edge_cases(spark):
 def test_main_path_is_native(spark):
     plan = licenses.op9_license_scan(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def variants(pattern):
+    """Texts that a pattern matches: every alternative, optional parts left out and put in, anything else once."""
+    from re import _parser as sre
+
+    def of(parsed):
+        out = [""]
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "BRANCH":
+                more = [x for branch in arg[1] for x in of(branch)]
+            elif name == "SUBPATTERN":
+                more = of(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                more = [""] * (arg[0] == 0) + of(arg[2])
+            elif name == "IN":
+                more = [chr(x) if str(o) == "LITERAL" else "q" for o, x in arg]
+            elif name == "ANY":
+                more = ["q"]
+            elif name == "ASSERT":
+                more = [""]
+            else:
+                raise AssertionError(name)
+            out = [a + b for a in out for b in more]
+        return out
+
+    return of(sre.parse(pattern))
+
+
+def test_every_text_that_a_rule_matches_passes_gate_and_keyword():
+    for r in licenses.rules():
+        for text in variants(r["pattern"]):
+            assert re.search(r["pattern"], f" {text} "), (r, text)
+            assert any(g in text for g in licenses.GATES), (r, text)
+            assert r["keyword"] in text, (r, text)
+
+
+def test_a_sample_text_of_every_rule_is_labelled(spark):
+    rows = [(r["rank"], r["priority"], r["label"], variants(r["pattern"])[-1]) for r in licenses.rules()]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "rank int, priority int, label string, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.labels and r.score >= licenses.CONFIDENCE[r.priority], r
+        if r.priority == 1:
+            assert r.label in r.labels.split(","), r
