@@ -14,8 +14,10 @@ to the tasks; counts, totals and discounts are of all grams).
 A text's score for a language is the mean negative log probability per character (end marks
 included).  Words are scored once per task and remembered.  The prediction is the language with the
 lowest cross-entropy.  It is rejected when that cross-entropy lies above both calibrated limits of the
-language: mean + ``LIMIT`` standard deviations of its own texts of that length, and ``FOREIGN`` times as far from its own
-texts as texts of other languages are on average (so that mixed texts and those with codes inside stay).  The limits are fitted on about ``CALIBRATION_ROWS`` training rows per language, chosen by hash.
+language: mean + ``LIMIT`` standard deviations of its own texts of that length, and the middle between the ``OWN_TAIL`` quantile
+of its own texts and the ``FOREIGN_TAIL`` quantile of texts of languages that are left out.  A text of a left-out
+language has the lowest cross-entropy of all models but its own, and counts for the language that gives it.
+The limits are fitted on about ``CALIBRATION_ROWS`` training rows per language, chosen by hash.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; ties of the
 cross-entropy go to the first language by name; with nothing to learn from every text is
@@ -41,7 +43,8 @@ ORDER = 4
 MODEL_GRAMS = 1_000_000
 CALIBRATION_ROWS = 2_000
 LIMIT = 6.0
-FOREIGN = 1.5
+OWN_TAIL, FOREIGN_TAIL = 0.999, 0.05
+FOREIGN_TEXTS = 20  # with fewer left-out texts of its own a language takes those of all others
 EVIDENCE = 64  # characters whose evidence the reported score counts at most
 # Memory bounds of a task: words and grams counted before they are passed on, words remembered, text bytes at a time.
 FLUSH_WORDS, FLUSH_GRAMS = 50_000, 150_000
@@ -289,7 +292,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", calibration_rows: int = CALIBR
 
 def _calibrate(labelled: DataFrame, model: Model, key: str, rows: int) -> dict[str, tuple[float, float, float, float]]:
     """Per language: mean cross-entropy of its own texts, variance per character and between long texts, and
-    the limit set by texts of other languages (or by unseen letters, if there are none)."""
+    the limit set by texts of left-out languages (or by unseen letters, if there are none)."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = {r["lang"]: min(1.0, rows / r["count"]) for r in usable.groupBy("lang").count().collect()}
     take = F.lit(False)
@@ -305,20 +308,27 @@ def _calibrate(labelled: DataFrame, model: Model, key: str, rows: int) -> dict[s
 
     p = map_arrow(usable.filter(take).select("lang", "text"), score, "lang string, x array<double>, n double").filter("n > 0").toPandas()
     x_all, n_all, lang_all = np.array(p["x"].tolist()).reshape(-1, len(model.langs)), p["n"].to_numpy(), p["lang"].to_numpy()
+    mine = np.array([model.langs.index(x) for x in lang_all], np.int64)
+    others = x_all.copy()
+    others[np.arange(len(mine)), mine] = np.inf  # each text's language is left out
+    nearest, lowest = others.argmin(axis=1), others.min(axis=1, initial=np.inf)
     out = {}
     for i, lang in enumerate(model.langs):
-        own = lang_all == lang
+        own = mine == i
         x, n = x_all[own, i], n_all[own]
         if not len(x):
             continue
         mean = float(np.average(x, weights=n))
-        foreign = float(np.average(x_all[~own, i], weights=n_all[~own])) if (~own).any() else -float(model.back[0][i])
+        away = lowest[~own & (nearest == i)]
+        if len(away) < FOREIGN_TEXTS:
+            away = lowest[~own]
+        foreign = float(np.quantile(away, FOREIGN_TAIL)) if len(away) else -float(model.back[0][i])
         off = (x - mean) ** 2
         # off ~ per_char / n + between: weighted least squares, both kept positive
         a = np.stack([1 / n, np.ones_like(n)], axis=1)
         w = n / (1 + n / 200)
         per_char, between = np.linalg.lstsq(a * np.sqrt(w)[:, None], off * np.sqrt(w), rcond=None)[0] if len(x) > 2 else (1.0, 0.0)
-        out[lang] = (mean, max(float(per_char), float(np.median(off * n)), 1e-3), max(float(between), 1e-3), mean + FOREIGN * (foreign - mean))
+        out[lang] = (mean, max(float(per_char), float(np.median(off * n)), 1e-3), max(float(between), 1e-3), (float(np.quantile(x, OWN_TAIL)) + foreign) / 2)
     return out
 
 

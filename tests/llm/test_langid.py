@@ -112,3 +112,31 @@ def test_edge_cases(spark):
 def test_foreign_and_random_texts_are_rejected(spark, text):
     model = langid.fit_on_documents(spark.read.parquet(f"{SF}/documents.parquet"))
     assert langid.identify(spark.createDataFrame([(text,)], "text string"), model).first().rejected
+
+
+def test_a_held_back_language_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    model = langid.fit_on_documents(docs.filter("lang <> 'es'"))
+    assert "es" not in model.langs
+    rows = langid.identify(docs.filter("length(text) >= 500"), model).collect()
+    held = [r.rejected for r in rows if r.lang == "es"]
+    learned = [r.rejected for r in rows if r.lang != "es"]
+    assert len(held) > 50 and sum(held) >= 0.8 * len(held)
+    assert sum(learned) <= 0.005 * len(learned)
+
+
+def test_an_unseen_script_is_rejected_by_a_model_of_several_scripts(spark):
+    import random
+
+    rng = random.Random(3)
+    alphabets = {"la": "abcdefghijklmnop", "el": "αβγδεζηθικλμνξοπ", "ru": "абвгдежзийклмноп", "he": "אבגדהוזחטיכלמנסע"}
+    unseen = "កខគឃងចឆជឈញដឋឌឍណត"
+
+    def text(letters):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(30)]
+        return " ".join(rng.choice(words) for _ in range(60))
+
+    docs = [(i, lang, text(a)) for i, (lang, a) in enumerate(sorted(alphabets.items()) * 60)]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id bigint, lang string, text string"))
+    tests = spark.createDataFrame([(True, text(unseen)) for _ in range(10)] + [(False, t) for _, _, t in docs], "want boolean, text string")
+    assert all(r.rejected == r.want for r in langid.identify(tests, model).collect())
