@@ -8,8 +8,8 @@ sums them and derives discounts, contexts and probabilities order by order with
 
 The finished model is a few arrays: per order the sorted 64-bit hashes of the grams with a row of log
 probabilities (one column per language), and the sorted hashes of the contexts with their back-off
-weights.  It holds at most ``MODEL_GRAMS`` grams per language and order, the most frequent (a documented bound on what is sent
-to the tasks; counts, totals and discounts are of all grams).
+weights.  It holds all grams and contexts, whatever their number; it is made on the driver and sent to the tasks whole, so
+very large alphabets need the memory for it.
 
 A text's score for a language is the mean negative log probability per character (end marks
 included).  Words are scored once per task and remembered.  The prediction is the language with the
@@ -40,7 +40,6 @@ from pyspark.sql import types as T
 from blendwise.llm.common import map_arrow, materialize, mix64, row_slices, table
 
 ORDER = 4
-MODEL_GRAMS = 1_000_000
 CALIBRATION_ROWS = 2_000
 LIMIT = 6.0
 OWN_TAIL, FOREIGN_TAIL = 0.999, 0.05
@@ -264,19 +263,6 @@ def _collected(df: DataFrame, text: str, value: str) -> tuple[list, list, list]:
     return p["lang"].tolist(), p[text].tolist(), p[value].tolist()
 
 
-def _largest(t: DataFrame, limit: int) -> DataFrame:
-    """Grams that occur often enough for at most ``limit`` of a language to remain (all of them unless there are more)."""
-    of_count = t.groupBy("lang", "c").agg(F.count("*").alias("kinds"))
-    over = of_count.groupBy("lang").agg(F.sum("kinds").alias("n")).filter(F.col("n") > limit)
-    if over.isEmpty():
-        return t
-    from pyspark.sql import Window
-
-    run = F.sum("kinds").over(Window.partitionBy("lang").orderBy(F.desc("c")))
-    least = of_count.withColumn("run", run).filter(F.col("run") <= limit).groupBy("lang").agg(F.min("c").alias("least"))
-    return t.join(F.broadcast(least), "lang").filter("c >= least")  # one row per language
-
-
 def fit(labelled: DataFrame, key: str = "doc_id", calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """Model of ``labelled(key, lang, text)``; None if there is nothing to learn from."""
     counts = materialize(gram_counts(labelled), "grams")
@@ -284,8 +270,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", calibration_rows: int = CALIBR
     if not langs:
         return None
     grams, contexts = kneser_ney(counts)
-    model = Model(langs, [_collected(_largest(t, MODEL_GRAMS), "g", "p") for t in grams],
-                  [_collected(c, "h", "back") for c in contexts])
+    model = Model(langs, [_collected(t, "g", "p") for t in grams], [_collected(c, "h", "back") for c in contexts])
     model.limits = _calibrate(labelled, model, key, calibration_rows)
     return model
 

@@ -140,3 +140,13 @@ def test_an_unseen_script_is_rejected_by_a_model_of_several_scripts(spark):
     model = langid.fit(spark.createDataFrame(docs, "doc_id bigint, lang string, text string"))
     tests = spark.createDataFrame([(True, text(unseen)) for _ in range(10)] + [(False, t) for _, _, t in docs], "want boolean, text string")
     assert all(r.rejected == r.want for r in langid.identify(tests, model).collect())
+
+
+def test_the_model_holds_all_grams(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_GRAMS", 5, raising=False)  # the cap that there was
+    df = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate(TEXTS)], "doc_id bigint, lang string, text string")
+    model = langid.fit(df)
+    want = brute(TEXTS)
+    for n, (keys, logp) in enumerate(zip(model.keys, model.logp), 1):
+        assert len(keys) == len({g for p in want.values() for g in p if len(g) == n})
+        assert (logp[:-1] == logp[:-1]).sum() == sum(len(g) == n for p in want.values() for g in p)  # not NaN
