@@ -3,7 +3,8 @@
 Words are lower-cased runs of letters, digits and non-ASCII characters; shingles have five of them
 (a shorter item is one shingle).  Every benchmark item gets a 64-bit SimHash of its shingles, each
 weighted by its occurrences.  Every window of a document that is as long as an item and shares a shingle with it gets a
-rolling SimHash (windows that share none have similarity 0 and cannot qualify).  The items'
+rolling SimHash (windows that share none have similarity 0 and cannot qualify).  With ``short_documents``, as in the
+query and the pipeline, a document shorter than the item is one window as a whole; otherwise it has no window.  The items'
 fingerprints are indexed in 8 blocks of 8 bits: fingerprints within ``RADIUS`` bits differ in at most
 ``RADIUS // 8`` bits in some block, so each item is entered under every block value that close, and no item
 within the radius is missed.  Candidates are verified by the exact weighted similarity of shingle bags,
@@ -89,7 +90,7 @@ class ItemIndex:
             found |= entry.get(print_ >> (8 * j) & 0xFF, set())
         return {n for n in found if (print_ ^ int(self.prints[n])).bit_count() <= RADIUS}
 
-    def leaks(self, texts: list[bytes | None]) -> list[list[tuple[int, int, int, float, int]]]:
+    def leaks(self, texts: list[bytes | None], short_documents: bool = False) -> list[list[tuple[int, int, int, float, int]]]:
         """Per text: (item, first word, words, similarity, distance) of the best window of every leaked item."""
         h, word0 = word_hashes(texts, lower=True, plain=True)
         out: list[list] = [[] for _ in texts]
@@ -108,6 +109,8 @@ class ItemIndex:
                     hits.setdefault((t, n), []).append(p)
         for (t, n), positions in hits.items():
             size, k, bag = self.size[n], self.k[n], self.bags[n]
+            if short_documents:
+                size = min(size, int(word0[t + 1] - word0[t]))
             lo, hi = int(word0[t]), int(word0[t + 1]) - size
             starts = sorted({s for p in positions for s in range(max(lo, p - size + k), min(hi, p) + 1)})
             best = None
@@ -160,7 +163,7 @@ LEAKS = "id bigint, item_id bigint, start_word bigint, n_words bigint, similarit
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-               item_text: str = "text") -> DataFrame:
+               item_text: str = "text", short_documents: bool = False) -> DataFrame:
     """One row per document and leaked item: the place of its most similar window (the first of equals)."""
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     out = None
@@ -171,7 +174,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             names = [x.split()[0] for x in LEAKS.split(", ")]
             kinds = [pa.int64()] * 4 + [pa.float64(), pa.int32()]
             for b in row_slices(batches, "text"):
-                found = index.value.leaks(b.column("text").cast(pa.binary()).to_pylist())
+                found = index.value.leaks(b.column("text").cast(pa.binary()).to_pylist(), short_documents)
                 rows = [(i, *x) for i, xs in zip(b.column("id").to_pylist(), found) for x in xs]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -181,14 +184,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+                      short_documents: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark."""
     for items in _slices(benchmark, item, item_text):
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items))
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in row_slices(batches, text):
-                found = index.value.leaks(b.column(text).cast(pa.binary()).to_pylist())
+                found = index.value.leaks(b.column(text).cast(pa.binary()).to_pylist(), short_documents)
                 yield b.filter(pa.array([not x for x in found], pa.bool_()))
 
         docs = map_arrow(docs, clean, T.StructType(docs.schema.fields))
@@ -196,5 +200,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), short_documents=True)
     return found.withColumnRenamed("id", "doc_id")

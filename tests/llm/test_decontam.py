@@ -96,3 +96,39 @@ def test_edge_cases(spark):
     assert decontam.find_leaks(docs.limit(0), items).count() == 0
     assert decontam.find_leaks(docs, items.limit(0)).count() == 0
     assert decontam.drop_contaminated(docs, items.limit(0)).count() == docs.count()
+
+
+def test_documents_shorter_than_the_item(spark):
+    words = [f"w{i}" for i in range(100)]
+    short = [f"s{i}" for i in range(12)]
+    items = [(1, " ".join(words)), (2, " ".join(short))]
+    docs = [(1, " ".join(words[:-1])), (2, " ".join(words[1:])), (3, " ".join(words[:50] + words[51:])), (4, " ".join(words[:60])),
+            (5, " ".join(short[:11])), (6, " ".join(short[:5])), (7, "w1"), (8, ""), (9, " ".join(words)), (10, " ".join(words[:83]))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {}
+    for key, text in docs:
+        w = plain_words(text)
+        for i, item in items:
+            one = item.split()
+            width = min(len(one), len(w))  # a shorter document is one window
+            likeness = [(x & y).total() / (x | y).total() for p in range(len(w) - width + 1)
+                        for x, y in [(bag(w[p:p + width], 5), bag(one, 5))]]
+            if max(likeness) >= 0.8:
+                want[key, i] = (likeness.index(max(likeness)), max(likeness))
+    got = found(decontam.find_leaks(d, b, short_documents=True))
+    assert got == want and got.keys() == {(1, 1), (2, 1), (3, 1), (5, 2), (9, 1), (10, 1)}
+    assert got[1, 1][1] == 95 / 96 and {r.doc_id for r in decontam.drop_contaminated(d, b, short_documents=True).collect()} == {4, 6, 7, 8}
+    lengths = {r.id: r.n_words for r in decontam.find_leaks(d, b, short_documents=True).collect()}
+    assert lengths == {1: 99, 2: 99, 3: 99, 5: 11, 9: 100, 10: 83}
+
+
+def test_query_and_pipeline_take_short_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    spark.createDataFrame([(1, " ".join(words[:-1])), (2, "clean text")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.item_id) for r in decontam.op8_decontamination(spark, str(tmp_path)).collect()] == [(1, 7)]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in corpus_pipeline.leaks(spark, docs, str(tmp_path)).collect()] == [2]
