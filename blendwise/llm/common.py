@@ -7,14 +7,14 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blendwise.session import scratch_path, ship_package
 from blendwise.sources.tables import table
 
 __all__ = ["table", "materialize", "row_slices", "word_hashes", "mix64", "splits_for", "fresh", "ship_package",
-           "text_digest", "map_arrow"]
+           "text_digest", "map_arrow", "frequent_keys"]
 
 SLICE_BYTES = 4 << 20  # Python works on at most this many text bytes at a time (or on one longer text)
 
@@ -48,6 +48,14 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def frequent_keys(counts: DataFrame, times: str, least: int, total: str | None = None) -> DataFrame:
+    """``(part, key[, total])`` of the keys that occur ``least`` times in all parts together.  ``counts`` has one row per part
+    and key, so a key that every row holds is as many rows as there are parts; the window spills."""
+    w = Window.partitionBy("key")
+    d = counts.withColumn("_total", F.sum(times).over(w)).filter(F.col("_total") >= least)
+    return d.select("part", "key", F.col("_total").alias(total)) if total else d.select("part", "key")
+
+
 def splits_for(spark: SparkSession, total: int | None, per_split: int) -> int:
     """Number of partitions or key ranges for ``total`` units of data, at least the session's parallelism."""
     return max(int(spark.sparkContext.defaultParallelism), -(-int(total or 0) // per_split), 1)

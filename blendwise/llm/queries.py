@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from blendwise.llm import bestfit, chat, decontam, infilling, langid, licenses, neardup, sharding, simhash, substrings, warc
+from blendwise.llm import (bestfit, chat, collocations, decontam, infilling, langid, licenses, neardup, sharding, simhash, substrings,
+                           warc)
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,8 +16,10 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_phrase_collocations": collocations.op11_phrase_collocations,
     "op13_fill_in_middle": infilling.op13_fill_in_middle,
 }
 ORACLE: dict[str, str] = {
+    "op11_phrase_collocations": collocations.OP11_SQL.strip(),
     "op13_fill_in_middle": infilling.OP13_SQL.strip(),
 }
