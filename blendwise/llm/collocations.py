@@ -331,8 +331,8 @@ d AS (SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, n.n,
       JOIN n ON n.lang = c.lang),
 e AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 i AS (SELECT lang, w, f, k, unnest(range(2, k)) AS m FROM b),
-j AS (SELECT lang, w, f, m, unnest(range(1, k - m + 2)) AS at FROM i),
-o AS (SELECT lang, array_to_string(list_slice(w, at, at + m - 1), ' ') AS phrase, max(f) AS f FROM j GROUP BY ALL),
+j AS (SELECT lang, w, f, m, unnest(range(1, k - m + 2)) AS st FROM i),
+o AS (SELECT lang, array_to_string(list_slice(w, st, st + m - 1), ' ') AS phrase, max(f) AS f FROM j GROUP BY ALL),
 t AS (SELECT e.* FROM e LEFT JOIN o ON o.lang = e.lang AND o.phrase = e.phrase WHERE o.f IS NULL OR 100 * o.f < 100 * e.a),
 q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM t)
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,

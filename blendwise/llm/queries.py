@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from blendwise.llm import (bestfit, chat, collocations, decontam, infilling, langid, licenses, neardup, sharding, simhash, substrings,
-                           warc)
+                           suffixes, warc)
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_formatting": chat.op10_chat_formatting,
     "op11_phrase_collocations": collocations.op11_phrase_collocations,
+    "op12_suffix_array_dedup": suffixes.op12_suffix_array_dedup,
     "op13_fill_in_middle": infilling.op13_fill_in_middle,
 }
 ORACLE: dict[str, str] = {
