@@ -20,7 +20,7 @@ from blendwise.plans.common import (
 from blendwise.plans.mixture_queries import SQL_MIX, SQL_STATE, mixture, state
 from blendwise.plans.packing_queries import SQL_PADDED
 from blendwise.plans.registry import query
-from blendwise.session import local_path, scratch_path, with_scalars
+from blendwise.session import local_path, scratch_path
 from blendwise.sources import config as cf
 from blendwise.sources import corpus as cp
 from blendwise.sources import history as hs
@@ -146,31 +146,57 @@ def s8_read_qa(spark, sf):
     return q.select("task", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
-# documents arrive as 16 files, whatever the table's size
-SQL_PARTS = f"""parted AS (SELECT d.*, doc_id * 16 // ((SELECT max(doc_id) FROM documents) + 1) AS part FROM doc_ids d)"""
+# documents arrive as files of so many consecutive ids, one builder per source and file
+PART_DOCS = 256
+PART_KEYS = ("source", "part")
+SQL_PARTS = f"""parted AS (SELECT d.*, doc_id // {PART_DOCS} AS part FROM doc_ids d)"""
 
 
-@query("p11_pack_stream", f"""{with_sql(SQL_DOC_IDS, SQL_PARTS, *(x.replace("FROM doc_ids", "FROM parted") for x in sql_pack(("source", "part"), "p", "drop")))}
+def sql_file_pack(remainder):
+    ctes = (x.replace("FROM doc_ids", "FROM parted") for x in sql_pack(PART_KEYS, "p", remainder))
+    return f"""{with_sql(SQL_DOC_IDS, SQL_PARTS, *ctes)}
 SELECT source, CAST(part AS BIGINT) AS part, chunk_id, block_in_chunk, CAST(len(tokens) AS BIGINT) AS n_tokens,
        CAST(list_sum(list_transform(tokens, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS checksum
-FROM p_blocks""")
-def p11_pack_stream(spark, sf):
-    """Documents arrive as several files (doc-id ranges), in any order, and are packed by the
-    stateful stream with one builder per source and input file, as the packed format has;
-    the result is the batch pack's over the same keys."""
-    from blendwise.streaming.pack_stream import pack_stream
+FROM p_blocks"""
+
+
+def file_docs(spark, sf):
+    return doc_ids(spark, sf).select("doc_id", "source", F.floor(F.col("doc_id") / PART_DOCS).cast("bigint").alias("part"), "ids")
+
+
+def _packed_rows(b):
+    return b.select("source", F.col("part").cast("bigint").alias("part"), "chunk_id", "block_in_chunk",
+                    F.size("tokens").cast("bigint").alias("n_tokens"), checksum("tokens").alias("checksum"))
+
+
+def _streamed(spark, sf, remainder):
+    """Documents arrive as files, in any order, each with its end markers; the result is the batch pack's over the same keys."""
+    from blendwise.streaming.pack_stream import pack_stream, with_end_markers
 
     root = scratch_path(spark, "stream")
-    d = doc_ids(spark, sf).select("doc_id", "source", "ids")
-    last = tables.table(spark, sf, "documents").agg(F.max("doc_id").alias("_last"))
-    d = with_scalars(d, last).withColumn("part", F.floor(F.col("doc_id") * 16 / (F.col("_last") + 1)).cast("bigint")).drop("_last")
-    d.repartition("part").write.partitionBy("part").parquet(f"{root}/in")
-    schema = "doc_id long, source string, ids array<int>, part long"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
-    out = pack_stream(stream, CHUNK, BLOCK, keys=("source", "part"))
+    with_end_markers(file_docs(spark, sf), PART_KEYS).repartition("part").write.partitionBy("part").parquet(f"{root}/in")
+    schema = "doc_id long, source string, ids array<int>, expected long, part long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{root}/in")
+    out = pack_stream(stream, CHUNK, BLOCK, keys=PART_KEYS, remainder=remainder)
     q = (out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    back = spark.read.parquet(f"{root}/out")
-    return back.select("source", F.col("part").cast("bigint").alias("part"), "chunk_id", "block_in_chunk",
-                       F.size("tokens").cast("bigint").alias("n_tokens"), checksum("tokens").alias("checksum"))
+    return _packed_rows(spark.read.schema(out.schema).parquet(f"{root}/out"))
+
+
+@query("p11_pack_stream", sql_file_pack("keep"))
+def p11_pack_stream(spark, sf):
+    """Nothing is lost: each builder's open chunk comes out at its true length when its file is complete."""
+    return _streamed(spark, sf, "keep")
+
+
+@query("p11_pack_stream_drop", sql_file_pack("drop"))
+def p11_pack_stream_drop(spark, sf):
+    """The packed format's own tail rule as an option: each builder's open chunk is lost."""
+    return _streamed(spark, sf, "drop")
+
+
+@query("p2_pack_per_file", sql_file_pack("keep"))
+def p2_pack_per_file(spark, sf):
+    """The batch packer with one builder per source and input file."""
+    return _packed_rows(pk.pack(file_docs(spark, sf), CHUNK, BLOCK, keys=PART_KEYS))

@@ -5,11 +5,12 @@ import os
 import tempfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from blendwise.operators import packing as pk
 from blendwise.streaming.metrics_stream import metrics_stream
-from blendwise.streaming.pack_stream import pack_stream
+from blendwise.streaming.pack_stream import pack_stream, with_end_markers
 
 SCHEMA = "doc_id long, source string, ids array<int>"
 
@@ -20,32 +21,77 @@ def _write_parts(spark, root, parts):
     return [os.path.join(root, f"part{i}") for i in range(len(parts))]
 
 
-def test_stream_pack_equals_batch_pack(spark):
+def _arrive(spark, src, batches):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA + ", expected long").coalesce(1).write.parquet(os.path.join(src, f"batch={k}"))
+
+
+def _run_pack(spark, root, C, B, remainder="keep", keys=("source",)):
+    stream = spark.readStream.schema(SCHEMA + ", expected long, batch int").option("maxFilesPerTrigger", 1).parquet(os.path.join(root, "in"))
+    q = (pack_stream(stream.drop("batch"), C, B, keys=keys, remainder=remainder).writeStream.format("parquet")
+         .option("path", os.path.join(root, "out")).option("checkpointLocation", os.path.join(root, "ckpt"))
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    return _blocks(spark.read.schema("source string, chunk_id long, block_in_chunk long, tokens array<int>").parquet(os.path.join(root, "out")))
+
+
+def _blocks(df):
+    return sorted((r.source, r.chunk_id, r.block_in_chunk, list(r.tokens)) for r in df.collect())
+
+
+def _documents(lengths, source=lambda i: "a" if i % 3 else "b"):
     rows, tok = [], 1
-    lengths = [7, 30, 2, 55, 9, 13, 40, 1, 26, 18]
     for i, n in enumerate(lengths):
-        rows.append((i, "a" if i % 3 else "b", list(range(tok, tok + n))))
+        rows.append((i, source(i), list(range(tok, tok + n)), None))
         tok += n
+    return rows
+
+
+@pytest.mark.parametrize("remainder", ["keep", "pad", "drop"])
+@pytest.mark.parametrize("marker_first", [True, False])
+def test_stream_pack_equals_batch_pack(spark, remainder, marker_first):
+    rows = _documents([7, 30, 2, 55, 9, 13, 40, 1, 26, 18, 0, 16])
+    ends = [(None, s, None, sum(r[1] == s for r in rows)) for s in ("a", "b")]
     C, B = 16, 4
     root = tempfile.mkdtemp(prefix="bw-stream-")
-    src = os.path.join(root, "in")
-    os.makedirs(src)
-    # three micro-batches, arriving in doc order per source
-    for k, chunk in enumerate([rows[:3], rows[3:7], rows[7:]]):
-        spark.createDataFrame(chunk, SCHEMA).coalesce(1).write.parquet(os.path.join(src, f"batch={k}"))
-    stream = spark.readStream.schema(SCHEMA + ", batch int").option("maxFilesPerTrigger", 1).parquet(src)
-    out = pack_stream(stream.drop("batch"), C, B)
-    q = (out.writeStream.format("memory").queryName("packed_stream").outputMode("append")
-         .option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    got = spark.sql("SELECT source, chunk_id, block_in_chunk, tokens FROM packed_stream").toPandas()
-    batch = pk.pack(spark.createDataFrame(rows, SCHEMA), C, B, remainder="drop").select("source", "chunk_id", "block_in_chunk", "tokens").toPandas()
-    key = ["source", "chunk_id", "block_in_chunk"]
-    g = got.sort_values(key).reset_index(drop=True)
-    b = batch.sort_values(key).reset_index(drop=True)
-    assert len(g) == len(b) > 0
-    assert all(list(x) == list(y) for x, y in zip(g["tokens"], b["tokens"]))
-    assert (g[key].to_numpy() == b[key].to_numpy()).all()
+    # micro-batches arrive in document order; the end markers before or after all documents
+    batches = [rows[:3], rows[3:7], rows[7:]]
+    _arrive(spark, os.path.join(root, "in"), [ends, *batches] if marker_first else [*batches, ends])
+    got = _run_pack(spark, root, C, B, remainder)
+    batch = pk.pack(spark.createDataFrame([r[:3] for r in rows], SCHEMA), C, B, remainder=remainder)
+    assert got == _blocks(batch.select("source", "chunk_id", "block_in_chunk", "tokens")) and got
+    if remainder == "keep":
+        assert sorted(x for r in got for x in r[3]) == sorted(x for r in rows for x in r[2])  # no id is lost
+
+
+def test_stream_pack_without_markers_keeps_the_chunk_open(spark):
+    rows = _documents([5, 4, 30], lambda i: "a")
+    root = tempfile.mkdtemp(prefix="bw-open-")
+    _arrive(spark, os.path.join(root, "in"), [rows])
+    assert [len(r[3]) for r in _run_pack(spark, root, 16, 16)] == [16, 16]  # 7 ids wait for more
+    more = [(3, "a", [1000, 1001], None), (None, "a", None, 4)]
+    spark.createDataFrame(more, SCHEMA + ", expected long").coalesce(1).write.parquet(os.path.join(root, "in", "batch=1"))
+    assert [len(r[3]) for r in _run_pack(spark, root, 16, 16)] == [16, 16, 9]
+    late = [(4, "a", [2000], None), (None, "a", None, 5)]  # after the key was complete: its next chunk
+    spark.createDataFrame(late, SCHEMA + ", expected long").coalesce(1).write.parquet(os.path.join(root, "in", "batch=2"))
+    assert [(r[1], r[3]) for r in _run_pack(spark, root, 16, 16)][3:] == [(3, [2000])]
+
+
+def test_stream_pack_restarts_from_its_checkpoint(spark):
+    rows = _documents([12, 5, 33, 8, 21, 17, 9, 40], lambda i: "a")
+    C, B = 16, 4
+    root = tempfile.mkdtemp(prefix="bw-restart-")
+    _arrive(spark, os.path.join(root, "in"), [rows[:4]])
+    _run_pack(spark, root, C, B)  # first query: packs the first documents, keeps the open chunk in its state
+    spark.createDataFrame([*rows[4:], (None, "a", None, 8)], SCHEMA + ", expected long").coalesce(1).write.parquet(os.path.join(root, "in", "batch=1"))
+    got = _run_pack(spark, root, C, B)  # restarted from the checkpoint: state and offsets are recovered
+    batch = pk.pack(spark.createDataFrame([r[:3] for r in rows], SCHEMA), C, B)
+    assert got == _blocks(batch.select("source", "chunk_id", "block_in_chunk", "tokens"))
+
+
+def test_end_markers_count_documents(spark):
+    d = with_end_markers(spark.createDataFrame([r[:3] for r in _documents([3, 4, 5, 0])], SCHEMA))
+    assert {(r.source, r.expected) for r in d.collect() if r.ids is None} == {("a", 2), ("b", 2)}
 
 
 def test_metrics_stream_windows_and_late_rows(spark):
@@ -71,29 +117,3 @@ def test_metrics_stream_windows_and_late_rows(spark):
     assert abs(first["mean_loss"] - (0.0 + 0.6931471805599453) / 2) < 1e-12
     batch = metrics_stream(spark.createDataFrame(pd.concat([b1, b2]), schema), "1 hour").orderBy("window_start").toPandas()
     assert batch.iloc[0]["batches"] == 3  # the batch twin has no lateness
-
-
-def test_stream_pack_restarts_from_its_checkpoint(spark):
-    rows, tok = [], 1
-    for i, n in enumerate([12, 5, 33, 8, 21, 17, 9, 40]):
-        rows.append((i, "a", list(range(tok, tok + n))))
-        tok += n
-    C, B = 16, 4
-    root = tempfile.mkdtemp(prefix="bw-restart-")
-    src, out_dir, ckpt = os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "ckpt")
-    schema = SCHEMA + ", batch int"
-
-    def run():
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-        q = (pack_stream(stream.drop("batch"), C, B).writeStream.format("parquet").option("path", out_dir)
-             .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
-        q.awaitTermination(120)
-
-    spark.createDataFrame(rows[:4], SCHEMA).coalesce(1).write.parquet(os.path.join(src, "batch=0"))
-    run()  # first query: packs the first documents, keeps the open chunk in its state
-    spark.createDataFrame(rows[4:], SCHEMA).coalesce(1).write.parquet(os.path.join(src, "batch=1"))
-    run()  # restarted from the checkpoint: state and offsets are recovered
-    got = spark.read.parquet(out_dir).orderBy("chunk_id", "block_in_chunk").toPandas()
-    exp = pk.pack(spark.createDataFrame(rows, SCHEMA), C, B, remainder="drop").orderBy("chunk_id", "block_in_chunk").toPandas()
-    assert len(got) == len(exp) > 0
-    assert all(list(x) == list(y) for x, y in zip(got["tokens"], exp["tokens"]))
