@@ -9,8 +9,6 @@ grows with the input.  A file is stood in by a source name
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from blendwise.operators import packing as pk
@@ -20,7 +18,7 @@ from blendwise.plans.common import (
 from blendwise.plans.mixture_queries import SQL_MIX, SQL_STATE, mixture, state
 from blendwise.plans.packing_queries import SQL_PADDED
 from blendwise.plans.registry import query
-from blendwise.session import local_path, scratch_path
+from blendwise.session import scratch_path
 from blendwise.sources import config as cf
 from blendwise.sources import corpus as cp
 from blendwise.sources import history as hs
@@ -73,17 +71,29 @@ def s4_split_rows(spark, sf):
 SELECT 'train' AS split, group_id, source, weight FROM mix
 UNION ALL SELECT 'valid', CAST(0 AS INTEGER), 'valid_' || min(source), CAST(1.0 AS DOUBLE) FROM mix""")
 def s5_read_mixture(spark, sf):
+    return _mixture_config(spark, sf).mixture
+
+
+@query("s5_overrides", f"""WITH {SQL_MIX}, o AS (
+SELECT 'data_seed' AS setting, CAST(3407 + count(*) AS VARCHAR) AS value, CAST(3407 + count(*) AS BIGINT) AS data_seed, CAST(count(*) + 1 AS BIGINT) AS n_sources FROM mix
+UNION ALL SELECT 'micro_batch_size', '16', CAST(3407 + count(*) AS BIGINT), CAST(count(*) + 1 AS BIGINT) FROM mix
+UNION ALL SELECT 'seed', '1', CAST(3407 + count(*) AS BIGINT), CAST(count(*) + 1 AS BIGINT) FROM mix)
+SELECT * FROM o""")
+def s5_overrides(spark, sf):
+    """The run settings that the file overrides, and the seed of the data: ``data_seed``, never ``seed``."""
+    cfg = _mixture_config(spark, sf)
+    return cf.overrides_table(spark, cfg)
+
+
+def _mixture_config(spark, sf):
     import yaml
 
     rows = mixture(spark, sf).orderBy("group_id").collect()  # K rows: one per source
     cfg = {"train": {r.source: r.weight for r in rows}, "valid": {"valid_" + rows[0].source: 1.0},
-           "data_seed": 3406, "micro_batch_size": 16}
-    root = local_path(scratch_path(spark, "mixture"))
-    os.makedirs(root, exist_ok=True)
-    path = os.path.join(root, "mixture.yaml")
-    with open(path, "w", encoding="utf-8") as f:
-        yaml.safe_dump(cfg, f, sort_keys=False)
-    return cf.read_mixture(spark, path).mixture
+           "data_seed": 3407 + len(rows), "seed": 1, "micro_batch_size": 16}
+    path = scratch_path(spark, "mixture")
+    spark.createDataFrame([(yaml.safe_dump(cfg, sort_keys=False),)], "value string").coalesce(1).write.text(path)
+    return cf.read_mixture(spark, path)
 
 
 SQL_SBLOCKS = sql_pack(("split", "source"), "s")
@@ -102,17 +112,58 @@ def s6_write_blocks(spark, sf):
                        checksum("tokens").alias("checksum"))
 
 
+# documents arrive as files of so many consecutive ids, one builder per source and file
+PART_DOCS = 256
+PART_KEYS = ("source", "part")
+SQL_PARTS = f"""parted AS (SELECT d.*, doc_id // {PART_DOCS} AS part FROM doc_ids d)"""
+
+
+def sql_file_pack(remainder):
+    ctes = (x.replace("FROM doc_ids", "FROM parted") for x in sql_pack(PART_KEYS, "p", remainder))
+    return f"""{with_sql(SQL_DOC_IDS, SQL_PARTS, *ctes)}
+SELECT source, CAST(part AS BIGINT) AS part, chunk_id, block_in_chunk, CAST(len(tokens) AS BIGINT) AS n_tokens,
+       CAST(list_sum(list_transform(tokens, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS checksum
+FROM p_blocks"""
+
+
+def file_docs(spark, sf):
+    return doc_ids(spark, sf).select("doc_id", "source", F.floor(F.col("doc_id") / PART_DOCS).cast("bigint").alias("part"), "ids")
+
+
+def _packed_rows(b):
+    return b.select("source", F.col("part").cast("bigint").alias("part"), "chunk_id", "block_in_chunk",
+                    F.size("tokens").cast("bigint").alias("n_tokens"), checksum("tokens").alias("checksum"))
+
+
 @query("s7_read_packed_files", f"SELECT source, chunk_id, block_in_chunk, n_tokens, checksum FROM ({SQL_PADDED})")
 def s7_read_packed_files(spark, sf):
+    """Chunks written through the committing sink and read back by block ranges, a few kilobytes a task."""
     ch = pk.chunks(doc_ids(spark, sf), CHUNK, remainder="pad")  # a packed file always holds a whole chunk
     root = scratch_path(spark, "packed")
-    written = pf.write_packed_files(ch, root, VOCAB, CHUNK)
-    written.count()  # the write job
-    b = pf.read_packed_files(spark, f"{root}/*.bin", BLOCK)
-    parts = F.regexp_extract("file", r"^train_(.*)_0_([0-9]{10})\.bin$", 1)
-    cid = F.regexp_extract("file", r"^train_(.*)_0_([0-9]{10})\.bin$", 2).cast("bigint")
-    return b.select(parts.alias("source"), cid.alias("chunk_id"), "block_in_chunk",
-                    F.size("tokens").cast("bigint").alias("n_tokens"), checksum("tokens").alias("checksum"))
+    pf.write_packed_files(ch, root, VOCAB, CHUNK)
+    b = pf.read_packed_files(spark, root, BLOCK)
+    return b.select("source", "chunk_id", "block_in_chunk", F.size("tokens").cast("bigint").alias("n_tokens"), checksum("tokens").alias("checksum"))
+
+
+FILE_SOURCE = "src1"
+
+
+SQL_FILES_PADDED = f"""{with_sql(SQL_DOC_IDS, SQL_PARTS, *(x.replace("FROM doc_ids", "FROM parted") for x in sql_pack(PART_KEYS, "p")))},
+tot AS (SELECT DISTINCT source, part, key_tokens, (key_tokens + {CHUNK - 1}) // {CHUNK} - 1 AS last FROM p_off WHERE key_tokens > 0),
+b AS (SELECT source, part, chunk_id, block_in_chunk, sum(CAST(id AS BIGINT) * (i + 1)) AS cs FROM p_btoks GROUP BY ALL
+  UNION ALL SELECT source, part, last, unnest(range((key_tokens - last * {CHUNK} + {BLOCK - 1}) // {BLOCK}, {CHUNK // BLOCK})), 0 FROM tot)
+SELECT source, CAST(part AS BIGINT) AS part, chunk_id, block_in_chunk, CAST({BLOCK} AS BIGINT) AS n_tokens, CAST(cs AS BIGINT) AS checksum
+FROM b WHERE source = '{FILE_SOURCE}'"""
+
+
+@query("s7_packed_files_of_a_source", SQL_FILES_PADDED)
+def s7_packed_files_of_a_source(spark, sf):
+    """One builder per source and input file (its number is the file name's process id); only the files of one source are opened."""
+    ch = pk.chunks(file_docs(spark, sf), CHUNK, keys=PART_KEYS, remainder="pad")
+    root = scratch_path(spark, "packed")
+    pf.write_packed_files(ch, root, VOCAB, CHUNK, process_id="part")
+    b = pf.read_packed_files(spark, root, BLOCK).filter(F.col("source") == FILE_SOURCE)
+    return _packed_rows(b.withColumn("part", F.col("process_id")))
 
 
 @query("s9_append_history", f"""WITH {SQL_DOC_IDS}, {SQL_STATE}
@@ -142,33 +193,10 @@ def s8_read_qa(spark, sf):
     root = scratch_path(spark, "qa")
     for t in tables.QA_TASKS:
         pairs.filter(F.col("task") == t).select("question", "answer").write.mode("overwrite").json(f"{root}/{t}_sft.jsonl")
-    q = cp.read_qa(spark, local_path(root))
+    q = cp.read_qa(spark, root)
     return q.select("task", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
-# documents arrive as files of so many consecutive ids, one builder per source and file
-PART_DOCS = 256
-PART_KEYS = ("source", "part")
-SQL_PARTS = f"""parted AS (SELECT d.*, doc_id // {PART_DOCS} AS part FROM doc_ids d)"""
-
-
-def sql_file_pack(remainder):
-    ctes = (x.replace("FROM doc_ids", "FROM parted") for x in sql_pack(PART_KEYS, "p", remainder))
-    return f"""{with_sql(SQL_DOC_IDS, SQL_PARTS, *ctes)}
-SELECT source, CAST(part AS BIGINT) AS part, chunk_id, block_in_chunk, CAST(len(tokens) AS BIGINT) AS n_tokens,
-       CAST(list_sum(list_transform(tokens, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS checksum
-FROM p_blocks"""
-
-
-def file_docs(spark, sf):
-    return doc_ids(spark, sf).select("doc_id", "source", F.floor(F.col("doc_id") / PART_DOCS).cast("bigint").alias("part"), "ids")
-
-
-def _packed_rows(b):
-    return b.select("source", F.col("part").cast("bigint").alias("part"), "chunk_id", "block_in_chunk",
-                    F.size("tokens").cast("bigint").alias("n_tokens"), checksum("tokens").alias("checksum"))
-
-
 def _streamed(spark, sf, remainder):
     """Documents arrive as files, in any order, each with its end markers; the result is the batch pack's over the same keys."""
     from blendwise.streaming.pack_stream import pack_stream, with_end_markers

@@ -93,20 +93,6 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
-def local_path(uri: str) -> str:
-    """POSIX path of a ``file:`` URI (or a plain path) for Python-side file IO.
-
-    Python writers need the shared folder mounted as a file system; other
-    schemes are refused rather than written to a wrong place."""
-    if uri.startswith("file://"):
-        return uri[len("file://"):] if uri.startswith("file:///") else uri[len("file:"):]
-    if uri.startswith("file:"):
-        return uri[len("file:"):]
-    if "://" in uri:
-        raise NotImplementedError(f"Python-side file IO needs a mounted folder, got {uri}")
-    return uri
-
-
 def spread_input(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
     """Hash-repartition a scan that has fewer splits than ``factor`` x the
     cluster's parallelism (e.g. a file with one row group), so per-row work

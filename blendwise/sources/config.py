@@ -48,11 +48,17 @@ def parse_mixture(text: str) -> tuple[list[tuple[str, int, str, float]], dict]:
 
 
 def read_mixture(spark: SparkSession, path: str) -> MixtureConfig:
-    """The config file as a K-row mixture table plus the overrides."""
-    with open(path, encoding="utf-8") as f:
-        rows, overrides = parse_mixture(f.read())
+    """The config file (or the folder of one that Spark wrote) as a K-row mixture table plus the overrides."""
+    texts = spark.read.text(path, wholetext=True).collect()  # one configuration file
+    rows, overrides = parse_mixture("".join(t.value for t in texts))
     if not rows:
         raise ValueError(f"{path}: no train or valid sources")
     df = spark.createDataFrame(rows, MIXTURE_SCHEMA)
     seed = int(overrides.get("data_seed", DEFAULT_DATA_SEED))
     return MixtureConfig(df, len(rows), overrides, seed)
+
+
+def overrides_table(spark: SparkSession, config: MixtureConfig) -> DataFrame:
+    """``(setting, value, data_seed, n_sources)``: one row per overridden run setting."""
+    rows = [(k, str(v), config.data_seed, config.n_sources) for k, v in config.overrides.items()]
+    return spark.createDataFrame(rows, "setting string, value string, data_seed bigint, n_sources bigint")

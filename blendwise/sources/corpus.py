@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blendwise.functions.prefix import prefix_rank
+from blendwise.session import cut_lineage as materialized
 from blendwise.sources.tables import QA_TASKS
 
 TEXT_SCHEMA = T.StructType([T.StructField("text", T.StringType(), True)])
@@ -38,12 +40,11 @@ def file_fraction(df: DataFrame, pct: float, file: str = "file") -> DataFrame:
     with a left-semi join (AQE broadcasts it when it is small).
     """
     files = df.select(file).distinct()
-    w = Window.orderBy(file)
-    ranked = files.select(
-        file,
-        F.row_number().over(w).alias("_r"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"),
-    )
+    # rank by name without one task for all names: names are dealt into ranges, ranges are counted
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = materialized(files.repartitionByRange(parts, file).select(file, F.spark_partition_id().alias("_part")))
+    ranked = prefix_rank(ranged, [], ["_part", file], "_r", bucket=F.col("_part"), total="_n")
     keep = ranked.filter(F.col("_r") <= F.floor(F.col("_n") * F.lit(float(pct)))).select(file)
     return df.join(keep, file, "left_semi")
 
@@ -71,14 +72,15 @@ def read_qa(spark: SparkSession, directory: str, tasks: list[str] | None = None)
     Returns (task, pair_id, question, answer); ``pair_id`` is the line's
     position key (file offset order), stable across re-reads.
     """
-    import os
-
-    tasks = tasks or QA_TASKS
-    paths = [os.path.join(directory, f"{t}_sft.jsonl") for t in tasks]
-    present = [p for p in paths if os.path.exists(p)]
-    if not present:
-        raise FileNotFoundError(f"no question/answer files under {directory}")
-    df = spark.read.schema(QA_SCHEMA).json(present)
+    from pyspark.errors import AnalysisException
+
+    pattern = f"{directory.rstrip('/')}/{{{','.join(tasks or QA_TASKS)}}}_sft.jsonl"  # whichever of them exist
+    try:
+        df = spark.read.schema(QA_SCHEMA).json(pattern)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition()):
+            raise
+        raise FileNotFoundError(f"no question/answer files under {directory}") from e
     # a task file may also be a folder of part files written by Spark
     task = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_sft\.jsonl(/|$)", 1)
     return df.select(

@@ -158,24 +158,94 @@ def test_read_mixture_config(spark, tmp_path):
     assert cfg.data_seed == 7 and cfg.overrides["seed"] == 42
 
 
+def _chunks(spark, n=2, size=12, source="s"):
+    rows = [(source, i, list(range(1 + size * i, 1 + size * (i + 1)))) for i in range(n)]
+    return spark.createDataFrame(rows, "source string, chunk_id long, tokens array<int>")
+
+
 def test_packed_files_u16_i32_and_bad_magic(spark, tmp_path):
     d = str(tmp_path)
-    ch = spark.createDataFrame([("s", 0, list(range(1, 13))), ("s", 1, list(range(13, 25)))], "source string, chunk_id long, tokens array<int>")
-    pf.write_packed_files(ch, os.path.join(d, "u16"), vocab_size=1000, chunk_size=12).count()
-    pf.write_packed_files(ch, os.path.join(d, "i32"), vocab_size=100000, chunk_size=12).count()
+    pf.write_packed_files(_chunks(spark), os.path.join(d, "u16"), vocab_size=1000, chunk_size=12)
+    pf.write_packed_files(_chunks(spark), os.path.join(d, "i32"), vocab_size=100000, chunk_size=12)
     for sub, width in (("u16", 2), ("i32", 4)):
-        f = sorted(os.listdir(os.path.join(d, sub)))[0]
-        raw = open(os.path.join(d, sub, f), "rb").read()
+        f = sorted(x for x in os.listdir(os.path.join(d, sub)) if x.endswith(".bin"))
+        assert f == ["train_s_0_0000000000.bin", "train_s_0_0000000001.bin"]
+        raw = open(os.path.join(d, sub, f[0]), "rb").read()
         assert raw[:7] == b"LITPKDS" and struct.unpack("<Q", raw[16:24])[0] == 12
         assert len(raw) == 24 + 12 * width
-        b = pf.read_packed_files(spark, os.path.join(d, sub, "*.bin"), 5).orderBy("file", "block_in_chunk").collect()
+        b = pf.read_packed_files(spark, "file:" + os.path.join(d, sub), 5).orderBy("file", "block_in_chunk").collect()
         assert [r.tokens for r in b] == [[1, 2, 3, 4, 5], [6, 7, 8, 9, 10], [13, 14, 15, 16, 17], [18, 19, 20, 21, 22]]
+        assert [(r.split, r.source, r.process_id, r.chunk_id) for r in b][::2] == [("train", "s", 0, 0), ("train", "s", 0, 1)]
     bad = os.path.join(d, "bad")
     os.makedirs(bad)
     with open(os.path.join(bad, "x.bin"), "wb") as fh:
         fh.write(b"NOTPKDS" + b"\0" * 40)
     with pytest.raises(Exception, match="wrong magic bytes"):
-        pf.read_packed_files(spark, os.path.join(bad, "*.bin"), 4).collect()
+        pf.read_packed_files(spark, bad, 4).collect()
+
+
+def test_a_large_packed_file_is_read_by_several_tasks(spark, tmp_path):
+    d = str(tmp_path / "big")
+    size, block = 40_000, 7
+    pf.write_packed_files(_chunks(spark, 1, size), d, vocab_size=100000, chunk_size=size)
+    df = pf.read_packed_files(spark, d, block, partition_bytes=10_000)  # 160,024 bytes
+    assert df.rdd.getNumPartitions() == 17
+    rows = df.orderBy("block_in_chunk").collect()
+    assert [r.block_in_chunk for r in rows] == list(range(size // block))
+    assert [x for r in rows for x in r.tokens] == list(range(1, 1 + size // block * block))
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() == 16  # the last 24 bytes begin no block
+    many = [(f"f{i}", 3000) for i in range(1000)]
+    dealt = pf.deal_ranges(many, 64 << 20)
+    assert len(dealt) < 20 and sorted(r for x in dealt for r in x.ranges) == sorted((f, 0, 3000) for f, _ in many)
+
+
+def test_packed_files_are_pruned_by_name(spark, tmp_path):
+    d = str(tmp_path / "pruned")
+    for source in ("a", "b", "a_b"):
+        pf.write_packed_files(_chunks(spark, 2, 12, source), d, vocab_size=1000, chunk_size=12)
+    with open(os.path.join(d, "train_c_0_0000000000.bin"), "wb") as f:
+        f.write(b"a broken file that must not be opened")
+    got = pf.read_packed_files(spark, d, 4).filter(F.col("source").isin("a", "a_b") & (F.col("chunk_id") == 1))
+    assert sorted({r.file for r in got.collect()}) == ["train_a_0_0000000001.bin", "train_a_b_0_0000000001.bin"]
+    reader = pf.PackedReader({"path": d, "blockSize": "4"})
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    other = GreaterThan(("block_in_chunk",), 1)
+    assert list(reader.pushFilters([EqualTo(("source",), "a"), other])) == [other]
+    assert [r[0].rsplit("/", 1)[1] for p in reader.partitions() for r in p.ranges] == ["train_a_0_0000000000.bin", "train_a_0_0000000001.bin"]
+
+
+def test_failed_and_repeated_writes_leave_nothing_visible(spark, tmp_path, monkeypatch):
+    d = str(tmp_path / "sink")
+    good, bad = _chunks(spark, 6), spark.createDataFrame([("s", 99, [1, 2])], "source string, chunk_id long, tokens array<int>")
+    with pytest.raises(Exception, match="expected 12"):
+        pf.write_packed_files(good.unionByName(bad).repartition(7), d, vocab_size=1000, chunk_size=12)
+    assert [x for _, _, names in os.walk(d) for x in names] == []  # other tasks had written theirs
+    # two attempts of a task: only the one that is committed appears
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    class Context:
+        attempt = 0
+
+        def partitionId(self):
+            return 0
+
+        def taskAttemptId(self):
+            Context.attempt += 1
+            return Context.attempt
+
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: Context()))
+    writer = pf.PackedWriter({"path": d, "chunkSize": "3", "vocabSize": "1000"}, False)
+    batch = pa.RecordBatch.from_arrays([pa.array(["train"]), pa.array(["s"]), pa.array([0]), pa.array([5]), pa.array([[7, 8, 9]])],
+                                       ["split", "source", "process_id", "chunk_id", "tokens"])
+    first, second = writer.write(iter([batch])), writer.write(iter([batch]))
+    assert first.folder != second.folder and pf.PackedReader({"path": d, "blockSize": "3"}).partitions() == []
+    writer.commit([second])
+    assert sorted(x for _, _, names in os.walk(d) for x in names) == ["_SUCCESS", "train_s_0_0000000005.bin"]
+    monkeypatch.undo()
+    pf.write_packed_files(_chunks(spark, 1, 3), d, vocab_size=1000, chunk_size=3, mode="overwrite")
+    assert [r.file for r in pf.read_packed_files(spark, d, 3).collect()] == ["train_s_0_0000000000.bin"]
 
 
 def test_read_qa_skips_missing_and_file_fraction(spark, tmp_path):
