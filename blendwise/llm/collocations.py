@@ -4,18 +4,18 @@ Texts are lower-cased (A-Z), split into pieces and words.  A prefix polynomial o
 second one over the word hashes gives the fingerprint of every n-gram by one subtraction and one multiplication, in
 numpy.  Languages never meet: the language is part of each word's hash.
 
-1. Texts are cut at piece borders into slices of bounded length and dealt evenly into parts; equal slices of a task are
-   folded into one with its number.  All passes read the same shuffle.
-2. Each pass counts a part's fingerprints and shuffles one row per part and different fingerprint, with its count;
-   fingerprints that reach the least count in total go back to the parts that sent them.  The first pass takes words,
-   the second pairs of frequent words, the third everything longer whose pairs are all frequent:
-   a phrase is never more frequent than a phrase inside it, so this drops none.
-3. Each part looks its frequent fingerprints up in its own text: the first place of every (fingerprint, second
-   fingerprint) is the pointer from which the words are read.  Counts are summed again by language and text, so two phrases that share
-   a fingerprint are told apart, and a phrase below the least count falls out.  Only these phrases ever exist as text.
+1. Texts are cut at piece borders into slices of bounded length and joined into compressed batches, a few of which are a part.
+   All passes read the same shuffle of parts.
+2. Each pass counts a part's fingerprints and shuffles one row per part and different fingerprint: a key of 48 bits, a check of 32
+   and the count.  Keys that reach the least count in total go back to the parts that sent them.  The first pass takes words and
+   pairs, the second triples whose pairs are frequent, the third everything longer whose triples are all frequent: a
+   phrase is never more frequent than a phrase inside it, so this drops none.
+3. The occurrence pointer of a key is one of the parts that sent it, by hash.  That part alone reads the phrase, at its first
+   place, and takes over the total.  Where the checks of a key differ, phrases collide: every part that holds the key reads the
+   texts, and counts are summed again by text, so that the text decides.  Only phrases of frequent keys ever exist as text.
 4. Scores and the rule of contained phrases are joins of the frequent phrases, in exact decimal arithmetic.
 
-A fingerprint that a third of all slices share is one row per part, and it is summed in the JVM with spilling.  Nothing but the
+A fingerprint that a third of all texts share is one row per part, and it is summed in the JVM with spilling.  Nothing but the
 number of bytes comes to the driver; no set of words or phrases is broadcast.
 
 Defined results: null and empty texts have no words, a null language is ``und``; repeated rows count each time; ties in
@@ -30,17 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blendwise.llm.common import (_BASE, _powers, frequent_keys, map_arrow, materialize, mix64, row_slices, ship_package, splits_for,
+from blendwise.llm.common import (_BASE, _powers, map_arrow, materialize, mix64, row_slices, ship_package, splits_for,
                                   table, window_hashes)
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-PART_BYTES = 8 << 20
-SLICE_CHARS = 1 << 19
+SLICE_BYTES = 1 << 19
+BATCH_BYTES = 1 << 20
+PART_BATCHES = 8
 TOP_BUCKETS = 64
 
 # Separators of pieces [.,;:!?\x0A-\x0D] and of words [\x20\x09] (fixed values of the contract).
@@ -51,7 +53,7 @@ _BREAK = _PIECE.copy()
 _BREAK[list(b" \t")] = True
 
 
-def _piece_slices(data: bytes, limit: int = SLICE_CHARS) -> Iterator[bytes]:
+def _piece_slices(data: bytes, limit: int = SLICE_BYTES) -> Iterator[bytes]:
     """A text's bytes cut after piece separators, into slices of about ``limit`` bytes."""
     if len(data) <= limit:
         yield data
@@ -67,26 +69,46 @@ def _piece_slices(data: bytes, limit: int = SLICE_CHARS) -> Iterator[bytes]:
         lo = hi
 
 
-def _dealer(parts: int):
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        for b in row_slices(batches, "text"):
-            fold: dict[tuple[str, bytes], int] = {}
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
-                for s in _piece_slices((text or b"").lower()):  # bytes.lower() folds A-Z only
-                    if s:
-                        fold[lang, s] = fold.get((lang, s), 0) + 1
-            if fold:
-                keys = list(fold)
-                part = [int.from_bytes(hashlib.blake2b(s, digest_size=8, salt=task.to_bytes(8, "little")).digest(), "little") % parts
-                        for _, s in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int32()), pa.array([k[0] for k in keys], pa.string()),
-                     pa.array([k[1] for k in keys], pa.binary()), pa.array(list(fold.values()), pa.int64())],
-                    ["part", "lang", "slice", "times"])
-    return deal
+DEALT = "part bigint, langs array<string>, sizes array<int>, times array<bigint>, data binary"
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed batches of slices; equal slices of a batch are folded into one with its number."""
+    from pyspark import TaskContext
+
+    task, made, zip_ = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+    fold: dict[tuple[str, bytes], int] = {}
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        part = (task << 24) + made // PART_BATCHES
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int64()), pa.array([[k[0] for k in fold]], pa.list_(pa.string())),
+             pa.array([[len(k[1]) for k in fold]], pa.list_(pa.int32())), pa.array([list(fold.values())], pa.list_(pa.int64())),
+             pa.array([zip_.compress(b"".join(k[1] for k in fold))], pa.binary())], ["part", "langs", "sizes", "times", "data"])
+
+    for b in row_slices(batches, "text"):
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+            for s in _piece_slices((text or b"").lower()):  # bytes.lower() folds A-Z only
+                if not s:
+                    continue
+                if (lang, s) not in fold:
+                    if fold and size + len(s) > BATCH_BYTES:
+                        yield batch()
+                        made, size = made + 1, 0
+                        fold.clear()
+                    size += len(s)
+                fold[lang, s] = fold.get((lang, s), 0) + 1
+    if fold:
+        yield batch()
+
+
+def _batches(rows: pa.Table) -> Iterator[tuple[list[bytes], list[str], list[int]]]:
+    unzip = zstandard.ZstdDecompressor()
+    for b in rows.select(["langs", "sizes", "times", "data"]).to_batches():
+        for langs, sizes, times, data in zip(*(c.to_pylist() for c in b.columns)):
+            data, ends = unzip.decompress(data), np.cumsum(sizes).tolist()
+            yield [data[e - n:e] for e, n in zip(ends, sizes)], langs, times
 
 
 class Words:
@@ -117,6 +139,9 @@ class Words:
         """Which n-grams stand inside one piece."""
         return self.piece[n - 1:] == self.piece[:max(0, len(self.piece) - n + 1)] if len(self.piece) >= n else np.zeros(0, bool)
 
+    def text(self, at: int, n: int) -> bytes:
+        return b" ".join(self.data[a:b] for a, b in zip(self.start[at:at + n].tolist(), self.end[at:at + n].tolist()))
+
     def grams(self, n: int, which: int = 0) -> np.ndarray:
         return mix64(window_hashes(self.hash, n, which) + np.uint64(n))
 
@@ -129,31 +154,60 @@ def _lang_id(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=7).digest(), "little")
 
 
-def _batches(rows: pa.Table, limit: int = 1 << 20) -> Iterator[tuple[list[bytes], list[str], list[int]]]:
-    held, size = ([], [], []), 0
-    for b in rows.select(["lang", "slice", "times"]).to_batches():
-        for lang, s, t in zip(*(c.to_pylist() for c in b.columns)):
-            if size and size + len(s) > limit:
-                yield held
-                held, size = ([], [], []), 0
-            held[0].append(s)
-            held[1].append(lang)
-            held[2].append(t)
-            size += len(s)
-    if size:
-        yield held
+def _key_and_check(w: Words, n: int, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (48 bits; the lowest two say whether there are one, two or more words) and checks (32 bits) of the n-grams at ``at``."""
+    h = w.grams(n)[at]
+    key = (h >> np.uint64(16)) & ~np.uint64(3) | np.uint64(min(n, 3))
+    return key, mix64(h ^ np.uint64(_BASE[1])) >> np.uint64(32)
+
+
+COUNTS = "part bigint, a bigint, b bigint"
+
 
+class Counter:
+    """A part's counts, one row per key and check, packed so that a row's random bytes stand together:
+    ``a`` = key and low half of the check, ``b`` = count and high half."""
 
-def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, t = np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(times or [np.zeros(0, np.int64)])
-    order = np.argsort(k, kind="stable")
-    k, t = k[order], t[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(t, first) if len(first) else t
+    def __init__(self):
+        self.keys, self.checks, self.times = [], [], []
 
+    def add(self, key: np.ndarray, check: np.ndarray, times: np.ndarray) -> None:
+        k, c, t = _summed(key, check, times)
+        self.keys.append(k)
+        self.checks.append(c)
+        self.times.append(t)
 
-def _known(keys: pa.Table | None) -> np.ndarray:
-    return np.sort(keys.column("key").to_numpy().view(np.uint64)) if keys is not None and keys.num_rows else np.zeros(0, np.uint64)
+    def rows(self, part) -> pa.Table:
+        none = np.zeros(0, np.uint64)
+        k, c, t = _summed(*(np.concatenate(x or [none]) for x in (self.keys, self.checks, self.times)))
+        a = (k << np.uint64(16)) | (c & np.uint64(0xFFFF))
+        b = (t.astype(np.uint64) << np.uint64(16)) | (c >> np.uint64(16))
+        return pa.table({"part": pa.array(np.full(len(a), part.as_py(), np.int64)), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+
+
+def _summed(key, check, times):
+    """Sums by key and check; a key whose checks differ may give several rows for one pair, which are summed later."""
+    order = np.argsort(key, kind="stable")
+    k, c, t = key[order], check[order], times[order]
+    if not len(k):
+        return k, c, t.astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
+    return k[first], c[first], np.add.reduceat(t, first)
+
+
+def _words_of(rows: pa.Table) -> Iterator[Words]:
+    for slices, langs, n in _batches(rows):
+        yield Words(slices, [_lang_id(x) for x in langs], n)
+
+
+def _count_short(key, rows):
+    """Words and pairs of a part."""
+    words, pairs = Counter(), Counter()
+    for w in _words_of(rows):
+        words.add(*_key_and_check(w, 1, slice(None)), w.times)
+        at = np.flatnonzero(w.inside(2))
+        pairs.add(*_key_and_check(w, 2, at), w.times[at])
+    return pa.concat_tables([words.rows(key[0]), pairs.rows(key[0])])
 
 
 def _is_in(known: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -164,81 +218,66 @@ def _is_in(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
-COUNTS = "part int, key bigint, times int"
-
-
-def _rows(part: int, keys: list[np.ndarray], times: list[np.ndarray]) -> pa.Table:
-    k, t = _summed(keys, times)
-    return pa.table({"part": pa.array(np.full(len(k), part, np.int32)), "key": pa.array(k.view(np.int64)),
-                     "times": pa.array(np.minimum(t, 2**31 - 1).astype(np.int32))})
-
-
-def _count_words(key, rows):
-    keys, times = [], []
-    for slices, langs, n in _batches(rows):
-        w = Words(slices, [_lang_id(x) for x in langs], n)
-        k, t = _summed([w.grams(1)], [w.times])
-        keys.append(k)
-        times.append(t)
-    return _rows(key[0].as_py(), keys, times)
-
-
-def _count_pairs(key, rows, words):
-    known, keys, times = _known(words), [], []
-    for slices, langs, n in _batches(rows) if len(known) else ():
-        w = Words(slices, [_lang_id(x) for x in langs], n)
-        good = _is_in(known, w.grams(1))
-        at = np.flatnonzero(w.inside(2) & good[:-1] & good[1:])
-        k, t = _summed([w.grams(2)[at]], [w.times[at]])
-        keys.append(k)
-        times.append(t)
-    return _rows(key[0].as_py(), keys, times)
-
-
-def _long_count(longest: int):
-    def count(key, rows, pairs):
-        known, keys, times = _known(pairs), [], []
-        for slices, langs, n in _batches(rows) if len(known) else ():
-            w = Words(slices, [_lang_id(x) for x in langs], n)
-            good = w.inside(2) & _is_in(known, w.grams(2))
-            for size in range(3, longest + 1):
-                good = good[:-1] & good[1:]  # all pairs of the ``size`` words from here on are frequent and in one piece
+def _longer_counter(shorter: int, longest: int):
+    """Phrases of ``shorter + 1`` to ``longest`` words whose phrases of ``shorter`` words are all frequent."""
+    def count(key, rows, known):
+        known = np.unique(known.column("key").to_numpy()).astype(np.uint64) if known.num_rows else np.zeros(0, np.uint64)
+        made = Counter()
+        for w in _words_of(rows) if len(known) else ():
+            good = w.inside(shorter)
+            good[good] = _is_in(known, _key_and_check(w, shorter, np.flatnonzero(good))[0])
+            for size in range(shorter + 1, longest + 1):
+                good = good[:-1] & good[1:] & w.inside(size)
                 at = np.flatnonzero(good)
-                k, t = _summed([w.grams(size)[at]], [w.times[at]])
-                keys.append(k)
-                times.append(t)
-        return _rows(key[0].as_py(), keys, times)
+                made.add(*_key_and_check(w, size, at), w.times[at])
+        return made.rows(key[0])
     return count
 
 
+def frequent(counts: DataFrame, least: int) -> DataFrame:
+    """``(part, key, check, total, own)`` of the keys with ``least`` occurrences in all parts: ``own`` is 1 in one of the
+    parts that hold the key, and 2 in all of them where checks differ."""
+    w = Window.partitionBy("key")
+    d = counts.withColumn("key", F.shiftrightunsigned("a", 16))
+    check = F.shiftleft(F.col("b").bitwiseAND(0xFFFF), 16) + F.col("a").bitwiseAND(0xFFFF)
+    d = d.withColumn("total", F.sum(F.shiftrightunsigned("b", 16)).over(w)).withColumn("check", F.min(check).over(w))
+    turn = F.xxhash64("part", "key")
+    d = d.withColumn("own", F.when(F.max(check).over(w) != F.col("check"), 2).when(F.min(turn).over(w) == turn, 1).otherwise(0))
+    return d.filter(F.col("total") >= least).select("part", "key", "check", "total", "own")
+
+
 PHRASES = "lang string, n_words int, phrase string, times bigint"
 
 
 def _reader(longest: int):
-    """Texts of a part's frequent fingerprints, read at their first place, with the part's counts; the empty phrase of
-    no words stands for all words of a language."""
+    """Texts of the frequent keys that a part owns, read at their first place, with their totals (own counts by text where
+    phrases collide); the empty phrase of no words stands for all words of a language."""
     def read(key, rows, keys):
-        known, found = _known(keys), {}
+        known, first = np.unique(keys.column("key").to_numpy().astype(np.uint64), return_index=True)
+        check, total, own = (keys.column(c).to_numpy()[first] for c in ("check", "total", "own"))
+        done = np.zeros(len(known), bool)
+        found: dict[tuple[str, int, bytes], int] = {}
         for slices, langs, n in _batches(rows):
             ids = [_lang_id(x) for x in langs]
-            w, other = Words(slices, ids, n), Words(slices, ids, n, 1)
+            w = Words(slices, ids, n)
             name_of = dict(zip(ids, langs))
             for i, name in name_of.items():
                 found[name, 0, b""] = found.get((name, 0, b""), 0) + int(w.times[w.lang == i].sum())
-            for size in range(1, longest + 1):
+            for size in range(1, longest + 1) if len(known) else ():
                 at = np.flatnonzero(w.inside(size))
-                a = w.grams(size)[at]
-                hit = _is_in(known, a)
-                at, a = at[hit], a[hit]
-                b = other.grams(size, 1)[at]
-                order = np.lexsort((b, a))
-                a, b, at = a[order], b[order], at[order]
-                first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
-                total = np.add.reduceat(w.times[at], first) if len(first) else []
-                for p, t in zip(at[first].tolist(), total):
-                    words = (w.data[x:y] for x, y in zip(w.start[p:p + size].tolist(), w.end[p:p + size].tolist()))
-                    name = (name_of[int(w.lang[p])], size, b" ".join(words))
-                    found[name] = found.get(name, 0) + int(t)
+                k, c = _key_and_check(w, size, at)
+                slot = np.searchsorted(known, k)
+                slot[slot == len(known)] = 0
+                hit = (known[slot] == k) & ((own[slot] == 2) | ((check[slot] == c.astype(np.int64)) & ~done[slot]))
+                at, slot = at[hit], slot[hit]
+                collide = own[slot] == 2
+                one, where = np.unique(slot[~collide], return_index=True)
+                done[one] = True
+                for s, p in zip(one.tolist(), at[~collide][where].tolist()):
+                    found[name_of[int(w.lang[p])], size, w.text(p, size)] = int(total[s])
+                for p in at[collide].tolist():
+                    name = (name_of[int(w.lang[p])], size, w.text(p, size))
+                    found[name] = found.get(name, 0) + int(w.times[p])
         return pa.table({"lang": pa.array([k[0] for k in found], pa.string()), "n_words": pa.array([k[1] for k in found], pa.int32()),
                          "phrase": pa.array([k[2].decode() for k in found], pa.string()), "times": pa.array(list(found.values()), pa.int64())})
     return read
@@ -250,20 +289,16 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     spark = docs.sparkSession
     ship_package(spark)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0  # one number: how finely to deal
-    parts = splits_for(spark, total, PART_BYTES)
-    tasks = max(spark.sparkContext.defaultParallelism, -(-parts // 2), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(splits_for(spark, total, 2 * PART_BATCHES * BATCH_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = map_arrow(d, _dealer(parts), "part int, lang string, slice binary, times bigint").repartition(tasks, "part")
+    dealt = map_arrow(d, _deal, DEALT).repartition(tasks, "part")
     by_part = dealt.groupBy("part")
-
-    def back(counts: DataFrame) -> DataFrame:
-        return frequent_keys(counts, "times", least)
-
-    words = back(by_part.applyInArrow(_count_words, COUNTS))
-    pairs = back(by_part.cogroup(words.groupBy("part")).applyInArrow(_count_pairs, COUNTS))
-    longer = back(by_part.cogroup(pairs.groupBy("part")).applyInArrow(_long_count(longest), COUNTS))
-    known = words.unionByName(pairs).unionByName(longer)
-    read = by_part.cogroup(known.groupBy("part")).applyInArrow(_reader(longest), PHRASES)
+    short = materialize(frequent(by_part.applyInArrow(_count_short, COUNTS), least), "frequent")
+    pairs = short.filter(F.col("key").bitwiseAND(3) == 2).select("part", "key")
+    triples = materialize(frequent(by_part.cogroup(pairs.groupBy("part")).applyInArrow(_longer_counter(2, min(3, longest)), COUNTS), least), "frequent")
+    longer = frequent(by_part.cogroup(triples.select("part", "key").groupBy("part")).applyInArrow(_longer_counter(3, longest), COUNTS), least)
+    owned = short.unionByName(triples).unionByName(longer).filter("own > 0")
+    read = by_part.cogroup(owned.groupBy("part")).applyInArrow(_reader(longest), PHRASES)
     found = materialize(read.groupBy("lang", "n_words", "phrase").agg(F.sum("times").alias("f"))
                         .filter((F.col("f") >= least) | (F.col("n_words") == 0)), "phrases")
     return found.filter("n_words > 0"), found.filter("n_words = 0").select("lang", F.col("f").alias("n"))

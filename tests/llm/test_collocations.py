@@ -3,9 +3,13 @@
 import random
 import re
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
+import zstandard
 from helpers import SF, ascii_lower, edge_documents
 
 from blendwise.llm import collocations as co
@@ -69,25 +73,59 @@ def test_long_phrases_and_slices(spark, monkeypatch):
     assert run(spark, rows, 10) == direct(rows, 10)
 
 
-def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
-    """With fingerprints of four bits nearly everything collides; the text decides."""
-    real = co.Words.grams
+@pytest.mark.parametrize("bits", [3, 5, 9])
+def test_colliding_fingerprints_are_told_apart(spark, bits):
+    """With keys of few bits nearly everything collides; checks differ and the text decides."""
     rng = random.Random(5)
-    rows = [("en", " ".join(rng.choice("abcdefgh") for _ in range(40))) for _ in range(30)]
-    import pyarrow as pa
-
-    slices = [t.encode() for _, t in rows]
-    monkeypatch.setattr(co.Words, "grams", lambda self, n, which=0: real(self, n, which) & np.uint64(15 if which == 0 else 2**64 - 1))
-    table = pa.table({"lang": ["en"] * 30, "slice": pa.array(slices, pa.binary()), "times": [1] * 30})
-    keys = pa.table({"key": pa.array(np.arange(16, dtype=np.int64))})
-    got = co._reader(3)(None, table, keys).to_pylist()
+    rows = [(rng.choice(["en", "de"]), " ".join(rng.choice("abcdefgh") for _ in range(40))) for _ in range(60)]
+    tables = [co_table(rows[i::3]) for i in range(3)]
+    with short_keys(bits):
+        counts = [co._count_short((pa.scalar(p, pa.int64()),), t) for p, t in enumerate(tables)]
+        known = co.frequent(spark.createDataFrame(pa.concat_tables(counts).to_pandas(), co.COUNTS), 30).toPandas()
+        assert (known["own"] == 2).any()
+        for shorter, longest in ((2, 3), (3, 5)):
+            longer = []
+            for p, t in enumerate(tables):
+                mine = known[(known["part"] == p) & (known["key"] % 4 == shorter)]
+                longer.append(co._longer_counter(shorter, longest)((pa.scalar(p, pa.int64()),), t, pa.table({"key": pa.array(mine["key"])})))
+            known = pd.concat([known, co.frequent(spark.createDataFrame(pa.concat_tables(longer).to_pandas(), co.COUNTS), 30).toPandas()])
+        got = Counter()
+        for p, t in enumerate(tables):
+            own = known[(known["part"] == p) & (known["own"] > 0)]
+            for r in co._reader(5)(None, t, pa.Table.from_pandas(own, preserve_index=False)).to_pylist():
+                got[r["lang"], r["n_words"], r["phrase"]] += r["times"]
     want = Counter()
-    for _, t in rows:
+    for lang, t in rows:
         w = t.split()
-        for k in (1, 2, 3):
+        for k in range(1, 6):
             for i in range(len(w) - k + 1):
-                want[k, " ".join(w[i:i + k])] += 1
-    assert {(r["n_words"], r["phrase"]): r["times"] for r in got if r["n_words"]} == want
+                want[lang, k, " ".join(w[i:i + k])] += 1
+    assert {k: v for k, v in got.items() if k[1] and v >= 30} == {k: v for k, v in want.items() if v >= 30}
+
+
+def co_table(rows):
+    made = {}
+    for i, (lang, t) in enumerate(rows):
+        made.setdefault(i // 10, []).append((lang, t.encode()))
+    zip_ = zstandard.ZstdCompressor()
+    return pa.table({"langs": [[x for x, _ in g] for g in made.values()], "sizes": [[len(t) for _, t in g] for g in made.values()],
+                     "times": [[1] * len(g) for g in made.values()],
+                     "data": pa.array([zip_.compress(b"".join(t for _, t in g)) for g in made.values()], pa.binary())})
+
+
+@contextmanager
+def short_keys(bits):
+    real = co._key_and_check
+
+    def short(w, n, at):
+        key, check = real(w, n, at)
+        return key & np.uint64((1 << bits) - 1), check
+
+    co._key_and_check = short
+    try:
+        yield
+    finally:
+        co._key_and_check = real
 
 
 def test_products_beyond_64_bits(spark):
