@@ -162,38 +162,62 @@ def _places(norm: Column, phrase: str) -> Column:
     return F.struct(n.alias("n"), first.alias("first"), last.alias("last"))
 
 
+CHUNK = 256  # entries of an array that are accumulated one by one
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: lambda bodies would compute what they name again for every entry."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, zero: Column, kind: str, merge) -> Column:
+    """For every entry of an array the merged entries before it.  Chunks are accumulated one by one and then shifted by what
+    stands before them, so that the work grows with the entries and not with their square."""
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    begin = F.expr("cast(array() as array<int>)")
+
+    def scan(xs):
+        return F.aggregate(xs, F.struct(zero.alias("at"), none.alias("out")), lambda acc, x: F.struct(
+            merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def chunks(v):
+        first = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(CHUNK))).otherwise(begin)
+        return F.transform(first, lambda i: scan(F.slice(v, i, F.lit(CHUNK))))
+
+    def shifted(cs):
+        shifts = scan(F.transform(cs, lambda c: c["at"]))["out"]
+        return F.flatten(F.zip_with(cs, shifts, lambda c, s: F.transform(c["out"], lambda x: merge(s, x))))
+
+    return _let(_let(values, chunks), shifted)
+
+
 def _intervals(norm: Column, rule: Column) -> Column:
     """All matches of one rule as (start, -stop, priority, rank, label), in character offsets."""
-    none = F.expr("cast(array() as array<struct<start:int,minus_stop:int,priority:int,rank:int,label:string>>)")
+    found = F.transform(F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), F.length)
+    before = F.transform(F.split(norm, rule["pattern"], -1), F.length)
+    sizes = F.filter(F.zip_with(before, found, lambda b, f: F.struct(b.alias("before"), f.alias("found"))), lambda x: x["found"].isNotNull())
 
-    def add(acc, x):
-        start = acc["at"] + F.length(x["before"])
-        stop = start + F.length(x["found"])
-        one = F.struct(start.alias("start"), (-stop).alias("minus_stop"), rule["priority"].alias("priority"),
-                       rule["rank"].alias("rank"), rule["label"].alias("label"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(xs):
+        ends = _running(F.transform(xs, lambda x: x["before"] + x["found"]), F.lit(0), "int", lambda a, b: a + b)
+        return F.zip_with(xs, ends, lambda x, at: F.struct(
+            (at + x["before"]).alias("start"), (-(at + x["before"] + x["found"])).alias("minus_stop"), rule["priority"].alias("priority"),
+            rule["rank"].alias("rank"), rule["label"].alias("label")))
 
-    found = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
-    before = F.split(norm, rule["pattern"], -1)
-    pairs = F.zip_with(F.slice(before, F.lit(1), F.size(found)), found,
-                       lambda b, f: F.struct(b.alias("before"), f.alias("found")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda a: a["out"])
+    return _let(sizes, placed)
 
 
 def _outside(found: Column) -> Column:
-    """Drop intervals inside another one of the same or a higher priority (input sorted by start, longest first)."""
-    none = F.expr("cast(array() as array<struct<start:int,minus_stop:int,priority:int,rank:int,label:string>>)")
-
-    def step(acc, x):
-        stop = -x["minus_stop"]
-        reach = F.when(x["priority"] == 1, acc["s1"]).when(x["priority"] == 2, F.greatest(acc["s1"], acc["s2"])).otherwise(
-            F.greatest(acc["s1"], acc["s2"], acc["s3"]))
-        keep = stop > reach
-        up = [F.when(x["priority"] == p, F.greatest(acc[f"s{p}"], stop)).otherwise(acc[f"s{p}"]).alias(f"s{p}") for p in (1, 2, 3)]
-        return F.struct(*up, F.when(keep, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+    """Drop intervals inside another one of the same or a higher priority (sorted by start, longest first)."""
+    def kept(xs):
+        stops = F.transform(xs, lambda x: F.struct(*[
+            F.when(x["priority"] <= p, -x["minus_stop"]).otherwise(F.lit(-1)).alias(f"s{p}") for p in (1, 2, 3)]))
+        reach = _running(stops, F.struct(*[F.lit(-1).alias(f"s{p}") for p in (1, 2, 3)]), "struct<s1:int,s2:int,s3:int>",
+                         lambda a, b: F.struct(*[F.greatest(a[f"s{p}"], b[f"s{p}"]).alias(f"s{p}") for p in (1, 2, 3)]))
+        out = F.zip_with(xs, reach, lambda x, r: F.when(-x["minus_stop"] > F.when(x["priority"] == 1, r["s1"]).when(
+            x["priority"] == 2, r["s2"]).otherwise(r["s3"]), x))
+        return F.filter(out, lambda x: x.isNotNull())
 
-    zero = F.struct(*[F.lit(-1).alias(f"s{p}") for p in (1, 2, 3)], none.alias("out"))
-    return F.aggregate(F.array_sort(found), zero, step, lambda a: a["out"])
+    return _let(F.array_sort(found), kept)
 
 
 def _not_spanning(found: Column) -> Column:
@@ -211,12 +235,20 @@ def _not_spanning(found: Column) -> Column:
     return F.aggregate(by_stop, F.struct(F.lit(-1).alias("start"), none.alias("out")), step, lambda a: a["out"])
 
 
+OUTPUTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+
+
 def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` plus n_words, n_base, first_word, last_word, base_labels, labels (comma-joined, sorted), score."""
+    """``df`` plus n_words, n_base, first_word, last_word, base_labels, labels (comma-joined, sorted), score.
+
+    Columns of ``df`` are kept; an output whose name is taken gets a number after its name."""
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    made = [fresh(df, x) for x in OUTPUTS]
     norm, hit, base, det = (fresh(df, x) for x in ("_norm", "_hit", "_base", "_det"))
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _SEPARATORS, " ")), F.lit(" "))
+    n_words, n_base, first_word, last_word, base_labels, labels, score = made
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), _SEPARATORS, " ")), F.lit(" "))
     d = df.withColumn(norm, words)
-    d = d.withColumn("n_words", F.when(F.length(norm) > 2, _blanks(F.col(norm)) - 1).otherwise(F.lit(0).cast("bigint")))
+    d = d.withColumn(n_words, F.when(F.length(norm) > 2, _blanks(F.col(norm)) - 1).otherwise(F.lit(0).cast("bigint")))
     gate = F.lower(F.col(norm)).rlike("|".join(GATES))
     d = d.withColumn(norm, F.when(gate, F.translate(F.col(norm), _UPPER, _LOWER)))
     places = F.array(*[_places(F.col(norm), p) for p in BASE])
@@ -227,20 +259,20 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn(hit, F.when(F.col(norm).isNotNull(), hits))
     d = d.withColumn(det, F.when(F.size(hit) > 0, _not_spanning(_outside(F.col(hit)))))
     zero = F.lit(0).cast("bigint")
-    d = d.withColumn("n_base", F.coalesce(F.aggregate(F.col(base), zero, lambda a, x: a + x["n"]), zero))
-    d = d.withColumn("first_word", F.array_min(F.transform(F.col(base), lambda x: x["first"])))
-    d = d.withColumn("last_word", F.array_max(F.transform(F.col(base), lambda x: x["last"])))
+    d = d.withColumn(n_base, F.coalesce(F.aggregate(F.col(base), zero, lambda a, x: a + x["n"]), zero))
+    d = d.withColumn(first_word, F.array_min(F.transform(F.col(base), lambda x: x["first"])))
+    d = d.withColumn(last_word, F.array_max(F.transform(F.col(base), lambda x: x["last"])))
     of_base = F.filter(F.array(*[F.when(F.col(base)[i]["n"] > 0, F.lit(l)) for i, l in enumerate(BASE.values())]), lambda x: x.isNotNull())
     none = F.expr("cast(array() as array<string>)")
-    d = d.withColumn("base_labels", F.concat_ws(",", F.array_sort(of_base)))
+    d = d.withColumn(base_labels, F.concat_ws(",", F.array_sort(of_base)))
     of_det = F.coalesce(F.transform(F.col(det), lambda x: x["label"]), none)
-    d = d.withColumn("labels", F.concat_ws(",", F.array_sort(F.array_union(of_base, of_det))))
+    d = d.withColumn(labels, F.concat_ws(",", F.array_sort(F.array_union(of_base, of_det))))
     best = F.array_min(F.transform(F.col(det), lambda x: x["priority"]))
-    score = F.lit(0.0)
+    sure = F.lit(0.0)
     for p, v in sorted(CONFIDENCE.items(), reverse=True):
-        score = F.when(best == p, F.lit(v)).otherwise(score)
-    d = d.withColumn("score", F.greatest(score, F.when(F.col("n_base") > 0, F.lit(CONFIDENCE[2])).otherwise(F.lit(0.0))))
-    return d.drop(norm, hit, base, det)
+        sure = F.when(best == p, F.lit(v)).otherwise(sure)
+    d = d.withColumn(score, F.greatest(sure, F.when(F.col(n_base) > 0, F.lit(CONFIDENCE[2])).otherwise(F.lit(0.0))))
+    return d.select(*kept, *made)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """License scan: base columns against SQL and Python, rules and suppression on hand-made texts."""
 
+import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -136,3 +138,43 @@ def test_a_sample_text_of_every_rule_is_labelled(spark):
         assert r.labels and r.score >= licenses.CONFIDENCE[r.priority], r
         if r.priority == 1:
             assert r.label in r.labels.split(","), r
+
+
+def independent_labels(text):
+    """Labels by a plain reading of the rules: all matches, then pairwise containment."""
+    norm = " " + " ".join(plain_words(text)) + " "
+    found = []
+    for r in licenses.rules():
+        if r["keyword"] in norm:
+            found += [(m.start(), m.end(), r["priority"], r["rank"], r["label"]) for m in re.finditer(r["pattern"], norm)]
+    found = sorted(set(found), key=lambda x: (x[0], -x[1], x[2], x[3]))
+    kept = [x for i, x in enumerate(found) if not any(y[0] <= x[0] and y[1] >= x[1] and y[2] <= x[2] for y in found[:i])]
+    strong = [x for x in kept if x[2] < 3]
+    kept = [x for x in kept if x[2] < 3 or not any(y[0] >= x[0] and y[1] <= x[1] for y in strong)]
+    labels = {x[4] for x in kept} | {l for p, l in licenses.BASE.items() if f" {p} " in norm}
+    return ",".join(sorted(labels))
+
+
+def test_suppression_against_an_independent_version(spark):
+    rng = random.Random(8)
+    bits = [variants(r["pattern"])[k] for r in licenses.rules() for k in (0, -1)]
+    bits += ["licensed under the terms of the", "license", "the", "some other words", "released under", "spdx license identifier", "gnu", "v2"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    texts.append(" ".join(rng.choice(bits) for _ in range(900)))  # more detections than a chunk of the running maxima holds
+    for r in licenses.scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        assert r.labels == independent_labels(r.text), r.text
+
+
+def test_time_grows_with_the_matches(spark):
+    """A list of 100,000 notices in one text."""
+    text = "MIT License, Apache License 2.0; " * n
+    began = time.time()
+    r = licenses.scan_licenses(spark.createDataFrame([(text,)], "text string")).collect()[0]
+    assert r.n_base == 100_000 and r.labels == "apache,apache-2.0,mit"
+    assert time.time() - began < 60
+
+
+def test_names_that_are_taken(spark):
+    df = spark.createDataFrame([("MIT License", "mine", 7)], "text string, labels string, score int")
+    r = licenses.scan_licenses(df).collect()[0]
+    assert (r.labels, r.score, r.labels1, r.n_base) == ("mine", 7, "mit", 1) and r.score1 > 0
