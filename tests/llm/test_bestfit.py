@@ -106,3 +106,17 @@ def test_ids_are_kept_on_request(spark):
     for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
         of.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
     assert of == {1: [31373, 995, 2], 2: [2]}
+
+
+def test_white_space_without_end(spark):
+    """Texts on which the fast form of the vocabulary gives up have the tokenizer's ids, through the whole operator."""
+    from tokenizers import Tokenizer
+
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "\n \t" * 700_000, "words and" + " " * 1_500_000 + "more words", " \u3000\u00a0" * 300_000, "plain words"]
+    tokenizer = Tokenizer.from_file(bestfit.byte_bpe_50k()[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = bestfit.pack_documents(docs, bestfit.byte_bpe_50k(), ["doc_id"], with_ids=True).collect()
+    for i, t in enumerate(texts):
+        pieces = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
+        ids = np.frombuffer(b"".join(bytes(r.ids) for r in pieces), "<u4")
+        assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
