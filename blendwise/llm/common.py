@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from blendwise.session import scratch_path, ship_package
 from blendwise.sources.tables import table
 
 __all__ = ["table", "materialize", "row_slices", "word_hashes", "mix64", "splits_for", "fresh", "ship_package",
-           "text_digest", "map_arrow", "frequent_keys"]
+           "text_digest", "map_arrow", "frequent_keys", "give_back", "small_batches"]
 
 SLICE_BYTES = 4 << 20  # Python works on at most this many text bytes at a time (or on one longer text)
 
@@ -44,8 +45,25 @@ def text_digest(c: Column) -> Column:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose worker, which lives on for the next stage, gives freed memory back when a task is done."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system (no-op where the C library cannot)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def frequent_keys(counts: DataFrame, times: str, least: int, total: str | None = None) -> DataFrame:
@@ -56,6 +74,14 @@ def frequent_keys(counts: DataFrame, times: str, least: int, total: str | None =
     return d.select("part", "key", F.col("_total").alias(total)) if total else d.select("part", "key")
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let a batch between Spark and Python hold at most ``rows`` rows: one of whole texts stands in memory four times
+    (both ways, on both sides), and ten thousand long texts are too much."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def splits_for(spark: SparkSession, total: int | None, per_split: int) -> int:
     """Number of partitions or key ranges for ``total`` units of data, at least the session's parallelism."""
     return max(int(spark.sparkContext.defaultParallelism), -(-int(total or 0) // per_split), 1)

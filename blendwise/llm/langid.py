@@ -292,6 +292,7 @@ def _calibrate(labelled: DataFrame, model: Model, key: str, rows: int) -> dict[s
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(list(x), pa.list_(pa.float64())), pa.array(n)], ["lang", "x", "n"])
 
     p = map_arrow(usable.filter(take).select("lang", "text"), score, "lang string, x array<double>, n double").filter("n > 0").toPandas()
+    shared.destroy()  # the prediction sends the model with its limits
     x_all, n_all, lang_all = np.array(p["x"].tolist()).reshape(-1, len(model.langs)), p["n"].to_numpy(), p["lang"].to_numpy()
     mine = np.array([model.langs.index(x) for x in lang_all], np.int64)
     others = x_all.copy()

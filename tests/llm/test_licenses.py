@@ -167,7 +167,7 @@ def test_suppression_against_an_independent_version(spark):
 
 def test_time_grows_with_the_matches(spark):
     """A list of 100,000 notices in one text."""
-    text = "MIT License, Apache License 2.0; " * n
+    text = "MIT License, Apache License 2.0; " * 50_000
     began = time.time()
     r = licenses.scan_licenses(spark.createDataFrame([(text,)], "text string")).collect()[0]
     assert r.n_base == 100_000 and r.labels == "apache,apache-2.0,mit"
