@@ -14,7 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blendwise.session import small_broadcast
+
 DEFAULT_BUCKET_WIDTH = 1 << 16
+# The table of bucket totals is broadcast up to this many rows, if its size is known.
+BASE_BROADCAST_ROWS = 1 << 20
 
 
 def prefix_sum(
@@ -27,13 +31,15 @@ def prefix_sum(
     bucket_width: int = DEFAULT_BUCKET_WIDTH,
     inclusive: bool = True,
     total: str | None = None,
+    base_rows: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = running sum of ``value`` within ``keys`` along ``order``.
 
     ``order`` must be unique within ``keys``; its first column is numeric and
     defines the bucket (``floor(order / bucket_width)``) unless ``bucket`` is
     given, which must be non-decreasing along ``order``.  ``total`` adds the
-    per-key grand total.
+    per-key grand total.  ``base_rows`` is a known bound of the number of (key, bucket) pairs: a small base
+    is broadcast, so that rows already partitioned by the bucket do not move; any other is joined by a shuffle.
     """
     keys = list(keys)
     order = [order] if isinstance(order, str) else list(order)
@@ -48,7 +54,10 @@ def prefix_sum(
     if total:
         base = base.withColumn(total, F.sum("_bs").over(Window.partitionBy(*keys)))
         cols.append(total)
-    d = d.join(base.select(*cols), on=[*keys, "_pb"], how="inner")
+    base = base.select(*cols)
+    if base_rows is not None:
+        base = small_broadcast(base, BASE_BROADCAST_ROWS, known_rows=base_rows)
+    d = d.join(base, on=[*keys, "_pb"], how="inner")
 
     inner = (
         Window.partitionBy(*keys, "_pb")
@@ -69,11 +78,12 @@ def prefix_rank(
     bucket: Column | None = None,
     bucket_width: int = DEFAULT_BUCKET_WIDTH,
     total: str | None = None,
+    base_rows: int | None = None,
 ) -> DataFrame:
     """1-based row number within ``keys`` along ``order`` (two-level, skew-safe)."""
     return prefix_sum(
         df, keys, order, F.lit(1).cast("bigint"), out, bucket=bucket,
-        bucket_width=bucket_width, inclusive=True, total=total,
+        bucket_width=bucket_width, inclusive=True, total=total, base_rows=base_rows,
     )
 
 

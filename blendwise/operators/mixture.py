@@ -85,15 +85,32 @@ def draw_sources(
     return j.select(*rk, "draw_idx", "group_id", "source", "u")
 
 
-def mix(positioned_blocks: DataFrame, draws: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
+def mix(positioned_blocks: DataFrame, draws: DataFrame, keys: Sequence[str] = ("source",), sizes: DataFrame | None = None,
+        draw_buckets: int | None = None) -> DataFrame:
     """M4: the k-th draw of a source reads that source's block ``k mod n`` (epoch ``k div n``).
 
     k is the rank of the draw among the draws of its source: a two-level
-    prefix count over draw-index buckets, never a window over a whole source.
+    prefix count over draw-index buckets, never a window over a whole source.  ``sizes`` has one row per key;
+    ``draw_buckets`` bounds the (key, bucket) pairs of the draws.  ``positioned_blocks`` may be a layout without ids.
     """
-    d = prefix_rank(draws, [*_run_keys(draws, None), *keys], "draw_idx", "_k")
-    d = d.withColumn("read_index", F.col("_k") - 1).drop("_k")
-    return cyclic(positioned_blocks, d, keys)
+    return cyclic(positioned_blocks, read_indices(draws, keys, draw_buckets), keys, sizes=sizes)
+
+
+def read_indices(draws: DataFrame, keys: Sequence[str] = ("source",), draw_buckets: int | None = None) -> DataFrame:
+    """``read_index``: how many draws of the same source (and run) come before each draw."""
+    d = prefix_rank(draws, [*_run_keys(draws, None), *keys], "draw_idx", "_k", base_rows=draw_buckets)
+    return d.withColumn("read_index", F.col("_k") - 1).drop("_k")
+
+
+def sharded_mix(layout: DataFrame, draws: DataFrame, ranks: int, sizes: DataFrame, keys: Sequence[str] = ("source",),
+                draw_buckets: int | None = None) -> DataFrame:
+    """P7 x M4: every rank's stream ``(rank, draw_idx, keys..., read_index, epoch, chunk_id, block_in_chunk)``.
+
+    ``layout`` gives each rank its own files in its own order.  All ranks draw the same sources (one seed for the mixture) and
+    read their own blocks, so ranks never share a block.  ``sizes(keys..., rank, n_blocks)`` has one row per key and rank."""
+    d = read_indices(draws, keys, draw_buckets)
+    d = d.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))))
+    return cyclic(layout, d, [*keys, "rank"], sizes=sizes)
 
 
 def batches(mixed: DataFrame, micro_batch: int, accumulation: int, draw: str = "draw_idx") -> DataFrame:
@@ -153,7 +170,7 @@ def sample_weights(mixed: DataFrame, probs: DataFrame, source: str = "source", p
 
 
 def apply_mixture(positioned_blocks: DataFrame, probs: DataFrame, budget_tokens: F.Column | int, block_tokens: int,
-                  source: str = "source", p: str = "p", repeat: bool = True) -> DataFrame:
+                  source: str = "source", p: str = "p", repeat: bool = True, sizes: DataFrame | None = None) -> DataFrame:
     """A corpus under learned weights: ``ceil(p * budget / block)`` blocks per
     source, read in stream order.  Past the end of a source they repeat (new epoch), or
     (``repeat=False``) the source gives each of its blocks once at most."""
@@ -163,6 +180,6 @@ def apply_mixture(positioned_blocks: DataFrame, probs: DataFrame, budget_tokens:
         out = positioned_blocks.join(need, source).filter(F.col("position") < F.col("_need"))
         return out.withColumn("read_index", F.col("position")).withColumn("epoch", F.lit(0).cast("bigint")).drop("_need", "n_blocks")
     reads = read_range(need.filter(F.col("_need") > 0), "_need", [source])
-    return cyclic(positioned_blocks, reads, [source])
+    return cyclic(positioned_blocks, reads, [source], sizes=sizes)
 
 

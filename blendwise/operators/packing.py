@@ -35,10 +35,16 @@ def doc_offsets(
     order: str = "doc_id",
     ids: str = "ids",
     bucket_width: int = DEFAULT_BUCKET_WIDTH,
+    bucket: str | None = None,
+    base_rows: int | None = None,
 ) -> DataFrame:
-    """``start``/``end`` of each document in its key's stream, plus ``key_tokens``."""
+    """``start``/``end`` of each document in its key's stream, plus ``key_tokens``.
+
+    ``bucket`` names a column that does not fall along ``order``: documents that are partitioned by it get their offsets
+    where they are, from the bucket totals (broadcast if ``base_rows``, a bound of their number, is small)."""
     d = tokens if "n_tokens" in tokens.columns else tokens.withColumn("n_tokens", F.size(ids).cast("bigint"))
-    d = prefix_sum(d, keys, order, "n_tokens", "end", bucket_width=bucket_width, total="key_tokens")
+    d = prefix_sum(d, keys, order, "n_tokens", "end", bucket=F.col(bucket) if bucket else None, bucket_width=bucket_width,
+                   total="key_tokens", base_rows=base_rows)
     return d.withColumn("start", F.col("end") - F.col("n_tokens"))
 
 
@@ -52,76 +58,72 @@ def emitted_chunks(total: F.Column, chunk_size: int, remainder: str = "keep") ->
     raise ValueError(f"remainder must be 'keep', 'drop' or 'pad', got {remainder!r}")
 
 
-def pack(
+def chunks(
     tokens: DataFrame,
     chunk_size: int,
-    block_size: int,
     keys: Sequence[str] = ("source",),
     order: str = "doc_id",
     ids: str = "ids",
     remainder: str = "keep",
     sep: int = 0,
     bucket_width: int = DEFAULT_BUCKET_WIDTH,
+    bucket: str | None = None,
+    base_rows: int | None = None,
+    reach: int | None = None,
 ) -> DataFrame:
-    """Blocks ``(keys..., chunk_id, block_in_chunk, block_no, tokens)``.
+    """Written chunks ``(keys..., chunk_id, tokens)``, up to ``reach`` ids of each.
 
-    One row per (document, chunk) piece is cut with ``slice``; pieces are
-    grouped per chunk (a group holds at most ``chunk_size`` ids) and put in
-    order, then each chunk is cut into its whole blocks.
-    """
-    if block_size <= 0 or chunk_size < block_size:
-        raise ValueError("need 0 < block_size <= chunk_size")
-    keys = list(keys)
-    C, B = chunk_size, block_size
-    nb = C // B
-    o = doc_offsets(tokens, keys, order, ids, bucket_width)
+    One row per (document, chunk) piece is cut with ``slice``; pieces are grouped per chunk (a group holds
+    at most ``chunk_size`` ids) and put in order.  This is the only exchange that carries ids if ``bucket`` is given."""
+    keys, C = list(keys), chunk_size
+    reach = C if reach is None else reach
+    o = doc_offsets(tokens, keys, order, ids, bucket_width, bucket, base_rows)
     o = o.withColumn("_nchunks", emitted_chunks(F.col("key_tokens"), C, remainder))
     o = o.filter((F.col("n_tokens") > 0) & (F.col("start") < F.col("_nchunks") * C))
 
     c = F.explode(F.sequence(F.floor(F.col("start") / C), F.least(F.floor((F.col("end") - 1) / C), F.col("_nchunks") - 1)))
     o = o.select(*keys, ids, "start", "end", c.alias("chunk_id"))
-    reach = nb * B  # ids of a chunk past its last whole block are never read
     c0 = F.col("chunk_id") * C
     ps = F.greatest(F.col("start"), c0)
     pe = F.least(F.col("end"), c0 + reach)
     o = o.filter(ps < pe)
     piece = F.slice(F.col(ids), (ps - F.col("start") + 1).cast("int"), (pe - ps).cast("int"))
     pieces = o.select(*keys, "chunk_id", (ps - c0).alias("_off"), piece.alias("_piece"))
-
-    # one group per chunk (a few pieces each), then the chunk is cut into blocks
     ch = pieces.groupBy(*keys, "chunk_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_off", "_piece"))), lambda s: s["_piece"])).alias("_ids")
-    )
-    j = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb - 1).cast("bigint"))).alias("block_in_chunk")
-    blocks = ch.select(*keys, "chunk_id", "_ids", j)
-    tok = F.slice("_ids", (F.col("block_in_chunk") * B + 1).cast("int"), F.lit(B))
-    if remainder == "pad":
-        # the open chunk is written whole: short or empty blocks filled with sep
-        pad = F.lit(sep).cast("int")
-        tok = F.concat(F.coalesce(tok, F.array().cast("array<int>")),
-                       F.array_repeat(pad, (F.lit(B) - F.coalesce(F.size(tok), F.lit(0))).cast("int")))
-    blocks = blocks.select(*keys, "chunk_id", "block_in_chunk", tok.alias("tokens"))
-    if remainder == "keep":  # a short last chunk has fewer blocks
-        blocks = blocks.filter(F.size("tokens") > 0)
-    if remainder == "pad":
-        blocks = blocks.withColumn("tokens", F.slice("tokens", 1, B))
-    return blocks.withColumn("block_no", F.col("chunk_id") * nb + F.col("block_in_chunk")).select(
-        *keys, "chunk_id", "block_in_chunk", "block_no", "tokens"
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_off", "_piece"))), lambda s: s["_piece"])).alias("tokens")
     )
+    if remainder == "pad":  # the open chunk is written whole
+        fill = F.array_repeat(F.lit(sep).cast("int"), (F.lit(reach) - F.size("tokens")).cast("int"))
+        ch = ch.withColumn("tokens", F.concat("tokens", fill))
+    return ch.select(*keys, "chunk_id", "tokens")
 
 
-def chunks(
+def pack(
     tokens: DataFrame,
     chunk_size: int,
+    block_size: int,
     keys: Sequence[str] = ("source",),
     order: str = "doc_id",
     ids: str = "ids",
-    bucket_width: int = DEFAULT_BUCKET_WIDTH,
     remainder: str = "keep",
+    sep: int = 0,
+    bucket_width: int = DEFAULT_BUCKET_WIDTH,
+    bucket: str | None = None,
+    base_rows: int | None = None,
 ) -> DataFrame:
-    """Written chunks ``(keys..., chunk_id, tokens)`` (block size = chunk size)."""
-    b = pack(tokens, chunk_size, chunk_size, keys, order, ids, remainder, bucket_width=bucket_width)
-    return b.select(*keys, "chunk_id", "tokens")
+    """Blocks ``(keys..., chunk_id, block_in_chunk, block_no, tokens)``: each written chunk cut into its whole
+    blocks; ids past the last whole block of a chunk are never read, a short last chunk has fewer blocks."""
+    if block_size <= 0 or chunk_size < block_size:
+        raise ValueError("need 0 < block_size <= chunk_size")
+    keys, B = list(keys), block_size
+    nb = chunk_size // B
+    ch = chunks(tokens, chunk_size, keys, order, ids, remainder, sep, bucket_width, bucket, base_rows, reach=nb * B)
+    j = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.size("tokens") / F.lit(B)).cast("bigint") - 1)).alias("block_in_chunk")
+    blocks = ch.select(*keys, "chunk_id", "tokens", j)
+    tok = F.slice("tokens", (F.col("block_in_chunk") * B + 1).cast("int"), F.lit(B))
+    return blocks.withColumn("tokens", tok).withColumn("block_no", F.col("chunk_id") * nb + F.col("block_in_chunk")).select(
+        *keys, "chunk_id", "block_in_chunk", "block_no", "tokens"
+    )
 
 
 def block_remainder(chunk_rows: DataFrame, chunk_size: int, block_size: int, keys: Sequence[str] = ("source",)) -> DataFrame:
@@ -189,10 +191,15 @@ def block_positions(blocks: DataFrame, keys: Sequence[str] = ("source",), order:
     return d.withColumn("position", F.col("_r") - 1).drop("_r")
 
 
-def cyclic(positioned: DataFrame, reads: DataFrame, keys: Sequence[str] = ("source",), read_index: str = "read_index") -> DataFrame:
-    """P10: the k-th read of a key (0-based) takes block k mod n, in epoch k div n."""
-    sizes = positioned.groupBy(*keys).agg(F.max("n_blocks").alias("_n"))
-    r = reads.join(sizes, list(keys), "inner")
+def cyclic(positioned: DataFrame, reads: DataFrame, keys: Sequence[str] = ("source",), read_index: str = "read_index",
+           sizes: DataFrame | None = None) -> DataFrame:
+    """P10: the k-th read of a key (0-based) takes block k mod n, in epoch k div n.  ``sizes(keys..., n_blocks)``, one row
+    per key, spares counting the blocks."""
+    if sizes is None:
+        n = positioned.groupBy(*keys).agg(F.max("n_blocks").alias("_n"))
+    else:
+        n = F.broadcast(sizes.select(*keys, F.col("n_blocks").alias("_n")))
+    r = reads.join(n, list(keys), "inner")
     r = r.withColumn("position", (F.col(read_index) % F.col("_n")).cast("bigint")).withColumn(
         "epoch", F.floor(F.col(read_index) / F.col("_n")).cast("bigint")
     ).drop("_n")

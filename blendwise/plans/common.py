@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blendwise.operators.packing import pack
+from blendwise.operators.packing import chunks, pack
 from blendwise.operators.tokens import encode_documents
 from blendwise.sources import tables
 
@@ -34,8 +34,22 @@ def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, vocab_size=VOCAB, keep=("doc_id", "source", "split", "lang"))
 
 
+def packing_input(spark: SparkSession, sf_dir: str, keys=("source",)) -> tuple[DataFrame, dict]:
+    """The documents' ids, partitioned by ranges of document ids, and the packer's options that say so."""
+    b = tables.document_buckets(spark, sf_dir)
+    ids = encode_documents(tables.bucketed_documents(spark, sf_dir, b), vocab_size=VOCAB,
+                           keep=("doc_id", "source", "split", "lang", "doc_bucket"))
+    return ids, {"keys": keys, "bucket": "doc_bucket", "base_rows": b.pairs(keys)}
+
+
 def blocks(spark: SparkSession, sf_dir: str, keys=("source",), remainder: str = "keep") -> DataFrame:
-    return pack(doc_ids(spark, sf_dir), CHUNK, BLOCK, keys=keys, remainder=remainder)
+    ids, how = packing_input(spark, sf_dir, keys)
+    return pack(ids, CHUNK, BLOCK, remainder=remainder, **how)
+
+
+def written_chunks(spark: SparkSession, sf_dir: str, keys=("source",), remainder: str = "keep") -> DataFrame:
+    ids, how = packing_input(spark, sf_dir, keys)
+    return chunks(ids, CHUNK, remainder=remainder, **how)
 
 
 def checksum(arr: str) -> F.Column:

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from blendwise.operators import gradients as gr
 from blendwise.operators import loss as ls
 from blendwise.operators import optim as op
-from blendwise.operators.packing import next_token, pack
-from blendwise.plans.common import BLOCK, CHUNK, SEED, SQL_DOC_IDS, VOCAB, doc_ids, sql_num, sql_pack, sql_pairs, with_sql
+from blendwise.operators.packing import next_token
+from blendwise.plans.common import SEED, SQL_DOC_IDS, VOCAB, sql_num, sql_pack, sql_pairs, with_sql
+from blendwise.plans.common import blocks as packed_blocks
 from blendwise.plans.registry import query
 from blendwise.session import cut_lineage, reuse
 from blendwise.sources import tables
@@ -41,7 +42,7 @@ def rnd(c, digits: int = 9, scale: float = 1.0):
 # ---- Spark side -------------------------------------------------------------
 
 def lang_blocks(spark, sf):
-    return next_token(pack(doc_ids(spark, sf), CHUNK, BLOCK, keys=LKEYS))
+    return next_token(packed_blocks(spark, sf, keys=LKEYS))
 
 
 def lang_counts(spark, sf, blocks=None, cut=True):

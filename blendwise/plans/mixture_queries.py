@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from blendwise.functions.prefix import DEFAULT_BUCKET_WIDTH
+from blendwise.operators import layout as ly
 from blendwise.operators import mixture as mx
 from blendwise.operators.tokens import corpus_stats
-from blendwise.plans.common import BLOCK, PACK_CTES, SEED, SQL_SUMS, VOCAB, blocks, checksum, doc_ids, r, with_sql
-from blendwise.plans.packing_queries import SQL_NFILES, SQL_POSITIONED, files, positioned_blocks
+from blendwise.plans.common import (
+    BLOCK, CHUNK, N_BLOCKS, PACK_CTES, SEED, SQL_SUMS, VOCAB, blocks, checksum, doc_ids, r, with_sql, written_chunks,
+)
+from blendwise.plans.packing_queries import BUFFER_CHUNKS, SHARDS, SQL_NFILES, SQL_POSITIONED, files, layout, n_positions, source_sizes
 from blendwise.plans.registry import query
-from blendwise.session import with_scalars
+from blendwise.session import cut_lineage, with_scalars
 from blendwise.sources import tables
 
 MIN_FILES = 19
@@ -68,8 +72,14 @@ def draws(spark, sf, per_doc=DRAWS_PER_DOC):
     return mx.draw_sources(spark, per_doc * n_docs(spark, sf), m, SEED, mixture_rows=k)
 
 
-def mixed(spark, sf):
-    return mx.mix(positioned_blocks(spark, sf), draws(spark, sf, MIX_DRAWS_PER_DOC))
+def mixed(spark, sf, ids=True):
+    """Draws with their blocks' places and (``ids``) contents."""
+    pos, sizes = layout(spark, sf)
+    m = mixture(spark, sf)
+    k, n = m.count(), MIX_DRAWS_PER_DOC * n_docs(spark, sf)
+    d = mx.draw_sources(spark, n, m, SEED, mixture_rows=k)
+    out = mx.mix(pos, d, sizes=sizes, draw_buckets=k * (n // DEFAULT_BUCKET_WIDTH + 1))
+    return ly.attach_blocks(out, written_chunks(spark, sf), BLOCK) if ids else out
 
 
 @query("m1_normalize", f"""WITH {SQL_MIX}
@@ -104,6 +114,41 @@ def m4_mix(spark, sf):
                                    checksum("tokens").alias("checksum"))
 
 
+SQL_RANKS = f"""shard AS (SELECT s.source, s.chunk_id, CAST((s.file_rank - 1) % {SHARDS} AS INTEGER) AS rank, (s.file_rank - 1) // {SHARDS} AS i
+  FROM sfiles s JOIN nf USING (source) WHERE s.file_rank - 1 < nf.n_files // {SHARDS} * {SHARDS}),
+rb AS (SELECT h.source, h.rank, h.chunk_id, h.i, b.block_in_chunk, h.i // {BUFFER_CHUNKS} AS buffer,
+         ('0x' || substr(md5(({SEED} + h.rank) || ':' || h.source || ':' || (h.i + 1) || ':' || b.block_in_chunk), 1, 15))::BIGINT AS k
+       FROM shard h JOIN (SELECT DISTINCT source, chunk_id, block_in_chunk FROM btoks) b USING (source, chunk_id)),
+rpos AS (SELECT *, row_number() OVER (PARTITION BY source, rank ORDER BY buffer, k, i, block_in_chunk) - 1 AS position,
+           count(*) OVER (PARTITION BY source, rank) AS n_blocks FROM rb),
+rmix AS (SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS group_id, source, weight
+         FROM mix JOIN nf USING (source) WHERE n_files >= {SHARDS}),
+riv AS (SELECT group_id, source, round(c - p, 12) AS lo, CASE WHEN group_id = max(group_id) OVER () THEN CAST(1.0 AS DOUBLE) ELSE round(c, 12) END AS hi
+        FROM (SELECT *, sum(p) OVER (ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
+              FROM (SELECT *, weight / sum(weight) OVER () AS p FROM rmix))),
+rd AS (SELECT d.draw_idx, i.source, row_number() OVER (PARTITION BY i.source ORDER BY d.draw_idx) - 1 AS read_index
+       FROM dr d JOIN riv i ON d.u >= i.lo AND d.u < i.hi),
+ranked AS (SELECT unnest(range({SHARDS})) AS rank)"""
+
+
+@query("m4_mix_ranks", f"""{with_sql(*PACK_CTES, SQL_SUMS, SQL_NFILES, SQL_MIX, SQL_IV, sql_draws(MIX_DRAWS_PER_DOC), SQL_RANKS)}
+SELECT CAST(k.rank AS INTEGER) AS rank, rd.draw_idx, rd.source, CAST(rd.read_index AS BIGINT) AS read_index,
+       CAST(rd.read_index // p.n_blocks AS BIGINT) AS epoch, p.chunk_id, p.block_in_chunk, checksum
+FROM rd CROSS JOIN ranked k JOIN rpos p ON p.source = rd.source AND p.rank = k.rank AND p.position = rd.read_index % p.n_blocks
+JOIN sums s ON s.source = p.source AND s.chunk_id = p.chunk_id AND s.block_in_chunk = p.block_in_chunk""")
+def m4_mix_ranks(spark, sf):
+    """Every rank's own training stream: its own files, its own block order, the sources that all ranks draw."""
+    sizes, rows = source_sizes(spark, sf)
+    lay = ly.block_layout(sizes, CHUNK, BLOCK, SEED, BUFFER_CHUNKS, ranks=SHARDS)
+    per_rank = cut_lineage(lay.groupBy("source", "rank").agg(F.max("n_blocks").alias("n_blocks")))  # K rows a rank
+    m = mx.valid_sources(mixture(spark, sf), sizes.select("source", F.explode(F.sequence(F.lit(1), F.least("n_files", F.lit(SHARDS)))).alias("f")), SHARDS)
+    n = MIX_DRAWS_PER_DOC * n_docs(spark, sf)
+    d = mx.draw_sources(spark, n, m, SEED, mixture_rows=len(rows))
+    out = mx.sharded_mix(ly.bounded_layout(lay, n_positions(rows)), d, SHARDS, per_rank, draw_buckets=len(rows) * (n // DEFAULT_BUCKET_WIDTH + 1))
+    out = ly.rank_partitions(ly.attach_blocks(out, written_chunks(spark, sf), BLOCK), SHARDS)
+    return out.select("rank", "draw_idx", "source", "read_index", "epoch", "chunk_id", "block_in_chunk", checksum("tokens").alias("checksum"))
+
+
 @query("m3_draw_sources_runs", f"""WITH {SQL_MIX}, {SQL_IV}, {sql_draws(DRAWS_PER_DOC)}
 SELECT 'a' AS run_id, draw_idx, group_id, source FROM draws UNION ALL SELECT 'b', draw_idx, group_id, source FROM draws""")
 def m3_draw_sources_runs(spark, sf):
@@ -147,7 +192,7 @@ SELECT m.source, round(m.weight / sum(m.weight) OVER (), 6) AS expected_share, C
        round(coalesce(g.reads, 0) / sum(coalesce(g.reads, 0)) OVER (), 6) AS drawn_share
 FROM mix m LEFT JOIN got g USING (source)""")
 def m9_mixture_report(spark, sf):
-    rep = mx.mixture_report(mixed(spark, sf), mixture(spark, sf))
+    rep = mx.mixture_report(mixed(spark, sf, ids=False), mixture(spark, sf))
     return rep.select("source", r("expected_share").alias("expected_share"), "reads", "epochs",
                       r("drawn_share").alias("drawn_share"))
 
@@ -208,5 +253,7 @@ def _applied(spark, sf, repeat):
     d = doc_ids(spark, sf).filter(F.col("split") == "train")
     budget = d.agg(F.sum("n_tokens").cast("bigint").alias("_budget"))
     pr = probs(spark, sf).filter(F.col("run_id") == "train").select("source", "p")
-    out = mx.apply_mixture(positioned_blocks(spark, sf), with_scalars(pr, budget), F.col("_budget"), BLOCK, repeat=repeat)
+    pos, sizes = layout(spark, sf)
+    out = mx.apply_mixture(pos, with_scalars(pr, budget), F.col("_budget"), BLOCK, repeat=repeat, sizes=sizes)
+    out = ly.attach_blocks(out, written_chunks(spark, sf), BLOCK)
     return out.select("source", "read_index", "epoch", "chunk_id", "block_in_chunk", checksum("tokens").alias("checksum"))

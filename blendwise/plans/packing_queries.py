@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from blendwise.operators import layout as ly
 from blendwise.operators import packing as pk
 from blendwise.plans.common import (
-    BLOCK, CHUNK, N_BLOCKS, PACK_CTES, SEED, SQL_DOC_IDS, SQL_DOC_OFF, SQL_SUMS, SQL_TOKS, blocks, checksum, doc_ids, sql_pack, with_sql,
+    BLOCK, CHUNK, N_BLOCKS, PACK_CTES, SEED, SQL_DOC_IDS, SQL_DOC_OFF, SQL_SUMS, SQL_TOKS, blocks, checksum, doc_ids,
+    packing_input, sql_pack, with_sql, written_chunks,
 )
 from blendwise.plans.registry import query
 from blendwise.operators.packing import read_range
@@ -16,20 +18,37 @@ BUFFER_CHUNKS = 2
 REMAINDER_BLOCK = 100  # a block size that does not divide the chunk
 
 
+def source_sizes(spark, sf):
+    """(source, n_ids, n_files, last_blocks, n_blocks): one row per source, made from one total each; the driver holds the
+    K totals, so that every plan that needs them starts from a local table instead of the texts."""
+    totals = doc_ids(spark, sf).groupBy("source").agg(F.sum("n_tokens").alias("n_ids")).collect()
+    rows = [(r["source"], r["n_ids"]) for r in totals]
+    return ly.stream_sizes(spark.createDataFrame(rows, "source string, n_ids bigint"), CHUNK, BLOCK), rows
+
+
 def files(spark, sf):
     """One file per written chunk, as the packed-format builder names them
     (the chunk list follows from the sources' id totals: no packing needed)."""
-    return pk.file_table(pk.written_chunks(doc_ids(spark, sf), CHUNK))
+    sizes, _ = source_sizes(spark, sf)
+    return pk.file_table(read_range(sizes.select("source", "n_files"), "n_files", ["source"], out="chunk_id"))
 
 
 def shuffled_files(spark, sf):
     return pk.shuffle_files(files(spark, sf), SEED)
 
 
+def n_positions(rows) -> int:
+    return sum(-(-n // CHUNK) * N_BLOCKS for _, n in rows)
+
+
+def layout(spark, sf):
+    """Every block's place in its source's stream, without the ids, and the sources' sizes."""
+    sizes, rows = source_sizes(spark, sf)
+    return ly.bounded_layout(ly.block_layout(sizes, CHUNK, BLOCK, SEED, BUFFER_CHUNKS), n_positions(rows)), sizes
+
+
 def positioned_blocks(spark, sf):
-    b = blocks(spark, sf).join(shuffled_files(spark, sf).select("source", "chunk_id", "file_rank"), ["source", "chunk_id"])
-    s = pk.shuffle_blocks(b, BUFFER_CHUNKS, SEED)
-    return pk.block_positions(s)
+    return ly.attach_blocks(layout(spark, sf)[0], written_chunks(spark, sf), BLOCK)
 
 
 SQL_NF = f"""nf AS (SELECT DISTINCT source, (key_tokens + {CHUNK - 1}) // {CHUNK} AS n_files FROM doc_off)"""
@@ -55,7 +74,8 @@ pos AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY buffer, pos_in
 SELECT doc_id, source, CAST(len(ids) AS BIGINT) AS n_tokens, start AS start_pos,
        start + len(ids) AS end_pos, key_tokens FROM doc_off""")
 def p1_doc_offsets(spark, sf):
-    o = pk.doc_offsets(doc_ids(spark, sf))
+    ids, how = packing_input(spark, sf)
+    o = pk.doc_offsets(ids, **how)
     return o.select("doc_id", "source", "n_tokens", F.col("start").alias("start_pos"),
                     F.col("end").alias("end_pos"), "key_tokens")
 
@@ -107,7 +127,7 @@ FROM toks
 WHERE pos % {CHUNK} >= {(CHUNK // REMAINDER_BLOCK) * REMAINDER_BLOCK}
 GROUP BY source, pos // {CHUNK}""")
 def p4_block_remainder(spark, sf):
-    ch = pk.chunks(doc_ids(spark, sf), CHUNK)
+    ch = written_chunks(spark, sf)
     rem = pk.block_remainder(ch, CHUNK, REMAINDER_BLOCK)
     return rem.select("source", "chunk_id", F.size("unreachable").cast("bigint").alias("n_unreachable"),
                       checksum("unreachable").alias("checksum"))
@@ -167,10 +187,9 @@ SELECT r.source, CAST(r.read_index AS BIGINT) AS read_index, CAST(r.read_index /
 FROM reads r JOIN pos p ON p.source = r.source AND p.position = r.read_index % p.n_blocks
 JOIN sums s ON s.source = p.source AND s.chunk_id = p.chunk_id AND s.block_in_chunk = p.block_in_chunk""")
 def p10_cyclic(spark, sf):
-    pos = positioned_blocks(spark, sf)
-    sizes = pos.groupBy("source").agg(F.max("n_blocks").alias("n"))
-    reads = read_range(sizes.withColumn("n_reads", 2 * F.col("n") + 2), "n_reads", ["source"])
-    out = pk.cyclic(pos, reads)
+    pos, sizes = layout(spark, sf)
+    reads = read_range(sizes.select("source", (2 * F.col("n_blocks") + 2).alias("n_reads")), "n_reads", ["source"])
+    out = ly.attach_blocks(pk.cyclic(pos, reads, sizes=sizes), written_chunks(spark, sf), BLOCK)
     return out.select("source", "read_index", "epoch", "chunk_id", "block_in_chunk", checksum("tokens").alias("checksum"))
 
 

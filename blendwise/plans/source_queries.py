@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from blendwise.operators import packing as pk
 from blendwise.plans.common import (
-    BLOCK, CHUNK, SQL_DOC_IDS, SQL_SPLIT, VOCAB, checksum, doc_ids, sql_pack, with_sql,
+    BLOCK, CHUNK, SQL_DOC_IDS, SQL_SPLIT, VOCAB, blocks, checksum, doc_ids, sql_pack, with_sql, written_chunks,
 )
 from blendwise.plans.mixture_queries import SQL_MIX, SQL_STATE, mixture, state
 from blendwise.plans.packing_queries import SQL_PADDED
@@ -104,7 +104,7 @@ SELECT split, source, block_no, CAST(len(tokens) AS BIGINT) AS n_tokens,
        CAST(list_sum(list_transform(tokens, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS checksum
 FROM s_blocks""")
 def s6_write_blocks(spark, sf):
-    b = pk.pack(doc_ids(spark, sf), CHUNK, BLOCK, keys=("split", "source"))
+    b = blocks(spark, sf, keys=("split", "source"))
     path = scratch_path(spark, "blocks")
     pf.write_blocks(b, path)
     back = spark.read.parquet(path)
@@ -138,7 +138,7 @@ def _packed_rows(b):
 @query("s7_read_packed_files", f"SELECT source, chunk_id, block_in_chunk, n_tokens, checksum FROM ({SQL_PADDED})")
 def s7_read_packed_files(spark, sf):
     """Chunks written through the committing sink and read back by block ranges, a few kilobytes a task."""
-    ch = pk.chunks(doc_ids(spark, sf), CHUNK, remainder="pad")  # a packed file always holds a whole chunk
+    ch = written_chunks(spark, sf, remainder="pad")  # a packed file always holds a whole chunk
     root = scratch_path(spark, "packed")
     pf.write_packed_files(ch, root, VOCAB, CHUNK)
     b = pf.read_packed_files(spark, root, BLOCK)

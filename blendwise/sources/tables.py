@@ -11,6 +11,10 @@ grows with the input.  Rules (see FIXTURES.md):
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,5 +46,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "source", split_expr().alias("split"), "lang", "text")
 
 
+BUCKETS_PER_CORE = 32
+WIDEST_BUCKET = 1 << 16
+
+
+@dataclass(frozen=True)
+class DocBuckets:
+    """How ``documents`` are dealt for packing: ranges of ``width`` ids, and bounds of the keys that packing uses."""
+
+    width: int
+    buckets: int
+    sources: int
+    langs: int
+
+    def pairs(self, keys: Sequence[str]) -> int:
+        """Bound of the (key, bucket) pairs."""
+        n = {"source": self.sources, "lang": self.langs, "split": 2}
+        return self.buckets * math.prod(n[k] for k in keys)
+
+
+def document_buckets(spark: SparkSession, sf_dir: str) -> DocBuckets:
+    """Read from the narrow columns; ranges are as wide as a window should be, but many enough for every core."""
+    r = table(spark, sf_dir, "documents").agg(F.max("doc_id").alias("last"), F.countDistinct("source").alias("s"),
+                                              F.countDistinct("lang").alias("l")).first()
+    last = int(r["last"] or 0) + 1
+    width = max(1, min(WIDEST_BUCKET, last // (BUCKETS_PER_CORE * spark.sparkContext.defaultParallelism)))
+    return DocBuckets(width, -(-last // width), r["s"] + 1, r["l"] + 1)
+
+
+def bucketed_documents(spark: SparkSession, sf_dir: str, buckets: DocBuckets) -> DataFrame:
+    """``documents`` partitioned by ranges of ids (``doc_bucket``), so that offsets need no further exchange of texts or ids."""
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    d = d.select("doc_id", "source", split_expr().alias("split"), "lang", "text", F.floor(F.col("doc_id") / buckets.width).alias("doc_bucket"))
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return d.repartition(n, "doc_bucket")
+
+
 def qa_task(conv_id: F.Column) -> F.Column:
     return F.element_at(F.array(*[F.lit(t) for t in QA_TASKS]), (conv_id % 4 + 1).cast("int"))
