@@ -62,21 +62,26 @@ def mixture(spark, sf):
     )
 
 
+def local_mixture(spark, sf):
+    """The mixture as a local table of K rows (plans that join it need no scan of the documents), and K."""
+    rows = [tuple(r) for r in mixture(spark, sf).collect()]
+    return spark.createDataFrame(rows, "group_id int, source string, weight double"), len(rows)
+
+
 def n_docs(spark, sf) -> int:
     return tables.documents(spark, sf).count()
 
 
 def draws(spark, sf, per_doc=DRAWS_PER_DOC):
-    m = mixture(spark, sf)
-    k = m.count()  # one row per source: the size bound that allows the broadcast
+    m, k = local_mixture(spark, sf)  # one row per source: the size bound that allows the broadcast
     return mx.draw_sources(spark, per_doc * n_docs(spark, sf), m, SEED, mixture_rows=k)
 
 
 def mixed(spark, sf, ids=True):
     """Draws with their blocks' places and (``ids``) contents."""
     pos, sizes = layout(spark, sf)
-    m = mixture(spark, sf)
-    k, n = m.count(), MIX_DRAWS_PER_DOC * n_docs(spark, sf)
+    m, k = local_mixture(spark, sf)
+    n = MIX_DRAWS_PER_DOC * n_docs(spark, sf)
     d = mx.draw_sources(spark, n, m, SEED, mixture_rows=k)
     out = mx.mix(pos, d, sizes=sizes, draw_buckets=k * (n // DEFAULT_BUCKET_WIDTH + 1))
     return ly.attach_blocks(out, written_chunks(spark, sf), BLOCK) if ids else out
@@ -141,7 +146,7 @@ def m4_mix_ranks(spark, sf):
     sizes, rows = source_sizes(spark, sf)
     lay = ly.block_layout(sizes, CHUNK, BLOCK, SEED, BUFFER_CHUNKS, ranks=SHARDS)
     per_rank = cut_lineage(lay.groupBy("source", "rank").agg(F.max("n_blocks").alias("n_blocks")))  # K rows a rank
-    m = mx.valid_sources(mixture(spark, sf), sizes.select("source", F.explode(F.sequence(F.lit(1), F.least("n_files", F.lit(SHARDS)))).alias("f")), SHARDS)
+    m = mx.valid_sources(local_mixture(spark, sf)[0], sizes.select("source", F.explode(F.sequence(F.lit(1), F.least("n_files", F.lit(SHARDS)))).alias("f")), SHARDS)
     n = MIX_DRAWS_PER_DOC * n_docs(spark, sf)
     d = mx.draw_sources(spark, n, m, SEED, mixture_rows=len(rows))
     out = mx.sharded_mix(ly.bounded_layout(lay, n_positions(rows)), d, SHARDS, per_rank, draw_buckets=len(rows) * (n // DEFAULT_BUCKET_WIDTH + 1))

@@ -67,3 +67,26 @@ def test_per_task_sampling_limits_before_the_shuffle(spark):
 
     plan = _plan(e.queries()["q1_sample_per_task"](spark, SF01))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def _exchanges(plan: str) -> list[str]:
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan.split("== Initial Plan ==")[0])
+
+
+def test_packing_moves_ids_once(spark):
+    """Texts are dealt by ranges of ids; offsets are added where they are, and only the chunks' pieces carry ids through an exchange."""
+    import __spark_entry__ as e
+
+    plan = _plan(e.queries()["p2_pack"](spark, SF01))
+    keys = _exchanges(plan)
+    assert sum(k.startswith("source") and "chunk_id" in k for k in keys) == 1
+    assert len([k for k in keys if "doc_bucket" in k]) <= 2 and len(keys) <= 4, keys
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_mixing_plan_is_short(spark):
+    import __spark_entry__ as e
+
+    plan = _plan(e.queries()["m4_mix"](spark, SF01))
+    assert plan.count("FileScan parquet") <= 3
+    assert len(_exchanges(plan)) <= 8, _exchanges(plan)
