@@ -32,6 +32,7 @@ def prefix_sum(
     inclusive: bool = True,
     total: str | None = None,
     base_rows: int | None = None,
+    least: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Add ``out`` = running sum of ``value`` within ``keys`` along ``order``.
 
@@ -40,6 +41,7 @@ def prefix_sum(
     given, which must be non-decreasing along ``order``.  ``total`` adds the
     per-key grand total.  ``base_rows`` is a known bound of the number of (key, bucket) pairs: a small base
     is broadcast, so that rows already partitioned by the bucket do not move; any other is joined by a shuffle.
+    ``least=(column, name)`` adds the per-key minimum of a column, from the same bucket table.
     """
     keys = list(keys)
     order = [order] if isinstance(order, str) else list(order)
@@ -47,13 +49,17 @@ def prefix_sum(
     b = bucket if bucket is not None else F.floor(F.col(order[0]) / F.lit(bucket_width))
     d = df.withColumn("_pb", b.cast("bigint")).withColumn("_pv", val)
 
-    sums = d.groupBy(*keys, "_pb").agg(F.sum("_pv").alias("_bs"))
+    low = [F.min(least[0]).alias("_bm")] if least else []
+    sums = d.groupBy(*keys, "_pb").agg(F.sum("_pv").alias("_bs"), *low)
     run = Window.partitionBy(*keys).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("_base", F.coalesce(F.sum("_bs").over(run), F.lit(0)))
     cols = [*keys, "_pb", "_base"]
     if total:
         base = base.withColumn(total, F.sum("_bs").over(Window.partitionBy(*keys)))
         cols.append(total)
+    if least:
+        base = base.withColumn(least[1], F.min("_bm").over(Window.partitionBy(*keys)))
+        cols.append(least[1])
     base = base.select(*cols)
     if base_rows is not None:
         base = small_broadcast(base, BASE_BROADCAST_ROWS, known_rows=base_rows)
@@ -79,11 +85,12 @@ def prefix_rank(
     bucket_width: int = DEFAULT_BUCKET_WIDTH,
     total: str | None = None,
     base_rows: int | None = None,
+    least: tuple[str, str] | None = None,
 ) -> DataFrame:
     """1-based row number within ``keys`` along ``order`` (two-level, skew-safe)."""
     return prefix_sum(
         df, keys, order, F.lit(1).cast("bigint"), out, bucket=bucket,
-        bucket_width=bucket_width, inclusive=True, total=total, base_rows=base_rows,
+        bucket_width=bucket_width, inclusive=True, total=total, base_rows=base_rows, least=least,
     )
 
 

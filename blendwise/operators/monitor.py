@@ -3,10 +3,10 @@
 
 A run log is ``(run_id, iter, elapsed, samples, lengths, loss)`` with
 cumulative ``samples``/``lengths``.  The monitor keeps the last
-``window + 1`` points, so a metric at iteration i compares it with i - w;
-here that is an equi join of the log with itself on ``iter - w`` (spread by
-(run, iter), never one task per run).  Rolling means are differences of a
-two-level prefix sum.  Metrics exist only where the window is full.
+``window + 1`` points, so a metric at iteration i compares it with i - w.
+The log is cut into ranges of iterations, each with the last rows of the range before it, and
+lags and rolling means are bounded frames over a range (never one task per run).
+Metrics exist only where the window is full.
 """
 
 from __future__ import annotations
@@ -87,9 +87,7 @@ def run_log(events: DataFrame, micro_batch: int = 16, seq_len: int = 2048, bucke
     (0-based), elapsed seconds since the run's first event, cumulative samples and
     lengths, loss = ln(1 + value)."""
     e = events.select(F.col("event_type").alias("run_id"), "ts", "value", epoch_micros(events, "ts").alias("_us"))
-    e = prefix_rank(e, ["run_id"], ["_us", "ts"], "_r", bucket_width=bucket_width_us)
-    first = e.groupBy("run_id").agg(F.min("_us").alias("_us0"))
-    e = e.join(first, "run_id")
+    e = prefix_rank(e, ["run_id"], ["_us", "ts"], "_r", bucket_width=bucket_width_us, least=("_us", "_us0"))
     it = F.col("_r") - 1
     return e.select(
         "run_id", it.alias("iter"), ((F.col("_us") - F.col("_us0")) / F.lit(1e6)).alias("elapsed"),

@@ -320,3 +320,34 @@ SELECT run_id, step, 'probs_softmax/' || source AS key, round(p, 9) AS value FRO
 def s13_log_mixture(spark, sf):
     lm = hs.log_mixture(state(spark, sf))
     return lm.select("run_id", "step", "key", rnd("value").alias("value"))
+
+
+@query("r1_monitor_stream", f"""WITH {SQL_LOG}
+SELECT a.run_id, a.iter, round({WINDOW * WORLD} / (elapsed - elapsed_lag), 9) AS batches_per_sec,
+       round((samples - samples_lag) / (elapsed - elapsed_lag), 9) AS device_samples_per_sec,
+       round((samples - samples_lag) * {WORLD} / (elapsed - elapsed_lag) * ((lengths - lengths_lag) / {WINDOW}), 6) AS tokens_per_sec,
+       round((lengths - lengths_lag) / {WINDOW} * {WORLD} * samples, 3) AS total_tokens, round(tl, 9) AS train_loss
+FROM lagw a JOIN (SELECT run_id, iter, avg(loss) OVER (PARTITION BY run_id ORDER BY iter
+       ROWS BETWEEN {LOG_N - 1} PRECEDING AND CURRENT ROW) AS tl FROM log) b ON a.run_id = b.run_id AND a.iter = b.iter""")
+def r1_monitor_stream(spark, sf):
+    """The events arrive in four parts of time; after each the query is started again from its checkpoint."""
+    from blendwise.session import scratch_path
+    from blendwise.streaming.monitor_stream import OUT, monitor_stream
+
+    root = scratch_path(spark, "monitor")
+    events = tables.table(spark, sf, "events")
+    e = events.select(F.col("event_type").alias("run_id"), mon.epoch_micros(events, "ts").alias("us"), F.log1p("value").alias("loss"))
+    lo, hi = e.agg(F.min("us"), F.max("us")).first()
+    for k in range(4):
+        if lo is not None:
+            part = F.least(F.floor((F.col("us") - lo) * 4 / (hi - lo + 1)), F.lit(3))
+            e.filter(part == k).write.parquet(f"{root}/in/part={k}")
+        elif k == 0:
+            e.write.parquet(f"{root}/in/part=0")
+        stream = spark.readStream.schema("run_id string, us long, loss double, part int").parquet(f"{root}/in")
+        q = (monitor_stream(stream, WINDOW, LOG_N, WORLD, MICRO, SEQ).writeStream.format("parquet").option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/ckpt").outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    m = spark.read.schema(OUT).parquet(f"{root}/out")
+    return m.select("run_id", "iter", rnd("batches_per_sec").alias("batches_per_sec"), rnd("device_samples_per_sec").alias("device_samples_per_sec"),
+                    rnd("tokens_per_sec", 6).alias("tokens_per_sec"), rnd("total_tokens", 3).alias("total_tokens"), rnd("train_loss").alias("train_loss"))

@@ -117,3 +117,34 @@ def test_metrics_stream_windows_and_late_rows(spark):
     assert abs(first["mean_loss"] - (0.0 + 0.6931471805599453) / 2) < 1e-12
     batch = metrics_stream(spark.createDataFrame(pd.concat([b1, b2]), schema), "1 hour").orderBy("window_start").toPandas()
     assert batch.iloc[0]["batches"] == 3  # the batch twin has no lateness
+
+
+def test_monitor_equals_the_batch_operators_and_counts_late_rows(spark):
+    from blendwise.operators import monitor as mon
+    from blendwise.streaming.monitor_stream import OUT, monitor_stream
+
+    root = tempfile.mkdtemp(prefix="bw-monitor-")
+    schema = "run_id string, us long, loss double"
+    rows = [(run, 1_000_000 * (i * i + 3 * i), float((i * 7) % 5)) for run in ("a", "b") for i in range(23)]
+
+    def arrive(k, part):
+        spark.createDataFrame(part, schema).repartition(2).write.parquet(os.path.join(root, "in", f"b={k}"))
+        stream = spark.readStream.schema(schema + ", b int").parquet(os.path.join(root, "in"))
+        q = (monitor_stream(stream, 3, 4, 2, 16, 8).writeStream.format("parquet").option("path", os.path.join(root, "out"))
+             .option("checkpointLocation", os.path.join(root, "ckpt")).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination(120)
+
+    arrive(0, [r for r in rows if r[1] < 20_000_000])
+    arrive(1, [r for r in rows if 20_000_000 <= r[1] < 25_000_000] + [("a", 5_000_000, 99.0)])  # one row too late
+    arrive(2, [r for r in rows if r[1] >= 25_000_000])
+    got = {(r.run_id, r.iter): r for r in spark.read.schema(OUT).parquet(os.path.join(root, "out")).collect()}
+    log = spark.createDataFrame([(run, i, us / 1e6, 16 * (i + 1), 8 * (i + 1), loss) for run in ("a", "b")
+                                 for i, (_, us, loss) in enumerate(r for r in rows if r[0] == run)],
+                                "run_id string, iter long, elapsed double, samples long, lengths long, loss double")
+    want = mon.throughput(log, 3, 2).join(mon.rolling_loss(log, 4, 3), ["run_id", "iter"]).collect()
+    assert len(got) == len(want) == 40
+    for r in want:
+        g = got[r.run_id, r.iter]
+        for c in OUT.names[2:-1]:
+            assert abs(g[c] - r[c]) < 1e-9 * max(1, abs(r[c])), c
+    assert got["a", 22].late == 1 and got["b", 22].late == 0
