@@ -18,7 +18,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from blendwise.plans import catalog  # noqa: E402
-from blendwise.plans.loop_queries import lang_mixture, lang_positioned, val_target, whole_corpus  # noqa: E402
+from blendwise.plans.common import BLOCK  # noqa: E402
+from blendwise.plans.loop_queries import lang_chunks, lang_mixture, lang_positioned, val_target, whole_corpus  # noqa: E402
 from blendwise.plans.search import SearchConfig, search  # noqa: E402
 from blendwise.session import get_session  # noqa: E402
 
@@ -32,7 +33,8 @@ SEARCH10 = SearchConfig(n_iters=110, interval=10, micro_batch=16, mix_lr=0.01, o
 
 def search10(spark, sf):
     cfg = whole_corpus(spark, sf, SEARCH10, steps=10)  # every block of the train split is drawn once on average
-    return search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), val_target(spark, sf), cfg)
+    return search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), val_target(spark, sf), cfg,
+                  chunk_rows=lang_chunks(spark, sf), block_size=BLOCK)
 
 
 HEADLINE = {

@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blendwise.operators.loss import IGNORE_PLAIN, Proxy, with_prob
@@ -73,6 +73,28 @@ def val_gradient(counts: DataFrame, set_key: str, keys: Sequence[str] = (), igno
     return average(per_set, set_key, keys)
 
 
+def valid_sets(sets: DataFrame, files: DataFrame, min_files: int, set_key: str = "set_id", source: str = "source") -> DataFrame:
+    """M2 for validation sets ``(set_id, source, weight)``: a set stays only if every one of its sources has ``min_files``
+    files (``files(source, n_files)``); weights are normalised within each set that stays."""
+    m = sets.join(files.select(source, "n_files"), source, "left")
+    good = m.groupBy(set_key).agg(F.min(F.coalesce("n_files", F.lit(0)) >= min_files).alias("_all")).filter("_all").select(set_key)
+    w = Window.partitionBy(set_key)
+    return m.join(good, set_key, "left_semi").withColumn("weight", F.col("weight") / F.sum("weight").over(w)).drop("n_files")
+
+
+def weighted_set_gradient(counts: DataFrame, sets: DataFrame, set_key: str = "set_id", source: str = "source",
+                          ignore: int | None = IGNORE_PLAIN) -> Grad:
+    """L10 for weighted sets: a set's gradient is the weighted mean of its sources' gradients, the target the mean over the sets.
+
+    Both means are linear, so each source enters once, with the mean of its weights over all sets."""
+    n_sets = sets.select(set_key).distinct().agg(F.count(F.lit(1)).alias("_k"))
+    share = with_scalars(sets.groupBy(source).agg(F.sum("weight").alias("_w")), n_sets)
+    per_source = source_gradient(counts, [source], ignore)
+    q = per_source.q.join(share.select(source, (F.col("_w") / F.col("_k")).alias("_share")), source)
+    q = q.groupBy("u", "v").agg(F.sum(F.col("q") * F.col("_share")).alias("q"))
+    return Grad(q, _a_from_q(q, []), [])
+
+
 def values(grad: Grad, proxy: Proxy) -> DataFrame:
     """Gradient entries on the support of q: keys..., u, v, g."""
     d = with_prob(grad.q, proxy).join(grad.a, [*grad.keys, "u"])

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blendwise.session import small_broadcast
+
 UNIGRAM_CONTEXT = -1
 IGNORE_PLAIN = -1       # ignore id of the plain loss
 IGNORE_WEIGHTED = -100  # ignore id of the weighted loss
@@ -32,6 +34,7 @@ def positions(blocks: DataFrame, keys: Sequence[str], order: str = "bigram", inp
 
 
 CTX_BROADCAST_ROWS = 1 << 20  # per-context tables (<= V rows) up to this vocabulary size are broadcast
+WEIGHT_BROADCAST_ROWS = 100_000  # tables of weights are counted, and broadcast up to this many sources
 PAIR_SHIFT = 1 << 31
 PAIR_HALF = 1 << 30  # ids in [-2^30, 2^30): any vocabulary and the ignore ids
 
@@ -86,7 +89,7 @@ def fit_proxy(counts: DataFrame, weights: DataFrame | None = None, alpha: float
     if ignore is not None:
         c = c.filter(F.col("v") != F.lit(ignore))
     if weights is not None:
-        c = c.join(F.broadcast(weights.select(source, F.col("w").alias("_w"))), source, "inner")
+        c = c.join(small_broadcast(weights.select(source, F.col("w").alias("_w")), WEIGHT_BROADCAST_ROWS), source, "inner")
         wn = F.col("_w") * F.col("n")
     else:
         wn = F.col("n").cast("double")
@@ -157,7 +160,7 @@ def cross_entropy(losses: DataFrame, keys: Sequence[str] = (), n: str | None = "
 def weighted_ce(losses: DataFrame, weights: DataFrame | None, keys: Sequence[str] = (), n: str | None = "n",
                 source: str = "source", reduction: str = "mean") -> DataFrame:
     """``sum(w l keep) / sum(w keep)`` with per-source sample weights ``(source, w)``."""
-    d = losses if weights is None else losses.join(F.broadcast(weights.select(source, "w")), source, "left")
+    d = losses if weights is None else losses.join(small_broadcast(weights.select(source, "w"), WEIGHT_BROADCAST_ROWS), source, "left")
     w = F.coalesce(F.col("w"), F.lit(1.0)) if weights is not None else F.lit(1.0)
     cnt = F.col(n) if n else F.lit(1)
     if reduction == "none":

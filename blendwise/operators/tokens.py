@@ -9,13 +9,16 @@ for EOS/BOS/UNK.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blendwise.functions.hashing import hashed_token_id
 from blendwise.functions.prefix import prefix_rank
+from blendwise.session import ship_package
 
 # The whitespace class that separates tokens, the reserved id.
 WHITESPACE = "[ \\t\\n\\r\\f]+"
@@ -66,6 +69,46 @@ def encode(
     return df.join(ids, key, "left").withColumn(out, F.coalesce(F.col(out), empty))
 
 
+class SubwordCodec:
+    """A sub-word tokenizer file as two Arrow functions on whole texts: ids of a text, text of ids.
+
+    ``path`` is a file of the ``tokenizers`` library on every worker (or shipped with the job); each worker loads it once."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @staticmethod
+    @lru_cache(maxsize=4)
+    def load(path: str):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    def encode(self, text: Column) -> Column:
+        path = self.path
+
+        def ids(texts: pd.Series) -> pd.Series:
+            made = SubwordCodec.load(path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+            return pd.Series([e.ids for e in made])
+
+        return F.pandas_udf(ids, "array<int>")(text)
+
+    def decode(self, ids: Column) -> Column:
+        path = self.path
+
+        def texts(ids: pd.Series) -> pd.Series:
+            return pd.Series(SubwordCodec.load(path).decode_batch([list(map(int, x)) for x in ids], skip_special_tokens=False))
+
+        return F.pandas_udf(texts, "string")(ids)
+
+
+def encode_texts(df: DataFrame, codec: SubwordCodec, text: str = "text", out: str = "ids", eos: int | None = None) -> DataFrame:
+    """T3/T4 with a pluggable codec: ids of whole texts, with ``eos`` at the end if given."""
+    ship_package(df.sparkSession)
+    d = df.withColumn(out, codec.encode(F.col(text)))
+    return add_special(d, out, eos=eos) if eos is not None else d
+
+
 def bounded_vocab(v: DataFrame, rows: int | None) -> DataFrame:
     """Broadcast a vocabulary of known, bounded size; any other is joined by a shuffle on the token or id."""
     return F.broadcast(v) if rows is not None and rows <= VOCAB_BROADCAST_ROWS else v

@@ -10,15 +10,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blendwise.operators import gradients as gr
+from blendwise.operators import layout as ly
 from blendwise.operators import optim as op
 from blendwise.operators import loss as ls
 from blendwise.operators import packing as pk
-from blendwise.plans.common import BLOCK, CHUNK, SEED, VOCAB, doc_ids, sql_num, with_sql
+from blendwise.plans.common import BLOCK, CHUNK, SEED, VOCAB, doc_ids, packing_input, sql_num, with_sql
 from blendwise.plans.loss_queries import SQL_LANG, SQL_PROXY, lang_blocks, lang_counts, rnd
 from blendwise.plans.registry import query
-from blendwise.plans.search import SearchConfig, search
+from blendwise.plans.search import SearchConfig, run_search, search
 from blendwise.plans.softmax_head import fit_softmax_head
-from blendwise.session import scratch_path
+from blendwise.session import cut_lineage, scratch_path
 from blendwise.sources import tables
 from blendwise.streaming.metrics_stream import metrics_stream
 
@@ -40,14 +41,16 @@ def whole_corpus(spark, sf, cfg, steps=STEPS):
 
 def lang_positioned(spark, sf, split="train"):
     """Blocks of one split packed per language, files shuffled, blocks shuffled in
-    one-file buffers (as the training loader), with their read positions."""
+    one-file buffers (as the training loader), with their read positions: the places alone, and the chunks with the ids."""
     d = doc_ids(spark, sf).filter(F.col("split") == split)
-    b = pk.pack(d, CHUNK, BLOCK, keys=("lang",))
-    files = pk.file_table(pk.written_chunks(d, CHUNK, keys=("lang",)), split=split, keys=("lang",))
-    files = pk.shuffle_files(files, SEED, keys=("lang",))
-    b = b.join(files.select("lang", "chunk_id", "file_rank"), ["lang", "chunk_id"])
-    s = pk.shuffle_blocks(b, 1, SEED, keys=("lang",))
-    return pk.block_positions(s, keys=("lang",))
+    totals = [(r["lang"], r["n"]) for r in d.groupBy("lang").agg(F.sum("n_tokens").alias("n")).collect()]  # one row per language
+    sizes = ly.stream_sizes(spark.createDataFrame(totals, "lang string, n_ids bigint"), CHUNK, BLOCK, keys=("lang",))
+    return ly.block_layout(sizes, CHUNK, BLOCK, SEED, 1, keys=("lang",))
+
+
+def lang_chunks(spark, sf, split="train"):
+    ids, how = packing_input(spark, sf, ("lang",))
+    return pk.chunks(ids.filter(F.col("split") == split), CHUNK, **how)
 
 
 def lang_mixture(spark, sf):
@@ -134,10 +137,34 @@ s{k + 1} AS (SELECT lang, m2 AS m, v2 AS vv, z - {rate} * (m2 / (1.0 - pow({b1},
 @query("l19_search", sql_search(SEARCH, SQL_VAL_TARGET))
 def l19_search(spark, sf):
     cfg = whole_corpus(spark, sf, SEARCH)
-    h = search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), val_target(spark, sf), cfg)
+    h = search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), val_target(spark, sf), cfg,
+               chunk_rows=lang_chunks(spark, sf), block_size=BLOCK)
     return h.select("run_id", "step", "lang", rnd("z").alias("z"), rnd("p").alias("p"))
 
 
+def sql_search_metrics(cfg, target: str) -> str:
+    """Loss of every language's validation blocks under the proxy of each step."""
+    sql = sql_search(cfg, target)
+    sql = sql[:sql.index(f"SELECT '{cfg.run_id}' AS run_id, CAST(0 * width")].rstrip()
+    a = sql_num(cfg.alpha)
+    parts = " UNION ALL ".join(f"""SELECT '{cfg.run_id}' AS run_id, CAST({k + 1} * width AS BIGINT) AS step, lang,
+  round(sum(vn.n * -ln(({a} + coalesce(c, 0)) / zu)) / sum(vn.n), 9) AS val_loss
+FROM vn LEFT JOIN c{k} USING (v), x{k}, tn WHERE {k + 1} * width < tn.n GROUP BY lang, width""" for k in range(STEPS))
+    return f"""{sql}, vn AS (SELECT lang, v, count(*) AS n FROM l_pairs WHERE split = 'valid' AND v <> -1 GROUP BY ALL)
+{parts}"""
+
+
+@query("l19_search_validation", sql_search_metrics(SEARCH, SQL_VAL_TARGET))
+def l19_search_validation(spark, sf):
+    """The loop's own output: validation loss of every language at every step."""
+    cfg = whole_corpus(spark, sf, SEARCH)
+    valid = lang_blocks(spark, sf).filter(F.col("split") == "valid").withColumnRenamed("lang", "set")
+    counts = cut_lineage(ls.pair_counts(valid, ["set"], order="unigram"))
+    run = run_search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), val_target(spark, sf), cfg,
+                     chunk_rows=lang_chunks(spark, sf), block_size=BLOCK, validation=counts)
+    return run.metrics.select("run_id", "step", F.col("set").alias("lang"), rnd("val_loss").alias("val_loss"))
+
+
 FEATURES, HEAD_STEPS, HEAD_LR = 64, 3, 50.0
 
 
@@ -213,5 +240,6 @@ def qa_target(spark, sf, order="unigram"):
 @query("l19_search_qa", sql_search(SEARCH_QA, sql_qa_target()))
 def l19_search_qa(spark, sf):
     cfg = whole_corpus(spark, sf, SEARCH_QA)
-    h = search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), qa_target(spark, sf), cfg)
+    h = search(spark, lang_positioned(spark, sf), lang_mixture(spark, sf), qa_target(spark, sf), cfg,
+               chunk_rows=lang_chunks(spark, sf), block_size=BLOCK)
     return h.select("run_id", "step", "lang", rnd("z").alias("z"), rnd("p").alias("p"))

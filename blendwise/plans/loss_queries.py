@@ -393,3 +393,45 @@ FROM (SELECT lang AS source, md5('{SEED}:' || lang) AS h FROM (SELECT DISTINCT l
 def l22_init_state(spark, sf):
     st = init_lang_state(spark, sf, "noise", "qa")
     return st.select("source", rnd("z", 9, 1e7).alias("z_e7"))
+
+
+# Validation sets as mixtures of languages: (set, language, weight).  A set with a language of too few files is dropped whole.
+VALID_SETS = [("broad", "en", 3.0), ("broad", "fr", 1.0), ("small", "fr", 1.0), ("small", "es", 1.0), ("english", "en", 1.0)]
+VALID_MIN_FILES = 5
+SQL_SETS = [
+    "vs AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{x}', {sql_num(w)})" for s, x, w in VALID_SETS) + ") t(set_id, lang, weight))",
+    "vf AS (SELECT lang, count(DISTINCT chunk_id) AS n_files FROM l_blocks WHERE split = 'valid' GROUP BY lang)",
+    f"""vk AS (SELECT set_id, lang, weight / sum(weight) OVER (PARTITION BY set_id) AS weight FROM vs
+  WHERE set_id NOT IN (SELECT set_id FROM vs LEFT JOIN vf USING (lang) WHERE coalesce(n_files, 0) < {VALID_MIN_FILES}))""",
+    "vg AS (SELECT lang, u, v, count(*) AS n FROM l_pairs WHERE split = 'valid' GROUP BY ALL)",
+    "vq2 AS (SELECT lang, u, v, n / sum(n) OVER (PARTITION BY lang) AS q FROM vg WHERE v <> -1)",
+    "tq AS (SELECT u, v, sum(q * weight) / (SELECT count(DISTINCT set_id) FROM vk) AS q FROM vq2 JOIN vk USING (lang) GROUP BY u, v)",
+    "ta AS (SELECT u, sum(q) AS a FROM tq GROUP BY u)",
+]
+
+
+def valid_set_tables(spark, blocks):
+    """The configured sets and which of them stay, from the files of the validation split."""
+    sets = spark.createDataFrame(VALID_SETS, "set_id string, lang string, weight double")
+    files = blocks.filter(F.col("split") == "valid").groupBy("lang").agg(F.countDistinct("chunk_id").alias("n_files"))
+    return sets, gr.valid_sets(sets, files, VALID_MIN_FILES, source="lang")
+
+
+@query("m2_valid_sets", f"""{with_sql(*SQL_LANG[:-1], *SQL_SETS[:3])}
+SELECT vs.set_id, vs.lang, round(vk.weight, 9) AS weight, vk.set_id IS NOT NULL AS kept FROM vs LEFT JOIN vk USING (set_id, lang)""")
+def m2_valid_sets(spark, sf):
+    sets, kept = valid_set_tables(spark, packed_blocks(spark, sf, keys=LKEYS))
+    j = sets.select("set_id", "lang").join(kept.select("set_id", "lang", "weight"), ["set_id", "lang"], "left")
+    return j.select("set_id", "lang", rnd("weight").alias("weight"), F.col("weight").isNotNull().alias("kept"))
+
+
+@query("l10_weighted_sets", f"""{lang_sql(*SQL_SETS)}
+SELECT tq.u, tq.v, round((ta.a * {PROB} - tq.q) * 1e6, 6) AS g_e6
+FROM tq JOIN ta USING (u) LEFT JOIN pp USING (u, v) LEFT JOIN pc USING (u)""")
+def l10_weighted_sets(spark, sf):
+    b = lang_blocks(spark, sf)
+    c = lang_counts(spark, sf, b)
+    _, kept = valid_set_tables(spark, b)
+    kept = cut_lineage(kept)  # K rows
+    g = gr.weighted_set_gradient(c.filter(F.col("split") == "valid").drop("split"), kept, source="lang")
+    return gr.values(g, proxy(spark, sf, c)).select("u", "v", rnd("g", 6, 1e6).alias("g_e6"))

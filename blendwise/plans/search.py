@@ -33,8 +33,9 @@ from blendwise.operators import gradients as gr
 from blendwise.operators import loss as ls
 from blendwise.operators import mixture as mx
 from blendwise.operators import optim as op
+from blendwise.operators.layout import attach_blocks
 from blendwise.operators.packing import next_token
-from blendwise.session import PeriodicCut, cut_lineage, reuse, scratch_path
+from blendwise.session import PeriodicCut, cut_lineage, reuse, scratch_path, small_broadcast
 from blendwise.sources import history as hs
 
 
@@ -59,7 +60,6 @@ class SearchConfig:
     run_id: str = "search"
     source: str = "source"
     checkpoint_every: int = 5             # reliable checkpoint of the iterated tables every n steps
-    adaptive_steps: bool = True           # False: plan the (bounded) step queries statically
     broadcast_rows: int = 1 << 18         # a target gradient of so many rows or fewer is broadcast, a larger one shuffled
 
 
@@ -74,41 +74,69 @@ def model_lr(it: int, cfg: SearchConfig) -> float:
 
 
 def iteration_counts(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame, cfg: SearchConfig,
-                     n_sources: int, cut: bool = True) -> DataFrame:
-    """Pair counts ``(iter, source, u, v, n)`` of every micro-batch of the run."""
+                     n_sources: int, cut: bool = True, chunk_rows: DataFrame | None = None, block_size: int = 0) -> DataFrame:
+    """Pair counts ``(iter, source, u, v, n)`` of every micro-batch of the run.
+
+    With ``chunk_rows`` the positioned blocks are a layout without ids, and draws find their ids by chunk."""
     src = cfg.source
     m = mixture.select(F.col(src).alias("source"), "group_id", "weight")
     draws = mx.draw_sources(spark, cfg.n_iters * cfg.micro_batch, m, cfg.seed, mixture_rows=n_sources)
     pb = positioned_blocks.withColumnRenamed(src, "source") if src != "source" else positioned_blocks
     mixed = mx.mix(pb, draws)
+    if chunk_rows is not None:
+        ch = chunk_rows.withColumnRenamed(src, "source") if src != "source" else chunk_rows
+        mixed = attach_blocks(mixed, ch, block_size)
     mixed = mixed.withColumn("iter", F.floor(F.col("draw_idx") / cfg.micro_batch).cast("bigint"))
     counts = ls.pair_counts(next_token(mixed), ["iter", "source"], order=cfg.order)
     return cut_lineage(counts) if cut else counts
 
 
+@dataclass
+class SearchRun:
+    """What a search leaves: the history of the logits, the validation metrics of every step (if there is a validation
+    set), and the folder of the newest full state."""
+
+    history: DataFrame
+    metrics: DataFrame | None
+    state_path: str
+
+
 def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame, target: gr.Grad,
-           cfg: SearchConfig, resume_from: DataFrame | None = None) -> DataFrame:
-    """History ``(run_id, step, source, z, m, v, t, p)`` of the mixture logits.
+           cfg: SearchConfig, resume_from: DataFrame | None = None, chunk_rows: DataFrame | None = None,
+           block_size: int = 0) -> DataFrame:
+    """History ``(run_id, step, source, z, m, v, t, p)`` of the mixture logits (see :func:`run_search`)."""
+    return run_search(spark, positioned_blocks, mixture, target, cfg, resume_from, chunk_rows, block_size).history
+
+
+def run_search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame, target: gr.Grad,
+               cfg: SearchConfig, resume_from: DataFrame | None = None, chunk_rows: DataFrame | None = None,
+               block_size: int = 0, validation: DataFrame | None = None, root: str | None = None) -> SearchRun:
+    """L19 with what the training loop does around it.
 
     ``mixture`` is ``(source, group_id, weight)`` (K rows, the configured
     sampling weights); ``target`` is a gradient (L10 or L11) without keys.
 
     Written tables in the shared checkpoint folder carry the loop: the pair
     counts of all iterations, partitioned by search interval (each step reads
-    one partition), and the history, to which every new state is appended
-    and from which the next step reads it back (a fresh, K-row lineage).
+    one partition), and one folder per step for the history, written as a whole and read
+    back as the next step's input (a fresh, K-row lineage).  A step counts once its folder is committed; the full state is
+    kept for the newest step only (E4).
+
+    ``validation(set, u, v, n)`` are pair counts of validation sets: every step logs their loss and perplexity under the
+    proxy of that step (E1).
 
-    ``resume_from`` is an earlier history of the same run (same configuration but for
-    ``n_iters``): the loop goes on after its latest step (S11), sources it does not know
-    start from their initial state (S12), and the proxy is rebuilt from the written
-    counts under the recorded probabilities.
+    ``root`` names the run's folder.  A run whose driver died goes on from its committed steps when it is started again
+    with the same folder; ``resume_from`` is an earlier history of the same run (same configuration but for ``n_iters``) instead.  Either
+    way sources that the saved state does not know start from their initial state (S12), and the proxy is
+    rebuilt from the written counts under the recorded probabilities.
     """
     src = cfg.source
     mix = reuse(mixture.select(F.col(src).alias("source"), "group_id", "weight"))  # K rows, read every step
     n_sources = mix.count()
     counts_path = scratch_path(spark, "iteration-counts")
-    hist_path = scratch_path(spark, "mixture-history")
-    counts = iteration_counts(spark, positioned_blocks, mixture, cfg, n_sources, cut=False)
+    root = root or scratch_path(spark, "search")
+    hist_path, state_path, metrics_path = (f"{root}/{x}" for x in ("history", "state", "metrics"))
+    counts = iteration_counts(spark, positioned_blocks, mixture, cfg, n_sources, False, chunk_rows, block_size)
     counts = counts.withColumn("interval", F.floor(F.col("iter") / cfg.interval).cast("bigint"))
     # few files per interval, and a hot source spread over them
     salt = F.pmod(F.xxhash64("u", "v"), F.lit(8))
@@ -123,19 +151,36 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
     sg_all = gr.Grad(cut_lineage(sg_all.q), cut_lineage(sg_all.a), ["source"])
     state_cols = ["run_id", "step", "source", "z", "m", "v", "t"]
 
+    hist_cols = ["run_id", "step", "source", "z", "p"]
+
     def record(state: DataFrame, step: int) -> DataFrame:
-        hs.append_history(mx.softmax(state).select(*state_cols, "p"), hist_path)
-        h = hs.read_history(spark, hist_path)
-        return h.filter((F.col("run_id") == cfg.run_id) & (F.col("step") == step)).select(*state_cols)
+        """Commit a step: the full state first, then its line of the history, then older states go."""
+        hs.commit_step(mx.softmax(state).select(*state_cols, "p"), state_path, step)
+        back = hs.read_step(spark, state_path, step)
+        hs.commit_step(back.select(*hist_cols, "m", "v", "t"), hist_path, step)
+        hs.keep_newest(spark, state_path)
+        return hs.read_step(spark, hist_path, step).select(*state_cols)  # what is computed again later still finds it
+
+    def log_metrics(proxy: ls.Proxy, step: int) -> None:
+        if validation is not None:
+            losses = ls.cross_entropy(ls.token_loss(validation, proxy), ["set"])
+            losses = losses.select(F.lit(cfg.run_id).alias("run_id"), "set", F.col("loss").alias("val_loss"), F.exp("loss").alias("val_ppl"))
+            hs.commit_step(losses, metrics_path, step)
 
     fresh = op.init_state(mix.select("source"), cfg.init, cfg.seed, cfg.run_id)
     done, pairs = 0, None
-    if resume_from is None:
+    earlier = hs.committed_steps(spark, hist_path)
+    if resume_from is None and not earlier:
         state = record(fresh, 0)
     else:
-        old = resume_from.withColumnRenamed(src, "source").filter(F.col("run_id") == cfg.run_id)
-        done = old.agg(F.max("step")).first()[0]
-        hs.append_history(old.filter(F.col("step") < done).select(*state_cols, "p"), hist_path)
+        if resume_from is not None:
+            old = resume_from.withColumnRenamed(src, "source").filter(F.col("run_id") == cfg.run_id)
+            old = reuse(old.select(*state_cols, "p"))  # K rows a step
+            for s in sorted(r["step"] for r in old.select("step").distinct().collect()):
+                hs.commit_step(old.filter(F.col("step") == s), hist_path, s)
+            old.unpersist()
+        old = hs.read_steps(spark, hist_path)
+        done = hs.committed_steps(spark, hist_path)[-1]
         saved = hs.latest_state(old)
         state = record(hs.merge_state(fresh, saved).select(*state_cols[:1], F.lit(done).cast("bigint").alias("step"), *state_cols[2:]), done)
         # an interval's counts were weighted by the probabilities of the step it starts with
@@ -143,30 +188,21 @@ def search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame
             "source", F.col("p").alias("w"), (F.col("step") / cfg.interval).cast("bigint").alias("interval"))
         if done:
             past = counts.filter((F.col("interval") < done // cfg.interval) & (F.col("v") != F.lit(ls.IGNORE_PLAIN)))
-            pairs = past.join(F.broadcast(weights), ["interval", "source"]).groupBy("u", "v").agg(  # K rows a step
+            pairs = past.join(small_broadcast(weights, mx.MIXTURE_BROADCAST_ROWS), ["interval", "source"]).groupBy("u", "v").agg(
                 F.sum(F.col("w") * F.col("n")).alias("c"))
     cut_pairs = PeriodicCut(cfg.checkpoint_every)
-    # Every table of a step is bounded (one interval of counts, the proxy, K
-    # rows of state), so the step queries are planned statically: adaptive
-    # re-planning after each of their many tiny stages costs more than it saves.
-    conf = spark.conf
-    aqe = conf.get("spark.sql.adaptive.enabled", "true")
-    if not cfg.adaptive_steps:
-        conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        state, pairs, k = _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all, small, done, pairs)
-    finally:
-        conf.set("spark.sql.adaptive.enabled", aqe)
+    _steps(spark, cfg, counts, target, mix, state, record, log_metrics, cut_pairs, sg_all, small, done, pairs)
     # the result reads the written history only: release what the loop kept
     if cut_pairs.prev is not None:
         cut_pairs.prev.unpersist()
     mix.unpersist()
-    out = hs.read_history(spark, hist_path).filter(F.col("run_id") == cfg.run_id)
-    out = out.select(*state_cols, "p")
-    return out.withColumnRenamed("source", src) if src != "source" else out
+    out = hs.read_steps(spark, hist_path).select(*state_cols, "p")
+    out = out.withColumnRenamed("source", src) if src != "source" else out
+    metrics = hs.read_steps(spark, metrics_path) if validation is not None and hs.committed_steps(spark, metrics_path) else None
+    return SearchRun(out, metrics, state_path)
 
 
-def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all, small, done, pairs):
+def _steps(spark, cfg, counts, target, mix, state, record, log_metrics, cut_pairs, sg_all, small, done, pairs):
     k = done // cfg.interval
     for s in range(done + cfg.interval, cfg.n_iters, cfg.interval):
         interval = s // cfg.interval
@@ -176,7 +212,7 @@ def _steps(spark, cfg, counts, target, mix, state, record, cut_pairs, sg_all, sm
         pairs = new if pairs is None else pairs.unionByName(new).groupBy("u", "v").agg(F.sum("c").alias("c"))
         pairs = cut_pairs(pairs)
         proxy = ls.proxy_from_pairs(pairs, cfg.alpha, cfg.vocab)
-
+        log_metrics(proxy, s)
         sg = gr.Grad(sg_all.q.filter(F.col("iter") == s).drop("iter"), sg_all.a.filter(F.col("iter") == s).drop("iter"),
                      ["source"])
         ip = gr.ip_for_sources(gr.inner_products(target, sg, proxy, small_a=small), mix, [])

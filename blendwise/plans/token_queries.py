@@ -145,3 +145,16 @@ SELECT source, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ids)) AS BIGINT)
 FROM doc_ids GROUP BY source""")
 def t7_corpus_stats(spark, sf):
     return tk.corpus_stats(doc_ids(spark, sf), vocab_size=VOCAB)
+
+
+@query("t3_subword_codec", """SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS decoded_md5, true AS fewer_ids_than_bytes
+FROM documents WHERE text IS NOT NULL""")
+def t3_subword_codec(spark, sf):
+    """Every text through a byte-level sub-word vocabulary and back: the decoded text is the text."""
+    from public_tokenizers import path
+
+    codec = tk.SubwordCodec(path("byte_bpe_50k.json"))
+    d = tk.encode_texts(tables.documents(spark, sf).select("doc_id", "text"), codec)
+    back = codec.decode(F.col("ids"))
+    return d.select("doc_id", F.octet_length(back).cast("bigint").alias("n_bytes"), F.md5(back).alias("decoded_md5"),
+                    (F.size("ids") <= F.octet_length("text")).alias("fewer_ids_than_bytes"))

@@ -19,6 +19,62 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop file system and path, as Spark itself resolves them (any scheme that Spark can write)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def commit_step(table: DataFrame, path: str, step: int) -> str:
+    """S9 for a loop: the table of one step as a folder of its own, written as one job whose marker comes last.
+
+    A step that is run again replaces its folder, so rows never double; a folder whose job did not finish has no
+    marker and does not count."""
+    folder = f"{path}/step={step:012d}"
+    table.drop("step").write.mode("overwrite").parquet(folder)
+    return folder
+
+
+def committed_steps(spark: SparkSession, path: str) -> list[int]:
+    """Steps whose folder has its marker, in order."""
+    fs, p = _files(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(p)]
+    return sorted(int(n[len("step="):]) for n, full in names
+                  if n.startswith("step=") and fs.exists(_files(spark, f"{full}/_SUCCESS")[1]))
+
+
+def read_step(spark: SparkSession, path: str, step: int) -> DataFrame:
+    """One step's table; only its folder is listed."""
+    return spark.read.parquet(f"{path}/step={step:012d}").withColumn("step", F.lit(step).cast("bigint"))
+
+
+def read_steps(spark: SparkSession, path: str) -> DataFrame:
+    """All committed steps."""
+    done = committed_steps(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no committed step under {path}")
+    d = spark.read.option("basePath", path).parquet(*[f"{path}/step={s:012d}" for s in done])
+    return d.withColumn("step", F.col("step").cast("bigint"))
+
+
+def keep_newest(spark: SparkSession, path: str) -> list[int]:
+    """E4 on the folders: only the newest committed step stays; unfinished older ones go too.  Returns what went."""
+    done = committed_steps(spark, path)
+    if not done:
+        return []
+    fs, p = _files(spark, path)
+    gone = []
+    for s in fs.listStatus(p):
+        name = s.getPath().getName()
+        if name.startswith("step=") and int(name[len("step="):]) < done[-1]:
+            fs.delete(s.getPath(), True)
+            gone.append(int(name[len("step="):]))
+    return sorted(gone)
+
+
 def latest_state(history: DataFrame, keys: Sequence[str] = ("run_id",), step: str = "step") -> DataFrame:
     """The rows of the latest step per run (``max(step)`` then a semi join;
     partition pruning applies when ``history`` is partitioned by run)."""

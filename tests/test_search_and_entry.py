@@ -1,5 +1,7 @@
 """Search loop acceptance (L19), softmax head (L21) and the driver contract."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,12 +9,12 @@ from conftest import SF001, SF01
 
 
 def test_search_moves_weight_to_the_target_language(spark):
-    from blendwise.plans.loop_queries import lang_mixture, lang_positioned, val_target
+    from blendwise.plans.loop_queries import lang_chunks, lang_mixture, lang_positioned, val_target
     from blendwise.plans.search import SearchConfig, search
 
     cfg = SearchConfig(n_iters=25, interval=4, micro_batch=16, mix_lr=0.05, order="unigram", vocab=1024,
                        run_id="t", source="lang", checkpoint_every=3)
-    hist = search(spark, lang_positioned(spark, SF01), lang_mixture(spark, SF01), val_target(spark, SF01, lang="de"), cfg)
+    hist = search(spark, lang_positioned(spark, SF01), lang_mixture(spark, SF01), val_target(spark, SF01, lang="de"), cfg, chunk_rows=lang_chunks(spark, SF01), block_size=129)
     last = hist.filter(F.col("step") == hist.agg(F.max("step")).first()[0]).orderBy(F.desc("p")).collect()
     assert abs(sum(r.p for r in last) - 1) < 1e-9
     assert last[0].lang == "de"
@@ -49,13 +51,13 @@ def test_queries_run_on_the_smallest_tables(spark, name):
 
 
 def test_qa_target_search_history_properties(spark):
-    from blendwise.plans.loop_queries import lang_mixture, lang_positioned, qa_target
+    from blendwise.plans.loop_queries import lang_chunks, lang_mixture, lang_positioned, qa_target
     from blendwise.plans.search import SearchConfig, search
     from blendwise.operators import optim as op
 
     cfg = SearchConfig(n_iters=16, interval=5, micro_batch=16, mix_lr=0.05, order="unigram", vocab=1024, run_id="qa",
                        source="lang", init="noise", optimizer=dict(op.QA_ADAM), anneal_t_max=16)
-    h = search(spark, lang_positioned(spark, SF01), lang_mixture(spark, SF01), qa_target(spark, SF01), cfg).toPandas()
+    h = search(spark, lang_positioned(spark, SF01), lang_mixture(spark, SF01), qa_target(spark, SF01), cfg, chunk_rows=lang_chunks(spark, SF01), block_size=129).toPandas()
     assert sorted(h["step"].unique()) == [0, 5, 10, 15]
     assert (h.groupby("step")["p"].sum().sub(1).abs() < 1e-9).all()
     z0 = h[h["step"] == 0]["z"]
@@ -65,15 +67,54 @@ def test_qa_target_search_history_properties(spark):
 
 
 def test_search_resumes_from_its_history(spark):
-    from blendwise.plans.loop_queries import lang_mixture, lang_positioned, val_target
+    from blendwise.plans.loop_queries import lang_chunks, lang_mixture, lang_positioned, val_target
     from blendwise.plans.search import SearchConfig, search
 
     cfg = dict(interval=5, micro_batch=16, mix_lr=0.05, order="unigram", vocab=1024, run_id="r", source="lang")
     blocks, mix, target = lang_positioned(spark, SF001), lang_mixture(spark, SF001), val_target(spark, SF001)
-    whole = search(spark, blocks, mix, target, SearchConfig(n_iters=21, **cfg))
-    half = search(spark, blocks, mix, target, SearchConfig(n_iters=11, **cfg))
-    rest = search(spark, blocks, mix, target, SearchConfig(n_iters=21, **cfg), resume_from=half)
+    ids = {"chunk_rows": lang_chunks(spark, SF001), "block_size": 129}
+    whole = search(spark, blocks, mix, target, SearchConfig(n_iters=21, **cfg), **ids)
+    half = search(spark, blocks, mix, target, SearchConfig(n_iters=11, **cfg), **ids)
+    rest = search(spark, blocks, mix, target, SearchConfig(n_iters=21, **cfg), resume_from=half, **ids)
     rows = lambda h: {(r.step, r.lang): (r.z, r.p, r.t) for r in h.collect()}
     a, b = rows(whole), rows(rest)
     assert a.keys() == b.keys() and max(s for s, _ in a) == 20
     assert all(abs(x - y) < 1e-9 for k in a for x, y in zip(a[k], b[k]))
+
+
+def test_search_survives_a_driver_that_dies_between_write_and_commit(spark, tmp_path, monkeypatch):
+    from blendwise.operators import loss as ls
+    from blendwise.plans.loop_queries import lang_blocks, lang_chunks, lang_mixture, lang_positioned, val_target
+    from blendwise.plans.search import SearchConfig, run_search
+    from blendwise.sources import history as hs
+
+    cfg = SearchConfig(n_iters=21, interval=5, micro_batch=16, mix_lr=0.05, order="unigram", vocab=1024, run_id="k", source="lang")
+    blocks, mix, target = lang_positioned(spark, SF001), lang_mixture(spark, SF001), val_target(spark, SF001)
+    valid = ls.pair_counts(lang_blocks(spark, SF001).filter("split = 'valid'").withColumnRenamed("lang", "set"), ["set"], order="unigram")
+    how = {"chunk_rows": lang_chunks(spark, SF001), "block_size": 129, "validation": valid}
+    rows = lambda d: {(r.step, r.lang): (r.z, r.p, r.m, r.v, r.t) for r in d.collect()}
+    whole = run_search(spark, blocks, mix, target, cfg, root=str(tmp_path / "whole"), **how)
+    real = hs.commit_step
+
+    def dies(table, path, step):
+        if step == 10 and path.endswith("history"):
+            folder = real(table, path, step)
+            os.remove(os.path.join(folder, "_SUCCESS"))  # the rows are there, the commit is not
+            raise KeyboardInterrupt
+        return real(table, path, step)
+
+    monkeypatch.setattr(hs, "commit_step", dies)
+    with pytest.raises(KeyboardInterrupt):
+        run_search(spark, blocks, mix, target, cfg, root=str(tmp_path / "killed"), **how)
+    monkeypatch.undo()
+    spark.catalog.clearCache()  # a new driver has none
+    assert hs.committed_steps(spark, str(tmp_path / "killed" / "history")) == [0, 5]
+    again = run_search(spark, blocks, mix, target, cfg, root=str(tmp_path / "killed"), **how)
+    a, b = rows(whole.history), rows(again.history)
+    assert a.keys() == b.keys() and len(a) == again.history.count()  # no step twice
+    assert all(abs(x - y) < 1e-9 for k in a for x, y in zip(a[k], b[k]))
+    assert hs.committed_steps(spark, again.state_path) == [20]  # only the newest state stays
+    m = lambda run: {(r.step, r.set): r.val_loss for r in run.metrics.collect()}
+    x, y = m(whole), m(again)
+    assert x.keys() == y.keys() and {s for s, _ in x} == {5, 10, 15, 20}
+    assert all(abs(x[k] - y[k]) < 1e-9 for k in x)
