@@ -63,5 +63,6 @@ def test_registered_queries():
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if re.fullmatch(r"op\d+_\w+|pipeline", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert "pipeline" in names and 4 <= len(corpus_pipeline.STAGES) <= 5
+    assert {"op11_phrase_collocations", "op13_fill_in_middle"} <= set(e.oracle_sql())
