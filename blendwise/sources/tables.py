@@ -67,11 +67,10 @@ class DocBuckets:
 
 def document_buckets(spark: SparkSession, sf_dir: str) -> DocBuckets:
     """Read from the narrow columns; ranges are as wide as a window should be, but many enough for every core."""
-    r = table(spark, sf_dir, "documents").agg(F.max("doc_id").alias("last"), F.countDistinct("source").alias("s"),
-                                              F.countDistinct("lang").alias("l")).first()
-    last = int(r["last"] or 0) + 1
+    groups = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.max("doc_id").alias("last")).collect()  # one row per key
+    last = max((r["last"] or 0 for r in groups), default=0) + 1
     width = max(1, min(WIDEST_BUCKET, last // (BUCKETS_PER_CORE * spark.sparkContext.defaultParallelism)))
-    return DocBuckets(width, -(-last // width), r["s"] + 1, r["l"] + 1)
+    return DocBuckets(width, -(-last // width), len({r["source"] for r in groups}), len({r["lang"] for r in groups}))
 
 
 def bucketed_documents(spark: SparkSession, sf_dir: str, buckets: DocBuckets) -> DataFrame:
