@@ -2,17 +2,23 @@
 
 Words are lower-cased runs of letters, digits and non-ASCII characters; shingles have five of them
 (a shorter item is one shingle).  Every benchmark item gets a 64-bit SimHash of its shingles, each
-weighted by its occurrences.  Every window of a document that is as long as an item and shares a shingle with it gets a
-rolling SimHash (windows that share none have similarity 0 and cannot qualify).  With ``short_documents``, as in the
-query and the pipeline, a document shorter than the item is one window as a whole; otherwise it has no window.  The items'
-fingerprints are indexed in 8 blocks of 8 bits: fingerprints within ``RADIUS`` bits differ in at most
-``RADIUS // 8`` bits in some block, so each item is entered under every block value that close, and no item
-within the radius is missed.  Candidates are verified by the exact weighted similarity of shingle bags,
-sum of minima over sum of maxima, at 0.8 or more.  At that similarity fingerprints differ in 10 bits
-on average; beyond 20 bits lies one qualifying window in ten thousand, and a leak has several.
+weighted by its occurrences, and every window of a document that is as long as an item gets a rolling SimHash.  With
+``short_documents``, as in the query and the pipeline, a document shorter than the item is one window as a whole;
+otherwise it has no window.
+
+The block tables name the candidates.  Fingerprints are cut into 8 blocks of 8 bits; two within ``RADIUS`` bits differ in at
+most ``RADIUS // 8`` bits in some block, so every item is entered in each table under all block values that close to
+its own (beside its length), a window asks each table once, and no item within the radius is missed.  Candidates are verified by the exact
+weighted similarity of shingle bags, sum of minima over sum of maxima, at 0.8 or more.  At that similarity fingerprints
+differ in 10 bits on average, so a radius of 20 loses few windows, and a leak has several.
+
+Windows that cannot qualify for any item are not fingerprinted: bags of m and M shingles that reach 0.8 share at least
+4 (m + M) / 9 of them, and running counts of the shingles that occur anywhere in the benchmark tell which windows hold as many.
+Equal windows of a document are asked once (the first counts), and the bags of neighbouring windows slide, so that the work on a text
+of one repeated sentence is linear in its length.
 
 The documents are read once and not shuffled.  The benchmark is sent to the tasks in slices of at most
-``SLICE_WORDS`` words; a larger one takes several passes.  Its size is counted first.
+``SLICE_WORDS`` words, as arrays (about 1.2 KB an item); a larger one takes several passes.  Its size is counted first.
 
 Defined results: null or empty texts and items have no windows; repeated documents give a row
 each, repeated items (equal ids) a row each per text; an empty table on either side gives no leaks; extra columns are kept
@@ -31,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blendwise.llm.common import map_arrow, row_slices, table, window_hashes, word_hashes
+from blendwise.llm.common import map_arrow, mix64, row_slices, table, window_hashes, word_hashes
 from blendwise.llm.simhash import vote
 
 SHINGLE = 5
@@ -41,103 +47,143 @@ LIKENESS = 0.8
 SLICE_WORDS = 2_000_000
 SLICE_ROWS = 50_000
 _FILTER_BITS = 22
+_WINDOWS = 4096  # asked at a time, and no more than _PAIRS with the items of a length
+_PAIRS = 1 << 20
+
+
+class BlockTables:
+    """Fingerprints of items by kind (their length), each entered in every table under all block values that are close to its own."""
+
+    def __init__(self, prints: np.ndarray, kind: np.ndarray):
+        near = np.array([sum(1 << i for i in c) for e in range(RADIUS // BLOCKS + 1) for c in combinations(range(64 // BLOCKS), e)])
+        items = np.repeat(np.arange(len(prints), dtype=np.int32), len(near))
+        self.prints, self.tables = prints, []
+        for j in range(BLOCKS):
+            value = ((self._block(prints, j) ^ near[:, None]) + 256 * kind).T.ravel()
+            order = np.argsort(value, kind="stable")
+            self.tables.append((np.searchsorted(value[order], np.arange(256 * (kind.max(initial=-1) + 1) + 1)), items[order]))
+
+    @staticmethod
+    def _block(prints: np.ndarray, j: int) -> np.ndarray:
+        return (prints >> np.uint64(8 * j) & np.uint64(0xFF)).astype(np.int64)
+
+    def within(self, probes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(item, probe, distance)`` of all pairs of one kind within the radius, by item and probe: all that some table offers,
+        then the exact distance."""
+        pairs = []
+        for j, (first, items) in enumerate(self.tables):
+            value = self._block(probes, j) + 256 * kind
+            n = first[value + 1] - first[value]
+            at = np.arange(n.sum()) + np.repeat(first[value] - np.cumsum(n) + n, n)
+            pairs.append(items[at].astype(np.int64) * len(probes) + np.repeat(np.arange(len(value)), n))
+        item, probe = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(probes)))
+        distance = np.bitwise_count(probes[probe] ^ self.prints[item])
+        near = distance <= RADIUS
+        return item[near], probe[near], distance[near]
 
 
 class ItemIndex:
     """Shingles, fingerprints and block tables of one slice of the benchmark."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.ids, self.size, self.k, self.bags = [], [], [], []
-        places: dict[int, list[tuple[int, int]]] = {}
-        for item_id, text in items:
-            h, _ = word_hashes([text], lower=True, plain=True)
-            if not len(h):
-                continue
-            k = min(SHINGLE, len(h))
-            shingles = window_hashes(h, k)
-            n = len(self.ids)
-            for at, s in enumerate(shingles.tolist()):
-                places.setdefault((k, s), []).append((n, at))
-            self.ids.append(item_id)
-            self.size.append(len(h))
-            self.k.append(k)
-            self.bags.append(Counter(shingles.tolist()))
-        self.lengths = sorted({k for k, _ in places})  # shingle lengths in use
-        self.keys = {k: np.array(sorted(s for kk, s in places if kk == k), np.uint64) for k in self.lengths}
-        self.places = places
-        self.maybe = {}
-        for k, keys in self.keys.items():
-            bits = np.zeros(1 << _FILTER_BITS, bool)
+        h, word0 = word_hashes([text for _, text in items], lower=True, plain=True)
+        n = np.diff(word0)
+        self.ids = [item_id for (item_id, _), words in zip(items, n.tolist()) if words]
+        shingles = [window_hashes(h[lo:lo + words], min(SHINGLE, words)) for lo, words in zip(word0.tolist(), n.tolist()) if words]
+        self.shingles = np.concatenate([np.zeros(0, np.uint64), *shingles])
+        self.first = np.concatenate(([0], np.cumsum([len(x) for x in shingles], dtype=np.int64)))
+        self.sizes, kind, self.alike = np.unique(n[n > 0], return_inverse=True, return_counts=True)
+        self.prints = vote(self.shingles, self.first)
+        self.tables = BlockTables(self.prints, kind)
+        self.keys, self.maybe = {}, {}  # per shingle length: all shingles, and a bit filter before them
+        of = np.minimum(SHINGLE, n[n > 0])
+        for k in np.unique(of).tolist():
+            keys = self.keys[k] = np.unique(np.concatenate([shingles[i] for i in np.flatnonzero(of == k)]))
+            bits = self.maybe[k] = np.zeros(1 << _FILTER_BITS, bool)
             bits[keys & np.uint64((1 << _FILTER_BITS) - 1)] = True
-            self.maybe[k] = bits
-        self.prints = np.array([int(vote(np.array(list(b.elements()), np.uint64), np.array([0, b.total()]))[0])
-                                for b in self.bags], np.uint64)
-        errors = RADIUS // BLOCKS
-        near = [sum(1 << i for i in c) for e in range(errors + 1) for c in combinations(range(64 // BLOCKS), e)]
-        self.blocks: list[dict[int, set[int]]] = []
-        for j in range(BLOCKS):
-            entry: dict[int, set[int]] = {}
-            for n, p in enumerate(self.prints.tolist()):
-                value = p >> (8 * j) & 0xFF
-                for e in near:
-                    entry.setdefault(value ^ e, set()).add(n)
-            self.blocks.append(entry)
 
     def within(self, print_: int) -> set[int]:
-        """Items within the radius: all that some block table offers, then the exact distance."""
-        found: set[int] = set()
-        for j, entry in enumerate(self.blocks):
-            found |= entry.get(print_ >> (8 * j) & 0xFF, set())
-        return {n for n in found if (print_ ^ int(self.prints[n])).bit_count() <= RADIUS}
+        """Items of any length within the radius of a fingerprint."""
+        return set(self.tables.within(np.full(len(self.sizes), print_, np.uint64), np.arange(len(self.sizes)))[0].tolist())
 
     def leaks(self, texts: list[bytes | None], short_documents: bool = False) -> list[list[tuple[int, int, int, float, int]]]:
         """Per text: (item, first word, words, similarity, distance) of the best window of every leaked item."""
         h, word0 = word_hashes(texts, lower=True, plain=True)
+        best: dict[tuple[int, int], tuple] = {}  # by text and item
+        for k in self.keys:
+            w = window_hashes(h, k)
+            for windows in self._windows(k, h, w, word0, short_documents):
+                self._verify(k, w, word0, *windows, best)
         out: list[list] = [[] for _ in texts]
-        hits: dict[tuple[int, int], list[int]] = {}  # (text, item) -> word positions of shared shingles
-        rolling = {}
-        for k in self.lengths:
-            w = rolling[k] = window_hashes(h, k)
-            place = np.flatnonzero(self.maybe[k][w & np.uint64((1 << _FILTER_BITS) - 1)])
-            at = np.searchsorted(self.keys[k], w[place])
-            at[at == len(self.keys[k])] = 0
-            place = place[self.keys[k][at] == w[place]]
-            of = np.searchsorted(word0, place, side="right") - 1
-            inside = place + k <= word0[of + 1]
-            for p, t in zip(place[inside].tolist(), of[inside].tolist()):
-                for n, _ in self.places[k, int(w[p])]:
-                    hits.setdefault((t, n), []).append(p)
-        for (t, n), positions in hits.items():
-            size, k, bag = self.size[n], self.k[n], self.bags[n]
-            if short_documents:
-                size = min(size, int(word0[t + 1] - word0[t]))
-            lo, hi = int(word0[t]), int(word0[t + 1]) - size
-            starts = sorted({s for p in positions for s in range(max(lo, p - size + k), min(hi, p) + 1)})
-            best = None
-            for a, b in _runs(starts):
-                windows = _rolling_prints(rolling[k][a:b + size - k + 1], size - k + 1)
-                for s, print_ in enumerate(windows.tolist(), a):
-                    if n not in self.within(print_):
-                        continue
-                    mine = Counter(rolling[k][s:s + size - k + 1].tolist())
-                    both = (mine & bag).total()
-                    similarity = both / (mine.total() + bag.total() - both)
-                    if similarity >= LIKENESS and (best is None or similarity > best[3]):
-                        best = (self.ids[n], s - lo, size, similarity, (print_ ^ int(self.prints[n])).bit_count())
-            if best:
-                out[t].append(best)
+        for t, n in sorted(best):
+            out[t].append(best[t, n])
         return out
 
+    def _windows(self, k: int, h: np.ndarray, w: np.ndarray, word0: np.ndarray, short_documents: bool) -> Iterator[tuple]:
+        """Windows that hold enough shingles of the benchmark, some thousands at a time: text, kind, first word and fingerprint.
+        Of equal windows among them the first."""
+        place = np.flatnonzero(self.maybe[k][w & np.uint64((1 << _FILTER_BITS) - 1)])
+        at = np.searchsorted(self.keys[k], w[place])
+        at[at == len(self.keys[k])] = 0
+        place = place[self.keys[k][at] == w[place]]
+        of = np.searchsorted(word0, place, side="right") - 1
+        inside = place + k <= word0[of + 1]
+        place, of = place[inside], of[inside]
+        kinds = [(i, size) for i, size in enumerate(self.sizes.tolist()) if min(SHINGLE, size) == k]
+        part, waiting = [], 0
+        cut = np.flatnonzero(np.diff(of, prepend=-1))
+        for t, known in zip(of[cut].tolist(), np.split(place, cut[1:])):
+            lo, hi = int(word0[t]), int(word0[t + 1])
+            run = np.zeros(hi - lo - k + 2, np.int64)
+            run[known - lo + 1] = 1
+            np.cumsum(run, out=run)
+            for kind, size in kinds:
+                span = min(size, hi - lo)
+                width = span - k + 1
+                least = -(-4 * (width + size - k + 1) // 9)
+                if least > len(known) or size > span and not short_documents:
+                    break  # and so for all longer items
+                for a, b in _runs(np.flatnonzero(run[width:] - run[:-width] >= least) + lo):
+                    part.append((np.full(b + 1 - a, t), np.full(b + 1 - a, kind), np.arange(a, b + 1),
+                                 _rolling_prints(w[a:b + width], width), window_hashes(h[a:b + span], span)))
+                    waiting += b + 1 - a
+                    if waiting >= _WINDOWS:
+                        yield self._first_of_equals(part)
+                        part, waiting = [], 0
+        if part:
+            yield self._first_of_equals(part)
+
+    def _first_of_equals(self, part: list[tuple]) -> tuple[np.ndarray, ...]:
+        text, kind, start, prints, words = (np.concatenate(x) for x in zip(*part))
+        group = (text * len(self.sizes) + kind).astype(np.uint64)
+        first = np.sort(np.unique(words ^ mix64(group), return_index=True)[1])
+        return text[first], kind[first], start[first], prints[first]
+
+    def _verify(self, k: int, w: np.ndarray, word0: np.ndarray, text: np.ndarray, kind: np.ndarray, start: np.ndarray,
+                prints: np.ndarray, best: dict[tuple[int, int], tuple]) -> None:
+        """Ask the tables for the items near each window, and keep the most similar window of every text and item."""
+        step = max(1, _PAIRS // int(self.alike[kind].max()))
+        for i in range(0, len(start), step):
+            item, probe, distance = self.tables.within(prints[i:i + step], kind[i:i + step])
+            probe += i
+            cut = np.flatnonzero(np.diff(item * len(word0) + text[probe], prepend=-1))  # one group per item and text
+            for n, at, bits in zip(item[cut].tolist(), np.split(probe, cut[1:]), np.split(distance, cut[1:])):
+                t = int(text[at[0]])
+                lo = int(word0[t])
+                mine = self.shingles[self.first[n]:self.first[n + 1]]
+                span = min(len(mine) + k - 1, int(word0[t + 1]) - lo)
+                for s, both, d in zip(start[at].tolist(), _overlaps(w, start[at], span - k + 1, mine), bits.tolist()):
+                    similarity = both / (span - k + 1 + len(mine) - both)
+                    if similarity >= LIKENESS and ((t, n) not in best or similarity > best[t, n][3]):
+                        best[t, n] = (self.ids[n], s - lo, span, similarity, d)
 
-def _runs(starts: list[int]) -> Iterator[tuple[int, int]]:
+
+def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of consecutive numbers as (first, last), at most 4096 long."""
-    a = None
-    for i, s in enumerate(starts):
-        if a is None:
-            a = s
-        if i + 1 == len(starts) or starts[i + 1] != s + 1 or s - a >= 4095:
-            yield a, s
-            a = None
+    cut = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
+    for a, b in zip(starts[cut].tolist(), starts[np.append(cut[1:], len(starts)) - 1].tolist() if len(cut) else ()):
+        for s in range(a, b + 1, 4096):
+            yield s, min(b, s + 4095)
 
 
 def _rolling_prints(shingles: np.ndarray, width: int) -> np.ndarray:
@@ -149,6 +195,24 @@ def _rolling_prints(shingles: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(2 * ones > width, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def _overlaps(shingles: np.ndarray, starts: np.ndarray, width: int, item: np.ndarray) -> Iterator[int]:
+    """Sum of minima of the item's bag and the bag of each window; ``starts`` ascend, near windows slide."""
+    bag = Counter(item.tolist())
+    at = None
+    for s in starts.tolist():
+        if at is None or s - at > width // 2:
+            mine = Counter(shingles[s:s + width].tolist())
+            both = (mine & bag).total()
+        else:
+            for gone, come in zip(shingles[at:s].tolist(), shingles[at + width:s + width].tolist()):
+                both -= mine[gone] <= bag[gone]
+                mine[gone] -= 1
+                both += mine[come] < bag[come]
+                mine[come] += 1
+        at = s
+        yield both
+
+
 def _slices(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, bytes]]]:
     """The benchmark in slices of bounded size, each small enough to be sent to every task."""
     b = benchmark.select(F.col(item).cast("bigint").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -1,8 +1,10 @@
 """Decontamination against a brute-force search of all windows."""
 
 import random
+import time
 from collections import Counter
 
+import numpy as np
 from helpers import SF, edge_documents, plain_words
 
 from blendwise.llm import decontam
@@ -12,16 +14,22 @@ def bag(w, k):
     return Counter(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
 
 
-def brute(docs, items):
+def brute(docs, items, short_documents=False):
+    """All windows; items that share no shingle with a document are left out, their similarity is 0."""
     out = {}
     of = {i: plain_words(t) for i, t in items}
+    wanted = {i: bag(item, min(5, len(item))) for i, item in of.items() if item}
     for key, text in docs:
         w = plain_words(text)
-        for i, item in of.items():
-            k = min(5, len(item))
-            want = bag(item, k) if item else None
-            for p in range(len(w) - len(item) + 1) if item else ():
-                mine = bag(w[p:p + len(item)], k)
+        held = {k: bag(w, k) for k in range(1, 6)}
+        for i, want in wanted.items():
+            k, width = min(5, len(of[i])), len(of[i])
+            if not held[k].keys() & want.keys():
+                continue
+            if short_documents:
+                width = min(width, len(w))
+            for p in range(len(w) - width + 1):
+                mine = bag(w[p:p + width], k)
                 both = (mine & want).total()
                 likeness = both / (mine.total() + want.total() - both)
                 if likeness >= 0.8 and ((key, i) not in out or likeness > out[key, i][1]):
@@ -70,9 +78,7 @@ def test_query_on_a_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontam.op8_decontamination(spark, SF).collect()}
-    shared = [(k, t) for k, t in docs if any(k == x for x, _ in got) or k % 10 == 0]  # the leaks and a tenth of the rest
-    want = brute(shared, items)
-    assert {k: v for k, v in got.items() if k[0] in dict(shared)} == want and len(got) >= 1
+    assert got == brute(docs, items, short_documents=True) and len(got) >= 1  # all documents, all items
 
 
 def test_block_tables_give_all_items_within_the_radius():
@@ -132,3 +138,48 @@ def test_query_and_pipeline_take_short_documents(spark, tmp_path):
     assert [(r.doc_id, r.item_id) for r in decontam.op8_decontamination(spark, str(tmp_path)).collect()] == [(1, 7)]
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert [r.doc_id for r in corpus_pipeline.leaks(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_candidates_come_from_the_block_tables(monkeypatch):
+    index = decontam.ItemIndex([(1, b"a b c d e f g h")])
+    assert index.leaks([b"x a b c d e f g h y"]) == [[(1, 1, 8, 1.0, 0)]]
+    monkeypatch.setattr(decontam.BlockTables, "within", lambda self, probes, kind: (np.zeros(0, int),) * 3)
+    assert index.leaks([b"x a b c d e f g h y"]) == [[]]
+
+
+def test_repeated_and_overlapping_words():
+    """Texts and items of very few words: all windows hold shingles of many items, and bags hold them several times."""
+    rng = random.Random(9)
+    make = lambda n: " ".join(rng.choice("ab" if rng.random() < 0.9 else "abc") for _ in range(n))
+    items = [(i, make(rng.randint(1, 30))) for i in range(40)] + [(100, "a " * 25), (101, "a b " * 12)]
+    docs = [(d, make(rng.choice([0, 1, 4, 20, 24, 25, 200]))) for d in range(60)] + [(60, "a " * 300), (61, "b a " * 200)]
+    for short in (False, True):
+        near, of = {}, decontam.ItemIndex([(i, t.encode()) for i, t in items]).leaks([t.encode() for _, t in docs], short)
+        for (d, _), rows in zip(docs, of):
+            near.update({(d, r[0]): (r[1], r[3]) for r in rows})
+        want = brute(docs, items, short)
+        # the radius loses windows of similarity below 1, whose bits may differ in more than 20 places, and nothing else
+        assert {k: v for k, v in want.items() if v[1] == 1} == {k: v for k, v in near.items() if v[1] == 1}
+        assert near.keys() <= want.keys() and all(near[k][1] <= want[k][1] for k in near)
+        assert len(near) > 200 and len(near) >= 0.95 * len(want), (len(near), len(want))
+
+
+def test_all_windows_without_a_radius(monkeypatch):
+    """With a radius of all bits the tables offer every item, and the result equals the search of all windows."""
+    monkeypatch.setattr(decontam, "RADIUS", 64)
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 14)))) for i in range(30)]
+    docs = [(d, " ".join(rng.choice("abcd") for _ in range(rng.choice([3, 9, 60, 400])))) for d in range(40)]
+    for short in (False, True):
+        rows = decontam.ItemIndex([(i, t.encode()) for i, t in items]).leaks([t.encode() for _, t in docs], short)
+        got = {(d, r[0]): (r[1], r[3]) for (d, _), of in zip(docs, rows) for r in of}
+        assert got == brute(docs, items, short) and len(got) > 100
+
+
+def test_a_text_of_repeated_boilerplate_is_linear():
+    index = decontam.ItemIndex([(i, b"lorem ipsum dolor sit amet " * 20 + b"lorem") for i in range(20)])
+    for n in (2_000, 40_000):
+        began = time.process_time()
+        (rows,) = index.leaks([b"lorem ipsum dolor sit amet " * n])
+        assert len(rows) == 20 and {r[1:] for r in rows} == {(0, 101, 1.0, 0)}
+    assert time.process_time() - began < 10
