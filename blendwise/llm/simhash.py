@@ -197,14 +197,18 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def with_near_counts(made: DataFrame, key: str = "doc_id", fingerprint: str = "fingerprint", every: int = 20,
                      radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """``made`` plus ``n_near``: for the rows whose id is divisible by ``every`` (the stated queries), how many other
-    fingerprints of all rows lie within ``radius`` bits; null for the others."""
+    """``made`` plus ``n_near``: for the rows whose id is divisible by ``every`` (the stated queries), how many other rows
+    have a fingerprint within ``radius`` bits, equal ones included; null for the others.  Rows are counted per fingerprint before anything is
+    joined, so copies are never expanded into pairs."""
     stored = F.conv(F.col(fingerprint), 16, -10).cast("bigint")  # as a signed number
     asked = F.coalesce(F.col(key) % every == 0, F.lit(False))
     queries, rest = made.filter(asked).withColumn("_fp", stored), made.filter(~asked)
+    rows = made.groupBy(stored.alias("near")).agg(F.count("*").alias("_rows")).filter(F.col("near").isNotNull())
     near = find_near(queries.select(F.col("_fp").alias("fingerprint")), made.select(stored.alias("fingerprint")), radius, blocks)
-    counts = near.groupBy(F.col("fingerprint").alias("_fp")).agg(F.count("*").alias("n_near"))
-    found = queries.join(counts, "_fp", "left").drop("_fp").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("bigint")))
+    # how many fingerprints are near grows with the data: these joins shuffle
+    others = near.join(rows.hint("merge"), "near").select(F.col("fingerprint").alias("_fp"), "_rows")
+    counts = others.unionByName(rows.select(F.col("near").alias("_fp"), "_rows")).groupBy("_fp").agg(F.sum("_rows").alias("_rows"))
+    found = queries.join(counts.hint("merge"), "_fp", "left").withColumn("n_near", F.col("_rows") - 1).drop("_fp", "_rows")
     return found.unionByName(rest.withColumn("n_near", F.lit(None).cast("bigint")))
 
 

@@ -49,17 +49,32 @@ def check(rows, docs):
     assert got == sorted(want)
 
 
+def near_counts(rows):
+    """The neighbour search against all rows, copies included."""
+    for i, r in enumerate(rows):
+        mine = int(r.fingerprint, 16)
+        want = sum(j != i and (int(x.fingerprint, 16) ^ mine).bit_count() <= simhash.RADIUS for j, x in enumerate(rows))
+        assert r.n_near == (want if r.doc_id is not None and r.doc_id % 20 == 0 else None)
+
+
+def test_copies_are_neighbours(spark):
+    rng = random.Random(4)
+    base = [f"{rng.getrandbits(64):016x}" for _ in range(6)] + ["0" * 16]
+    near = [f"{int(f, 16) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64):016x}" for f in base]
+    rows = [(i if i % 11 else None, base[0]) for i in range(120)] + [(1000 + i, rng.choice(base + near)) for i in range(200)] + [(2000, "f" * 16)]
+    got = simhash.with_near_counts(spark.createDataFrame(rows, "doc_id bigint, fingerprint string")).collect()
+    assert len(got) == len(rows)
+    near_counts(got)
+    assert max(r.n_near or 0 for r in got) >= 119 and [r.n_near for r in got if r.doc_id == 2000] == [0]
+
+
 def test_query_on_a_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r.text) < 1500]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     check(simhash.compare_edited(df).collect(), docs)
     rows = simhash.op7_simhash(spark, SF).collect()
     assert len(rows) == 200
-    fps = {int(r.fingerprint, 16) for r in rows}
-    for r in rows:  # the neighbour search against all fingerprints
-        mine = int(r.fingerprint, 16)
-        want = sum(f != mine and (f ^ mine).bit_count() <= simhash.RADIUS for f in fps) if r.doc_id % 20 == 0 else None
-        assert r.n_near == want
+    near_counts(rows)
     assert sum(r.near_edited for r in rows) / 200 > 0.7 > 0.6 > sum(r.near_next for r in rows) / 200
 
 
