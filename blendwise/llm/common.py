@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blendwise.session import scratch_path, ship_package
+from blendwise.session import scratch_path, ship_package, small_batches
 from blendwise.sources.tables import table
 
 __all__ = ["table", "materialize", "row_slices", "word_hashes", "mix64", "splits_for", "fresh", "ship_package",
@@ -74,14 +74,6 @@ def frequent_keys(counts: DataFrame, times: str, least: int, total: str | None =
     return d.select("part", "key", F.col("_total").alias(total)) if total else d.select("part", "key")
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Let a batch between Spark and Python hold at most ``rows`` rows: one of whole texts stands in memory four times
-    (both ways, on both sides), and ten thousand long texts are too much."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
-
-
 def splits_for(spark: SparkSession, total: int | None, per_split: int) -> int:
     """Number of partitions or key ranges for ``total`` units of data, at least the session's parallelism."""
     return max(int(spark.sparkContext.defaultParallelism), -(-int(total or 0) // per_split), 1)

@@ -8,9 +8,10 @@ for EOS/BOS/UNK.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from blendwise.functions.hashing import hashed_token_id
 from blendwise.functions.prefix import prefix_rank
-from blendwise.session import ship_package
+from blendwise.session import ship_package, small_batches
 
 # The whitespace class that separates tokens, the reserved id.
 WHITESPACE = "[ \\t\\n\\r\\f]+"
@@ -29,6 +30,9 @@ U16_VOCAB_LIMIT = 65500
 # A vocabulary of this many rows or fewer is broadcast; above it AQE picks the join.
 VOCAB_BROADCAST_ROWS = 1 << 20
 
+# A sub-word tokenizer works on texts of this many characters at a time: it keeps some hundred bytes for every id.
+SLICE_CHARS = 1 << 19
+
 
 def tokenize(df: DataFrame, text: str = "text", out: str = "words") -> DataFrame:
     """Token strings of a text; empty pieces (leading whitespace) removed."""
@@ -88,23 +92,42 @@ class SubwordCodec:
         path = self.path
 
         def ids(texts: pd.Series) -> pd.Series:
-            made = SubwordCodec.load(path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
-            return pd.Series([e.ids for e in made])
+            codec, texts, out = SubwordCodec.load(path), texts.fillna("").tolist(), []
+            for lo, hi in slices([len(t) for t in texts], SLICE_CHARS):
+                made = codec.encode_batch(texts[lo:hi], add_special_tokens=False)
+                out += [np.array(e.ids, np.int32) for e in made]
+            return pd.Series(out, dtype=object)
 
-        return F.pandas_udf(ids, "array<int>")(text)
+        return F.pandas_udf(ids, "array<int>").asNondeterministic()(text)  # else a use of the ids encodes once more
 
     def decode(self, ids: Column) -> Column:
         path = self.path
 
         def texts(ids: pd.Series) -> pd.Series:
-            return pd.Series(SubwordCodec.load(path).decode_batch([list(map(int, x)) for x in ids], skip_special_tokens=False))
+            codec, ids, out = SubwordCodec.load(path), ids.tolist(), []
+            for lo, hi in slices([len(x) for x in ids], SLICE_CHARS // 4):
+                out += codec.decode_batch([x.tolist() for x in ids[lo:hi]], skip_special_tokens=False)
+            return pd.Series(out, dtype=object)
 
         return F.pandas_udf(texts, "string")(ids)
 
 
+def slices(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to at most ``limit`` (at least one row each)."""
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if i > lo and total + n > limit:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def encode_texts(df: DataFrame, codec: SubwordCodec, text: str = "text", out: str = "ids", eos: int | None = None) -> DataFrame:
     """T3/T4 with a pluggable codec: ids of whole texts, with ``eos`` at the end if given."""
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     d = df.withColumn(out, codec.encode(F.col(text)))
     return add_special(d, out, eos=eos) if eos is not None else d
 

@@ -59,3 +59,31 @@ def test_corpus_stats_width(spark):
     d = tk.encode_documents(_docs(spark), vocab_size=70000)
     st = tk.corpus_stats(d, vocab_size=70000).first()
     assert st.n_docs == 2 and st.n_tokens == 9 and st.id_width == 4 and st.bytes == 36
+
+
+def test_subword_codec_works_on_bounded_slices_and_encodes_once(spark, monkeypatch):
+    from public_tokenizers import path
+
+    assert list(tk.slices([], 3)) == [] and list(tk.slices([5, 1, 2, 3, 0], 3)) == [(0, 1), (1, 3), (3, 5)]
+    monkeypatch.setattr(tk, "SLICE_CHARS", 8)
+    texts = ["a longer text than a slice", "", "ab", None, "cd ef", "äöü \u4f60"]
+    codec = tk.SubwordCodec(path("byte_bpe_50k.json"))
+    made, load = [], tk.SubwordCodec.load
+
+    class Counted:
+        def encode_batch(self, batch, **how):
+            made.append(sum(map(len, batch)) if len(batch) > 1 else 0)
+            return load(codec.path).encode_batch(batch, **how)
+
+    udf = {}
+    monkeypatch.setattr(tk.F, "pandas_udf", lambda f, t: udf.setdefault(t, f) and pandas_udf(f, t))
+    codec.encode(F.lit("x"))
+    codec.decode(F.array(F.lit(1)))
+    with monkeypatch.context() as m:
+        m.setattr(tk.SubwordCodec, "load", staticmethod(lambda p: Counted()))
+        ids = udf["array<int>"](pd.Series(texts))
+    assert max(made) <= 8 and len(made) == 3
+    assert udf["string"](ids).tolist() == [t or "" for t in texts]
+    d = tk.encode_texts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), codec)
+    plan = d.select(F.size("ids"), codec.decode(F.col("ids")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ids(text") == 1
