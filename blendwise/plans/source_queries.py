@@ -197,6 +197,14 @@ def s8_read_qa(spark, sf):
     return q.select("task", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
+# A micro-batch opens and commits the state of every partition, whatever it brings; so more files make larger batches, not more of them.
+FILES_PER_BATCH, MOST_BATCHES = 16, 8
+
+
+def files_per_batch(n_files: int) -> int:
+    return max(FILES_PER_BATCH, -(-n_files // MOST_BATCHES))
+
+
 def _streamed(spark, sf, remainder):
     """Documents arrive as files, in any order, each with its end markers; the result is the batch pack's over the same keys."""
     from blendwise.streaming.pack_stream import pack_stream, with_end_markers
@@ -204,7 +212,8 @@ def _streamed(spark, sf, remainder):
     root = scratch_path(spark, "stream")
     with_end_markers(file_docs(spark, sf), PART_KEYS).repartition("part").write.partitionBy("part").parquet(f"{root}/in")
     schema = "doc_id long, source string, ids array<int>, expected long, part long"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{root}/in")
+    n = len(spark.read.schema(schema).parquet(f"{root}/in").inputFiles())
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch(n)).parquet(f"{root}/in")
     out = pack_stream(stream, CHUNK, BLOCK, keys=PART_KEYS, remainder=remainder)
     q = (out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
          .outputMode("append").trigger(availableNow=True).start())

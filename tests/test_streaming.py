@@ -89,6 +89,21 @@ def test_stream_pack_restarts_from_its_checkpoint(spark):
     assert got == _blocks(batch.select("source", "chunk_id", "block_in_chunk", "tokens"))
 
 
+def test_files_of_a_large_table_arrive_in_few_batches(spark, monkeypatch):
+    from blendwise.plans import source_queries as sq
+
+    assert [-(-n // sq.files_per_batch(n)) for n in (1, 16, 17, 40, 128, 129, 2000, 12000)] == [1, 1, 2, 3, 8, 8, 8, 8]
+    monkeypatch.setattr(sq, "PART_DOCS", 8)  # 125 files
+    monkeypatch.setattr(sq, "MOST_BATCHES", 2)
+    roots, scratch = [], sq.scratch_path
+    monkeypatch.setattr(sq, "scratch_path", lambda *a: roots.append(scratch(*a)) or roots[-1])
+    got = sq.p11_pack_stream(spark, "/root/testdata/sf0.001").collect()
+    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{roots[0]}/ckpt/commits")
+    names = [x.getPath().getName() for x in fs.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs)]
+    assert sorted(x for x in names if x.isdigit()) == ["0", "1"]
+    assert sorted(got) == sorted(sq.p2_pack_per_file(spark, "/root/testdata/sf0.001").collect())
+
+
 def test_end_markers_count_documents(spark):
     d = with_end_markers(spark.createDataFrame([r[:3] for r in _documents([3, 4, 5, 0])], SCHEMA))
     assert {(r.source, r.expected) for r in d.collect() if r.ids is None} == {("a", 2), ("b", 2)}
