@@ -17,7 +17,8 @@ lowest cross-entropy.  It is rejected when that cross-entropy lies above both ca
 language: mean + ``LIMIT`` standard deviations of its own texts of that length, and the middle between the ``OWN_TAIL`` quantile
 of its own texts and the ``FOREIGN_TAIL`` quantile of texts of languages that are left out.  A text of a left-out
 language has the lowest cross-entropy of all models but its own, and counts for the language that gives it.
-The limits are fitted on about ``CALIBRATION_ROWS`` training rows per language, chosen by hash.
+The limits are fitted on every training row: Spark sums moments and counts values on a grid of ``GRID`` nats, whose
+quantiles it takes, so that no more than the grid's points of a language meet in one task.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; ties of the
 cross-entropy go to the first language by name; with nothing to learn from every text is
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 from blendwise.llm.common import map_arrow, materialize, mix64, row_slices, table
 
 ORDER = 4
-CALIBRATION_ROWS = 2_000
+GRID = 1e-4  # nats per character between values that the limits tell apart
 LIMIT = 6.0
 OWN_TAIL, FOREIGN_TAIL = 0.999, 0.05
 FOREIGN_TEXTS = 20  # with fewer left-out texts of its own a language takes those of all others
@@ -263,58 +264,83 @@ def _collected(df: DataFrame, text: str, value: str) -> tuple[list, list, list]:
     return p["lang"].tolist(), p[text].tolist(), p[value].tolist()
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
-    """Model of ``labelled(key, lang, text)``; None if there is nothing to learn from."""
+def fit(labelled: DataFrame) -> Model | None:
+    """Model of ``labelled(lang, text)``; None if there is nothing to learn from."""
     counts = materialize(gram_counts(labelled), "grams")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return None
     grams, contexts = kneser_ney(counts)
     model = Model(langs, [_collected(t, "g", "p") for t in grams], [_collected(c, "h", "back") for c in contexts])
-    model.limits = _calibrate(labelled, model, key, calibration_rows)
+    model.limits = _calibrate(labelled, model)
     return model
 
 
-def _calibrate(labelled: DataFrame, model: Model, key: str, rows: int) -> dict[str, tuple[float, float, float, float]]:
-    """Per language: mean cross-entropy of its own texts, variance per character and between long texts, and
-    the limit set by texts of left-out languages (or by unseen letters, if there are none)."""
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = {r["lang"]: min(1.0, rows / r["count"]) for r in usable.groupBy("lang").count().collect()}
-    take = F.lit(False)
-    for lang, s in share.items():
-        take = take | ((F.col("lang") == lang) & (F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < int(s * (1 << 20))))
+def _quantiles(df: DataFrame, value: Column, q: float) -> DataFrame:
+    """``(lang, q, rows)``: the quantile of ``value`` over all rows of each language, and how many there are."""
+    points = df.groupBy("lang", F.round(value / GRID).alias("at")).agg(F.count("*").alias("k"))
+    return points.groupBy("lang").agg((F.percentile("at", F.lit(q), F.col("k")) * GRID).alias("q"), F.sum("k").alias("rows"))
+
+
+def own_scores(labelled: DataFrame, model: Model) -> DataFrame:
+    """``(lang, own, nearest, low, n)`` of every text with a word: cross-entropy for its language, the lowest one of the other
+    languages and which that is, and the characters counted."""
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs = shared.value.langs
+        column = {x: i for i, x in enumerate(langs)}
         scorer = Scorer(shared.value)
         for b in row_slices(batches, "text", SLICE_BYTES):
             x, n = scorer.cross_entropy(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(list(x), pa.list_(pa.float64())), pa.array(n)], ["lang", "x", "n"])
-
-    p = map_arrow(usable.filter(take).select("lang", "text"), score, "lang string, x array<double>, n double").filter("n > 0").toPandas()
+            some = np.flatnonzero(n)
+            lang = b.column("lang").take(pa.array(some))
+            x, mine, row = x[some], np.array([column[v] for v in lang.to_pylist()], np.int64), np.arange(len(some))
+            own = x[row, mine]
+            x[row, mine] = np.inf  # each text's language is left out
+            nearest = x.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([lang, pa.array(own), pa.array([langs[i] for i in nearest], pa.string()),
+                                              pa.array(x[row, nearest]), pa.array(n[some])], ["lang", "own", "nearest", "low", "n"])
+
+    out = materialize(map_arrow(usable, score, "lang string, own double, nearest string, low double, n double"), "own-scores")
     shared.destroy()  # the prediction sends the model with its limits
-    x_all, n_all, lang_all = np.array(p["x"].tolist()).reshape(-1, len(model.langs)), p["n"].to_numpy(), p["lang"].to_numpy()
-    mine = np.array([model.langs.index(x) for x in lang_all], np.int64)
-    others = x_all.copy()
-    others[np.arange(len(mine)), mine] = np.inf  # each text's language is left out
-    nearest, lowest = others.argmin(axis=1), others.min(axis=1, initial=np.inf)
+    return out
+
+
+def _calibrate(labelled: DataFrame, model: Model) -> dict[str, tuple[float, float, float, float]]:
+    """Per language: mean cross-entropy of its own texts, variance per character and between long texts, and
+    the limit set by texts of left-out languages (or by unseen letters, if there are none)."""
+    spark = labelled.sparkSession
+    p = own_scores(labelled, model)
+    n = F.col("n")
+    means = p.groupBy("lang").agg((F.sum(F.col("own") * n) / F.sum("n")).alias("mean")).collect()  # one row per language, as below
+    if not means:
+        return {}
+    d = p.join(F.broadcast(spark.createDataFrame(means, "lang string, mean double")), "lang")
+    d = d.withColumn("off", F.pow(F.col("own") - F.col("mean"), 2)).withColumn("w", n / (1 + n / 200))
+    w, off = F.col("w"), F.col("off")
+    # off ~ per_char / n + between: the sums of weighted least squares
+    sums = d.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(w / n / n), F.sum(w / n), F.sum(w), F.sum(w * off / n), F.sum(w * off))
+    sums = {r[0]: r[1:] for r in sums.collect()}
+    middle = {r["lang"]: np.exp(r["q"]) for r in _quantiles(d, F.log(F.greatest(off * n, F.lit(1e-12))), 0.5).collect()}
+    tail = {r["lang"]: r["q"] for r in _quantiles(p, F.col("own"), OWN_TAIL).collect()}
+    away = p.filter("nearest <> lang").select("lang", "nearest", "low")
+    foreign = {r["lang"]: r["q"] for r in _quantiles(away.select(F.col("nearest").alias("lang"), "low"), F.col("low"), FOREIGN_TAIL)
+               .filter(F.col("rows") >= FOREIGN_TEXTS).collect()}
+    few = [(r["lang"],) for r in means if r["lang"] not in foreign]
+    if few:
+        points = away.groupBy(F.col("lang").alias("other"), F.round(F.col("low") / GRID).alias("at")).agg(F.count("*").alias("k"))
+        j = points.join(F.broadcast(spark.createDataFrame(few, "lang string")), F.col("lang") != F.col("other"))
+        j = j.groupBy("lang").agg((F.percentile("at", F.lit(FOREIGN_TAIL), F.col("k")) * GRID).alias("q"))
+        foreign.update({r["lang"]: r["q"] for r in j.collect()})
     out = {}
-    for i, lang in enumerate(model.langs):
-        own = mine == i
-        x, n = x_all[own, i], n_all[own]
-        if not len(x):
-            continue
-        mean = float(np.average(x, weights=n))
-        away = lowest[~own & (nearest == i)]
-        if len(away) < FOREIGN_TEXTS:
-            away = lowest[~own]
-        foreign = float(np.quantile(away, FOREIGN_TAIL)) if len(away) else -float(model.back[0][i])
-        off = (x - mean) ** 2
-        # off ~ per_char / n + between: weighted least squares, both kept positive
-        a = np.stack([1 / n, np.ones_like(n)], axis=1)
-        w = n / (1 + n / 200)
-        per_char, between = np.linalg.lstsq(a * np.sqrt(w)[:, None], off * np.sqrt(w), rcond=None)[0] if len(x) > 2 else (1.0, 0.0)
-        out[lang] = (mean, max(float(per_char), float(np.median(off * n)), 1e-3), max(float(between), 1e-3), (float(np.quantile(x, OWN_TAIL)) + foreign) / 2)
+    for lang, mean in means:
+        rows, *s = sums[lang]
+        # both kept positive
+        per_char, between = np.linalg.lstsq(np.array([[s[0], s[1]], [s[1], s[2]]]), np.array(s[3:]), rcond=None)[0] if rows > 2 else (1.0, 0.0)
+        far = foreign.get(lang, -float(model.back[0][model.langs.index(lang)]))
+        out[lang] = (mean, max(float(per_char), float(middle[lang]), 1e-3), max(float(between), 1e-3), (tail[lang] + far) / 2)
     return out
 
 
@@ -358,7 +384,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", out: tuple[
 def fit_on_documents(docs: DataFrame, key: str = "doc_id") -> Model | None:
     """Model of the documents that are not held out."""
     fold = F.crc32(F.col(key).cast("string")) % 4
-    return fit(docs.filter(fold != 2).select(key, "lang", "text"), key)
+    return fit(docs.filter(fold != 2).select("lang", "text"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,3 +150,26 @@ def test_the_model_holds_all_grams(spark, monkeypatch):
     for n, (keys, logp) in enumerate(zip(model.keys, model.logp), 1):
         assert len(keys) == len({g for p in want.values() for g in p if len(g) == n})
         assert (logp[:-1] == logp[:-1]).sum() == sum(len(g) == n for p in want.values() for g in p)  # not NaN
+
+
+def test_limits_come_from_all_training_rows(spark):
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("lang", "text")
+    docs = docs.union(docs).union(docs).union(docs)  # more than 2000 rows of a language
+    model = langid.fit(docs)
+    rows = langid.own_scores(docs, model).collect()
+    assert len(rows) == sum(any(langid.words(r.text or "")) for r in docs.collect()) and len(rows) > 3900
+    for lang in model.langs:
+        own = [r for r in rows if r.lang == lang]
+        x, n = np.array([r.own for r in own]), np.array([r.n for r in own])
+        away = [r.low for r in rows if r.lang != lang and r.nearest == lang]
+        if len(away) < langid.FOREIGN_TEXTS:
+            away = [r.low for r in rows if r.lang != lang]
+        mean = np.average(x, weights=n)
+        off, w = (x - mean) ** 2, np.sqrt(n / (1 + n / 200))
+        a = np.stack([1 / n, np.ones_like(n)], axis=1)
+        per_char, between = np.linalg.lstsq(a * w[:, None], off * w, rcond=None)[0]
+        want = (mean, max(per_char, np.median(off * n), 1e-3), max(between, 1e-3),
+                (np.quantile(x, langid.OWN_TAIL) + np.quantile(away, langid.FOREIGN_TAIL)) / 2)
+        assert np.allclose(model.limits[lang], want, rtol=2e-4, atol=2e-4), lang
