@@ -75,6 +75,13 @@ class Proxy:
 
         return Proxy(cut_lineage(self.pairs), cut_lineage(self.ctx), self.alpha, self.vocab)
 
+    def for_positions(self) -> "Proxy":
+        """The table that rows of single positions are joined with: its at most V x V pairs are broadcast up to
+        ``CTX_BROADCAST_ROWS``, so that the positions do not move."""
+        if self.vocab**2 > CTX_BROADCAST_ROWS:
+            return self
+        return Proxy(F.broadcast(self.pairs), self.ctx, self.alpha, self.vocab)
+
 
 def fit_proxy(counts: DataFrame, weights: DataFrame | None = None, alpha: float = 0.1, vocab: int = 1024,
               source: str = "source", ignore: int | None = IGNORE_PLAIN, extra_keys: Sequence[str] = ()) -> Proxy:
@@ -170,6 +177,10 @@ def weighted_ce(losses: DataFrame, weights: DataFrame | None, keys: Sequence[str
     )
 
 
-def mask_targets(blocks: DataFrame, ignore: int, when: Column) -> DataFrame:
-    """Replace targets matching ``when`` (a function of the element) by the ignore id."""
-    return blocks.withColumn("targets", F.transform("targets", lambda x: F.when(when(x), F.lit(ignore)).otherwise(x)))
+def mask_targets(rows: DataFrame, ignore: int, when: Column) -> DataFrame:
+    """Replace targets matching ``when`` (a function of the element) by the ignore id: in blocks, or in their pair counts,
+    where pairs that become one are added up."""
+    if "targets" in rows.columns:
+        return rows.withColumn("targets", F.transform("targets", lambda x: F.when(when(x), F.lit(ignore)).otherwise(x)))
+    keys = [c for c in rows.columns if c != "n"]
+    return rows.withColumn("v", F.when(when(F.col("v")), F.lit(ignore)).otherwise(F.col("v"))).groupBy(*keys).agg(F.sum("n").alias("n"))

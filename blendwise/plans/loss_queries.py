@@ -67,23 +67,22 @@ def train_grad(counts):
     return gr.source_gradient(counts.filter(F.col("split") == "train").drop("split"), ["lang"])
 
 
-def target_grad(spark, sf, blocks=None, cut=True, batches=None):
-    b = blocks if blocks is not None else lang_blocks(spark, sf)
-    first = gr.first_blocks(b.filter(F.col("split") == "valid"), batches, VAL_BATCH)
-    vc = ls.pair_counts(first, ["lang"])
-    vc = cut_lineage(vc) if cut else vc
-    g = gr.val_gradient(vc, "lang")
+def target_grad(counts, batches=None):
+    """The target from the counts of every (split, language); with ``batches``, of every (split, language, block)."""
+    valid = counts.filter(F.col("split") == "valid").drop("split")
+    if batches is not None:
+        valid = gr.first_blocks(valid, batches, VAL_BATCH).groupBy("lang", "u", "v").agg(F.sum("n").alias("n"))
+    g = gr.val_gradient(valid, "lang")
     return gr.Grad(g.q.withColumn("target", F.lit("valid")), g.a.withColumn("target", F.lit("valid")), ["target"])
 
 
 def inner(spark, sf):
     """Inner products of the validation target with each language's train
-    gradient.  Blocks, counts, proxy and target are each computed once."""
-    blocks = reuse(lang_blocks(spark, sf))
-    c = reuse(lang_counts(spark, sf, blocks, cut=False))
+    gradient.  The blocks are packed once, for the counts that proxy, target and gradients share."""
+    c = lang_counts(spark, sf)
     p0 = proxy(spark, sf, c)
     px = ls.Proxy(reuse(p0.pairs), reuse(p0.ctx), p0.alpha, p0.vocab)
-    t0 = target_grad(spark, sf, blocks, cut=False)
+    t0 = target_grad(c)
     tg = gr.Grad(reuse(t0.q), reuse(t0.a), t0.keys)
     return gr.inner_products(tg, train_grad(c), px), px, c
 
@@ -95,7 +94,7 @@ def init_lang_state(spark, sf, mode="ones", run_id="val"):
 
 def dz_table(spark, sf):
     ip, _, _ = inner(spark, sf)
-    ip = reuse(ip.select(F.col("lang").alias("source"), "ip"))  # K rows, read by both runs
+    ip = cut_lineage(ip.select(F.col("lang").alias("source"), "ip"))  # K rows: every branch that reads them would compute them
     outs = []
     for run, lam in (("val", 0.0), ("val_entropy", LAMBDA)):
         st = init_lang_state(spark, sf, "ones", run)
@@ -186,9 +185,10 @@ def l3_token_loss(spark, sf):
     return t.select("split", "lang", "u", "v", "n", rnd("loss").alias("loss"))
 
 
-def _masked_counts(spark, sf, ignore):
-    b = ls.mask_targets(lang_blocks(spark, sf), ignore, lambda x: x == 0)
-    return lang_counts(spark, sf, b)
+def _masked_loss(spark, sf, ignore):
+    """Losses of the masked counts; the proxy is fitted on the same counts, unmasked."""
+    c = lang_counts(spark, sf)
+    return ls.token_loss(ls.mask_targets(c, ignore, lambda x: x == 0), proxy(spark, sf, c), ignore=ignore)
 
 
 SQL_MASKED = [
@@ -206,16 +206,14 @@ def masked_sql(ig: int) -> list[str]:
 @query("l4_cross_entropy", f"""{lang_sql(*masked_sql(-1))}
 SELECT split, lang, round(sum(n * loss) / sum(n * keep), 9) AS loss FROM ml GROUP BY split, lang""")
 def l4_cross_entropy(spark, sf):
-    c = _masked_counts(spark, sf, ls.IGNORE_PLAIN)
-    t = ls.token_loss(c, proxy(spark, sf), ignore=ls.IGNORE_PLAIN)
+    t = _masked_loss(spark, sf, ls.IGNORE_PLAIN)
     return ls.cross_entropy(t, ["split", "lang"]).select("split", "lang", rnd("loss").alias("loss"))
 
 
 @query("l5_chunked_ce", f"""{lang_sql(*masked_sql(-1))}
 SELECT split, lang, round(sum(n * loss) / sum(n), 9) AS loss FROM ml GROUP BY split, lang""")
 def l5_chunked_ce(spark, sf):
-    c = _masked_counts(spark, sf, ls.IGNORE_PLAIN)
-    t = ls.token_loss(c, proxy(spark, sf), ignore=ls.IGNORE_PLAIN)
+    t = _masked_loss(spark, sf, ls.IGNORE_PLAIN)
     return ls.cross_entropy(t, ["split", "lang"], chunked=True).select("split", "lang", rnd("loss").alias("loss"))
 
 
@@ -232,8 +230,7 @@ def l6_label_smoothing(spark, sf):
 dw AS (SELECT lang, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS w FROM documents GROUP BY lang)
 SELECT split, round(sum(n * w * loss * keep) / sum(n * w * keep), 9) AS loss FROM ml JOIN dw USING (lang) GROUP BY split""")
 def l7_weighted_ce(spark, sf):
-    c = _masked_counts(spark, sf, ls.IGNORE_WEIGHTED)
-    t = ls.token_loss(c, proxy(spark, sf), ignore=ls.IGNORE_WEIGHTED)
+    t = _masked_loss(spark, sf, ls.IGNORE_WEIGHTED)
     return ls.weighted_ce(t, _doc_weights(spark, sf), ["split"], source="lang").select("split", rnd("loss").alias("loss"))
 
 
@@ -248,9 +245,11 @@ SELECT p.split, p.lang, p.block_no, CAST(p.pos AS INTEGER) AS pos, p.u, CASE WHE
        round(CASE WHEN p.v = 0 THEN 0.0 ELSE -ln({PROB}) END, 9) AS loss
 FROM l_pairs p LEFT JOIN pp USING (u, v) LEFT JOIN pc USING (u)""")
 def l8_reduction_none(spark, sf):
-    b = ls.mask_targets(lang_blocks(spark, sf), ls.IGNORE_PLAIN, lambda x: x == 0)
-    pos = ls.positions(b, ["split", "lang", "block_no"])
-    t = ls.cross_entropy(ls.token_loss(pos, proxy(spark, sf)), reduction="none")
+    packed = cut_lineage(packed_blocks(spark, sf, keys=LKEYS).select(*LKEYS, "block_no", "tokens"))  # read twice
+    b = next_token(packed)
+    px = proxy(spark, sf, lang_counts(spark, sf, b)).for_positions()
+    pos = ls.positions(ls.mask_targets(b, ls.IGNORE_PLAIN, lambda x: x == 0), ["split", "lang", "block_no"])
+    t = ls.cross_entropy(ls.token_loss(pos, px), reduction="none")
     return t.select("split", "lang", "block_no", "pos", "u", "v", rnd("loss").alias("loss"))
 
 
@@ -267,7 +266,8 @@ def l9_source_gradient(spark, sf):
 SELECT tq.u, tq.v, round((ta.a * {PROB} - tq.q) * 1e6, 6) AS g_e6
 FROM tq JOIN ta USING (u) LEFT JOIN pp USING (u, v) LEFT JOIN pc USING (u)""")
 def l10_val_gradient(spark, sf):
-    v = gr.values(target_grad(spark, sf), proxy(spark, sf))
+    c = lang_counts(spark, sf)
+    v = gr.values(target_grad(c), proxy(spark, sf, c))
     return v.select("u", "v", rnd("g", 6, 1e6).alias("g_e6"))
 
 
@@ -275,7 +275,11 @@ def l10_val_gradient(spark, sf):
 SELECT tq.u, tq.v, round((ta.a * {PROB} - tq.q) * 1e6, 6) AS g_e6
 FROM tq JOIN ta USING (u) LEFT JOIN pp USING (u, v) LEFT JOIN pc USING (u)""")
 def l10_val_gradient_first_batch(spark, sf):
-    v = gr.values(target_grad(spark, sf, batches=1), proxy(spark, sf))
+    # the blocks of the first batch are counted one by one, all others of a key together
+    b = lang_blocks(spark, sf).withColumn("block_no", F.least("block_no", F.lit(VAL_BATCH).cast("bigint")))
+    c = cut_lineage(ls.pair_counts(b, [*LKEYS, "block_no"]))
+    whole = c.groupBy(*LKEYS, "u", "v").agg(F.sum("n").alias("n"))
+    v = gr.values(target_grad(c, batches=1), proxy(spark, sf, whole))
     return v.select("u", "v", rnd("g", 6, 1e6).alias("g_e6"))
 
 
@@ -299,7 +303,7 @@ SELECT lang, round(ip / (nt * ns), 9) AS cosine FROM ip JOIN nb USING (lang), na
 def l13_cosine(spark, sf):
     c = lang_counts(spark, sf)
     px = proxy(spark, sf, c)
-    al = gr.alignment(target_grad(spark, sf), train_grad(c), px, metric="cosine")
+    al = gr.alignment(target_grad(c), train_grad(c), px, metric="cosine")
     return al.select("lang", rnd("cosine").alias("cosine"))
 
 
@@ -355,8 +359,7 @@ def l15_adam_steps(spark, sf):
 dw AS (SELECT lang, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS w FROM documents GROUP BY lang)
 SELECT split, lang, u, v, n, round(w * loss * keep, 9) AS loss FROM ml JOIN dw USING (lang)""")
 def l7_weighted_ce_none(spark, sf):
-    c = _masked_counts(spark, sf, ls.IGNORE_WEIGHTED)
-    t = ls.token_loss(c, proxy(spark, sf), ignore=ls.IGNORE_WEIGHTED)
+    t = _masked_loss(spark, sf, ls.IGNORE_WEIGHTED)
     return ls.weighted_ce(t, _doc_weights(spark, sf), ["split"], source="lang", reduction="none").select(
         "split", "lang", "u", "v", "n", rnd("loss").alias("loss"))
 

@@ -134,3 +134,29 @@ def test_identical_source_and_target_are_aligned(spark):
     B = gr.source_gradient(_counts(spark, [r for r in TRAIN if r[0] == "a"]), ["source"])
     c = gr.alignment(A, B, px, metric="cosine").first()["cosine"]
     assert abs(c - 1.0) < 1e-9
+
+
+def test_masked_counts_are_the_counts_of_masked_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from blendwise.operators import loss as ls
+
+    b = spark.createDataFrame([("a", [1, 2, 1], [2, 0, -1]), ("a", [2, 2], [0, -1]), ("b", [1], [0])], "k string, input_ids array<int>, targets array<int>")
+    when = lambda x: x == 0
+    of_blocks = ls.pair_counts(ls.mask_targets(b, -1, when), ["k"])
+    of_counts = ls.mask_targets(ls.pair_counts(b, ["k"]), -1, when)
+    assert of_counts.columns == of_blocks.columns and sorted(of_counts.collect()) == sorted(of_blocks.collect())
+    assert of_counts.filter("k = 'a' AND u = 2 AND v = -1").first().n == 3
+    assert "broadcast" in ls.fit_proxy(of_counts.drop("k"), vocab=1024).for_positions().pairs._jdf.queryExecution().toString()
+    assert of_counts.agg(F.sum("n")).first()[0] == 6
+
+
+def test_loss_queries_pack_the_blocks_once(spark, monkeypatch):
+    from blendwise.plans import loss_queries as lq
+
+    packed, pack = [], lq.packed_blocks
+    monkeypatch.setattr(lq, "packed_blocks", lambda *a, **k: packed.append(1) or pack(*a, **k))
+    for query in (lq.l4_cross_entropy, lq.l10_val_gradient_first_batch):
+        packed.clear()
+        query(spark, "/root/testdata/sf0.001")
+        assert packed == [1]
