@@ -13,13 +13,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blendwise.functions.hashing import hashed_token_id
 from blendwise.functions.prefix import prefix_rank
-from blendwise.session import ship_package, small_batches
+from blendwise.session import cut_lineage, ship_package, small_batches
 
 # The whitespace class that separates tokens, the reserved id.
 WHITESPACE = "[ \\t\\n\\r\\f]+"
@@ -30,13 +32,16 @@ U16_VOCAB_LIMIT = 65500
 # A vocabulary of this many rows or fewer is broadcast; above it AQE picks the join.
 VOCAB_BROADCAST_ROWS = 1 << 20
 
+# A dictionary lookup takes rows of about this many tokens (or ids) into one group, which one task holds.
+GROUP_ITEMS = 1 << 22
+
 # A sub-word tokenizer works on texts of this many characters at a time: it keeps some hundred bytes for every id.
 SLICE_CHARS = 1 << 19
 
 
 def tokenize(df: DataFrame, text: str = "text", out: str = "words") -> DataFrame:
     """Token strings of a text; empty pieces (leading whitespace) removed."""
-    return df.withColumn(out, F.filter(F.split(F.col(text), WHITESPACE), lambda x: x != F.lit("")))
+    return df.withColumn(out, F.array_remove(F.split(F.col(text), WHITESPACE), ""))
 
 
 def encode(
@@ -54,8 +59,8 @@ def encode(
 
     * default: hashed id ``1 + md5(token)[:8] mod (vocab_size - 1)``, a pure
       projection (``transform``), no join;
-    * ``vocab`` (token, id): exploded, joined and re-collected in order per
-      ``key``; unknown tokens get ``unk_id``; ``vocab_rows`` is a known bound of the vocabulary's size;
+    * ``vocab`` (token, id): looked up for the distinct tokens of groups of rows (:func:`look_up`), which ``key`` deals;
+      unknown tokens get ``unk_id``; ``vocab_rows`` is a known bound of the vocabulary's size;
     * ``fn``: a vectorised ``pandas_udf`` from ``array<string>`` to ``array<int>``
       (a pluggable sub-word codec).
     """
@@ -63,14 +68,42 @@ def encode(
         return df.withColumn(out, fn(F.col(words)))
     if vocab is None:
         return df.withColumn(out, F.transform(F.col(words), lambda w: hashed_token_id(w, vocab_size)))
-    v = bounded_vocab(vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_id")), vocab_rows)
-    ex = df.select(key, F.posexplode(words).alias("_pos", "_tok"))
-    j = ex.join(v, "_tok", "left").withColumn("_id", F.coalesce("_id", F.lit(unk_id)))
-    ids = j.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_id"))), lambda s: s["_id"]).alias(out)
-    )
-    empty = F.array().cast(T.ArrayType(T.IntegerType()))
-    return df.join(ids, key, "left").withColumn(out, F.coalesce(F.col(out), empty))
+    entries = bounded_vocab(vocab.select(F.col("token").alias("_item"), F.col("id").cast("int").alias("_value")), vocab_rows)
+
+    def ids(lists: pa.Array, found: pa.Table) -> pa.Array:
+        offsets, places = placed(lists, found)
+        return pa.ListArray.from_arrays(offsets, pc.fill_null(found["_value"].combine_chunks().take(places), unk_id))
+
+    return look_up(df, words, key, entries, ids, out, T.ArrayType(T.IntegerType()))
+
+
+def look_up(df: DataFrame, items: str, key: str, entries: DataFrame, fn: Callable[[pa.Array, pa.Table], pa.Array], out: str,
+            kind: T.DataType) -> DataFrame:
+    """``df`` with ``out`` = ``fn`` of the array column ``items`` and the dictionary entries ``(_item, _value)`` that it needs.
+
+    Rows are dealt by ``key`` into groups of about ``GROUP_ITEMS`` items (their number is counted first).  The distinct items of a group are
+    joined with the dictionary, so an item crosses the network once for each group, not for each occurrence, and no
+    task gets all occurrences of a frequent one; a group's rows then meet its entries in one task."""
+    ship_package(df.sparkSession)
+    total = df.agg(F.sum(F.greatest(F.size(items), F.lit(1)).cast("bigint"))).first()[0] or 0
+    groups = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // GROUP_ITEMS))
+    d = df.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    found = d.select("_group", F.explode(items).alias("_item")).distinct().join(entries, "_item").select(F.col("_group").alias("_of"), "_item", "_value")
+    columns = [c for c in df.columns if c != out]
+
+    def attach(rows: pa.Table, found: pa.Table) -> pa.Table:
+        made = pa.chunked_array([fn(x, found) for x in rows[items].chunks])
+        return rows.select(columns).append_column(out, made)
+
+    schema = T.StructType([df.schema[c] for c in columns]).add(out, kind)
+    return d.groupBy("_group").cogroup(found.groupBy("_of")).applyInArrow(attach, schema)
+
+
+def placed(lists: pa.Array, found: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """Offsets of the lists (null: empty) in their flat items, and the place of every item among the entries (null: none)."""
+    flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))]), pa.int32())
+    return offsets, pc.index_in(flat, value_set=found["_item"].combine_chunks().cast(flat.type))
 
 
 class SubwordCodec:
@@ -186,6 +219,7 @@ def build_vocab(df: DataFrame, words: str = "words", max_size: int | None = None
     """
     counts = df.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     if max_size is None:
+        counts = cut_lineage(counts)  # three branches read it, and the plan would split the texts again for each
         # tokens of one count are ranked by token inside (count, first two bytes) groups
         d = counts.withColumn("_neg", -F.col("n")).withColumn("_first", F.substring(F.hex("token"), 1, 4))
         d = prefix_rank(d, ["_neg"], ["_first", "token"], "_in", bucket=F.conv(F.rpad("_first", 4, "0"), 16, 10))
@@ -203,10 +237,15 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", key: str = "doc_id
            vocab_rows: int | None = None) -> DataFrame:
     """T5: ids back to a space-joined string; unknown ids are skipped.  Every row of ``df``
     comes back: without any known id its text is empty."""
-    v = bounded_vocab(vocab.select(F.col("id").cast("int").alias("_id"), F.col("token").alias("_tok")), vocab_rows)
-    ex = df.select(key, F.posexplode_outer(ids).alias("_pos", "_id")).join(v, "_id", "left")
-    known = F.collect_list(F.when(F.col("_tok").isNotNull(), F.struct("_pos", "_tok")))
-    return ex.groupBy(key).agg(F.array_join(F.transform(F.array_sort(known), lambda s: s["_tok"]), " ").alias(out))
+    entries = bounded_vocab(vocab.select(F.col("id").cast("int").alias("_item"), F.col("token").alias("_value")), vocab_rows)
+
+    def texts(lists: pa.Array, found: pa.Table) -> pa.Array:
+        offsets, places = placed(lists, found)
+        before = np.concatenate([[0], np.cumsum(places.is_valid().to_numpy(zero_copy_only=False))])  # known ids before a place
+        tokens = found["_value"].combine_chunks().take(places.drop_null())
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(before[offsets.to_numpy()], pa.int32()), tokens), " ")
+
+    return look_up(df.select(key, ids), ids, key, entries, texts, out, T.StringType())
 
 
 def missing_tokens(df: DataFrame, vocab: DataFrame, words: str = "words", vocab_rows: int | None = None) -> DataFrame:
@@ -218,6 +257,7 @@ def missing_tokens(df: DataFrame, vocab: DataFrame, words: str = "words", vocab_
 
 def require_ids(df: DataFrame, vocab: DataFrame, words: str = "words", vocab_rows: int | None = None) -> DataFrame:
     """Strict lookup; raises when a token is absent, else returns the ids."""
+    vocab = cut_lineage(vocab.select("token", "id"))  # the check and the lookup read it
     missing = missing_tokens(df, vocab, words, vocab_rows).limit(5).collect()
     if missing:
         raise ValueError(f"tokens not found in the vocabulary: {[r.token for r in missing]}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from blendwise.operators import tokens as tk
 from blendwise.plans.common import SQL_DOC_IDS, SQL_SPLIT, SQL_WORDS, VOCAB, checksum, doc_ids, with_sql
 from blendwise.plans.registry import query
+from blendwise.session import cut_lineage
 from blendwise.sources import tables
 
 VOCAB_MAX = 1000  # the size limit is T1's option: 999 most frequent tokens + id 0
@@ -73,7 +74,7 @@ SELECT d.doc_id, CAST(count(w.token) AS BIGINT) AS n_ids,
        CAST(coalesce(sum(CAST(coalesce(v.id, 0) AS BIGINT) * (w.pos + 1)), 0) AS BIGINT) AS id_checksum
 FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id LEFT JOIN v USING (token) WHERE d.text IS NOT NULL GROUP BY d.doc_id""")
 def t3_encode_vocab(spark, sf):
-    e = tk.encode(_words(spark, sf), vocab=_train_vocab(spark, sf), key="doc_id")
+    e = tk.encode(_words(spark, sf).select("doc_id", "words"), vocab=_train_vocab(spark, sf), key="doc_id")
     return e.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), checksum("ids").alias("id_checksum"))
 
 
@@ -108,8 +109,8 @@ def t4_add_special_uncut(spark, sf):
 SELECT d.doc_id, md5(coalesce(string_agg(v.token, ' ' ORDER BY w.pos), '')) AS text_md5, CAST(count(v.token) AS BIGINT) AS n_known
 FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id LEFT JOIN v USING (token) WHERE d.text IS NOT NULL GROUP BY d.doc_id""")
 def t5_decode(spark, sf):
-    vocab = _train_vocab(spark, sf)
-    e = tk.encode(_words(spark, sf), vocab=vocab, key="doc_id")
+    vocab = cut_lineage(_train_vocab(spark, sf))  # read for both ways
+    e = tk.encode(_words(spark, sf).select("doc_id", "words"), vocab=vocab, key="doc_id")
     d = tk.decode(e, vocab)
     n = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " ")))
     return d.select("doc_id", F.md5("text").alias("text_md5"), n.cast("bigint").alias("n_known"))
@@ -125,7 +126,7 @@ def t6_missing_tokens(spark, sf):
 SELECT d.doc_id, CAST(count(v.id) AS BIGINT) AS n_ids, CAST(coalesce(sum(CAST(v.id AS BIGINT) * (w.pos + 1)), 0) AS BIGINT) AS id_checksum
 FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id LEFT JOIN v USING (token) WHERE d.text IS NOT NULL GROUP BY d.doc_id""")
 def t6_require_ids(spark, sf):
-    words = _words(spark, sf)
+    words = _words(spark, sf).select("doc_id", "words")
     e = tk.require_ids(words, tk.build_vocab(words))
     return e.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), checksum("ids").alias("id_checksum"))
 

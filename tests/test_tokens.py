@@ -37,6 +37,22 @@ def test_require_ids_raises_on_absent_tokens(spark):
     assert tk.require_ids(words, full).count() == 2
 
 
+def test_dictionary_lookup_moves_distinct_tokens_of_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(tk, "GROUP_ITEMS", 3)
+    rows = [(1, "a " * 500), (2, "b a zz b"), (3, ""), (4, None), (4, "c b"), (5, "zz")]
+    words = tk.tokenize(spark.createDataFrame(rows, "doc_id long, text string"))
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "token string, id int")
+    enc = tk.encode(words, vocab=vocab, unk_id=9)
+    assert enc.columns == ["doc_id", "text", "words", "ids"]
+    got = sorted((r.doc_id, r.ids) for r in enc.collect())
+    assert got == [(1, [1] * 500), (2, [2, 1, 9, 2]), (3, []), (4, []), (4, [3, 2]), (5, [9])]
+    back = sorted((r.doc_id, r.text) for r in tk.decode(enc.drop("text"), vocab).collect())
+    assert back == [(1, ("a " * 500).strip()), (2, "b a b"), (3, ""), (4, ""), (4, "c b"), (5, "")]  # 9 is skipped
+    plan = enc.select("ids")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan
+    assert tk.encode(words.limit(0), vocab=vocab).count() == 0
+
+
 def test_hashed_ids_specials_and_truncation(spark):
     d = tk.encode_documents(_docs(spark), vocab_size=64, bos=5, eos=0, max_length=4).orderBy("doc_id").collect()
     assert d[0].ids[0] == 5 and len(d[0].ids) == 4 and d[0].n_tokens == 4  # EOS cut by truncation
