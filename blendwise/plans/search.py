@@ -9,8 +9,8 @@ weights stay as configured: learned weights change the loss weight only.
 Spark plan:
 
 1. blocks -> weighted draws -> draw-to-block -> pair counts per
-   (iteration, source): one job for all iterations, written to the shared
-   checkpoint folder;
+   (interval, whether it is the interval's first iteration, source): one job for all iterations, written to the
+   shared checkpoint folder;
 2. per search step, a few small aggregates: the proxy is the previous one
    plus the iterations since the last step weighted by the current
    probabilities, the batch's source gradients, the inner products with the
@@ -75,7 +75,8 @@ def model_lr(it: int, cfg: SearchConfig) -> float:
 
 def iteration_counts(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataFrame, cfg: SearchConfig,
                      n_sources: int, cut: bool = True, chunk_rows: DataFrame | None = None, block_size: int = 0) -> DataFrame:
-    """Pair counts ``(iter, source, u, v, n)`` of every micro-batch of the run.
+    """Pair counts ``(interval, at_step, source, u, v, n)`` of all micro-batches of the run: of the iteration that starts an
+    interval (``at_step``, whose gradients the step compares) and of its other iterations together, which only the proxy needs.
 
     With ``chunk_rows`` the positioned blocks are a layout without ids, and draws find their ids by chunk."""
     src = cfg.source
@@ -86,8 +87,9 @@ def iteration_counts(spark: SparkSession, positioned_blocks: DataFrame, mixture:
     if chunk_rows is not None:
         ch = chunk_rows.withColumnRenamed(src, "source") if src != "source" else chunk_rows
         mixed = attach_blocks(mixed, ch, block_size)
-    mixed = mixed.withColumn("iter", F.floor(F.col("draw_idx") / cfg.micro_batch).cast("bigint"))
-    counts = ls.pair_counts(next_token(mixed), ["iter", "source"], order=cfg.order)
+    it = F.floor(F.col("draw_idx") / cfg.micro_batch).cast("bigint")
+    mixed = mixed.withColumn("interval", F.floor(it / cfg.interval).cast("bigint")).withColumn("at_step", it % cfg.interval == 0)
+    counts = ls.pair_counts(next_token(mixed), ["interval", "at_step", "source"], order=cfg.order)
     return cut_lineage(counts) if cut else counts
 
 
@@ -117,7 +119,7 @@ def run_search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataF
     sampling weights); ``target`` is a gradient (L10 or L11) without keys.
 
     Written tables in the shared checkpoint folder carry the loop: the pair
-    counts of all iterations, partitioned by search interval (each step reads
+    counts of all intervals, partitioned by search interval (each step reads
     one partition), and one folder per step for the history, written as a whole and read
     back as the next step's input (a fresh, K-row lineage).  A step counts once its folder is committed; the full state is
     kept for the newest step only (E4).
@@ -137,7 +139,6 @@ def run_search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataF
     root = root or scratch_path(spark, "search")
     hist_path, state_path, metrics_path = (f"{root}/{x}" for x in ("history", "state", "metrics"))
     counts = iteration_counts(spark, positioned_blocks, mixture, cfg, n_sources, False, chunk_rows, block_size)
-    counts = counts.withColumn("interval", F.floor(F.col("iter") / cfg.interval).cast("bigint"))
     # few files per interval, and a hot source spread over them
     salt = F.pmod(F.xxhash64("u", "v"), F.lit(8))
     counts.repartition(F.col("interval"), salt).write.partitionBy("interval").parquet(counts_path)
@@ -146,7 +147,8 @@ def run_search(spark: SparkSession, positioned_blocks: DataFrame, mixture: DataF
     target = gr.Grad(cut_lineage(target.q), cut_lineage(target.a), target.keys)
     small = target.q.count() <= cfg.broadcast_rows
     # the batch gradients do not depend on the state: all search steps in one job
-    at_steps = counts.filter((F.col("iter") % cfg.interval == 0) & (F.col("interval") > 0)).drop("interval")
+    at_steps = counts.filter(F.col("at_step") & (F.col("interval") > 0))
+    at_steps = at_steps.select((F.col("interval") * cfg.interval).alias("iter"), "source", "u", "v", "n")
     sg_all = gr.source_gradient(at_steps, ["iter", "source"])
     sg_all = gr.Grad(cut_lineage(sg_all.q), cut_lineage(sg_all.a), ["source"])
     state_cols = ["run_id", "step", "source", "z", "m", "v", "t"]
