@@ -15,7 +15,7 @@ from blendwise.operators import optim as op
 from blendwise.operators import loss as ls
 from blendwise.operators import packing as pk
 from blendwise.plans.common import BLOCK, CHUNK, SEED, VOCAB, doc_ids, packing_input, sql_num, with_sql
-from blendwise.plans.loss_queries import SQL_LANG, SQL_PROXY, lang_blocks, lang_counts, rnd
+from blendwise.plans.loss_queries import SQL_LANG, SQL_PROXY, lang_blocks, rnd
 from blendwise.plans.registry import query
 from blendwise.plans.search import SearchConfig, run_search, search
 from blendwise.plans.softmax_head import fit_softmax_head
@@ -185,7 +185,7 @@ def sql_head() -> str:
 
 @query("l21_softmax_head", sql_head())
 def l21_softmax_head(spark, sf):
-    c = lang_counts(spark, sf).filter(F.col("split") == "train")
+    c = ls.pair_counts(lang_blocks(spark, sf).filter(F.col("split") == "train"), [])  # the head knows no languages
     _, losses = fit_softmax_head(spark, c, VOCAB, n_features=FEATURES, steps=HEAD_STEPS, lr=HEAD_LR)
     return losses.select("step", rnd("loss").alias("loss"))
 
