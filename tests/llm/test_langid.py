@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from helpers import SF, edge_documents
 from pyspark.sql import functions as F
@@ -173,3 +174,21 @@ def test_limits_come_from_all_training_rows(spark):
         want = (mean, max(per_char, np.median(off * n), 1e-3), max(between, 1e-3),
                 (np.quantile(x, langid.OWN_TAIL) + np.quantile(away, langid.FOREIGN_TAIL)) / 2)
         assert np.allclose(model.limits[lang], want, rtol=2e-4, atol=2e-4), lang
+
+
+def test_pieces_hold_all_words_and_are_scored_once(spark, monkeypatch):
+    texts = ["Haus_maus x9y\u00a0\u00e4\u00d6\u2014\u4f60\u597d. \u1e9e,\u03a3\u03a3 \u0661z", "a-b a.b 12 !", "", None, "\u2014 \u0663", "x" * 9 + " haus"]
+    for t in texts:
+        assert [w for p in langid.pieces(t or "") for w in langid._WORD.findall(p.decode())] == langid.words(t or "")
+    model = langid.fit(spark.createDataFrame([("a", "haus maus a b"), ("b", "x y xy")] * 3, "lang string, text string"))
+    made, real = [], langid.Model.score_words
+    monkeypatch.setattr(langid.Model, "score_words", lambda self, ws: made.append(list(ws)) or real(self, ws))
+    s = langid.Scorer(model)
+    x, n = s.cross_entropy(texts)
+    assert np.allclose(x, s.cross_entropy(texts)[0]) and len(made) == 1  # all known the second time
+    for t, row, k in zip(texts, x, n):
+        ws = langid.words(t or "")
+        assert k == sum(len(w) + 1 for w in ws)
+        assert np.allclose(row, -real(model, ws).sum(axis=0) / k if ws else 0)
+    s.most = 0  # forgets before every batch
+    assert np.allclose(x, s.cross_entropy(texts)[0]) and len(made) == 2
