@@ -22,6 +22,7 @@ from blendwise.operators.packing import emitted_chunks, file_table, read_range,
 from blendwise.session import cut_lineage, small_broadcast
 
 LAYOUT_BROADCAST_ROWS = 500_000
+PIECE_DRAWS = 1 << 18  # draws of a rank that one task puts in order
 
 
 def stream_sizes(totals: DataFrame, chunk_size: int, block_size: int, remainder: str = "keep",
@@ -94,6 +95,11 @@ def attach_blocks(rows: DataFrame, chunk_rows: DataFrame, block_size: int, keys:
     return j.withColumn(tokens, ids).drop("_ids")
 
 
-def rank_partitions(stream: DataFrame, ranks: int, draw: str = "draw_idx") -> DataFrame:
-    """Partition r holds exactly rank r's rows, in order of the draw (written, one file per rank)."""
-    return stream.repartitionById(ranks, F.col("rank")).sortWithinPartitions(draw)
+def rank_partitions(stream: DataFrame, ranks: int, draw: str = "draw_idx", n_draws: int | None = None) -> DataFrame:
+    """Partition r holds exactly rank r's rows, in order of the draw (written, one file per rank).
+
+    With ``n_draws``, the number of draws of every rank, a rank's stream is as many partitions in a row as it has pieces of
+    ``PIECE_DRAWS`` draws, so that no task sorts more than a piece, however long the stream is."""
+    pieces = max(1, -(-n_draws // PIECE_DRAWS)) if n_draws else 1
+    place = F.col("rank") * pieces + (F.floor(F.col(draw) / PIECE_DRAWS) if pieces > 1 else F.lit(0))
+    return stream.repartitionById(ranks * pieces, place.cast("int")).sortWithinPartitions(draw)

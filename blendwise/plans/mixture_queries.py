@@ -150,7 +150,7 @@ def m4_mix_ranks(spark, sf):
     n = MIX_DRAWS_PER_DOC * n_docs(spark, sf)
     d = mx.draw_sources(spark, n, m, SEED, mixture_rows=len(rows))
     out = mx.sharded_mix(ly.bounded_layout(lay, n_positions(rows)), d, SHARDS, per_rank, draw_buckets=len(rows) * (n // DEFAULT_BUCKET_WIDTH + 1))
-    out = ly.rank_partitions(ly.attach_blocks(out, written_chunks(spark, sf), BLOCK), SHARDS)
+    out = ly.rank_partitions(ly.attach_blocks(out, written_chunks(spark, sf), BLOCK), SHARDS, n_draws=n)
     return out.select("rank", "draw_idx", "source", "read_index", "epoch", "chunk_id", "block_in_chunk", checksum("tokens").alias("checksum"))
 
 

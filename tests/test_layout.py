@@ -67,3 +67,13 @@ def test_sharded_mix_does_not_depend_on_tasks(spark):
     assert [r[2:5:2] for r in one[0]] != [r[2:5:2] for r in one[1]] or one[0][0][5] != one[1][0][5]
     assert [r[2] for r in one[0]] == [r[2] for r in one[1]]  # the same sources on every rank
     assert not {tuple(r[5]) + (r[2],) for r in one[0]} & {tuple(r[5]) + (r[2],) for r in one[1]}  # other blocks
+
+
+def test_rank_streams_are_cut_into_bounded_pieces(spark, monkeypatch):
+    rows = [(r, i, r * 1000 + i) for i in range(250) for r in range(3)]
+    d = spark.createDataFrame(rows, "rank int, draw_idx long, x long").repartition(5)
+    whole = [[tuple(x) for x in p] for p in ly.rank_partitions(d, 3).rdd.glom().collect()]
+    monkeypatch.setattr(ly, "PIECE_DRAWS", 100)
+    cut = [[tuple(x) for x in p] for p in ly.rank_partitions(d, 3, n_draws=250).rdd.glom().collect()]
+    assert [len(p) for p in cut] == [100, 100, 50] * 3
+    assert [sum(cut[3 * r:3 * r + 3], []) for r in range(3)] == whole
