@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +39,9 @@ U16_VOCAB_LIMIT = 65500
 
 FORMAT = "packed_chunks"
 PARTITION_BYTES = 64 << 20
-OPEN_COST = 1 << 20  # bytes that opening a file counts as, when small files are put together
+OPEN_COST = 1 << 18  # bytes that opening a file counts as, when small files are put together
 SLAB_BYTES = 8 << 20
+COMMIT_THREADS = 16
 FILE_NAME = re.compile(r"^([^_]+)_(.*)_(\d+)_(\d{10})\.bin$")
 BLOCK_ROWS_SCHEMA = "file string, split string, source string, process_id int, chunk_id bigint, block_in_chunk bigint, tokens array<bigint>"
 
@@ -118,6 +120,10 @@ def deal_ranges(files: list[tuple[str, int]], partition_bytes: int, open_cost: i
     return out + ([FileRanges(held)] if held else [])
 
 
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 class PackedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -151,8 +157,16 @@ class PackedReader(DataSourceReader):
 
     def read(self, partition: FileRanges) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
+        held, size = [], 0  # small files' blocks go to Spark together
         for path, start, stop in partition.ranges:
-            yield from self.blocks(system, path, start, stop)
+            for b in self.blocks(system, path, start, stop):
+                held.append(b)
+                size += b.nbytes
+                if size >= SLAB_BYTES:
+                    yield joined(held)
+                    held, size = [], 0
+        if held:
+            yield joined(held)
 
     def blocks(self, system: pafs.FileSystem, path: str, start: int, stop: int) -> Iterator[pa.RecordBatch]:
         name = path.rsplit("/", 1)[-1]
@@ -224,11 +238,12 @@ class PackedWriter(DataSourceArrowWriter):
             for info in system.get_file_info(pafs.FileSelector(path, recursive=False)):
                 if info.type == pafs.FileType.File and info.base_name.endswith(".bin"):
                     system.delete_file(info.path)
-        for m in messages:
-            if m is None or not m.files:
-                continue
+        def put(m: Attempt) -> None:
             for info in system.get_file_info(pafs.FileSelector(file_system(m.folder)[1])):
                 system.move(info.path, f"{path}/{info.base_name}")
+
+        with ThreadPoolExecutor(COMMIT_THREADS) as pool:  # a file is a call to the file system, and there is one for each chunk
+            list(pool.map(put, [m for m in messages if m is not None and m.files]))
         self._clean(system)
         with system.open_output_stream(f"{path}/_SUCCESS"):
             pass

@@ -199,6 +199,16 @@ def test_a_large_packed_file_is_read_by_several_tasks(spark, tmp_path):
     assert len(dealt) < 20 and sorted(r for x in dealt for r in x.ranges) == sorted((f, 0, 3000) for f, _ in many)
 
 
+def test_small_packed_files_reach_spark_in_few_batches(spark, tmp_path):
+    d = str(tmp_path / "small")
+    pf.write_packed_files(_chunks(spark, 40, 12), d, vocab_size=1000, chunk_size=12)
+    reader = pf.PackedReader({"path": d, "blockSize": "4"})
+    parts = reader.partitions()
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(parts) == len(batches) == 1 and batches[0].num_rows == 120
+    assert pf.read_packed_files(spark, d, 4).select("chunk_id", "block_in_chunk").distinct().count() == 120
+
+
 def test_packed_files_are_pruned_by_name(spark, tmp_path):
     d = str(tmp_path / "pruned")
     for source in ("a", "b", "a_b"):
