@@ -6,10 +6,12 @@ numpy.  Languages never meet: the language is part of each word's hash.
 
 1. Texts are cut at piece borders into slices of bounded length and joined into compressed batches, a few of which are a part.
    All passes read the same shuffle of parts.
-2. Each pass counts a part's fingerprints and shuffles one row per part and different fingerprint: a key of 48 bits, a check of 32
-   and the count.  Keys that reach the least count in total go back to the parts that sent them.  The first pass takes words and
-   pairs, the second triples whose pairs are frequent, the third everything longer whose triples are all frequent: a
-   phrase is never more frequent than a phrase inside it, so this drops none.
+2. Phrases of two words or more are counted by bucket of their fingerprint first (the hash filter of Park, Chen and Yu): a part
+   sends the counts of its buckets as compressed arrays and gets back which of them reach the least count in total.  A
+   bucket holds at least as many as each phrase in it, so this drops no frequent one, and rare ones are not sent one by one.
+   Then a part's fingerprints are counted and one row per part and different fingerprint is shuffled: a key of 48 bits, a check of
+   32 and the count; of words all, of longer phrases those of filled buckets whose phrases of a word less are in such ones too
+   (a phrase is never more frequent than a phrase inside it).  Keys that reach the least count in total are frequent.
 3. The occurrence pointer of a key is one of the parts that sent it, by hash.  That part alone reads the phrase, at its first
    place, and takes over the total.  Where the checks of a key differ, phrases collide: every part that holds the key reads the
    texts, and counts are summed again by text, so that the text decides.  Only phrases of frequent keys ever exist as text.
@@ -44,6 +46,8 @@ SLICE_BYTES = 1 << 19
 BATCH_BYTES = 1 << 20
 PART_BATCHES = 8
 TOP_BUCKETS = 64
+RANGE_BITS = 18  # buckets are summed in ranges of 2**RANGE_BITS
+LEAST_BITS = 10  # of the number of buckets of each phrase length
 
 # Separators of pieces [.,;:!?\x0A-\x0D] and of words [\x20\x09] (fixed values of the contract).
 PIECE_END = b".,;:!?\n\x0b\x0c\r"
@@ -177,9 +181,18 @@ class Counter:
         self.checks.append(c)
         self.times.append(t)
 
-    def rows(self, part) -> pa.Table:
+    def _all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         none = np.zeros(0, np.uint64)
-        k, c, t = _summed(*(np.concatenate(x or [none]) for x in (self.keys, self.checks, self.times)))
+        made = [np.concatenate(x or [none]) for x in (self.keys, self.checks, self.times)]
+        self.keys, self.checks, self.times = [], [], []
+        return _summed(*made)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        k, _, t = self._all()
+        return k, t
+
+    def rows(self, part) -> pa.Table:
+        k, c, t = self._all()
         a = (k << np.uint64(16)) | (c & np.uint64(0xFFFF))
         b = (t.astype(np.uint64) << np.uint64(16)) | (c >> np.uint64(16))
         return pa.table({"part": pa.array(np.full(len(a), part.as_py(), np.int64)), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
@@ -200,14 +213,26 @@ def _words_of(rows: pa.Table) -> Iterator[Words]:
         yield Words(slices, [_lang_id(x) for x in langs], n)
 
 
-def _count_short(key, rows):
-    """Words and pairs of a part."""
-    words, pairs = Counter(), Counter()
+def _count_short(key, rows, longest: int = 2, buckets: int = 0, filled: np.ndarray | None = None):
+    """Words of a part, and phrases of up to ``longest`` words (with ``filled``: those that stand in filled buckets, and
+    so do the phrases inside them)."""
+    made = [Counter() for _ in range(longest)]
     for w in _words_of(rows):
-        words.add(*_key_and_check(w, 1, slice(None)), w.times)
-        at = np.flatnonzero(w.inside(2))
-        pairs.add(*_key_and_check(w, 2, at), w.times[at])
-    return pa.concat_tables([words.rows(key[0]), pairs.rows(key[0])])
+        made[0].add(*_key_and_check(w, 1, slice(None)), w.times)
+        good = np.ones(len(w.hash), bool)
+        for size in range(2, longest + 1):
+            good = _longer(w, size, good)
+            at = np.flatnonzero(good)
+            k, c = _key_and_check(w, size, at)
+            if filled is not None:
+                good[at] = hit = _is_in(filled, _bucket(k, size, buckets))
+                k, c, at = k[hit], c[hit], at[hit]
+            made[size - 1].add(k, c, w.times[at])
+    return pa.concat_tables([m.rows(key[0]) for m in made])
+
+
+def _filled_counter(longest: int, buckets: int):
+    return lambda key, rows, filled: _count_short(key, rows, longest, buckets, _places(filled))
 
 
 def _is_in(known: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -218,8 +243,13 @@ def _is_in(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
+def _longer(w: Words, n: int, good: np.ndarray) -> np.ndarray:
+    """Which phrases of ``n`` words hold two ``good`` ones of a word less."""
+    return good[:-1] & good[1:] & w.inside(n)
+
+
 def _longer_counter(shorter: int, longest: int):
-    """Phrases of ``shorter + 1`` to ``longest`` words whose phrases of ``shorter`` words are all frequent."""
+    """Phrases of ``shorter + 1`` to ``longest`` words whose phrases of ``shorter`` words are all frequent, without buckets."""
     def count(key, rows, known):
         known = np.unique(known.column("key").to_numpy()).astype(np.uint64) if known.num_rows else np.zeros(0, np.uint64)
         made = Counter()
@@ -227,13 +257,80 @@ def _longer_counter(shorter: int, longest: int):
             good = w.inside(shorter)
             good[good] = _is_in(known, _key_and_check(w, shorter, np.flatnonzero(good))[0])
             for size in range(shorter + 1, longest + 1):
-                good = good[:-1] & good[1:] & w.inside(size)
+                good = _longer(w, size, good)
                 at = np.flatnonzero(good)
                 made.add(*_key_and_check(w, size, at), w.times[at])
         return made.rows(key[0])
     return count
 
 
+FILLED = "part bigint, range bigint, places binary"
+BUCKETS = FILLED + ", times binary"
+
+
+def _bucket(key: np.ndarray, n: int, buckets: int) -> np.ndarray:
+    """Buckets of pairs, then those of triples, and so on."""
+    return (key >> np.uint64(2)) % np.uint64(buckets) + np.uint64((n - 2) * buckets)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """32-bit numbers, compressed by byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _gaps(places: np.ndarray) -> bytes:
+    return _pack(np.diff(places, prepend=places.dtype.type(0)))
+
+
+def _places(rows: pa.Table) -> np.ndarray:
+    """The places of all of a part's ranges, in order."""
+    held = zip(rows.column("range").to_pylist(), rows.column("places").to_pylist())
+    return np.sort(np.concatenate([np.zeros(0, np.uint64)] + [np.cumsum(_unpack(x), dtype=np.uint64) + np.uint64(r << RANGE_BITS) for r, x in held]))
+
+
+def _bucket_counter(longest: int, buckets: int, least: int):
+    """What a part's buckets of phrases of 2 to ``longest`` words hold: one row per range of buckets, with the places that
+    are not empty and their counts (no more than ``least`` each, which is all that a bucket needs)."""
+    def count(key, rows):
+        made = {size: Counter() for size in range(2, longest + 1)}
+        for w in _words_of(rows):
+            for size, counter in made.items():
+                at = np.flatnonzero(w.inside(size))
+                b = _bucket(_key_and_check(w, size, at)[0], size, buckets)
+                counter.add(b, np.zeros(len(b), np.uint8), w.times[at])
+        out = []
+        for counter in made.values():
+            b, t = counter.sums()
+            t = np.minimum(t, min(least, (1 << 32) - 1))
+            of = b >> np.uint64(RANGE_BITS)
+            cut = np.flatnonzero(np.diff(of, prepend=of[:1] + np.uint64(1))).tolist()
+            inside = b & np.uint64((1 << RANGE_BITS) - 1)
+            out += [(int(of[lo]), _gaps(inside[lo:hi]), _pack(t[lo:hi])) for lo, hi in zip(cut, [*cut[1:], len(b)])]
+        return pa.table({"part": pa.array([key[0].as_py()] * len(out), pa.int64()), "range": pa.array([x for x, _, _ in out], pa.int64()),
+                         "places": pa.array([x for _, x, _ in out], pa.binary()), "times": pa.array([x for _, _, x in out], pa.binary())})
+    return count
+
+
+def _filled(least: int):
+    """The buckets of a range that reach ``least`` in all parts, for each part that counts in them."""
+    def add(key, rows):
+        total = np.zeros(1 << RANGE_BITS, np.int64)
+        held = [(p, np.cumsum(_unpack(x), dtype=np.int64)) for p, x in zip(*(rows.column(c).to_pylist() for c in ("part", "places")))]
+        for (_, places), times in zip(held, rows.column("times").to_pylist()):
+            total[places] += _unpack(times)  # places of a part differ
+        full = total >= min(least, (1 << 32) - 1)
+        held = [(p, x[full[x]]) for p, x in held]
+        held = [(p, x) for p, x in held if len(x)]
+        return pa.table({"part": pa.array([p for p, _ in held], pa.int64()), "range": pa.array([key[0].as_py()] * len(held), pa.int64()),
+                         "places": pa.array([_gaps(x) for _, x in held], pa.binary())})
+    return add
+
+
 def frequent(counts: DataFrame, least: int) -> DataFrame:
     """``(part, key, check, total, own)`` of the keys with ``least`` occurrences in all parts: ``own`` is 1 in one of the
     parts that hold the key, and 2 in all of them where checks differ."""
@@ -293,11 +390,11 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     d = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = map_arrow(d, _deal, DEALT).repartition(tasks, "part")
     by_part = dealt.groupBy("part")
-    short = materialize(frequent(by_part.applyInArrow(_count_short, COUNTS), least), "frequent")
-    pairs = short.filter(F.col("key").bitwiseAND(3) == 2).select("part", "key")
-    triples = materialize(frequent(by_part.cogroup(pairs.groupBy("part")).applyInArrow(_longer_counter(2, min(3, longest)), COUNTS), least), "frequent")
-    longer = frequent(by_part.cogroup(triples.select("part", "key").groupBy("part")).applyInArrow(_longer_counter(3, longest), COUNTS), least)
-    owned = short.unionByName(triples).unionByName(longer).filter("own > 0")
+    buckets = 1 << max(LEAST_BITS, (2 * total // max(1, least)).bit_length())  # with words of six bytes, a bucket's mean is a twelfth of ``least``
+    counted = by_part.applyInArrow(_bucket_counter(longest, buckets, least), BUCKETS)
+    filled = counted.groupBy("range").applyInArrow(_filled(least), FILLED)
+    counts = by_part.cogroup(filled.groupBy("part")).applyInArrow(_filled_counter(longest, buckets), COUNTS)
+    owned = materialize(frequent(counts, least).filter("own > 0"), "frequent")
     read = by_part.cogroup(owned.groupBy("part")).applyInArrow(_reader(longest), PHRASES)
     found = materialize(read.groupBy("lang", "n_words", "phrase").agg(F.sum("times").alias("f"))
                         .filter((F.col("f") >= least) | (F.col("n_words") == 0)), "phrases")

@@ -153,3 +153,33 @@ def test_edge_cases(spark):
 def test_one_phrase_in_a_third_of_all_rows(spark):
     rows = [("en", f"hot phrase here, u{i} v{i}" if i % 3 == 0 else f"x{i} y{i % 7}") for i in range(900)]
     assert run(spark, rows, 50) == direct(rows, 50)
+
+
+def test_rare_triples_of_frequent_pairs_are_not_sent_one_by_one(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(30)]
+    rows = [(rng.choice(["en", "de"]), " ".join([*rng.choices(words, k=60), *words[:4]])) for _ in range(1200)]
+    made, real = [], co.frequent
+    monkeypatch.setattr(co, "frequent", lambda counts, least: made.append(counts) or real(counts, least))
+    assert run(spark, rows, 30) == direct(rows, 30)
+    triples = {(lang, *w[i:i + 3]) for lang, t in rows for w in [t.split()] for i in range(len(w) - 2)}
+    sent = sum(m.filter("shiftrightunsigned(a, 16) & 3 = 3").count() for m in made)  # triples and longer phrases, per part
+    assert len(triples) > 30_000 and sent < 2_000
+
+
+def test_buckets_are_summed_over_parts_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(co, "RANGE_BITS", 4)
+    rng = random.Random(7)
+    rows = [("en", " ".join(rng.choices("abcdefghij", k=50))) for _ in range(100)]
+    tables = [co_table(rows[i::3]) for i in range(3)]
+    got = pa.concat_tables([co._bucket_counter(3, 64, 80)((pa.scalar(p, pa.int64()),), t) for p, t in enumerate(tables)])
+    full = pa.concat_tables([co._filled(80)((pa.scalar(r, pa.int64()),), got.filter(pa.compute.equal(got["range"], r))) for r in range(8)])
+    held, sums = [Counter() for _ in tables], Counter()
+    for counts, t in zip(held, tables):
+        for w in co._words_of(t):
+            for n in (2, 3):
+                counts.update(co._bucket(co._key_and_check(w, n, np.flatnonzero(w.inside(n)))[0], n, 64).tolist())
+        sums.update(counts)
+    assert min(sums) < 64 <= max(sums) < 128 and min(sums.values()) < 80 <= max(sums.values())
+    for p, counts in enumerate(held):
+        assert co._places(full.filter(pa.compute.equal(full["part"], p))).tolist() == sorted(b for b in counts if sums[b] >= 80)
