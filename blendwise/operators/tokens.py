@@ -83,12 +83,19 @@ def look_up(df: DataFrame, items: str, key: str, entries: DataFrame, fn: Callabl
 
     Rows are dealt by ``key`` into groups of about ``GROUP_ITEMS`` items (their number is counted first).  The distinct items of a group are
     joined with the dictionary, so an item crosses the network once for each group, not for each occurrence, and no
-    task gets all occurrences of a frequent one; a group's rows then meet its entries in one task."""
+    task gets all occurrences of a frequent one; a group's rows then meet its entries in one task.  Both steps read one
+    shuffle of the rows, so ``df`` is computed twice, for the number of items and for that shuffle."""
     ship_package(df.sparkSession)
     total = df.agg(F.sum(F.greatest(F.size(items), F.lit(1)).cast("bigint"))).first()[0] or 0
     groups = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // GROUP_ITEMS))
     d = df.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
-    found = d.select("_group", F.explode(items).alias("_item")).distinct().join(entries, "_item").select(F.col("_group").alias("_of"), "_item", "_value")
+
+    def distinct(group: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        item = pa.chunked_array([x.flatten() for x in rows[items].chunks]).unique().drop_null()
+        return pa.table({"_of": pa.array(np.full(len(item), group[0].as_py(), np.int32)), "_item": item})
+
+    wanted = T.StructType().add("_of", T.IntegerType()).add("_item", df.schema[items].dataType.elementType)
+    found = d.groupBy("_group").applyInArrow(distinct, wanted).join(entries, "_item").select("_of", "_item", "_value")
     columns = [c for c in df.columns if c != out]
 
     def attach(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -209,6 +216,11 @@ def encode_documents(
     return d.drop("words", text)
 
 
+def each_token(df: DataFrame, words: str) -> DataFrame:
+    """One row per token.  A plain ``explode`` adds a filter on the array's size, which splits the texts a second time."""
+    return df.select(F.explode_outer(words).alias("token")).filter(F.col("token").isNotNull())
+
+
 def build_vocab(df: DataFrame, words: str = "words", max_size: int | None = None) -> DataFrame:
     """(token, id, n) for all tokens, or the ``max_size - 1`` most frequent ones.
 
@@ -217,7 +229,7 @@ def build_vocab(df: DataFrame, words: str = "words", max_size: int | None = None
     result only.  Without it tokens are ranked inside their count by a two-level rank over
     ranges of the token's first bytes, and the base of a count comes from the table of distinct counts.
     """
-    counts = df.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = each_token(df, words).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     if max_size is None:
         counts = cut_lineage(counts)  # three branches read it, and the plan would split the texts again for each
         # tokens of one count are ranked by token inside (count, first two bytes) groups
@@ -250,7 +262,7 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", key: str = "doc_id
 
 def missing_tokens(df: DataFrame, vocab: DataFrame, words: str = "words", vocab_rows: int | None = None) -> DataFrame:
     """Tokens of ``df`` that the vocabulary lacks (left anti join)."""
-    toks = df.select(F.explode(words).alias("token")).distinct()
+    toks = each_token(df, words).distinct()
     v = bounded_vocab(vocab.select("token"), vocab_rows)
     return toks.join(v, "token", "left_anti")
 

@@ -53,6 +53,19 @@ def test_dictionary_lookup_moves_distinct_tokens_of_bounded_groups(spark, monkey
     assert tk.encode(words.limit(0), vocab=vocab).count() == 0
 
 
+def test_vocabulary_and_lookup_split_texts_once_per_read(spark):
+    words = tk.tokenize(_docs(spark))
+    for d in (tk.build_vocab(words, max_size=4), tk.missing_tokens(words, spark.createDataFrame([("a",)], "token string"))):
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1  # not once more in a filter on its size
+    enc = tk.encode(words.select("doc_id", "words"), vocab=spark.createDataFrame([("a", 1), ("b", 2)], "token string, id int"))
+    assert sorted((r.doc_id, r.ids) for r in enc.collect()) == [(1, [2, 1, 2, 0]), (2, [1, 1, 0])]
+    plan = enc._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "explode" not in plan  # both steps read the rows of one shuffle
+    physical = enc.select("doc_id", "ids")
+    physical.collect()
+    assert "ReusedExchange" in physical._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hashed_ids_specials_and_truncation(spark):
     d = tk.encode_documents(_docs(spark), vocab_size=64, bos=5, eos=0, max_length=4).orderBy("doc_id").collect()
     assert d[0].ids[0] == 5 and len(d[0].ids) == 4 and d[0].n_tokens == 4  # EOS cut by truncation
