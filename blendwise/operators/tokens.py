@@ -257,7 +257,7 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", key: str = "doc_id
         tokens = found["_value"].combine_chunks().take(places.drop_null())
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(before[offsets.to_numpy()], pa.int32()), tokens), " ")
 
-    return look_up(df.select(key, ids), ids, key, entries, texts, out, T.StringType())
+    return look_up(cut_lineage(df.select(key, ids)), ids, key, entries, texts, out, T.StringType())  # counted, then dealt
 
 
 def missing_tokens(df: DataFrame, vocab: DataFrame, words: str = "words", vocab_rows: int | None = None) -> DataFrame:

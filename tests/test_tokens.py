@@ -66,6 +66,20 @@ def test_vocabulary_and_lookup_split_texts_once_per_read(spark):
     assert "ReusedExchange" in physical._jdf.queryExecution().executedPlan().toString()
 
 
+def test_decode_computes_the_ids_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @pandas_udf("array<int>")
+    def ids(n: pd.Series) -> pd.Series:
+        made.add(len(n))
+        return n.apply(lambda x: [x, x + 1, 9])
+
+    rows = spark.range(1, 6).select(F.col("id").alias("doc_id"), ids("id").alias("ids"))
+    vocab = spark.createDataFrame([(f"t{i}", i) for i in range(7)], "token string, id int")
+    got = sorted((r.doc_id, r.text) for r in tk.decode(rows, vocab).collect())
+    assert got == [(i, f"t{i} t{i + 1}") for i in range(1, 6)] and made.value == 5
+
+
 def test_hashed_ids_specials_and_truncation(spark):
     d = tk.encode_documents(_docs(spark), vocab_size=64, bos=5, eos=0, max_length=4).orderBy("doc_id").collect()
     assert d[0].ids[0] == 5 and len(d[0].ids) == 4 and d[0].n_tokens == 4  # EOS cut by truncation
